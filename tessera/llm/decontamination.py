@@ -80,26 +80,49 @@ class ItemIndex:
         return self._words[item]
 
 
+def _found(ids, texts, index, n):
+    """(row, item, common) of every item of the index that a row contains."""
+    for low, data, offsets in chunks(texts):
+        rows = len(offsets) - 1
+        last, have = -1, set()
+        for row, item in index.candidates(*shingles(*hashed_words(data, offsets), rows, n), rows).tolist():
+            if row != last:
+                last, have = row, word_shingles(texts[low + row].as_py(), n)
+            wanted = index.words_of(item)
+            common = len(wanted & have)
+            if 100 * common >= index.percent * len(wanted):
+                yield low + row, item, common
+
+
 def _search(batches, index, n):
     index = index.value
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids = batch.column(0)
         out = []
-        for low, data, offsets in chunks(texts):
-            rows = len(offsets) - 1
-            found = index.candidates(*shingles(*hashed_words(data, offsets), rows, n), rows)
-            last, have = -1, set()
-            for row, item in found.tolist():
-                if row != last:
-                    last, have = row, word_shingles(texts[low + row].as_py(), n)
-                wanted = index.words_of(item)
-                common = len(wanted & have)
-                if 100 * common >= index.percent * len(wanted):
-                    out.append((ids[low + row].as_py(), index.items[item][0], len(wanted), common, common / len(wanted)))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "n_item", "n_common", "containment"]
-        )
+        for row, item, common in _found(ids, batch.column(1), index, n):
+            size = len(index.words_of(item))
+            out.append((ids[row].as_py(), index.items[item][0], size, common, common / size))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "n_item", "n_common", "containment"])
+
+
+def _clean(batches, index, n, at):
+    index = index.value
+    for batch in batches:
+        keep = np.ones(len(batch), dtype=bool)
+        for row, _, _ in _found(None, batch.column(at), index, n):
+            keep[row] = False
+        yield batch.filter(pa.array(keep))
+
+
+def _blocks(items: DataFrame, percent: int, n: int, max_index: int):
+    """Broadcast indexes of at most about max_index signature values that together hold every item."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    values = items.agg(F.sum(F.regexp_count("text", F.lit(WORD)) * (100 - percent) / 100 + 1)).first()[0] or 0
+    blocks = max(1, -(-int(values) // max_index))
+    for block in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        yield shared(items.sparkSession, ItemIndex([tuple(r) for r in part.collect()], percent, n))
 
 
 def contained_items(documents: DataFrame, items: DataFrame, *, percent: int = 80, n: int = 5, max_index: int = 2_000_000) -> DataFrame:
@@ -110,22 +133,17 @@ def contained_items(documents: DataFrame, items: DataFrame, *, percent: int = 80
     nothing.  Repeated rows of either table each give rows.  Other columns are
     ignored; an empty table gives no rows.
     """
-    spark = documents.sparkSession
-    items = items.select(F.col("item_id").cast("long"), F.col("text"))
-    values = items.agg(F.sum(F.greatest(F.regexp_count("text", F.lit(WORD)) * (100 - percent) / 100, F.lit(0)) + 1)).first()[0] or 0
-    blocks = max(1, -(-int(values) // max_index))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     result = None
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = shared(spark, ItemIndex([tuple(r) for r in part.collect()], percent, n))
-        found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-            lambda batches, index=index: _search(batches, index, n), SCHEMA
-        )
+    for index in _blocks(items, percent, n, max_index):
+        found = texts.mapInArrow(lambda it, index=index: _search(it, index, n), SCHEMA)
         result = found if result is None else result.unionByName(found)
     return result
 
 
-def without_contaminated(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """documents without the rows that contain an item; columns and clean rows are unchanged."""
-    leaks = contained_items(documents, items, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return documents.join(leaks, documents["doc_id"].cast("long") == leaks["_leak"], "left_anti")
+def without_contaminated(documents: DataFrame, items: DataFrame, *, percent: int = 80, n: int = 5, max_index: int = 2_000_000) -> DataFrame:
+    """documents without the rows that contain an item; columns are unchanged and no text is moved."""
+    at = documents.columns.index("text")
+    for index in _blocks(items, percent, n, max_index):
+        documents = documents.mapInArrow(lambda it, index=index: _clean(it, index, n, at), documents.schema)
+    return documents

@@ -2,17 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm import chat, language_id, mixing, quality, rans, toxicity
+from tessera.llm.common import remainder, scratch_path, table
 from tessera.llm.decontamination import contained_items
 from tessera.llm.exact_dedup import exact_duplicates
+from tessera.llm.near_join import near_duplicates
+
+#: Language targets of the mixture; domains and sources share evenly.
+LANGUAGE_WEIGHTS = {"en": 3.0, "de": 2.0, "fr": 2.0, "es": 2.0}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table(sf_dir, name))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    return language_id.identify(documents, held_out, language_id.train(documents.where(~held_out)))
+
+
+def op2_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) == 0)
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    conversations = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    tokenizer = rans.public_tokenizer()
+    packs, members = chat.formatted(conversations, tokenizer=tokenizer)
+    return chat.digests(packs, members, tokenizer=tokenizer)
+
+
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    rans.write_tokens(_read(spark, sf_dir, "documents"), path, tokenizer=rans.public_tokenizer())
+    return rans.read_tokens(spark, path)
+
+
+def domain_of(source: Column) -> Column:
+    """The domain of a source: one of three, by its name."""
+    return F.concat(F.lit("domain"), (F.crc32(F.coalesce(source, F.lit("")).cast("binary")) % 3).cast("string"))
+
+
+def language_weights() -> dict:
+    return {(f"domain{d}", lang): w for d in range(3) for lang, w in LANGUAGE_WEIGHTS.items()}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return mixing.mixed(documents, domain=domain_of(F.col("source")), weights=language_weights(), share=0.5, max_epochs=2, seed=7)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) == 1)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -22,6 +75,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_near_join": op2_near_join,
+    "op3_quality": op3_quality,
+    "op4_chat": op4_chat,
+    "op5_token_ids": op5_token_ids,
+    "op7_mixing": op7_mixing,
+    "op10_toxicity": op10_toxicity,
     "op6_decontamination": op6_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
 }
@@ -38,7 +98,39 @@ def _shingled(source: str, key: str) -> str:
   FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM {source}_w WHERE len(w) > 0))"""
 
 
+#: What the chat template puts around a turn, and the control strings it breaks up in texts; fixed values.
+_AROUND = "<|turn|><|text|><|end|>"
+
+
+def _escaped_length(column: str) -> str:
+    text = f"coalesce({column}, '')"
+    out = f"length(replace({text}, '\\', '\\\\'))"
+    for control in chat.CONTROLS:
+        out += f" + (length({text}) - length(replace({text}, '{control}', ''))) // {len(control)}"
+    return out
+
+
 ORACLE_SQL = {
+    "op2_near_join": f"""
+WITH RECURSIVE {_shingled("documents", "doc_id")},
+size AS (SELECT doc_id, count(*) AS n FROM documents_sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM documents_sh a JOIN documents_sh b USING (sh) GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * common.n >= 80 * (x.n + y.n - common.n)),
+reached AS (SELECT a, b FROM links UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+least AS (SELECT a, min(b) AS m FROM reached GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, coalesce(least.m, d.doc_id) AS component_id
+FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN least ON least.a = d.doc_id""",
+    "op4_chat": f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS every,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    sum({len(_AROUND)} + {_escaped_length("role")} + {_escaped_length("text")}) AS size
+  FROM said GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(every) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(size AS BIGINT) AS formatted_chars FROM whole""",
     "op6_decontamination": f"""
 WITH {_shingled("documents", "doc_id")}, {_shingled("benchmark", "item_id")},
 size AS (SELECT item_id, count(*) AS n FROM benchmark_sh GROUP BY item_id),
