@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_scratch, mix, scratch_path, shared, shingle_sets, stored, stored_at
+from tessera.llm.common import drop_scratch, mix, shared, shingle_sets, stored, stored_at
 
 #: Most frequent shingles put last in the order; a hint, broadcast at 8 bytes each.
 MAX_FREQUENT = 1 << 20
@@ -100,17 +100,33 @@ def _bits(ids: np.ndarray) -> list[np.ndarray]:
     return [((h >> np.uint64(s)) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for s in (0, 32)]
 
 
-def _sets(batches, wanted, n):
-    """(doc_id, size, members) of the documents that pass the filter."""
+def _pass(ids: pa.Array, wanted: np.ndarray) -> pa.Array:
+    ids = ids.fill_null(-1).to_numpy()
+    take = np.ones(len(ids), dtype=bool)
+    for at in _bits(ids):
+        take &= (wanted[at >> 3] >> (at & 7) & 1).astype(bool)
+    return pa.array(take)
+
+
+def _texts(batches, wanted, n):
+    """(set_id, text) of the documents (doc_id, text) that pass the filter."""
     wanted = np.frombuffer(wanted.value, dtype=np.uint8)
     for batch in batches:
-        ids = batch.column(0).fill_null(-1).to_numpy()
-        take = np.ones(len(ids), dtype=bool)
-        for at in _bits(ids):
-            take &= (wanted[at >> 3] >> (at & 7) & 1).astype(bool)
-        batch = batch.filter(pa.array(take))
+        batch = batch.filter(_pass(batch.column(0), wanted))
         for low, sets in shingle_sets(batch.column(1), n):
-            yield _batch(doc_id=batch.column(0)[low : low + len(sets)], size=pa.array([len(x) for x in sets], pa.int32()), members=pa.array([x.tobytes() for x in sets], pa.binary()))
+            yield _batch(set_id=_long(np.array([_digest(x) for x in sets], dtype=np.uint64)), text=batch.column(1)[low : low + len(sets)])
+
+
+def narrowed(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows whose first column, a long, may be among ids: nearly all others are dropped where they are read."""
+    wanted = shared(rows.sparkSession, _filter_of(ids))
+
+    def take(batches):
+        bits = np.frombuffer(wanted.value, dtype=np.uint8)
+        for batch in batches:
+            yield batch.filter(_pass(batch.column(0), bits))
+
+    return rows.mapInArrow(take, rows.schema)
 
 
 def _filter_of(ids: DataFrame) -> bytes:
@@ -260,24 +276,31 @@ def _tree_pairs(run: pa.Table, percent: int):
 # --- links --------------------------------------------------------------------
 
 
-def _verify(batches, percent):
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of percent or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    common = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+    return len(y) > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _verify(batches, percent, n):
     for batch in batches:
-        good = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(m.as_buffer(), dtype=np.uint64) for m in (x, y))
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            good.append(100 * common >= percent * (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays(list(batch.filter(pa.array(good, pa.bool_())).columns[:2]), ["a", "b"])
+        for k in range(0, len(batch), 256):
+            part = batch.slice(k, 256)
+            x, y = ([s for _, some in shingle_sets(part.column(c), n) for s in some] for c in (2, 3))
+            good = pa.array([similar(u, v, percent) for u, v in zip(x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(list(part.filter(good).columns[:2]), ["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-    x = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, percent), "a long, b long")
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """The pairs (a, b) of set ids whose whole sets are similar.  Texts travel, as they take less room than their sets."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = narrowed(texts, ids)
+    x = texts.select(F.col("set_id").alias("a"), F.col("text").alias("x"))
+    y = texts.select(F.col("set_id").alias("b"), F.col("text").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, percent, n), "a long, b long")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -332,47 +355,47 @@ def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80) -> D
     listed, listed_path = stored_at(listed.mapInArrow(lambda it: _centre(it, percent), "key long, size int, set_id long, centre long"), "lists")
 
     members = listed.where("centre is null").select("key", "size", "set_id")
-    met = stored(members.select("set_id").distinct().join(nodes, "set_id"), "met")
-    wanted = shared(spark, _filter_of(met.select("node")))
-    sets = texts.mapInArrow(lambda it: _sets(it, wanted, n), "doc_id long, size int, members binary").withColumnRenamed("doc_id", "node")
-    sets = stored(sets.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "members")
+    met = members.select("set_id").distinct().join(nodes, "set_id").select("node")
+    wanted = shared(spark, _filter_of(met))
+    words, words_path = stored_at(texts.mapInArrow(lambda it: _texts(it, wanted, n), "set_id long, text string"), "texts")
 
     chosen = listed.where("centre is not null").groupBy("set_id", "centre").agg(F.count("*").alias("n"))
-    chosen = chosen.groupBy("set_id").agg(F.max(F.struct("n", "centre")).getField("centre").alias("centre"))
-    pairs = chosen.join(met.withColumnRenamed("node", "a"), "set_id")
-    pairs = pairs.join(met.select(F.col("set_id").alias("centre"), F.col("node").alias("b")), "centre").select("a", "b")
-    links = stored(verified(pairs, sets, percent), "first-links")
+    chosen = chosen.groupBy("set_id").agg(F.max(F.struct("n", "centre")).getField("centre").alias("b"))
+    chosen = stored(chosen.select(F.col("set_id").alias("a"), "b"), "centres")
+    links = stored(verified(chosen, words, percent, n), "first-links")
     found = stored(components(links), "components")
 
-    named = members.join(met, "set_id").select("key", "size", "node")
-    named = named.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = members.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    named = stored(named, "named")
     open_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    named = stored(named.join(open_keys, "key", "left_semi").distinct(), "open")
-    signed = sets.select("node", "members").join(named.select("node").distinct(), "node", "left_semi")
-    signed = signed.mapInArrow(_sign, "node long, signature binary")
-    named = named.join(signed, "node").select("key", "size", "node", "component", "signature")
-    named = named.repartition("key").sortWithinPartitions("key", "size", "component", "node")
-    rest = stored(named.mapInArrow(lambda it: _trees(it, percent), "a long, b long").distinct(), "pairs")
-    more = stored(verified(rest, sets, percent), "more-links")
+    named = stored(named.join(open_keys, "key", "left_semi"), "open")
+    signed = narrowed(words, named.select("set_id").distinct()).mapInArrow(lambda it: _sign(it, n), "set_id long, signature binary").dropDuplicates(["set_id"])
+    trees = named.join(signed, "set_id").select("key", "size", F.col("set_id").alias("node"), "component", "signature")
+    trees = trees.repartition("key").sortWithinPartitions("key", "size", "component", "node")
+    rest = stored(trees.mapInArrow(lambda it: _trees(it, percent), "a long, b long").distinct(), "pairs")
+    more = stored(verified(rest, words, percent, n), "more-links")
+    drop_scratch(spark, listed_path, words_path)
     # only links across components are left, so the components themselves are the nodes now
     name = found.select(F.col("node").alias("a"), F.col("component").alias("x"))
     across = more.join(name, "a", "left").select(F.coalesce("x", "a").alias("a"), "b")
     across = across.join(name.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left").select("a", F.coalesce("y", "b").alias("b"))
     merged = stored(components(across).select(F.col("node").alias("component"), F.col("component").alias("whole")), "merged")
-    found = found.join(merged.select("component", "whole"), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    linked = found.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     alone = merged.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(found, "node", "left_anti")
-    found = found.union(alone)
-    drop_scratch(spark, listed_path)
+    linked = linked.union(alone).select(F.col("node").alias("set_id"), "component")
 
-    # equal sets, then components of the few that have links
-    classes = nodes.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
+    # equal sets, then components, by the smallest document of each
+    classes = nodes.join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    least = classes.groupBy("component").agg(F.min("node").alias("component_id"))
+    classes = classes.join(least, "component").select("set_id", "component_id")
     joined = rows.join(classes, "set_id", "left")
     return joined.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _sign(batches):
+def _sign(batches, n):
     for batch in batches:
-        yield _batch(node=batch.column(0), signature=pa.array([bitmap(np.frombuffer(m.as_buffer(), dtype=np.uint64)) for m in batch.column(1)], pa.binary()))
+        for low, sets in shingle_sets(batch.column(1), n):
+            yield _batch(set_id=batch.column(0)[low : low + len(sets)], signature=pa.array([bitmap(x) for x in sets], pa.binary()))
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
@@ -383,4 +406,4 @@ def one_of_each(documents: DataFrame, **options) -> DataFrame:
     return kept
 
 
-__all__ = ["SignatureTree", "bitmap", "components", "near_duplicates", "one_of_each", "scratch_path", "verified"]
+__all__ = ["SignatureTree", "bitmap", "components", "near_duplicates", "one_of_each", "verified"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, language_id, mixing, quality, rans, toxicity
+from tessera.llm import chat, context_mixing, language_id, mixing, quality, rans, toxicity
 from tessera.llm.common import remainder, scratch_path, table
 from tessera.llm.decontamination import contained_items
 from tessera.llm.exact_dedup import exact_duplicates
@@ -62,6 +62,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents, domain=domain_of(F.col("source")), weights=language_weights(), share=0.5, max_epochs=2, seed=7)
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scored(_read(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) == 1)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) == 1)
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op4_chat": op4_chat,
     "op5_token_ids": op5_token_ids,
     "op7_mixing": op7_mixing,
+    "op9_context_mixing": op9_context_mixing,
     "op10_toxicity": op10_toxicity,
     "op6_decontamination": op6_decontamination,
     "op8_exact_dedup": op8_exact_dedup,

@@ -1,6 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are runs of letters, A-Z lower-cased.  The vocabulary holds the terms whose
+Terms are runs of letters, A-Z lower-cased, and the first PREFIXES bytes of longer
+ones, which stand for stems.  The vocabulary holds the terms whose
 presence depends on the label (chi-squared), so a cosine says something about the
 label rather than about shared function words.  Every document's term counts over
 the vocabulary are taken once over its whole text; document frequencies are sums
@@ -21,18 +22,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _LOWER, chunks, hash_spans, shared, spans, stored
+from tessera.llm.common import _LOWER, chunks, hash_spans, mix, shared, spans, stored
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Lengths in bytes of the beginnings of words that are terms themselves.
+PREFIXES = (5, 6, 7)
 BLOCK = 64
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every term."""
+    """(hash, row) of every term, rows ascending."""
     lowered = _LOWER[data]
     start, end, row = spans(lowered, offsets, _LETTER[lowered])
-    return hash_spans(lowered, start, end), row
+    every, rows = [hash_spans(lowered, start, end)], [row]
+    for size in PREFIXES:
+        long = end - start > size
+        every.append(mix(hash_spans(lowered, start[long], start[long] + size) + np.uint64(size)))
+        rows.append(row[long])
+    every, rows = np.concatenate(every), np.concatenate(rows)
+    order = np.argsort(rows, kind="stable")
+    return every[order], rows[order]
 
 
 def _sample_terms(batches, known):
@@ -181,7 +191,7 @@ def _score(batches, index, threshold):
         )
 
 
-def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label: str = "toxic", threshold: float = 0.7, examples: int = 8000, vocabulary: int = 512, least_chi2: float = 20.0, k: int = 15) -> DataFrame:
+def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label: str = "toxic", threshold: float = 0.7, examples: int = 8000, vocabulary: int = 512, least_chi2: float = 30.0, k: int = 15) -> DataFrame:
     """Per row of documents: doc_id, held_out, score (0 to 1), predicted (score >= threshold), and as evidence the
     doc_ids and cosines of the five nearest examples.
 
