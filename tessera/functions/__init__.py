@@ -1,0 +1,33 @@
+"""Column functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def interval_of(timestamp: Column, seconds: int = 60) -> Column:
+    """Interval number of a time in seconds; division truncates towards zero, so -61 is in interval -1."""
+    whole = F.abs(timestamp)
+    return F.sign(timestamp).cast("long") * ((whole - whole % seconds) / seconds).cast("long")
+
+
+def is_extreme(temperature: Column, high: float = 40.0, low: float = 0.0) -> Column:
+    """Whether a temperature is at least high or at most low."""
+    return (temperature >= high) | (temperature <= low)
+
+
+def inserted(content: Column, text: Column, position: Column) -> Column:
+    """content with text put in before the code point at position, counted from 0."""
+    return F.overlay(content, text, (position + 1).cast("int"), F.lit(0))
+
+
+def fits(position: Column, content: Column) -> Column:
+    """Whether position is a place in content: 0 to its length in code points."""
+    return position.between(0, F.char_length(content))
+
+
+def known_number(text: Column, kind: str) -> Column:
+    """text as a number of the kind, or null; NaN is no number."""
+    value = text.try_cast(kind)
+    return F.when(F.isnan(value), None).otherwise(value) if kind == "double" else value
