@@ -70,7 +70,7 @@ def _report_sql(where: str, k: int) -> str:
     base = W.replace("FROM events)", f"FROM events {where})")
     return (
         f"{base}, g AS (SELECT {_GLOBAL} FROM w), hot AS (SELECT {_HOT}), cold AS (SELECT {_COLD}), busy AS (SELECT * FROM (SELECT {_INTERVAL}) ORDER BY n DESC, \"interval\" LIMIT 1), "
-        f"top AS ({_TOP.format(_STATIONS + ' GROUP BY station_id', k)})\n" + "\nUNION ALL ".join(parts)
+        f"top AS ({_TOP.format(_STATIONS + ' GROUP BY station_id', k)})\n" + "SELECT line, key, coalesce(value, 0) AS value, coalesce(rain, 0) AS rain, coalesce(station_id, 0) AS station_id, coalesce(at, 0) AS at, coalesce(n, 0) AS n FROM (\n" + "\nUNION ALL ".join(parts) + ")"
     )
 
 
@@ -235,7 +235,7 @@ def docs_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), "text")
     asked = _table(spark, sf_dir, "documents").select((F.col("doc_id") * 2).cast("string").alias("name"))
     found = asked.join(stored, "name", "left")
-    return found.select("name", F.when(F.col("text").isNull(), "NOT_FOUND").otherwise("OK").alias("status"), F.char_length("text").cast("long").alias("length"))
+    return found.select("name", F.when(F.col("text").isNull(), "NOT_FOUND").otherwise("OK").alias("status"), F.coalesce(F.char_length("text").cast("long"), F.lit(-1)).alias("length"))
 
 
 def docs_feed_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,8 +296,8 @@ QUERIES = {
     "weather_station_stats": lambda s, d: weather.station_stats(_w(s, d)),
     "weather_top_stations": lambda s, d: weather.top_stations(_w(s, d), 10),
     "weather_top_stations_bounded": lambda s, d: weather.top_stations(_w(s, d), 10, 50),
-    "weather_report": lambda s, d: weather.report(_w(s, d), 10),
-    "weather_empty_report": lambda s, d: weather.report(_w(s, d).where("false"), 10),
+    "weather_report": lambda s, d: weather.report(_w(s, d), 10).fillna(0),
+    "weather_empty_report": lambda s, d: weather.report(_w(s, d).where("false"), 10).fillna(0),
     "weather_partial_merge": weather_partial_merge,
     "weather_partial_stations": weather_partial_stations,
     "weather_from_text": weather_from_text,
@@ -382,7 +382,7 @@ ORACLE_SQL = {
     "docs_rejected_edits": D + "SELECT seq, CAST(conv_id AS VARCHAR) AS name, op, status FROM fold WHERE status = 'OUT_OF_RANGE'",
     "docs_latest": _FINAL,
     "docs_list": f"SELECT name, version, CAST(length(content) AS BIGINT) AS length FROM ({_FINAL})",
-    "docs_lookup": "SELECT CAST(a.doc_id * 2 AS VARCHAR) AS name, CASE WHEN b.text IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS status, CAST(length(b.text) AS BIGINT) AS length FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id * 2",
+    "docs_lookup": "SELECT CAST(a.doc_id * 2 AS VARCHAR) AS name, CASE WHEN b.text IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS status, coalesce(CAST(length(b.text) AS BIGINT), -1) AS length FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id * 2",
     "docs_feed_monotone": """WITH feed AS (SELECT turn AS seq, CAST(conv_id AS VARCHAR) AS name, turn - CASE WHEN (conv_id + turn) % 3 = 0 THEN 2 ELSE 0 END AS version FROM conversations),
 s AS (SELECT *, max(version) OVER (PARTITION BY name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM feed)
 SELECT seq, name, version FROM s WHERE seen IS NULL OR version > seen""",
