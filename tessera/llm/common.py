@@ -128,6 +128,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; by sorting, which is several times as fast as numpy's hashing."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of the maximal runs of bytes where inside holds; runs end with their row."""
     if not len(data):
@@ -202,7 +208,7 @@ def shingle_sets(column: pa.Array, n: int = 5) -> Iterator[tuple[int, list[np.nd
         rows = len(offsets) - 1
         sums, at = shingles(*hashed_words(data, offsets), rows, n)
         cut = np.searchsorted(at, np.arange(rows + 1))
-        yield low, [np.unique(sums[cut[k] : cut[k + 1]]) for k in range(rows)]
+        yield low, [distinct(sums[cut[k] : cut[k + 1]]) for k in range(rows)]
 
 
 def shared(spark: SparkSession, value):

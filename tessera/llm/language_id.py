@@ -28,6 +28,8 @@ BLOCK = 4096
 #: Blocks whose presence rows are in memory at once.
 ROWS = 256
 _GAP = re.compile(r"[\W\d_]+")
+#: Languages whose counts the driver takes.
+MAX_LANGUAGES = 10_000
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -158,25 +160,23 @@ def _sample(batches, each):
 def train(labelled: DataFrame, *, documents: int = 1600, blocks: int = 3, landmarks: int = 256) -> KernelModel:
     """Fits on a sample of about `documents` rows of labelled(doc_id, text, lang), shared evenly among languages.
 
-    Rows are drawn by the hash of doc_id; null languages are left out.
+    Rows are drawn by the hash of doc_id where they are read; null languages are
+    left out.  More than MAX_LANGUAGES languages are refused.
     """
+    spark = labelled.sparkSession
     labelled = labelled.where("lang is not null and text is not null")
-    share = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    total = F.lit(documents) / F.greatest(F.lit(1), F.count("*").over(_everything()))
-    share = share.select(F.col("lang").alias("_lang"), (F.least(F.lit(1.0), total / F.col("n")) * (1 << 20)).alias("_part"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    parts = [(r["lang"], int(min(1.0, documents / len(counts) / r["n"]) * (1 << 20))) for r in counts]
+    share = F.broadcast(spark.createDataFrame(parts, "_lang string, _part long"))
     drawn = labelled.join(share, labelled["lang"] == share["_lang"]).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("_part"))
-    rows = drawn.select("lang", "text").mapInArrow(lambda it: _sample(it, blocks), "lang string, block binary").toArrow()
+    rows = drawn.select(labelled["lang"], labelled["text"]).mapInArrow(lambda it: _sample(it, blocks), "lang string, block binary").toArrow()
     sample = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
     order = np.random.default_rng(0).permutation(len(sample))
     return fit([sample[k] for k in order], landmarks)
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))
-
-
 def _predict(batches, model):
     model = model.value
     for batch in batches:

@@ -47,8 +47,9 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     start, end, line_row = spans(data, offsets, (data != 10) & (data != 13))
     line = hash_spans(data, start, end) + line_row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     lines = np.bincount(line_row, minlength=rows)
-    _, index = np.unique(line, return_index=True)
-    distinct_lines = np.bincount(line_row[index], minlength=rows)
+    by_line = np.argsort(line)
+    fresh = np.concatenate([[True], line[by_line][1:] != line[by_line][:-1]]) if len(line) else np.zeros(0, dtype=bool)
+    distinct_lines = np.bincount(line_row[by_line][fresh], minlength=rows)
     rate = lambda x, of, floor=2e-3: np.log(floor + x / np.maximum(of, 1))
     kinds = (_UPPER, _DIGIT, _LINE, _STOP, _COMMA, _LOUD, _BAR, _SIGN, _PUNCT, _HIGH, _CONTROL)
     return np.stack(

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _LOWER, chunks, hash_spans, mix, shared, spans, stored
+from tessera.llm.common import _LOWER, chunks, distinct, hash_spans, mix, shared, spans, stored
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -56,7 +56,7 @@ def _sample_terms(batches, known):
             term, row = terms(data, offsets)
             cut = np.searchsorted(row, np.arange(len(offsets)))
             for k in range(len(offsets) - 1):
-                out[known[batch.column(0)[low + k].as_py()]].append(np.unique(term[cut[k] : cut[k + 1]]))
+                out[known[batch.column(0)[low + k].as_py()]].append(distinct(term[cut[k] : cut[k + 1]]))
         for label, some in out.items():
             value, many = np.unique(np.concatenate(some) if some else np.zeros(0, dtype=np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array([label] * len(value), pa.int32()), pa.array(many, pa.int64())], ["term", "label", "n"])
