@@ -59,7 +59,7 @@ def _report_sql(where: str, k: int) -> str:
     for m in ("temperature", "humidity", "pressure"):
         keys += [(f"{a}_{m.upper()}", f"{b}_{m}", None) for a, b in (("AVERAGE", "avg"), ("MIN", "min"), ("MAX", "max"))]
     keys += [("TOTAL_RAINFALL", "sum_rainfall", None), ("MAX_RAINFALL", "max_rainfall", None), ("AVERAGE_WIND_SPEED", "avg_wind_speed", None), ("MAX_WIND_SPEED", "max_wind_speed", None), ("EXTREME_TEMPERATURE_EVENTS", None, "extreme")]
-    row = "SELECT {} AS line, '{}' AS key, CAST({} AS DOUBLE) AS value, CAST({} AS DOUBLE) AS rain, CAST({} AS BIGINT) AS station_id, CAST({} AS BIGINT) AS at, CAST({} AS BIGINT) AS n"
+    row = "SELECT {} AS line, '{}' AS key, CAST({} AS DOUBLE) AS value, CAST({} AS DOUBLE) AS rain, CAST({} AS BIGINT) AS station_id, CAST({} AS BIGINT) AS \"at\", CAST({} AS BIGINT) AS n"
     parts = [row.format(k_, key, f"coalesce({v}, 0)" if v else "NULL", "NULL", "NULL", "NULL", n or "NULL") + " FROM g" for k_, (key, v, n) in enumerate(keys)]
     line = len(keys)
     for name, table in (("HOTTEST_MEASUREMENT", "hot"), ("COLDEST_MEASUREMENT", "cold")):
@@ -70,7 +70,7 @@ def _report_sql(where: str, k: int) -> str:
     base = W.replace("FROM events)", f"FROM events {where})")
     return (
         f"{base}, g AS (SELECT {_GLOBAL} FROM w), hot AS (SELECT {_HOT}), cold AS (SELECT {_COLD}), busy AS (SELECT * FROM (SELECT {_INTERVAL}) ORDER BY n DESC, \"interval\" LIMIT 1), "
-        f"top AS ({_TOP.format(_STATIONS + ' GROUP BY station_id', k)})\n" + "SELECT line, key, coalesce(value, 0) AS value, coalesce(rain, 0) AS rain, coalesce(station_id, 0) AS station_id, coalesce(at, 0) AS at, coalesce(n, 0) AS n FROM (\n" + "\nUNION ALL ".join(parts) + ")"
+        f"top AS ({_TOP.format(_STATIONS + ' GROUP BY station_id', k)})\n" + "SELECT line, key, coalesce(value, 0) AS value, coalesce(rain, 0) AS rain, coalesce(station_id, 0) AS station_id, coalesce(\"at\", 0) AS \"at\", coalesce(n, 0) AS n FROM (\n" + "\nUNION ALL ".join(parts) + ")"
     )
 
 
