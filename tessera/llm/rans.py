@@ -20,7 +20,9 @@ ascending order, and so are the blocks in a shard and the documents in a block.
 
 from __future__ import annotations
 
+import os
 import zlib
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -36,8 +38,10 @@ CHECKPOINT = 512
 SCALE = 20
 #: Ids that a block holds before it is closed; a longer document has a block of its own.
 BLOCK_IDS = 1 << 19
-#: Distinct pieces of text a worker remembers.
-REMEMBERED = 1 << 20
+#: Distinct pieces of text a worker remembers before it begins anew.
+REMEMBERED = 3 << 19
+#: New pieces that are encoded as one text.
+JOINED = 256
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(0xFFFFFFFF)
 _MASK = np.uint64((1 << SCALE) - 1)
@@ -174,30 +178,62 @@ class PieceEncoder:
 
     A piece is white space and what follows it up to the next.  Its pre-tokens
     do not depend on what stands around it, so the ids of a text are those of
-    its pieces.  White space outside ASCII is not a place to cut after.
+    its pieces, and new pieces can be encoded as one text and told apart by the
+    bytes that each id stands for.  White space outside ASCII is not a place to
+    cut after.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, k in self.tokenizer.get_vocab().items():
+            # the vocabulary writes each byte as one character, but added tokens as they are
+            self.bytes[k] = len(token.encode()) if k in added else len(token)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.store, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
         self.first, self.many = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
 
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        for key, piece in zip(keys, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids, n = piece.ids, len(self.known)
-            if n == len(self.first):
-                self.first, self.many = np.resize(self.first, 2 * n), np.resize(self.many, 2 * n)
-            while self.used + len(ids) > len(self.store):
-                self.store = np.resize(self.store, 2 * len(self.store))
-            self.store[self.used : self.used + len(ids)] = ids
-            self.first[n], self.many[n], self.known[key] = self.used, len(ids), n
-            self.used += len(ids)
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Encodes new pieces: most as parts of longer texts, those that might run into their neighbours alone."""
+        plain = [k for k, p in enumerate(pieces) if not _IS_WORD[p[0]] and 32 < p[-1] < 128]
+        alone = sorted(set(range(len(pieces))) - set(plain))
+        groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        read = lambda texts: [x.ids for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        apart = read([pieces[k] for k in alone])
+        joined = read([b"".join(pieces[k] for k in group) for group in groups])
+        many = [np.fromiter(map(len, apart), np.int64, len(apart))]
+        for group, ids in zip(groups, joined, strict=True):
+            reach = np.cumsum(self.bytes[ids])
+            ends = np.cumsum([len(pieces[k]) for k in group])
+            cut = np.searchsorted(reach, ends) + 1
+            if not np.array_equal(reach[cut - 1], ends):
+                raise ValueError("an id reaches over two pieces")
+            many.append(np.diff(cut, prepend=0))
+        many = np.concatenate(many)
+        ids = np.fromiter(chain(chain.from_iterable(apart), chain.from_iterable(joined)), np.uint32, int(many.sum()))
+        n = len(self.keys)
+        self.store = _room(self.store, self.used + len(ids))
+        self.first, self.many = _room(self.first, n + len(many)), _room(self.many, n + len(many))
+        self.store[self.used : self.used + len(ids)] = ids
+        self.first[n : n + len(many)] = self.used + np.cumsum(many) - many
+        self.many[n : n + len(many)] = many
+        self.used += len(ids)
+        self.keys = np.concatenate([self.keys, keys[np.array(alone + plain, dtype=np.int64)]])
+        self.place = np.concatenate([self.place, np.arange(n, n + len(many))])
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.place = self.keys[order], self.place[order]
+
+    def _knows(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(key), dtype=bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after another, ids of each row)."""
@@ -207,19 +243,21 @@ class PieceEncoder:
         black = _IS_WORD[data]
         start = np.flatnonzero(~black[1:] & black[:-1]) + 1
         start = start[~_ends_in_space(data, start)]
-        start = np.union1d(start, offsets[:-1][np.diff(offsets) > 0])
+        begins = np.zeros(len(data), dtype=bool)
+        begins[start] = True
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(begins)
         end = np.append(start[1:], len(data))
         key, place = np.unique(hash_spans(data, start, end), return_inverse=True)
-        if len(self.known) > REMEMBERED:
+        if len(self.keys) > REMEMBERED:
             self.forget()
-        names = key.tolist()
-        new = [k for k, name in enumerate(names) if name not in self.known]
-        if new:
-            example = np.empty(len(names), dtype=np.int64)
+        new = np.flatnonzero(~self._knows(key))
+        if len(new):
+            example = np.empty(len(key), dtype=np.int64)
             example[place[::-1]] = np.arange(len(place) - 1, -1, -1)
             raw = data.tobytes()
-            self._learn([names[k] for k in new], [raw[start[e] : end[e]].decode("utf-8", "replace") for e in example[new].tolist()])
-        index = np.array([self.known[name] for name in names], dtype=np.int64)[place]
+            self._learn(key[new], [raw[a:b] for a, b in zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)])
+        index = self.place[np.searchsorted(self.keys, key)][place]
         many = self.many[index]
         reach = np.cumsum(many)
         ids = self.store[np.repeat(self.first[index] - (reach - many), many) + np.arange(int(reach[-1]))]
@@ -227,6 +265,15 @@ class PieceEncoder:
         return ids, np.bincount(row, many, minlength=rows).astype(np.int64)
 
 
+def _room(x: np.ndarray, size: int) -> np.ndarray:
+    """x with space for at least size values."""
+    if size <= len(x):
+        return x
+    out = np.zeros(max(size, 2 * len(x)), dtype=x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 def _ends_in_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether the character before data[at] is white space outside ASCII."""
     a, b, c = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
