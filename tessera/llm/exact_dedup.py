@@ -37,6 +37,7 @@ def exact_duplicates(documents: DataFrame, *, least: int = 256, most: int = 4096
     identifier maps a chunk to a BIGINT; any function of the chunk gives right results.
     """
     lowered = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     base = documents.select("doc_id", lowered.alias("t"))
     recipes = stored(
         base.select(
@@ -49,20 +50,22 @@ def exact_duplicates(documents: DataFrame, *, least: int = 256, most: int = 4096
     )
     key = ["recipe", "n_chars"]
     repeated = recipes.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1 and n_chars > 0").drop("n")
-    suspects = recipes.join(repeated, key, "left_semi").select("doc_id").where("doc_id is not null").distinct()
+    suspects = recipes.join(repeated, key, "left_semi").select(name.alias("name")).distinct()
     pieces = (
-        documents.join(suspects, "doc_id", "left_semi")
-        .select("doc_id", F.posexplode(chunks_of(lowered, least, most)).alias("at", "chunk"))
+        documents.select(name.alias("name"), lowered.alias("t"))
+        .join(suspects, "name", "left_semi")
+        .select("name", "t", F.posexplode(chunks_of(F.col("t"), least, most)).alias("at", "chunk"))
         .withColumn("h", identifier(F.col("chunk")).cast("long"))
     )
     ambiguous = stored(
         pieces.groupBy("h").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high").select("h"), "ambiguous"
     )
     if not ambiguous.isEmpty():
-        held = pieces.join(ambiguous, "h", "left_semi")
+        # a row is named by its id and its text, as ids may repeat or be null
+        held = pieces.select("name", F.sha2("t", 256).alias("text_sha256"), "at", "chunk", "h").join(ambiguous, "h", "left_semi")
         numbers = held.select("h", "chunk").distinct().withColumn("number", F.dense_rank().over(Window.partitionBy("h").orderBy("chunk")))
-        variants = held.join(numbers, ["h", "chunk"]).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "number"))).alias("variant"))
-        recipes, key = recipes.join(variants, "doc_id", "left"), [*key, "variant"]
+        variants = held.join(numbers, ["h", "chunk"]).groupBy("name", "text_sha256").agg(F.sort_array(F.collect_set(F.struct("at", "number"))).alias("variant"))
+        recipes, key = recipes.withColumn("name", name).join(variants, ["name", "text_sha256"], "left"), [*key, "variant"]
         recipes = recipes.withColumn("variant", F.coalesce("variant", F.expr("cast(array() as array<struct<at:int,number:int>>)")))
     groups = recipes.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return recipes.join(groups, key).select(
