@@ -65,10 +65,10 @@ def _describe(batches, n):
             sizes += [len(x) for x in sets]
             digests += [_digest(x) for x in sets]
             every += sets
-        yield _batch(doc_id=ids, size=pa.array(sizes, pa.int64()), h=_long(np.array(digests, dtype=np.uint64)), listed=pa.array([False] * len(ids)))
+        yield _batch(doc_id=ids, size=pa.array(sizes, pa.int64()), h=_long(np.array(digests, dtype=np.uint64)), listed=pa.array([False] * len(ids), pa.bool_()))
         value, count = np.unique(np.concatenate(every) if every else np.zeros(0, dtype=np.uint64), return_counts=True)
         value, count = value[count >= REPORT_AT], count[count >= REPORT_AT]
-        yield _batch(doc_id=pa.nulls(len(value), pa.int64()), size=pa.array(count, pa.int64()), h=_long(value), listed=pa.array([True] * len(value)))
+        yield _batch(doc_id=pa.nulls(len(value), pa.int64()), size=pa.array(count, pa.int64()), h=_long(value), listed=pa.array([True] * len(value), pa.bool_()))
 
 
 def _list(batches, frequent, n, percent):
@@ -367,7 +367,10 @@ def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80) -> D
 
     named = members.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     named = stored(named, "named")
-    open_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    # of lists with the same members one is enough
+    member = [F.bit_xor(F.xxhash64(F.lit(k), "set_id")).alias(f"m{k}") for k in (0, 1)]
+    open_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), *member).where("x <> y")
+    open_keys = open_keys.groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key")
     named = stored(named.join(open_keys, "key", "left_semi"), "open")
     signed = narrowed(words, named.select("set_id").distinct()).mapInArrow(lambda it: _sign(it, n), "set_id long, signature binary").dropDuplicates(["set_id"])
     trees = named.join(signed, "set_id").select("key", "size", F.col("set_id").alias("node"), "component", "signature")

@@ -94,7 +94,7 @@ class ExampleIndex:
         many = -(-len(order) // BLOCK)
         padded = np.zeros((many * BLOCK, len(idf) + 1), dtype=np.float32)
         padded[: len(order), : len(idf)] = vectors[order]
-        self.blocks = np.ascontiguousarray(padded.reshape(many, BLOCK, -1).transpose(0, 2, 1))
+        self.blocks = np.ascontiguousarray(padded.reshape(many, BLOCK, len(idf) + 1).transpose(0, 2, 1))
         self.maxima = self.blocks.max(axis=2) if many else np.zeros((0, len(idf) + 1), dtype=np.float32)
         self.curve = (0.0, 1.0)
         if len(order):
@@ -128,11 +128,13 @@ class ExampleIndex:
 
     def votes(self, where: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """Share of label 1 in the distance-weighted votes, in log odds; the prior has the weight of a faint neighbour."""
-        where = np.minimum(where, max(0, len(self.labels) - 1))
+        if not len(self.labels):
+            return np.zeros(len(where))
+        where = np.minimum(where, len(self.labels) - 1)
         weight = np.square(cosine) * self.weights[where]
-        prior = 0.02
-        one = (weight * self.labels[where]).sum(axis=1) + prior * self.empty
-        zero = (weight * (1 - self.labels[where])).sum(axis=1) + prior * (1 - self.empty)
+        share, prior = min(max(self.empty, 0.01), 0.99), 0.02
+        one = (weight * self.labels[where]).sum(axis=1) + prior * share
+        zero = (weight * (1 - self.labels[where])).sum(axis=1) + prior * (1 - share)
         return np.log(one / zero)
 
     def _calibrate(self, vectors: np.ndarray) -> tuple[float, float]:
