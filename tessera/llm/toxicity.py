@@ -103,11 +103,15 @@ class ExampleIndex:
     def nearest(self, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest of each row; cosine 0 stands for no neighbour."""
         where, cosine = np.zeros((len(vectors), k), dtype=np.int64), np.zeros((len(vectors), k), dtype=np.float32)
+        if not len(self.maxima):
+            return where, cosine
+        by_terms = np.argsort((vectors > 0).sum(axis=1), kind="stable")  # queries of about as many terms go together
         for low in range(0, len(vectors), 256):
-            q = vectors[low : low + 256]
+            rows = by_terms[low : low + 256]
+            q = vectors[rows]
             bound = q @ self.maxima[:, :-1].T
             order = np.argsort(-bound, axis=1, kind="stable")
-            width = max(1, int((q > 0).sum(axis=1).max()))
+            width = max(1, int((q[-1] > 0).sum()))
             term = np.argsort(q <= 0, axis=1, kind="stable")[:, :width]
             value = np.take_along_axis(q, term, axis=1)
             live = np.arange(len(q))
@@ -118,12 +122,16 @@ class ExampleIndex:
                 live, b = live[go], b[go]
                 if not len(live):
                     break
-                s = np.einsum("ql,qld->qd", value[live], self.blocks[b[:, None], term[live]])
-                both = np.concatenate([best[live], s], axis=1)
-                names = np.concatenate([found[live], b[:, None] * BLOCK + np.arange(BLOCK)], axis=1)
+                s = np.matmul(value[live][:, None, :], self.blocks[b[:, None], term[live]])[:, 0, :]
+                better = np.flatnonzero(s.max(axis=1) > best[live, -1])
+                if not len(better):
+                    continue
+                s, b, at = s[better], b[better], live[better]
+                both = np.concatenate([best[at], s], axis=1)
+                names = np.concatenate([found[at], b[:, None] * BLOCK + np.arange(BLOCK)], axis=1)
                 top = np.argsort(-both, axis=1, kind="stable")[:, :k]
-                best[live], found[live] = np.take_along_axis(both, top, axis=1), np.take_along_axis(names, top, axis=1)
-            where[low : low + 256], cosine[low : low + 256] = found, best
+                best[at], found[at] = np.take_along_axis(both, top, axis=1), np.take_along_axis(names, top, axis=1)
+            where[rows], cosine[rows] = found, best
         return where, cosine
 
     def votes(self, where: np.ndarray, cosine: np.ndarray) -> np.ndarray:
