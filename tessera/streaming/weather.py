@@ -9,9 +9,9 @@ watermark, and every record counts.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from pathlib import PurePosixPath
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +108,16 @@ class LiveReport:
                 return
             time.sleep(interval_s)
 
+    def latencies(self, times: int, pause_s: float = 0.0) -> list[float]:
+        """Seconds that each of some snapshot queries takes, the stream running or not."""
+        out = []
+        for _ in range(times):
+            began = time.perf_counter()
+            self.snapshot()[0].collect()
+            out.append(time.perf_counter() - began)
+            time.sleep(pause_s)
+        return out
+
     def reset(self) -> None:
         """Forgets all batches and the place in the stream; k stays."""
         if self.query is not None and self.query.isActive:
@@ -117,6 +127,11 @@ class LiveReport:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def state_of(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Keys and values in the state store of a stateful stream, as of its last committed batch."""
+    return spark.read.format("statestore").load(checkpoint)
+
+
 def replay(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     """A stream over the Parquet files of a folder, so many in a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
