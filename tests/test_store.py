@@ -16,4 +16,4 @@ def test_store_and_commands(spark, tmp_path):
     again.edit("d", 0, "CS")
     assert list(feed) == [(3, "CSHello Distributed World")]
     said = Interpreter(again).run(["# comment", "new e 'a b'", "insert 3 '!'", "edit d 0 x", "subscribe", "edit 0 y", "poll", "poll", "ls", "nonsense", "edit q", "show zz", "status", "exit", "show"])
-    assert said == ["e v1", "e v2", "d v4", "e v2: a b!", "e v3", "e v3: ya b!", "d v4 26", "e v3 4 subscribed", "unknown command nonsense", "usage: edit [NAME] POSITION TEXT", "NOT_FOUND", "commands 12 edits 3 updates 1 refused 1"]
+    assert said == ["e v1", "e v2", "d v4", "e v2: a b!", "e v3", "e v3: ya b!", "d v4 26", "e v3 5 subscribed", "unknown command nonsense", "usage: edit [NAME] POSITION TEXT", "NOT_FOUND", "commands 12 edits 3 updates 1 refused 1"]
