@@ -1,9 +1,10 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are runs of letters, A-Z lower-cased, and the first PREFIXES bytes of longer
-ones, which stand for stems.  The vocabulary holds the terms whose
-presence depends on the label (chi-squared), so a cosine says something about the
-label rather than about shared function words.  Every document's term counts over
+ones, which stand for stems.  The vocabulary holds the terms whose presence
+depends on the label, by chi-squared and by a share of documents that differs
+several times between the labels, so a cosine says something about the label
+rather than about function words, which any large sample finds to depend a little.  Every document's term counts over
 the vocabulary are taken once over its whole text; document frequencies are sums
 over all documents.
 
@@ -85,6 +86,13 @@ def _counts(batches, vocabulary):
         yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "at", "tf"])
 
 
+def _frequencies(batches):
+    """(term, documents that hold it) of a batch of lists of distinct terms."""
+    for batch in batches:
+        at, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], ["at", "n"])
+
+
 class ExampleIndex:
     """Labelled examples in blocks with block maxima; k nearest by cosine; calibrated votes."""
 
@@ -201,7 +209,7 @@ def _score(batches, index, threshold):
         )
 
 
-def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label: str = "toxic", threshold: float = 0.7, examples: int = 8000, vocabulary: int = 512, least_chi2: float = 30.0, k: int = 15) -> DataFrame:
+def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label: str = "toxic", threshold: float = 0.7, examples: int = 8000, vocabulary: int = 512, least_chi2: float = 30.0, least_ratio: float = 4.0, k: int = 15) -> DataFrame:
     """Per row of documents: doc_id, held_out, score (0 to 1), predicted (score >= threshold), and as evidence the
     doc_ids and cosines of the five nearest examples.
 
@@ -230,12 +238,14 @@ def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label:
     cross = F.col("a") * F.lit(zero) - F.col("b") * F.lit(one)
     total = F.col("a") + F.col("b")
     chi2 = F.lit(one + zero) * cross * cross / F.greatest(F.lit(1e-9), F.lit(one * zero) * total * (F.lit(one + zero) - total))
-    chosen = seen.withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(vocabulary).select("term").toArrow()
+    ratio = (F.col("a") + 0.5) / F.lit(one + 1) / ((F.col("b") + 0.5) / F.lit(zero + 1))
+    seen = seen.withColumn("chi2", chi2).where((ratio >= least_ratio) | (ratio <= 1 / least_ratio))
+    chosen = seen.where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(vocabulary).select("term").toArrow()
     words = np.sort(chosen.column(0).to_numpy().astype(np.int64).view(np.uint64))
     broadcast_words = shared(spark, words)
 
     counted = stored(texts.mapInArrow(lambda it: _counts(it, broadcast_words), "doc_id long, at array<int>, tf array<int>"), "terms")
-    held = counted.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect()
+    held = counted.select("at").mapInArrow(_frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     frequency = np.zeros(len(words))
     for row in held:
         frequency[row["at"]] = row["n"]
