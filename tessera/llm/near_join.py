@@ -16,7 +16,7 @@ with another) below what the smallest sizes need, or all in one component
 already.  What is left is verified on whole sets.
 
 Two rounds keep large groups of copies linear: the first verifies each node
-against one centre per list only and joins what it links; the second asks the
+against one centre only, that of most of its lists, and joins what it links; the second asks the
 trees for pairs across components.  Components are found by the large-star and
 small-star method over tables in the shared folder; no link or component
 reaches the driver.
@@ -176,8 +176,8 @@ def _runs(batches, columns: int):
         yield left
 
 
-def _centre(batches, percent):
-    """From rows (key, size, set_id), sorted: those of keys with several sets, and a pair (centre, member) for each member."""
+def _several(batches):
+    """The distinct rows (key, size, set_id) of keys with several sets, from sorted rows."""
     for key, size, node in _runs(batches, 3):
         once = np.ones(len(key), dtype=bool)
         once[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (size[1:] != size[:-1])
@@ -185,14 +185,18 @@ def _centre(batches, percent):
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         many = np.diff(np.append(start, len(key)))
         keep = np.repeat(many > 1, many)
-        middle = np.repeat(start + many // 2, many)[keep]
-        key, own, own_size = key[keep], node[keep], size[keep]
-        other, other_size = node[middle], size[middle]
-        near = (own != other) & (100 * np.minimum(own_size, other_size) >= percent * np.maximum(own_size, other_size))
-        nothing = pa.nulls(len(key), pa.int64())
-        yield _batch(key=pa.array(key), size=pa.array(own_size), set_id=pa.array(own), centre=nothing)
-        own, other = own[near], other[near]
-        yield _batch(key=pa.nulls(len(own), pa.int64()), size=pa.nulls(len(own), pa.int32()), set_id=pa.array(own), centre=pa.array(other))
+        yield _batch(key=pa.array(key[keep]), size=pa.array(size[keep]), set_id=pa.array(node[keep]))
+
+
+def centres(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for a set the centre with which it shares most lists.  The centre of a list is its set that is in most lists,
+    which for copies of a text is the one that they come from."""
+    degree = members.groupBy("set_id").agg(F.count("*").alias("degree"))
+    hubs = members.join(degree, "set_id").groupBy("key").agg(F.max(F.struct("degree", "set_id", "size")).alias("hub"))
+    met = members.join(hubs, "key").select("set_id", "size", F.col("hub.set_id").alias("b"), F.col("hub.size").alias("other"), F.col("hub.degree").alias("degree"))
+    near = 100 * F.least("size", "other").cast("long") >= percent * F.greatest("size", "other").cast("long")
+    counted = met.where((F.col("set_id") != F.col("b")) & near).groupBy("set_id", "b").agg(F.count("*").alias("n"), F.max("degree").alias("degree"))
+    return counted.groupBy("set_id").agg(F.max(F.struct("n", "degree", "b")).getField("b").alias("b")).select(F.col("set_id").alias("a"), "b")
 
 
 class SignatureTree:
@@ -352,16 +356,13 @@ def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80) -> D
 
     listed = texts.mapInArrow(lambda it: _list(it, frequent, n, percent), "key long, size int, set_id long")
     listed = listed.repartition("key").sortWithinPartitions("key", "size", "set_id")
-    listed, listed_path = stored_at(listed.mapInArrow(lambda it: _centre(it, percent), "key long, size int, set_id long, centre long"), "lists")
+    members, listed_path = stored_at(listed.mapInArrow(_several, "key long, size int, set_id long"), "lists")
 
-    members = listed.where("centre is null").select("key", "size", "set_id")
     met = members.select("set_id").distinct().join(nodes, "set_id").select("node")
     wanted = shared(spark, _filter_of(met))
     words, words_path = stored_at(texts.mapInArrow(lambda it: _texts(it, wanted, n), "set_id long, text string"), "texts")
 
-    chosen = listed.where("centre is not null").groupBy("set_id", "centre").agg(F.count("*").alias("n"))
-    chosen = chosen.groupBy("set_id").agg(F.max(F.struct("n", "centre")).getField("centre").alias("b"))
-    chosen = stored(chosen.select(F.col("set_id").alias("a"), "b"), "centres")
+    chosen = stored(centres(members, percent), "centres")
     links = stored(verified(chosen, words, percent, n), "first-links")
     found = stored(components(links), "components")
 
