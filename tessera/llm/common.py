@@ -36,13 +36,19 @@ _LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1],
 # --- scratch tables -----------------------------------------------------------
 
 
+#: Folders of our own, by application; for tests and single machines.
+_OWN: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(_remove, spark, root)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(_remove, spark, _OWN[app])
+        root = _OWN[app]
     return root.rstrip("/")
 
 
