@@ -26,12 +26,11 @@ HEADLINE = [
 
 
 def main() -> None:
+    folder = tempfile.mkdtemp(prefix="bench-")
     spark = session.session(
-        "bench", spark__master=f"local[{CPUS}]", spark__sql__shuffle__partitions=CPUS, spark__driver__memory="8g", spark__ui__enabled="false", spark__ui__showConsoleProgress="false"
+        "bench", spark__master=f"local[{CPUS}]", spark__sql__shuffle__partitions=CPUS, spark__driver__memory="8g", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__checkpoint__dir=f"{folder}/shared"
     )
     spark.sparkContext.setLogLevel("OFF")
-    folder = tempfile.mkdtemp(prefix="bench-")
-    spark.conf.set("spark.checkpoint.dir", f"{folder}/shared")
     seconds: dict[str, float] = {}
 
     def timed(name, run) -> None:
