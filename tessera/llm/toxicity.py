@@ -1,17 +1,17 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are runs of letters, A-Z lower-cased, and the first PREFIXES bytes of longer
-ones, which stand for stems.  The vocabulary holds the terms whose presence
-depends on the label, by chi-squared and by a share of documents that differs
-several times between the labels, so a cosine says something about the label
-rather than about function words, which any large sample finds to depend a little.  Every document's term counts over
-the vocabulary are taken once over its whole text; document frequencies are sums
-over all documents.
-
-The examples stand in blocks of an inverted index with, for each block and term,
-the largest weight.  A query takes blocks in the order of their upper bounds (the
-product of its weights with the block maxima) until the next bound is no better
-than its k-th neighbour, so the k nearest are exact.  Neighbours vote with the
+ones, which stand for stems.  Every term of a text counts, in its vector and in
+the vector's length: (1 + ln tf) * idf, and for terms that examples hold this is
+raised by a factor that grows with chi-squared between term and label, so a cosine
+says more about the label than about function words.  Document frequencies are
+sums over all documents.
+
+The index holds every sampled example with all its terms: the weights of the
+COMMON terms as a matrix, those of each other term as a list of examples.  A
+query is multiplied with both, so the k nearest are exact.  Terms that no example
+holds add to the length of a query alone; the frequencies of the most frequent of
+them are broadcast, the others are joined.  Neighbours vote with the
 square of their cosine, weighted back from the sampling of their class; a
 logistic curve fitted on the examples' leave-one-out votes calibrates the vote.
 """
@@ -20,16 +20,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _LOWER, chunks, distinct, hash_spans, mix, shared, spans, stored
+from tessera.llm.common import _LOWER, chunks, hash_spans, mix, shared, spans, stored
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Lengths in bytes of the beginnings of words that are terms themselves.
 PREFIXES = (5, 6, 7)
-BLOCK = 64
+#: Terms of the most examples, whose weights are held as a matrix; the others' are lists of examples.
+COMMON = 256
+#: Terms that no example holds, whose frequencies are broadcast; rarer ones are joined.
+MAX_TERMS = 1 << 21
+#: Distinct terms that a task gathers before it gives rows.
+GATHERED = 1 << 21
+#: The chi-squared from which a term's weight is raised.
+CHI2 = 10.0
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,100 +54,130 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return every[order], rows[order]
 
 
-def _sample_terms(batches, known):
-    """(term, label, documents) over the sampled documents of a batch."""
+def _counted(batch, column: int):
+    """(first row, distinct terms, where each row's entries begin, place among the terms, tf) of chunk after chunk."""
+    for low, data, offsets in chunks(batch.column(column)):
+        term, row = terms(data, offsets)
+        names, place = np.unique(term, return_inverse=True)
+        key, tf = np.unique(row * (len(names) + 1) + place, return_counts=True)
+        cut = np.searchsorted(key, np.arange(len(offsets)) * (len(names) + 1))
+        yield low, names, cut, key % (len(names) + 1), tf
+
+
+def _frequencies(batches, known):
+    """(term, n, a, b): the documents that hold a term, and the sampled ones among them of label 1 and 0."""
     known = known.value
+    held, size = [], 0
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        batch = batch.filter(pa.array([i in known for i in ids], pa.bool_()))
-        out = {0: [], 1: []}
-        for low, data, offsets in chunks(batch.column(1)):
-            term, row = terms(data, offsets)
-            cut = np.searchsorted(row, np.arange(len(offsets)))
-            for k in range(len(offsets) - 1):
-                out[known[batch.column(0)[low + k].as_py()]].append(distinct(term[cut[k] : cut[k + 1]]))
-        for label, some in out.items():
-            value, many = np.unique(np.concatenate(some) if some else np.zeros(0, dtype=np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array([label] * len(value), pa.int32()), pa.array(many, pa.int64())], ["term", "label", "n"])
-
-
-def _counts(batches, vocabulary):
-    """(doc_id, at, tf): each document's vocabulary terms and their counts."""
-    vocabulary = vocabulary.value
-    flags = np.zeros(1 << 16, dtype=bool)
-    flags[(vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
-    for batch in batches:
-        at, tf, cut, base = [], [], [np.zeros(1, dtype=np.int64)], 0
-        for _, data, offsets in chunks(batch.column(1)):
-            term, row = terms(data, offsets)
-            some = flags[(term & np.uint64(0xFFFF)).astype(np.int64)]
-            term, row = term[some], row[some]
-            place = np.minimum(np.searchsorted(vocabulary, term), max(0, len(vocabulary) - 1))
-            some = vocabulary[place] == term if len(vocabulary) else np.zeros(len(term), dtype=bool)
-            key, many = np.unique(row[some] * (len(vocabulary) + 1) + place[some], return_counts=True)
-            at.append(key % (len(vocabulary) + 1))
-            tf.append(many)
-            cut.append(base + np.searchsorted(key // (len(vocabulary) + 1), np.arange(1, len(offsets)), "left"))
-            base += len(key)
-        offsets = pa.array(np.concatenate(cut), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else [], pa.int32())) for x in (at, tf)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "at", "tf"])
-
-
-def _frequencies(batches):
-    """(term, documents that hold it) of a batch of lists of distinct terms."""
+        label = np.array([known.get(i, -1) for i in batch.column(0).to_pylist()], dtype=np.int64)
+        for low, names, cut, place, _ in _counted(batch, 1):
+            of = np.repeat(label[low : low + len(cut) - 1], np.diff(cut))
+            held.append((names, np.stack([np.bincount(x, minlength=len(names)) for x in (place, place[of == 1], place[of == 0])])))
+            size += len(names)
+            if size > GATHERED:
+                held = [_summed(held)]
+                if 2 * len(held[0][0]) > GATHERED:
+                    yield _frequency_rows(*held.pop())
+                size = sum(len(n) for n, _ in held)
+    if held:
+        yield _frequency_rows(*_summed(held))
+
+
+def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    names, place = np.unique(np.concatenate([n for n, _ in parts]), return_inverse=True)
+    counts = np.concatenate([c for _, c in parts], axis=1)
+    return names, np.stack([np.bincount(place, c, len(names)).astype(np.int64) for c in counts])
+
+
+def _frequency_rows(names, counts):
+    return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *(pa.array(c, pa.int64()) for c in counts)], ["term", "n", "a", "b"])
+
+
+def _sampled(batches, known):
+    """(doc_id, term, tf): the terms of the sampled documents and their counts."""
+    known = known.value
     for batch in batches:
-        at, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], ["at", "n"])
+        batch = batch.filter(pa.array([i in known for i in batch.column(0).to_pylist()], pa.bool_()))
+        for low, names, cut, place, tf in _counted(batch, 1):
+            lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), x) for x in (pa.array(names[place].view(np.int64)), pa.array(tf, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[low : low + len(cut) - 1], *lists], ["doc_id", "term", "tf"])
+
+
+class Rows:
+    """Sparse rows: entries cut[k] to cut[k + 1] are row k's terms and their weights."""
+
+    def __init__(self, cut: np.ndarray, at: np.ndarray, value: np.ndarray):
+        self.cut, self.at, self.value = cut, at, value
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Rows:
+        row, at = np.nonzero(dense)
+        return cls(np.searchsorted(row, np.arange(len(dense) + 1)), at, dense[row, at].astype(np.float32))
+
+    def __len__(self) -> int:
+        return len(self.cut) - 1
+
+    def take(self, rows: np.ndarray) -> Rows:
+        entry, cut = _ranges(self.cut[rows], self.cut[rows + 1])
+        return Rows(cut, self.at[entry], self.value[entry])
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after another, and where each begins."""
+    size = end - start
+    cut = np.concatenate([[0], np.cumsum(size)])
+    return np.arange(cut[-1]) + np.repeat(start - cut[:-1], size), cut
 
 
 class ExampleIndex:
-    """Labelled examples in blocks with block maxima; k nearest by cosine; calibrated votes."""
-
-    def __init__(self, ids, vectors: np.ndarray, labels: np.ndarray, weights: np.ndarray, idf: np.ndarray, empty: float, k: int):
-        order = np.lexsort((ids, labels, vectors.argmax(axis=1))) if len(ids) else np.zeros(0, dtype=int)
-        self.ids, self.labels, self.weights, self.idf, self.empty, self.k = np.asarray(ids)[order], labels[order], weights[order], idf, empty, k
-        many = -(-len(order) // BLOCK)
-        padded = np.zeros((many * BLOCK, len(idf) + 1), dtype=np.float32)
-        padded[: len(order), : len(idf)] = vectors[order]
-        self.blocks = np.ascontiguousarray(padded.reshape(many, BLOCK, len(idf) + 1).transpose(0, 2, 1))
-        self.maxima = self.blocks.max(axis=2) if many else np.zeros((0, len(idf) + 1), dtype=np.float32)
+    """Labelled examples by term; k nearest by cosine; calibrated votes."""
+
+    def __init__(self, ids, vectors: Rows | np.ndarray, labels: np.ndarray, weights: np.ndarray, idf: np.ndarray, empty: float, k: int):
+        vectors = vectors if isinstance(vectors, Rows) else Rows.of(vectors)
+        self.ids, self.labels, self.weights, self.idf, self.empty, self.k = np.asarray(ids), labels, weights, idf, empty, k
+        many = np.bincount(vectors.at, minlength=len(idf))
+        common = np.argsort(-many, kind="stable")[:COMMON]
+        self.column = np.full(len(idf), -1, dtype=np.int32)
+        self.column[common] = np.arange(len(common))
+        row = np.repeat(np.arange(len(vectors), dtype=np.int32), np.diff(vectors.cut))
+        column = self.column[vectors.at]
+        self.dense = np.zeros((len(vectors), len(common)), dtype=np.float32)
+        self.dense[row[column >= 0], column[column >= 0]] = vectors.value[column >= 0]
+        rare = np.flatnonzero(column < 0)
+        rare = rare[np.argsort(vectors.at[rare], kind="stable")]
+        self.example, self.weight = row[rare], vectors.value[rare]
+        self.begin = np.searchsorted(vectors.at[rare], np.arange(len(idf) + 1))
         self.curve = (0.0, 1.0)
-        if len(order):
-            self.curve = self._calibrate(vectors[order])
+        if len(labels):
+            self.curve = self._calibrate(vectors)
 
-    def nearest(self, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, vectors: Rows | np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest of each row; cosine 0 stands for no neighbour."""
+        vectors = vectors if isinstance(vectors, Rows) else Rows.of(vectors)
         where, cosine = np.zeros((len(vectors), k), dtype=np.int64), np.zeros((len(vectors), k), dtype=np.float32)
-        if not len(self.maxima):
+        examples = len(self.dense)
+        if not examples:
             return where, cosine
-        by_terms = np.argsort((vectors > 0).sum(axis=1), kind="stable")  # queries of about as many terms go together
-        for low in range(0, len(vectors), 256):
-            rows = by_terms[low : low + 256]
-            q = vectors[rows]
-            bound = q @ self.maxima[:, :-1].T
-            order = np.argsort(-bound, axis=1, kind="stable")
-            width = max(1, int((q[-1] > 0).sum()))
-            term = np.argsort(q <= 0, axis=1, kind="stable")[:, :width]
-            value = np.take_along_axis(q, term, axis=1)
-            live = np.arange(len(q))
-            best, found = np.zeros((len(q), k), dtype=np.float32), np.zeros((len(q), k), dtype=np.int64)
-            for r in range(order.shape[1]):
-                b = order[live, r]
-                go = bound[live, b] > best[live, -1]
-                live, b = live[go], b[go]
-                if not len(live):
-                    break
-                s = np.matmul(value[live][:, None, :], self.blocks[b[:, None], term[live]])[:, 0, :]
-                better = np.flatnonzero(s.max(axis=1) > best[live, -1])
-                if not len(better):
-                    continue
-                s, b, at = s[better], b[better], live[better]
-                both = np.concatenate([best[at], s], axis=1)
-                names = np.concatenate([found[at], b[:, None] * BLOCK + np.arange(BLOCK)], axis=1)
-                top = np.argsort(-both, axis=1, kind="stable")[:, :k]
-                best[at], found[at] = np.take_along_axis(both, top, axis=1), np.take_along_axis(names, top, axis=1)
-            where[rows], cosine[rows] = found, best
+        for low in range(0, len(vectors), 128):
+            cut = vectors.cut[low : low + 129]
+            at, value = vectors.at[cut[0] : cut[-1]], vectors.value[cut[0] : cut[-1]]
+            row, column = np.repeat(np.arange(len(cut) - 1), np.diff(cut)), self.column[at]
+            q = np.zeros((len(cut) - 1, self.dense.shape[1]), dtype=np.float32)
+            q[row[column >= 0], column[column >= 0]] = value[column >= 0]
+            every = q @ self.dense.T
+            for r in range(len(cut) - 1):
+                part = slice(cut[r] - cut[0], cut[r + 1] - cut[0])
+                some = column[part] < 0
+                term, by = at[part][some], value[part][some]
+                posting, _ = _ranges(self.begin[term], self.begin[term + 1])
+                if len(posting):
+                    by = np.repeat(by, self.begin[term + 1] - self.begin[term])
+                    every[r] += np.bincount(self.example[posting], self.weight[posting] * by, examples)
+            top = np.argpartition(-every, min(k, examples) - 1, axis=1)[:, :k]
+            found = np.take_along_axis(every, top, axis=1)
+            order = np.lexsort((top, -found), axis=1)
+            where[low : low + 128, : top.shape[1]] = np.take_along_axis(top, order, axis=1)
+            cosine[low : low + 128, : top.shape[1]] = np.take_along_axis(found, order, axis=1)
         return where, cosine
 
     def votes(self, where: np.ndarray, cosine: np.ndarray) -> np.ndarray:
@@ -153,7 +191,7 @@ class ExampleIndex:
         zero = (weight * (1 - self.labels[where])).sum(axis=1) + prior * (1 - share)
         return np.log(one / zero)
 
-    def _calibrate(self, vectors: np.ndarray) -> tuple[float, float]:
+    def _calibrate(self, vectors: Rows) -> tuple[float, float]:
         where, cosine = self.nearest(vectors, self.k + 1)
         own = where == np.arange(len(vectors))[:, None]
         drop = np.where(own.any(axis=1), own.argmax(axis=1), self.k)
@@ -167,7 +205,7 @@ class ExampleIndex:
             beta = beta + np.linalg.solve((design.T * (w * p * (1 - p))) @ design + np.eye(2), np.clip(step, -1e6, 1e6))
         return (float(beta[0]), float(beta[1])) if np.isfinite(beta).all() and beta[1] > 0 else (0.0, 1.0)
 
-    def score(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, vectors: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score, neighbours, cosines) of unit or zero vectors."""
         where, cosine = self.nearest(vectors, self.k)
         a, b = self.curve
@@ -175,13 +213,35 @@ class ExampleIndex:
         return np.where(cosine[:, 0] > 0, score, self.empty), where, cosine
 
 
-def unit(at: list, tf: list, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF vectors of length 1, or 0 without a term: (1 + ln tf) * idf."""
-    out = np.zeros((len(at), len(idf)), dtype=np.float32)
-    for k, (a, f) in enumerate(zip(at, tf, strict=True)):
-        out[k, a] = (1 + np.log(f)) * idf[a]
-    norm = np.sqrt(np.square(out).sum(axis=1, keepdims=True))
-    return out / np.where(norm > 0, norm, 1)
+def unit(cut: np.ndarray, at: np.ndarray, tf: np.ndarray, idf: np.ndarray, more: np.ndarray | float = 0.0) -> Rows:
+    """TF-IDF rows of length 1, or without an entry: (1 + ln tf) * idf; more is the squared length of terms that no example holds."""
+    value = (1 + np.log(tf)) * idf[at]
+    row = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    norm = np.sqrt(np.bincount(row, np.square(value), len(cut) - 1) + more)
+    return Rows(cut, at, (value / norm[row]).astype(np.float32))
+
+
+def _weigh(batches, table):
+    """(row, doc_id, at, tf, more, rest, rest_tf): the counts of terms that examples hold, the squared length of the
+    others as far as their frequency is known here, and the terms (with counts) whose frequency is to be joined."""
+    names, at_of, square, once, joined = table.value
+    number = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        for low, term, cut, place, tf in _counted(batch, 1):
+            rows = len(cut) - 1
+            where = np.minimum(np.searchsorted(names, term), max(0, len(names) - 1))
+            found = names[where] == term if len(names) else np.zeros(len(term), dtype=bool)
+            at = np.where(found, at_of[where], -1)[place] if len(names) else np.full(len(place), -1)
+            more = np.where(found, square[where], once)[place] if len(names) else np.full(len(place), once)
+            row = np.repeat(np.arange(rows), np.diff(cut))
+            inside, rest = at >= 0, ~found[place] if joined else np.zeros(len(place), dtype=bool)
+            outside = ~inside & ~rest
+            squares = np.bincount(row[outside], np.square(1 + np.log(tf[outside])) * more[outside], rows)
+            lists = []
+            for mask, values, kind in ((inside, at, pa.int32()), (inside, tf, pa.int32()), (rest, term.view(np.int64)[place], pa.int64()), (rest, tf, pa.int32())):
+                lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row[mask], np.arange(rows + 1)), pa.int32()), pa.array(values[mask], kind)))
+            yield pa.RecordBatch.from_arrays([pa.array(number + np.arange(rows)), batch.column(0)[low : low + rows], lists[0], lists[1], pa.array(squares, pa.float64()), lists[2], lists[3]], ["row", "doc_id", "at", "tf", "more", "rest", "rest_tf"])
+            number += rows
 
 
 def _score(batches, index, threshold):
@@ -189,18 +249,16 @@ def _score(batches, index, threshold):
     for batch in batches:
         cut = batch.column(2).offsets.to_numpy()
         at, tf = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+        more = batch.column(4).to_numpy()
         cut = cut - cut[0]
-        keys = [at[a:b].tobytes() + tf[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+        keys = [at[a:b].tobytes() + tf[a:b].tobytes() + m.tobytes() for a, b, m in zip(cut, cut[1:], more, strict=False)]
         place = {key: n for n, key in enumerate(dict.fromkeys(keys))}
         first = {key: k for k, key in reversed(list(enumerate(keys)))}
-        rows = [first[key] for key in place]
-        score, near, weight = np.zeros(len(rows)), [], []
-        for low in range(0, len(rows), 2048):
-            some = rows[low : low + 2048]
-            s, where, cosine = index.score(unit([at[cut[r] : cut[r + 1]] for r in some], [tf[cut[r] : cut[r + 1]] for r in some], index.idf))
-            score[low : low + 2048] = s
-            near += [index.ids[w[c > 0]].tolist() for w, c in zip(where[:, :5], cosine[:, :5], strict=True)]
-            weight += [c[c > 0].astype(float).tolist() for c in cosine[:, :5]]
+        rows = np.array([first[key] for key in place], dtype=np.int64)
+        entry, to = _ranges(cut[rows], cut[rows + 1])
+        score, where, cosine = index.score(unit(to, at[entry], tf[entry], index.idf, more[rows]))
+        near = [index.ids[w[c > 0]].tolist() for w, c in zip(where[:, :5], cosine[:, :5], strict=True)]
+        weight = [c[c > 0].astype(float).tolist() for c in cosine[:, :5]]
         back = [place[key] for key in keys]
         score = score[back] if len(back) else score
         yield pa.RecordBatch.from_arrays(
@@ -209,15 +267,16 @@ def _score(batches, index, threshold):
         )
 
 
-def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label: str = "toxic", threshold: float = 0.7, examples: int = 8000, vocabulary: int = 512, least_chi2: float = 30.0, least_ratio: float = 4.0, k: int = 15) -> DataFrame:
+def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label: str = "toxic", threshold: float = 0.7, examples: int = 8000, k: int = 15) -> DataFrame:
     """Per row of documents: doc_id, held_out, score (0 to 1), predicted (score >= threshold), and as evidence the
     doc_ids and cosines of the five nearest examples.
 
     held_out is a boolean Column over doc_id; labels of such rows are not
     learned.  About `examples` labelled rows of each class, drawn by the hash of
-    doc_id, are learned and indexed; that bounds every broadcast.  A document
-    labelled more than once has its largest label.  Texts without a vocabulary
-    term, null and empty ones too, get the share of label 1 among such examples.
+    doc_id, are learned and indexed with all their terms.  A document
+    labelled more than once has its largest label.  Texts that share no term with
+    an example, null and empty ones too, get the share of label 1 among examples
+    without a term, drawn towards its share among all.
     Repeated rows and null ids are kept, other columns ignored; an empty table
     gives no rows; without labels every score is 0.
     """
@@ -232,32 +291,52 @@ def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label:
     sample = dict(zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist(), strict=True))
     ids = shared(spark, sample)
 
-    seen = texts.mapInArrow(lambda it: _sample_terms(it, ids), "term long, label int, n long").groupBy("term")
-    seen = seen.agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b")).where("a + b >= 3")
-    one, zero = float(sum(sample.values())), float(len(sample) - sum(sample.values()))
-    cross = F.col("a") * F.lit(zero) - F.col("b") * F.lit(one)
-    total = F.col("a") + F.col("b")
-    chi2 = F.lit(one + zero) * cross * cross / F.greatest(F.lit(1e-9), F.lit(one * zero) * total * (F.lit(one + zero) - total))
-    ratio = (F.col("a") + 0.5) / F.lit(one + 1) / ((F.col("b") + 0.5) / F.lit(zero + 1))
-    seen = seen.withColumn("chi2", chi2).where((ratio >= least_ratio) | (ratio <= 1 / least_ratio))
-    chosen = seen.where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(vocabulary).select("term").toArrow()
-    words = np.sort(chosen.column(0).to_numpy().astype(np.int64).view(np.uint64))
-    broadcast_words = shared(spark, words)
-
-    counted = stored(texts.mapInArrow(lambda it: _counts(it, broadcast_words), "doc_id long, at array<int>, tf array<int>"), "terms")
-    held = counted.select("at").mapInArrow(_frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    frequency = np.zeros(len(words))
-    for row in held:
-        frequency[row["at"]] = row["n"]
-    idf = np.log((1 + counted.count()) / (1 + frequency)) + 1
-
-    sampled = spark.createDataFrame(drawn.to_pandas(), "doc_id long, label int") if len(sample) else known.where("false")
-    rows = counted.join(sampled, "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow().to_pydict()
-    own = np.array([sample[i] for i in rows["doc_id"]], dtype=np.int64)
+    seen = texts.mapInArrow(lambda it: _frequencies(it, ids), "term long, n long, a long, b long").groupBy("term")
+    seen = stored(seen.agg(*(F.sum(c).alias(c) for c in ("n", "a", "b"))), "frequencies")
+    # terms of examples, and of the others the most frequent, are broadcast; a term that is left out and alone in its document needs no table
+    other = seen.where("a + b = 0 and n > 1").select("term", "n")
+    joined = other.count() > MAX_TERMS
+    other = other.orderBy(F.desc("n"), "term").limit(MAX_TERMS).toArrow()
+    inside = seen.where("a + b > 0").toArrow()
+    total, one, zero = texts.count(), float(sum(sample.values())), float(len(sample) - sum(sample.values()))
+    a, b = (inside.column(c).to_numpy().astype(float) for c in ("a", "b"))
+    idf = (np.log((1 + total) / (1 + inside.column("n").to_numpy())) + 1) * stress(a, b, one, zero)
+    names = np.concatenate([t.column("term").to_numpy() for t in (inside, other)]).astype(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    at_of = np.concatenate([np.arange(len(idf)), np.full(len(other), -1)]).astype(np.int32)
+    square = np.concatenate([np.zeros(len(idf)), np.square(np.log((1 + total) / (1 + other.column("n").to_numpy())) + 1)])
+    once = float(np.square(np.log((1 + total) / 2) + 1))
+    table = shared(spark, (names[order], at_of[order], square[order].astype(np.float32), once, joined))
+
+    place = np.argsort(names[: len(idf)])
+    rows = texts.mapInArrow(lambda it: _sampled(it, ids), "doc_id long, term array<long>, tf array<int>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    own = np.array([sample[i] for i in rows.column(0).to_pylist()], dtype=np.int64)
     weight = np.array([1 / share[y] for y in own.tolist()], dtype=float)
-    vectors = unit([np.array(a, dtype=int) for a in rows["at"]], [np.array(f) for f in rows["tf"]], idf)
-    some = vectors.any(axis=1)
-    empty = float((weight * own)[~some].sum() / (weight[~some].sum() + 1.0))
-    index = shared(spark, ExampleIndex(np.array(rows["doc_id"], dtype=np.int64)[some], vectors[some], own[some], weight[some], idf, empty, k))
-    result = counted.withColumn("held_out", held_out).select("doc_id", "held_out", "at", "tf")
+    terms_of, tf = (rows.column(c).combine_chunks() for c in (1, 2))
+    held = terms_of.flatten().to_numpy().view(np.uint64)
+    at = place[np.searchsorted(names[: len(idf)], held, sorter=place)].astype(np.int64) if len(held) else np.zeros(0, dtype=np.int64)
+    cut = np.concatenate([[0], np.cumsum(np.diff(terms_of.offsets.to_numpy()))]).astype(np.int64) if len(rows) else np.zeros(1, dtype=np.int64)
+    vectors = unit(cut, at, tf.flatten().to_numpy(), idf)
+    some = np.diff(cut) > 0
+    base = float((weight * own).sum() / max(1e-9, weight.sum()))
+    empty = float(((weight * own)[~some].sum() + base) / (weight[~some].sum() + 1.0))
+    index = shared(spark, ExampleIndex(np.array(rows.column(0).to_pylist(), dtype=np.int64), vectors, own, weight, idf, empty, k))
+
+    counted = texts.mapInArrow(lambda it: _weigh(it, table), "row long, doc_id long, at array<int>, tf array<int>, more double, rest array<long>, rest_tf array<int>")
+    if joined:
+        counted = stored(counted, "terms")
+        rest = counted.select("row", F.explode(F.arrays_zip("rest", "rest_tf")).alias("x")).select("row", F.col("x.rest").alias("term"), F.col("x.rest_tf").alias("f"))
+        rest = rest.join(seen.where("a + b = 0").select("term", "n"), "term")
+        length = F.pow((1 + F.log("f")) * (F.log(F.lit(1.0 + total) / (1 + F.col("n"))) + 1), 2)
+        rest = rest.groupBy("row").agg(F.sum(length).alias("length"))
+        counted = counted.join(rest, "row", "left").withColumn("more", F.col("more") + F.coalesce("length", F.lit(0.0)))
+    result = counted.withColumn("held_out", held_out).select("doc_id", "held_out", "at", "tf", "more")
     return result.mapInArrow(lambda it: _score(it, index, threshold), "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, cosines array<double>")
+
+
+def stress(a: np.ndarray, b: np.ndarray, one: float, zero: float) -> np.ndarray:
+    """At least 1: how much a term in a and b examples of the classes weighs for its dependence on the label, by chi-squared."""
+    a, b = np.minimum(a, one), np.minimum(b, zero)  # rows of an id that is repeated count once
+    total = a + b
+    chi2 = (one + zero) * np.square(a * zero - b * one) / np.maximum(1e-9, one * zero * total * (one + zero - total))
+    return np.sqrt(1 + chi2 / CHI2)

@@ -1,5 +1,7 @@
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +133,39 @@ def test_block_maxima_give_the_nearest():
     assert cosine == pytest.approx(want, abs=1e-5)
 
 
+def test_every_term_counts_in_toxicity(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(k, prose(rng, 30)) for k in range(120)]
+    rows[1] = (1, rows[1][1] + " varlet")  # a word of one example alone
+    rows[119] = (119, "Varlet " + " ".join(f"{a}{b}" for a in "wxyz" for b in "ghjk"))
+    truth = {k: int(k % 10 == 1) for k in range(110)}
+    df, held = documents(spark, rows), F.col("doc_id") >= 110
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+
+    def terms(text):
+        w = re.findall("[a-z]+", text.lower())
+        return Counter([*w, *((n, x[:n]) for x in w for n in toxicity.PREFIXES if len(x) > n)])
+
+    of = {k: terms(t) for k, t in rows}
+    n = Counter(t for c in of.values() for t in c)
+    one = sum(truth.values())
+
+    def weight(t, f):
+        a, b = (sum(t in of[k] for k, y in truth.items() if y == label) for label in (1, 0))
+        chi2 = len(truth) * (a * (len(truth) - one) - b * one) ** 2 / max(1e-9, one * (len(truth) - one) * (a + b) * (len(truth) - a - b))
+        return (1 + math.log(f)) * (math.log((1 + len(rows)) / (1 + n[t])) + 1) * math.sqrt(1 + chi2 / toxicity.CHI2)
+
+    vector = {k: {t: weight(t, f) for t, f in c.items()} for k, c in of.items()}
+    cosine = lambda x, y: sum(v * y.get(t, 0) for t, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    for most in (1 << 21, 1):  # all other terms broadcast; nearly all joined
+        monkeypatch.setattr(toxicity, "MAX_TERMS", most)
+        found = {r["doc_id"]: r for r in toxicity.scored(df, labels, held).collect()}
+        assert found[119]["neighbours"][0] == 1
+        for k in (0, 1, 115, 119):
+            want = sorted((cosine(vector[k], vector[e]) for e in truth), reverse=True)
+            assert found[k]["cosines"] == pytest.approx([w for w in want[:5] if w > 0], abs=1e-5)
+
+
 def test_unigram_of_context_mixing(spark, monkeypatch):
     rows = [r for r in corpus(3) if r[0] is not None]
     df = documents(spark, rows)
