@@ -191,6 +191,28 @@ def test_unigram_of_context_mixing(spark, monkeypatch):
     assert context_mixing.scored(df, F.lit(True)).count() == df.count()
 
 
+def test_every_context_has_its_own_counts(spark, monkeypatch):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    train = ["".join(rng.choices(letters, k=3000)) for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(train * 2)], ["text"])
+    parts = [b.select(["key", "n"]) for b in context_mixing._gather(iter([batch])) if b.column(0)[0].as_py() == 1]
+    mixer = context_mixing.mixer_of(spark.createDataFrame(pa.Table.from_batches(parts).to_pandas(), "key long, n long"))
+    grams = {t[k : k + 5] for t in train for k in range(len(t) - 4)}
+    text = "".join(rng.choices(letters, k=2000)) + train[0][:500]
+    context = context_mixing.symbols(*text_bytes(pa.array([text])))[1][2]
+    assert mixer.seen[context][5:].tolist() == [text[k - 5 : k] in grams for k in range(5, len(text) + 1)]
+    # contexts that are not broadcast count alike
+    df = documents(spark, [r for r in corpus(3) if r[0] is not None])
+    score = lambda: sorted(map(tuple, context_mixing.scored(df, F.col("doc_id") % 5 == 1).select("doc_id", "n_tokens", "base_score", "score").collect()))
+    want = score()
+    monkeypatch.setattr(context_mixing, "MAX_CONTEXTS", 50)
+    monkeypatch.setattr(context_mixing, "GROUP", 4000)
+    found = score()
+    assert [r[:2] for r in found] == [r[:2] for r in want]
+    assert [x for r in found for x in r[2:]] == pytest.approx([x for r in want for x in r[2:]], rel=1e-5)
+
+
 def one_by_one(mixer, text):
     """The mix bit by bit in plain Python, for a text of one lane."""
     from tessera.llm.context_mixing import CELLS, GATES, RATE, REFINE, STEPS, SYMBOLS, symbols
