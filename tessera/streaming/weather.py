@@ -43,13 +43,15 @@ class LiveReport:
         return str(PurePosixPath(self.folder, *parts)) if "://" not in self.folder else "/".join([self.folder, *parts])
 
     def _keep(self, batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        batch, began = batch.persist(), time.perf_counter()
         try:
             for kind, part in zip(KINDS, weather.partials(batch), strict=True):
                 part.write.mode("overwrite").parquet(self._path(kind, f"batch_id={number}"))
             hot, cold = weather.hottest(batch), weather.coldest(batch)
             both = hot.withColumn("hot", F.lit(True)).unionByName(cold.withColumn("hot", F.lit(False)))
             both.coalesce(1).write.mode("overwrite").parquet(self._path("ends", f"batch_id={number}"))
+            took = self.spark.range(1).select(F.lit(time.perf_counter() - began).alias("seconds"))
+            took.coalesce(1).write.mode("overwrite").parquet(self._path("took", f"batch_id={number}"))
         finally:
             batch.unpersist()
 
@@ -60,16 +62,24 @@ class LiveReport:
         return self.query
 
     def drain(self) -> dict:
-        """Waits for the stream to take all there is, and sums up its progress."""
+        """Waits for the stream to take all there is, and sums up the kept batches."""
         assert self.query is not None, "nothing was ingested"
         if self.query.isActive:
             self.query.processAllAvailable()
         return self.summary()
 
     def summary(self) -> dict:
-        progress = list(self.query.recentProgress) if self.query else []
-        rows, seconds = sum(p["numInputRows"] for p in progress), sum(p["batchDuration"] for p in progress) / 1000
-        return {"records": rows, "batches": sum(p["numInputRows"] > 0 for p in progress), "elapsed_s": seconds, "records_per_second": rows / seconds if seconds else 0.0, "active": bool(self.query and self.query.isActive)}
+        """Records and batches kept so far, and the seconds spent on keeping them; the query's own progress is cut to its last updates."""
+        rows = batches = seconds = 0
+        try:
+            by_batch = self._read("global").groupBy("batch_id").agg(F.sum("n").alias("n"))
+            rows, batches = by_batch.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
+            seconds = self._read("took").agg(F.sum("seconds")).first()[0]
+        except Exception as e:  # no batch has been kept yet
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+        rows, seconds = rows or 0, float(seconds or 0)
+        return {"records": rows, "batches": batches, "elapsed_s": seconds, "records_per_second": rows / seconds if seconds else 0.0, "active": bool(self.query and self.query.isActive)}
 
     def _read(self, kind: str) -> DataFrame:
         return self.spark.read.parquet(self._path(kind))

@@ -123,6 +123,20 @@ def test_live_report_equals_batch(spark, tmp_path, files):
     assert live.snapshot()[0].first()["n"] == 2010
 
 
+def test_summary_counts_batches_beyond_recent_progress(spark, tmp_path):
+    frame(spark, list(source.generated(60, 5, 3)), 4).write.parquet(str(tmp_path / "in"))
+    live = LiveReport(spark, str(tmp_path / "live"), 7)
+    assert live.summary()["records"] == 0
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 1)
+    try:
+        live.ingest(replay(spark, str(tmp_path / "in"), WEATHER, 1)).awaitTermination()
+        found = live.summary()
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert (found["records"], found["batches"]) == (60, 4)
+    assert found["elapsed_s"] > 0
+
+
 def test_synthetic_grid(spark):
     low, high = source.synthetic(spark, 5000, 20).agg(F.min("temperature"), F.max("temperature")).first()
     assert -30 <= low < high <= 50
