@@ -222,5 +222,11 @@ def shared(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
 
+def released(*values) -> None:
+    """Frees broadcast values that no later action needs, on executors and driver."""
+    for value in values:
+        value.destroy()
+
+
 def table(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"

@@ -7,29 +7,32 @@ shingle.  Shingles known to be frequent come last in that order, which keeps
 passages that many documents share out of the prefixes; which shingles count as
 frequent changes the cost alone, never the result.
 
-Inside a list the nodes form a signature tree: a tree node holds the OR of its
-members' token bitmaps, the range of their sizes and the range of their
-components.  A dual traversal descends from the pair (root, root) and drops a
-pair of tree nodes when no two members can be similar: sizes too far apart, the
-largest possible overlap (bits in common, plus the most tokens that share a bit
-with another) below what the smallest sizes need, or all in one component
-already.  What is left is verified on whole sets.
-
-Two rounds keep large groups of copies linear: the first verifies each node
-against one centre only, that of most of its lists, and joins what it links; the second asks the
-trees for pairs across components.  Components are found by the large-star and
-small-star method over tables in the shared folder; no link or component
-reaches the driver.
+Two rounds keep large groups of copies linear.  Each list has a hub, its node in
+most lists.  The first round verifies each node against one hub only, that of
+most of its lists, and joins what it links.  The second takes the lists that
+still hold several components; those of one hub are put together, so two nodes
+that meet in many of them meet once.  Such a group is cut into blocks by its
+size, each pair of blocks is a task's work, and a block's nodes form signature
+trees, one for each width of bitmap: a tree node holds the OR of its members'
+token bitmaps, the range of their sizes and the range of their components.  A
+dual traversal drops a pair of tree nodes when no two members can be similar:
+sizes too far apart, the largest possible overlap (bits in common, plus the most
+tokens that share a bit with another) below what the smallest sizes need, or all
+in one component already.  What is left is verified on whole sets.
+
+Components are found by the large-star and small-star method over tables in the
+shared folder; no link or component reaches the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_scratch, mix, shared, shingle_sets, stored, stored_at
+from tessera.llm.common import drop_scratch, mix, released, shared, shingle_sets, stored, stored_at
 
 #: Most frequent shingles put last in the order; a hint, broadcast at 8 bytes each.
 MAX_FREQUENT = 1 << 20
@@ -37,7 +40,13 @@ MAX_FREQUENT = 1 << 20
 REPORT_AT, FREQUENT_AT = 4, 24
 #: Members of a leaf, and children of an inner node, of a signature tree.
 FAN = 8
-#: Bits of the filter of document ids whose sets are wanted.
+#: Bits of a signature for each token, at least; the number of bits is a power of two.
+TOKEN_BITS = 8
+#: Nodes, and tokens of their sets, of a block of a group.
+BLOCK_NODES, BLOCK_TOKENS = 4096, 1 << 22
+#: Bytes of signatures compared at once.
+AT_ONCE = 8 << 20
+#: Bits of the filter of rows whose texts are wanted.
 FILTER_BITS = 1 << 26
 
 
@@ -58,17 +67,18 @@ def _digest(sums: np.ndarray) -> np.uint64:
 
 
 def _describe(batches, n):
-    """A row (doc_id, size, h=set id) for each document; a row (null, occurrences, h=shingle) for each frequent one."""
+    """A row (row, doc_id, size, h=set id) for each document; a row (null, null, occurrences, h=shingle) for each frequent one."""
     for batch in batches:
-        ids, sizes, digests, every = batch.column(0), [], [], []
-        for _, sets in shingle_sets(batch.column(1), n):
+        sizes, digests, every = [], [], []
+        for _, sets in shingle_sets(batch.column(2), n):
             sizes += [len(x) for x in sets]
             digests += [_digest(x) for x in sets]
             every += sets
-        yield _batch(doc_id=ids, size=pa.array(sizes, pa.int64()), h=_long(np.array(digests, dtype=np.uint64)), listed=pa.array([False] * len(ids), pa.bool_()))
+        yield _batch(row=batch.column(0), doc_id=batch.column(1), size=pa.array(sizes, pa.int64()), h=_long(np.array(digests, dtype=np.uint64)), listed=pa.array([False] * len(sizes), pa.bool_()))
         value, count = np.unique(np.concatenate(every) if every else np.zeros(0, dtype=np.uint64), return_counts=True)
         value, count = value[count >= REPORT_AT], count[count >= REPORT_AT]
-        yield _batch(doc_id=pa.nulls(len(value), pa.int64()), size=pa.array(count, pa.int64()), h=_long(value), listed=pa.array([True] * len(value), pa.bool_()))
+        none = pa.nulls(len(value), pa.int64())
+        yield _batch(row=none, doc_id=none, size=pa.array(count, pa.int64()), h=_long(value), listed=pa.array([True] * len(value), pa.bool_()))
 
 
 def _list(batches, frequent, n, percent):
@@ -77,7 +87,7 @@ def _list(batches, frequent, n, percent):
     flags = np.zeros(1 << 22, dtype=bool)
     flags[(frequent & np.uint64(len(flags) - 1)).astype(np.int64)] = True
     for batch in batches:
-        for _, sets in shingle_sets(batch.column(1), n):
+        for _, sets in shingle_sets(batch.column(0), n):
             keys, owners = [], []
             sets = [x for x in sets if len(x)]
             for x in sets:
@@ -109,7 +119,7 @@ def _pass(ids: pa.Array, wanted: np.ndarray) -> pa.Array:
 
 
 def _texts(batches, wanted, n):
-    """(set_id, text) of the documents (doc_id, text) that pass the filter."""
+    """(set_id, text) of the rows (row, text) that pass the filter."""
     wanted = np.frombuffer(wanted.value, dtype=np.uint8)
     for batch in batches:
         batch = batch.filter(_pass(batch.column(0), wanted))
@@ -120,13 +130,15 @@ def _texts(batches, wanted, n):
 def narrowed(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """rows whose first column, a long, may be among ids: nearly all others are dropped where they are read."""
     wanted = shared(rows.sparkSession, _filter_of(ids))
+    return rows.mapInArrow(lambda it: _taken(it, wanted, 0, True), rows.schema)
 
-    def take(batches):
-        bits = np.frombuffer(wanted.value, dtype=np.uint8)
-        for batch in batches:
-            yield batch.filter(_pass(batch.column(0), bits))
 
-    return rows.mapInArrow(take, rows.schema)
+def _taken(batches, wanted, at: int, inside: bool):
+    """The rows whose column `at` passes the filter, or those where it does not."""
+    bits = np.frombuffer(wanted.value, dtype=np.uint8)
+    for batch in batches:
+        passes = _pass(batch.column(at), bits)
+        yield batch.filter(passes if inside else pc.invert(passes))
 
 
 def _filter_of(ids: DataFrame) -> bytes:
@@ -188,25 +200,27 @@ def _several(batches):
         yield _batch(key=pa.array(key[keep]), size=pa.array(size[keep]), set_id=pa.array(node[keep]))
 
 
-def centres(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for a set the centre with which it shares most lists.  The centre of a list is its set that is in most lists,
-    which for copies of a text is the one that they come from."""
+def hubs_of(members: DataFrame) -> DataFrame:
+    """(key, hub, other, degree): the node of each list that is in most lists, its size and how many; for copies of a text it
+    is the one that they come from."""
     degree = members.groupBy("set_id").agg(F.count("*").alias("degree"))
     hubs = members.join(degree, "set_id").groupBy("key").agg(F.max(F.struct("degree", "set_id", "size")).alias("hub"))
-    met = members.join(hubs, "key").select("set_id", "size", F.col("hub.set_id").alias("b"), F.col("hub.size").alias("other"), F.col("hub.degree").alias("degree"))
+    return hubs.select("key", F.col("hub.set_id").alias("hub"), F.col("hub.size").alias("other"), F.col("hub.degree").alias("degree"))
+
+
+def centres(named: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for a node of named(set_id, size, hub, other, degree) the hub of which it shares most lists."""
     near = 100 * F.least("size", "other").cast("long") >= percent * F.greatest("size", "other").cast("long")
-    counted = met.where((F.col("set_id") != F.col("b")) & near).groupBy("set_id", "b").agg(F.count("*").alias("n"), F.max("degree").alias("degree"))
-    return counted.groupBy("set_id").agg(F.max(F.struct("n", "degree", "b")).getField("b").alias("b")).select(F.col("set_id").alias("a"), "b")
+    counted = named.where((F.col("set_id") != F.col("hub")) & near).groupBy("set_id", "hub").agg(F.count("*").alias("n"), F.max("degree").alias("degree"))
+    return counted.groupBy("set_id").agg(F.max(F.struct("n", "degree", "hub")).getField("hub").alias("b")).select(F.col("set_id").alias("a"), "b")
 
 
 class SignatureTree:
-    """Of one list: nodes by level with bitmaps, size ranges, spare tokens and component ranges."""
+    """Of nodes in order of size: bitmaps of one width, size ranges, spare tokens and component ranges, by level."""
 
-    def __init__(self, sizes: np.ndarray, bitmaps: list[bytes], components: np.ndarray):
-        width = max(8, min(len(b) for b in bitmaps))
-        leaves = np.stack([_fold(b, width) for b in bitmaps])
-        set_bits = np.bitwise_count(leaves).sum(axis=1).astype(np.int64)
-        self.levels = [(leaves, sizes, sizes, sizes - set_bits, components, components)]
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, components: np.ndarray):
+        spare = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+        self.levels = [(bits, sizes, sizes, spare, components, components)]
         while len(self.levels[-1][0]) > 1:
             bits, low, high, spare, first, last = self.levels[-1]
             at = np.arange(0, len(bits), FAN)
@@ -214,67 +228,122 @@ class SignatureTree:
                 (np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(spare, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at))
             )
 
-    def pairs(self, percent: int) -> np.ndarray:
-        """Pairs of members in different components whose largest possible overlap is enough."""
+    @property
+    def width(self) -> int:
+        return self.levels[0][0].shape[1]
+
+    def halved(self) -> SignatureTree:
+        """The tree of the same nodes with bitmaps of half the width."""
+        bits, sizes, _, _, components, _ = self.levels[0]
+        return SignatureTree(sizes, bits[:, : self.width // 2] | bits[:, self.width // 2 :], components)
+
+    def pairs(self, other: SignatureTree, percent: int) -> np.ndarray:
+        """Pairs (member, member of other) in different components whose largest possible overlap is enough; each once if other is this tree."""
+        deep = [len(self.levels) - 1, len(other.levels) - 1]
         at = np.zeros((1, 2), dtype=np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
-            out = []
-            for part in np.array_split(at, max(1, len(at) // 4096)):
-                out.append(part[self._possible(self.levels[depth], part[:, 0], part[:, 1], percent)])
-            at = np.concatenate(out)
-            if depth == 0 or not len(at):
+        while True:
+            x, y = self.levels[deep[0]], other.levels[deep[1]]
+            run = max(64, AT_ONCE // self.width)
+            at = np.concatenate([at[k : k + run][_possible(x, y, *at[k : k + run].T, percent)] for k in range(0, len(at), run)])
+            if not len(at) or not any(deep):
                 break
-            many = len(self.levels[depth - 1][0])
-            grid = np.stack(np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"), axis=-1).reshape(-1, 2)
-            at = (at[:, None, :] * FAN + grid[None]).reshape(-1, 2)
-            at = at[(at[:, 0] <= at[:, 1]) & (at[:, 1] < many)]
-        return at[at[:, 0] != at[:, 1]]
-
-    @staticmethod
-    def _possible(level, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-        bits, low, high, spare, first, last = level
-        ok = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
-        ok &= (first[a] != last[a]) | (first[b] != last[b]) | (first[a] != first[b])
-        a, b = a[ok], b[ok]
-        common = np.bitwise_count(bits[a] & bits[b]).sum(axis=1).astype(np.int64) + np.minimum(spare[a], spare[b])
-        # Jaccard p % of sets of x and y tokens: overlap >= p / (100 + p) * (x + y)
-        ok[ok] = (100 + percent) * common >= percent * (low[a] + low[b])
-        return ok
+            more = [d > 0 and d == max(deep) for d in deep]
+            fan = [np.arange(FAN if m else 1) for m in more]
+            grid = np.stack(np.meshgrid(*fan, indexing="ij"), axis=-1).reshape(-1, 2)
+            at = (at[:, None, :] * [FAN if m else 1 for m in more] + grid[None]).reshape(-1, 2)
+            deep = [d - m for d, m in zip(deep, more, strict=True)]
+            at = at[(at[:, 0] < len(self.levels[deep[0]][0])) & (at[:, 1] < len(other.levels[deep[1]][0]))]
+            if other is self:
+                at = at[at[:, 0] <= at[:, 1]]
+            if not len(at):
+                break
+        return at[at[:, 0] != at[:, 1]] if other is self else at
 
 
-def _fold(bits: bytes, width: int) -> np.ndarray:
-    return np.bitwise_or.reduce(np.frombuffer(bits, dtype=np.uint8).reshape(-1, width), axis=0)
+def _possible(x: tuple, y: tuple, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether nodes a of level x and b of level y may have similar members in different components."""
+    (bits_a, low_a, high_a, spare_a, first_a, last_a), (bits_b, low_b, high_b, spare_b, first_b, last_b) = x, y
+    ok = (100 * high_a[a] >= percent * low_b[b]) & (100 * high_b[b] >= percent * low_a[a])
+    ok &= (first_a[a] != last_a[a]) | (first_b[b] != last_b[b]) | (first_a[a] != first_b[b])
+    a, b = a[ok], b[ok]
+    common = np.bitwise_count(bits_a[a] & bits_b[b]).sum(axis=1).astype(np.int64) + np.minimum(spare_a[a], spare_b[b])
+    # Jaccard p % of sets of x and y tokens: overlap >= p / (100 + p) * (x + y)
+    ok[ok] = (100 + percent) * common >= percent * (low_a[a] + low_b[b])
+    return ok
 
 
 def bitmap(members: np.ndarray) -> bytes:
-    """One bit for each member, in twice as many bits, up to the next power of two, as there are members."""
-    bits = 1 << max(6, int(2 * len(members) - 1).bit_length())
+    """One bit for each member, in TOKEN_BITS as many bits, up to the next power of two, as there are members."""
+    bits = 1 << max(6, int(TOKEN_BITS * len(members) - 1).bit_length())
     flags = np.zeros(bits, dtype=bool)
     flags[(mix(members) & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").tobytes()
 
 
+class Forest:
+    """The signature trees of a block, one for each width of bitmap, with the nodes they hold."""
+
+    def __init__(self, sizes: np.ndarray, nodes: np.ndarray, components: np.ndarray, bitmaps: list[bytes]):
+        widths = np.array([len(b) for b in bitmaps])
+        self.trees: dict[int, tuple[SignatureTree, np.ndarray]] = {}
+        for width in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == width)
+            at = at[np.lexsort((components[at], sizes[at]))]
+            bits = np.frombuffer(b"".join(bitmaps[k] for k in at), dtype=np.uint8).reshape(len(at), width)
+            self.trees[width] = SignatureTree(sizes[at], bits, components[at]), nodes[at]
+
+    def pairs(self, other: Forest, percent: int):
+        """(a, b) arrays of nodes.  Sets whose sizes differ by less than half have bitmaps of one width or of the next."""
+        for width, (tree, nodes) in self.trees.items():
+            for factor in (1, 2) if other is self else (0.5, 1, 2):
+                second = other.trees.get(int(width * factor))
+                if second is None:
+                    continue
+                x, y = tree.halved() if factor == 0.5 else tree, second[0].halved() if factor == 2 else second[0]
+                found = x.pairs(y, percent)
+                yield nodes[found[:, 0]], second[1][found[:, 1]]
+
+
 def _trees(batches, percent):
-    """From rows (key, size, node, component, signature), sorted: pairs of nodes that the trees leave."""
-    left = None
+    """From rows (work, cross, side, size, node, component, signature), sorted by work: pairs of nodes that the trees leave."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        table = pa.Table.from_batches([batch] if left is None else [left, batch]).combine_chunks()
-        if not len(table):
+        if not len(batch):
             continue
-        key = table.column(0).to_numpy()
-        start = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-        for k in range(len(start) - 2):
-            yield from _tree_pairs(table.slice(start[k], start[k + 1] - start[k]), percent)
-        left = table.slice(start[-2]).combine_chunks().to_batches()[0]
-    if left is not None:
-        yield from _tree_pairs(pa.Table.from_batches([left]), percent)
+        work = batch.column(0).to_numpy()
+        cut = [0, *(np.flatnonzero(work[1:] != work[:-1]) + 1).tolist(), len(work)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            if held and held[-1].column(0)[0].as_py() != work[a]:
+                yield _tree_pairs(held, percent)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield _tree_pairs(held, percent)
+
+
+def _tree_pairs(run: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+    run = pa.Table.from_batches(run).combine_chunks()
+    cross, side, size, node, component = (run.column(k).to_numpy() for k in range(1, 6))
+    bitmaps = run.column(6).to_pylist()
+    part = lambda some: Forest(size[some].astype(np.int64), node[some], component[some], [bitmaps[k] for k in some])
+    if cross.all():  # two blocks, each compared with itself elsewhere
+        found = list(part(np.flatnonzero(side == 0)).pairs(part(np.flatnonzero(side == 1)), percent))
+    else:
+        forest = part(np.arange(len(size)))
+        found = list(forest.pairs(forest, percent))
+    a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return _batch(a=pa.array(pairs[:, 0]), b=pa.array(pairs[:, 1]))
 
 
-def _tree_pairs(run: pa.Table, percent: int):
-    size, node, component = (run.column(k).to_numpy() for k in (1, 2, 3))
-    pairs = SignatureTree(size.astype(np.int64), run.column(4).to_pylist(), component).pairs(percent)
-    a, b = node[pairs[:, 0]], node[pairs[:, 1]]
-    yield _batch(a=pa.array(np.minimum(a, b)), b=pa.array(np.maximum(a, b)))
+def blocked(rows: DataFrame) -> DataFrame:
+    """rows(hub, set_id, size, component) with work, cross, side: the pair of blocks of its group that a row is compared in.
+    A group of up to BLOCK_NODES nodes is one block; a larger one gives each row to as many tasks as it has blocks."""
+    many = rows.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    dealt = rows.join(many, "hub").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    work = F.xxhash64("hub", F.least("own", "with"), F.greatest("own", "with"))
+    return dealt.select(work.alias("work"), (F.col("own") != F.col("with")).alias("cross"), (F.col("own") > F.col("with")).cast("int").alias("side"), "size", "set_id", "component")
 
 
 # --- links --------------------------------------------------------------------
@@ -334,56 +403,54 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 # --- the operator -------------------------------------------------------------
 
 
-def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of documents(doc_id, text): doc_id, n_shingles, component_id.
-
-    Rows link when 100 * |A & B| >= percent * |A | B| for their sets of n-word
-    shingles (A-Z lower-cased; 1 to n-1 words: the whole sequence).
-    component_id is the smallest doc_id reachable by links, the row's own
-    included.  Null, empty and wordless texts have no shingle and link with
-    nothing; equal texts always share a component; repeated rows and ids are
-    kept; null ids get the component of their group, or null alone.  Other
-    columns are ignored and an empty table gives no rows.
-    """
+def _classified(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): (row, doc_id, size, set_id) of every document, row being a hash of id and text; (set_id, component, component_id) of every set that is not empty."""
     spark: SparkSession = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = stored(texts.mapInArrow(lambda it: _describe(it, n), "doc_id long, size long, h long, listed boolean"), "sets")
-    rows = described.where("not listed").select("doc_id", "size", F.col("h").alias("set_id"))
+    texts = texts.select(row_key().alias("row"), "doc_id", "text")
+    described = stored(texts.mapInArrow(lambda it: _describe(it, n), "row long, doc_id long, size long, h long, listed boolean"), "sets")
+    rows = described.where("not listed").select("row", "doc_id", "size", F.col("h").alias("set_id"))
     often = described.where("listed").groupBy("h").agg(F.sum("size").alias("n")).where(F.col("n") >= FREQUENT_AT)
     often = often.orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).select("h")
     frequent = shared(spark, np.array([x for b in often.toArrow().to_batches() for x in b.column(0).to_numpy()], dtype=np.int64).view(np.uint64))
-    nodes = rows.where("size > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"))
+    nodes = rows.where("size > 0").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.min("row").alias("row"))
 
-    listed = texts.mapInArrow(lambda it: _list(it, frequent, n, percent), "key long, size int, set_id long")
+    listed = texts.select("text").mapInArrow(lambda it: _list(it, frequent, n, percent), "key long, size int, set_id long")
     listed = listed.repartition("key").sortWithinPartitions("key", "size", "set_id")
-    members, listed_path = stored_at(listed.mapInArrow(_several, "key long, size int, set_id long"), "lists")
+    members, members_path = stored_at(listed.mapInArrow(_several, "key long, size int, set_id long"), "lists")
+    released(frequent)
 
-    met = members.select("set_id").distinct().join(nodes, "set_id").select("node")
+    met = members.select("set_id").distinct().join(nodes, "set_id").select("row")
     wanted = shared(spark, _filter_of(met))
-    words, words_path = stored_at(texts.mapInArrow(lambda it: _texts(it, wanted, n), "set_id long, text string"), "texts")
-
-    chosen = stored(centres(members, percent), "centres")
-    links = stored(verified(chosen, words, percent, n), "first-links")
+    words, words_path = stored_at(texts.select("row", "text").mapInArrow(lambda it: _texts(it, wanted, n), "set_id long, text string"), "texts")
+    released(wanted)
+    if words.count() > words.select("set_id").distinct().count():  # repeated rows, or what the filter let through: one text for each set
+        first_path = words_path
+        words, words_path = stored_at(words.groupBy("set_id").agg(F.first("text").alias("text")), "texts")
+        drop_scratch(spark, first_path)
+
+    named, named_path = stored_at(members.join(hubs_of(members), "key"), "hubs")
+    drop_scratch(spark, members_path)
+    links, links_path = stored_at(verified(stored(centres(named, percent), "centres"), words, percent, n), "first-links")
     found = stored(components(links), "components")
-
-    named = members.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    named = stored(named, "named")
-    # of lists with the same members one is enough
-    member = [F.bit_xor(F.xxhash64(F.lit(k), "set_id")).alias(f"m{k}") for k in (0, 1)]
-    open_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), *member).where("x <> y")
-    open_keys = open_keys.groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key")
-    named = stored(named.join(open_keys, "key", "left_semi"), "open")
-    signed = narrowed(words, named.select("set_id").distinct()).mapInArrow(lambda it: _sign(it, n), "set_id long, signature binary").dropDuplicates(["set_id"])
-    trees = named.join(signed, "set_id").select("key", "size", F.col("set_id").alias("node"), "component", "signature")
-    trees = trees.repartition("key").sortWithinPartitions("key", "size", "component", "node")
-    rest = stored(trees.mapInArrow(lambda it: _trees(it, percent), "a long, b long").distinct(), "pairs")
-    more = stored(verified(rest, words, percent, n), "more-links")
-    drop_scratch(spark, listed_path, words_path)
+    drop_scratch(spark, links_path)
+
+    grouped = named.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    open_keys = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    rest, rest_path = stored_at(grouped.join(open_keys, "key", "left_semi").select("hub", "set_id", "size", "component").distinct(), "open")
+    drop_scratch(spark, named_path)
+    signed = narrowed(words, rest.select("set_id").distinct()).mapInArrow(lambda it: _sign(it, n), "set_id long, signature binary")
+    trees = blocked(rest).join(signed, "set_id").select("work", "cross", "side", "size", F.col("set_id").alias("node"), "component", "signature")
+    trees = trees.repartition("work").sortWithinPartitions("work")
+    pairs, pairs_path = stored_at(trees.mapInArrow(lambda it: _trees(it, percent), "a long, b long").distinct(), "pairs")
+    more, more_path = stored_at(verified(pairs, words, percent, n), "more-links")
+    drop_scratch(spark, words_path, rest_path, pairs_path)
     # only links across components are left, so the components themselves are the nodes now
     name = found.select(F.col("node").alias("a"), F.col("component").alias("x"))
     across = more.join(name, "a", "left").select(F.coalesce("x", "a").alias("a"), "b")
     across = across.join(name.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left").select("a", F.coalesce("y", "b").alias("b"))
     merged = stored(components(across).select(F.col("node").alias("component"), F.col("component").alias("whole")), "merged")
+    drop_scratch(spark, more_path)
     linked = found.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     alone = merged.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(found, "node", "left_anti")
     linked = linked.union(alone).select(F.col("node").alias("set_id"), "component")
@@ -391,7 +458,27 @@ def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80) -> D
     # equal sets, then components, by the smallest document of each
     classes = nodes.join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = classes.groupBy("component").agg(F.min("node").alias("component_id"))
-    classes = classes.join(least, "component").select("set_id", "component_id")
+    return rows, stored(classes.join(least, "component").select("set_id", "component", "component_id"), "classes")
+
+
+def row_key():
+    """A hash of doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of documents(doc_id, text): doc_id, n_shingles, component_id.
+
+    Rows link when 100 * |A & B| >= percent * |A | B| for their sets of n-word
+    shingles (A-Z lower-cased; 1 to n-1 words: the whole sequence).
+    component_id is the smallest doc_id reachable by links, the row's own
+    included.  Null, empty and wordless texts have no shingle and link with
+    nothing; equal texts always share a component; repeated rows and ids are
+    kept; rows with a null id link like any other and get the component of their
+    group, or null where no row of it has an id.  Other columns are ignored and
+    an empty table gives no rows.
+    """
+    rows, classes = _classified(documents, n, percent)
     joined = rows.join(classes, "set_id", "left")
     return joined.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -402,12 +489,35 @@ def _sign(batches, n):
             yield _batch(set_id=batch.column(0)[low : low + len(sets)], signature=pa.array([bitmap(x) for x in sets], pa.binary()))
 
 
-def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """documents with one row of each component, that of the smallest doc_id; rows without shingles and null ids stay."""
-    found = near_duplicates(documents, **options)
-    gone = found.where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    kept = documents.join(gone, documents["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    return kept
+def one_of_each(documents: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
+    """documents with one row of each component of near_duplicates(): that of the smallest doc_id, null after all others, and
+    of rows that share it one by a hash of the text, and one of rows that agree in id and text.
 
-
-__all__ = ["SignatureTree", "bitmap", "components", "near_duplicates", "one_of_each", "verified"]
+    Rows without shingles stay, repeated or not.  Columns are unchanged, also
+    where their names are those used here.  An empty table gives no rows.  Rows
+    are dropped by id and text together, so a repeated id takes no other row
+    along.  A filter of fixed size tells where a row is read whether it may have
+    to go; only such rows are moved.
+    """
+    spark, columns = documents.sparkSession, documents.columns
+    rows, classes = _classified(documents, n, percent)
+    rank = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
+    sized = rows.where("size > 0").join(classes, "set_id").withColumn("rank", rank)
+    first = sized.groupBy("component").agg(F.min("rank").alias("kept"))
+    judged = sized.join(first, "component").select("row", "doc_id", "set_id", (F.col("rank") == F.col("kept")).alias("stays"))
+    # one line for each (id, text): whether it stays, and whether more than one row has it
+    judged = judged.groupBy("row", "doc_id", "set_id").agg(F.first("stays").alias("stays"), F.count("*").alias("times")).where("not stays or times > 1")
+    judged = stored(judged.select("row", "doc_id", "stays"), "judged")
+    wanted = shared(spark, _filter_of(judged.select("row")))
+    plain = [f"c{k}" for k in range(len(columns))]
+    keyed = documents.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("id"), *(F.col(f"`{c}`").alias(p) for c, p in zip(columns, plain, strict=True)))
+    clear = keyed.mapInArrow(lambda it: _taken(it, wanted, 0, False), keyed.schema)
+    unsure = keyed.mapInArrow(lambda it: _taken(it, wanted, 0, True), keyed.schema)
+    told = judged.select(F.col("row").alias("judged_row"), F.col("doc_id").alias("judged_id"), "stays")
+    unsure = unsure.join(told, (F.col("row") == F.col("judged_row")) & F.col("id").eqNullSafe(F.col("judged_id")), "left")
+    once = unsure.where("stays").dropDuplicates(["row", "id"])
+    kept = clear.select(*plain).unionByName(unsure.where("stays is null").select(*plain)).unionByName(once.select(*plain))
+    return kept.select(*(F.col(p).alias(c) for c, p in zip(columns, plain, strict=True)))
+
+
+__all__ = ["Forest", "SignatureTree", "bitmap", "components", "near_duplicates", "one_of_each", "verified"]

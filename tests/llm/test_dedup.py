@@ -1,9 +1,10 @@
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
-from helpers import corpus, documents, lower, shingles
+from helpers import corpus, documents, lower, prose, shingles
 from pyspark.sql import functions as F
 
 from tessera.llm import near_join
@@ -95,22 +96,56 @@ def test_near_empty_and_one_of_each(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, n, c in components(rows) if not n or c == i)
 
 
-def test_tree_loses_no_pair():
+def test_one_row_of_each_with_repeated_ids_and_rows(spark):
+    rng = random.Random(4)
+    a, u, b, c = (prose(rng, 40) for _ in range(4))
+    rows = [(1, a), (5, a), (5, u), (9, b), (9, b), (None, b + " more"), (None, c), (None, c), (7, ""), (7, ""), (None, None), (3, "one two")]
+    df = documents(spark, rows).withColumns({k: F.lit("mine") for k in ("row", "id", "stays", "c0", "judged_row", "set_id")})
+    kept = near_join.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, a), (5, u), (9, b), (None, c), (7, ""), (7, ""), (None, None), (3, "one two")], key=repr)
+    assert {r[k] for r in kept.collect() for k in ("row", "id", "stays", "c0", "judged_row", "set_id")} == {"mine"}
+    assert near_join.one_of_each(documents(spark, [])).count() == 0
+
+
+def test_links_through_rows_without_id(spark):
+    """Two documents that only a row without id links, and a very long text."""
+    w = [f"w{k}" for k in range(60)]
+    long = " ".join(f"x{k % 9000}" for k in range(700_000))
+    rows = [(5, " ".join(w[:54])), (None, " ".join(w[:48])), (3, " ".join(w[6:48])), (8, long), (6, long + " end")]
+    want = components(rows)
+    assert {c for i, _, c in want if i in (5, 3)} == {3}
+    assert sorted(map(tuple, near_join.near_duplicates(documents(spark, rows)).collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_forest_loses_no_pair(spark, block, monkeypatch):
+    monkeypatch.setattr(near_join, "BLOCK_NODES", block)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 400).astype(np.uint64)
     sets = []
     for _ in range(60):
-        keep = base[rng.random(400) < rng.choice([0.5, 0.9, 0.97])]
+        keep = base[rng.random(400) < rng.choice([0.1, 0.5, 0.9, 0.97])]
         sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, rng.integers(0, 80)).astype(np.uint64)])))
-    sets.sort(key=len)
     sizes = np.array([len(s) for s in sets])
-    tree = near_join.SignatureTree(sizes, [near_join.bitmap(s) for s in sets], np.arange(60))
-    pairs = {tuple(sorted(p)) for p in tree.pairs(80).tolist()}
+    maps = [near_join.bitmap(s) for s in sets]
+    assert len({len(m) for m in maps}) > 1
+    forest = near_join.Forest(sizes, np.arange(60), np.arange(60), maps)
+    pairs = {tuple(sorted(p)) for a, b in forest.pairs(forest, 80) for p in zip(a.tolist(), b.tolist(), strict=True)}
     true = {(a, b) for a in range(60) for b in range(a + 1, 60) if near_join.similar(sets[a], sets[b], 80)}
     assert true
     assert true <= pairs
-    assert len(pairs) < 60 * 59 / 2
-    assert near_join.SignatureTree(sizes, [near_join.bitmap(s) for s in sets], np.zeros(60, dtype=int)).pairs(80).size == 0
+    assert len(pairs) < 60 * 59 / 4
+    alike = near_join.Forest(sizes, np.arange(60), np.zeros(60, dtype=int), maps)
+    assert sum(len(a) for a, _ in alike.pairs(alike, 80)) == 0
+    # the same by blocks, dealt to tasks
+    rows = spark.createDataFrame([(1, k, int(sizes[k]), k) for k in range(60)], "hub long, set_id long, size int, component long")
+    dealt = near_join.blocked(rows).join(spark.createDataFrame(list(enumerate(maps)), "set_id long, signature binary"), "set_id")
+    dealt = dealt.select("work", "cross", "side", "size", "set_id", "component", "signature").orderBy("work").toArrow()
+    found = [tuple(r.values()) for b in near_join._trees(dealt.to_batches(max_chunksize=13), 80) for r in b.to_pylist()]
+    assert true <= set(found)
+    assert len(found) == len(set(found))
 
 
 def test_components_of_a_chain(spark):
