@@ -424,10 +424,13 @@ def _classified(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame,
     wanted = shared(spark, _filter_of(met))
     words, words_path = stored_at(texts.select("row", "text").mapInArrow(lambda it: _texts(it, wanted, n), "set_id long, text string"), "texts")
     released(wanted)
-    if words.count() > words.select("set_id").distinct().count():  # repeated rows, or what the filter let through: one text for each set
-        first_path = words_path
-        words, words_path = stored_at(words.groupBy("set_id").agg(F.first("text").alias("text")), "texts")
+    again = words.groupBy("set_id").agg(F.count("*").alias("times")).where("times > 1").select("set_id")
+    if not again.isEmpty():  # repeated rows, or what the filter let through: one text for each set
+        first_path, repeated = words_path, shared(spark, _filter_of(again))
+        some = words.mapInArrow(lambda it: _taken(it, repeated, 0, True), words.schema).groupBy("set_id").agg(F.first("text").alias("text"))
+        words, words_path = stored_at(words.mapInArrow(lambda it: _taken(it, repeated, 0, False), words.schema).union(some), "texts")
         drop_scratch(spark, first_path)
+        released(repeated)
 
     named, named_path = stored_at(members.join(hubs_of(members), "key"), "hubs")
     drop_scratch(spark, members_path)
