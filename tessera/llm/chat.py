@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import stored, tidy
 
 # fixed values
 CONTROLS = ["<|turn|>", "<|text|>", "<|end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
@@ -76,6 +76,7 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+@tidy
 def _paths(batches):
     for batch in batches:
         out = []
@@ -106,6 +107,7 @@ class _Pack:
         return len(self.nodes) - 1
 
 
+@tidy
 def _pack(batches, tokenizer, most):
     """Packs from rows (path, turns) in the order of path."""
     coder = _tokenizer(tokenizer)
@@ -176,6 +178,7 @@ def conversations_of(ids: list[int], nodes: list[dict], decode) -> list[tuple[by
     return out
 
 
+@tidy
 def _digest(batches, tokenizer):
     coder = _tokenizer(tokenizer)
     decode = lambda ids: coder.decode(ids, skip_special_tokens=False)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import UPPER, WORD, chunks, hashed_words, shared, shingle_sets, shingles
+from tessera.llm.common import UPPER, WORD, chunks, hashed_words, shared, shingle_sets, shingles, tidy
 
 _LOWER = str.maketrans(UPPER, UPPER.lower())
 _FLAGS = 1 << 20
@@ -94,6 +94,7 @@ def _found(ids, texts, index, n):
                 yield low + row, item, common
 
 
+@tidy
 def _search(batches, index, n):
     index = index.value
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
@@ -106,6 +107,7 @@ def _search(batches, index, n):
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "n_item", "n_common", "containment"])
 
 
+@tidy
 def _clean(batches, index, n, at):
     index = index.value
     for batch in batches:

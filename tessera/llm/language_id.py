@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared
+from tessera.llm.common import shared, tidy
 
 BLOCK = 4096
 #: Blocks whose presence rows are in memory at once.
@@ -145,6 +145,7 @@ def fit(sample: list[tuple[str, bytes]], landmarks: int = 256, ridge: float = 1e
     return model
 
 
+@tidy
 def _sample(batches, each):
     """Up to each blocks of a labelled document, evenly spaced."""
     for batch in batches:
@@ -177,6 +178,7 @@ def train(labelled: DataFrame, *, documents: int = 1600, blocks: int = 3, landma
     return fit([sample[k] for k in order], landmarks)
 
 
+@tidy
 def _predict(batches, model):
     model = model.value
     for batch in batches:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_scratch, mix, released, shared, shingle_sets, stored, stored_at
+from tessera.llm.common import drop_scratch, mix, released, shared, shingle_sets, stored, stored_at, tidy
 
 #: Most frequent shingles put last in the order; a hint, broadcast at 8 bytes each.
 MAX_FREQUENT = 1 << 20
@@ -66,6 +66,7 @@ def _digest(sums: np.ndarray) -> np.uint64:
 # --- passes over the texts ----------------------------------------------------
 
 
+@tidy
 def _describe(batches, n):
     """A row (row, doc_id, size, h=set id) for each document; a row (null, null, occurrences, h=shingle) for each frequent one."""
     for batch in batches:
@@ -81,6 +82,7 @@ def _describe(batches, n):
         yield _batch(row=none, doc_id=none, size=pa.array(count, pa.int64()), h=_long(value), listed=pa.array([True] * len(value), pa.bool_()))
 
 
+@tidy
 def _list(batches, frequent, n, percent):
     """A row (key, size, set_id) for each shingle of each prefix."""
     frequent = np.sort(frequent.value)
@@ -118,6 +120,7 @@ def _pass(ids: pa.Array, wanted: np.ndarray) -> pa.Array:
     return pa.array(take)
 
 
+@tidy
 def _texts(batches, wanted, n):
     """(set_id, text) of the rows (row, text) that pass the filter."""
     wanted = np.frombuffer(wanted.value, dtype=np.uint8)
@@ -133,6 +136,7 @@ def narrowed(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(lambda it: _taken(it, wanted, 0, True), rows.schema)
 
 
+@tidy
 def _taken(batches, wanted, at: int, inside: bool):
     """The rows whose column `at` passes the filter, or those where it does not."""
     bits = np.frombuffer(wanted.value, dtype=np.uint8)
@@ -188,6 +192,7 @@ def _runs(batches, columns: int):
         yield left
 
 
+@tidy
 def _several(batches):
     """The distinct rows (key, size, set_id) of keys with several sets, from sorted rows."""
     for key, size, node in _runs(batches, 3):
@@ -304,6 +309,7 @@ class Forest:
                 yield nodes[found[:, 0]], second[1][found[:, 1]]
 
 
+@tidy
 def _trees(batches, percent):
     """From rows (work, cross, side, size, node, component, signature), sorted by work: pairs of nodes that the trees leave."""
     held: list[pa.RecordBatch] = []
@@ -358,6 +364,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return len(y) > 0 and 100 * common >= percent * (len(x) + len(y) - common)
 
 
+@tidy
 def _verify(batches, percent, n):
     for batch in batches:
         for k in range(0, len(batch), 256):
@@ -486,6 +493,7 @@ def near_duplicates(documents: DataFrame, *, n: int = 5, percent: int = 80) -> D
     return joined.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+@tidy
 def _sign(batches, n):
     for batch in batches:
         for low, sets in shingle_sets(batch.column(1), n):

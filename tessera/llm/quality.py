@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, hash_spans, hashed_words, shared, spans, stored
+from tessera.llm.common import chunks, hash_spans, hashed_words, shared, spans, stored, tidy
 
 # byte classes
 _LOWER, _UPPER, _DIGIT, _BLANK, _LINE, _STOP, _COMMA, _LOUD, _BAR, _SIGN, _PUNCT, _HIGH, _CONTROL = range(13)
@@ -66,6 +66,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     )
 
 
+@tidy
 def _measure(batches):
     for batch in batches:
         out = [statistics(data, offsets) for _, data, offsets in chunks(batch.column(1))]
@@ -126,6 +127,7 @@ def fit(observed: DataFrame) -> Discriminant:
     return Discriminant(moments)
 
 
+@tidy
 def _score(batches, model, threshold):
     model = model.value
     for batch in batches:
@@ -151,6 +153,7 @@ def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label:
     return features.select("doc_id", "held_out", *STATISTICS).mapInArrow(lambda it: _score(it, model, threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 
+@tidy
 def _accept(batches, model, threshold, at):
     model = model.value
     for batch in batches:

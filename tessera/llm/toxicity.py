@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _LOWER, chunks, hash_spans, mix, shared, spans, stored
+from tessera.llm.common import _LOWER, chunks, hash_spans, mix, shared, spans, stored, tidy
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -64,6 +64,7 @@ def _counted(batch, column: int):
         yield low, names, cut, key % (len(names) + 1), tf
 
 
+@tidy
 def _frequencies(batches, known):
     """(term, n, a, b): the documents that hold a term, and the sampled ones among them of label 1 and 0."""
     known = known.value
@@ -93,6 +94,7 @@ def _frequency_rows(names, counts):
     return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *(pa.array(c, pa.int64()) for c in counts)], ["term", "n", "a", "b"])
 
 
+@tidy
 def _sampled(batches, known):
     """(doc_id, term, tf): the terms of the sampled documents and their counts."""
     known = known.value
@@ -221,6 +223,7 @@ def unit(cut: np.ndarray, at: np.ndarray, tf: np.ndarray, idf: np.ndarray, more:
     return Rows(cut, at, (value / norm[row]).astype(np.float32))
 
 
+@tidy
 def _weigh(batches, table):
     """(row, doc_id, at, tf, more, rest, rest_tf): the counts of terms that examples hold, the squared length of the
     others as far as their frequency is known here, and the terms (with counts) whose frequency is to be joined."""
@@ -244,6 +247,7 @@ def _weigh(batches, table):
             number += rows
 
 
+@tidy
 def _score(batches, index, threshold):
     index = index.value
     for batch in batches:
