@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _IS_WORD, chunks, drop_scratch, hash_spans, scratch_path, shared
+from tessera.llm.common import _IS_WORD, chunks, drop_scratch, hash_spans, released, scratch_path, shared, tidy
 
 LANES = 512
 CHECKPOINT = 512
@@ -42,6 +42,8 @@ BLOCK_IDS = 1 << 19
 REMEMBERED = 3 << 19
 #: New pieces that are encoded as one text.
 JOINED = 256
+#: Bytes of a table that a shard is to hold; there are at least as many shards as shuffle partitions.
+SHARD_BYTES = 256 << 20
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(0xFFFFFFFF)
 _MASK = np.uint64((1 << SCALE) - 1)
@@ -167,7 +169,26 @@ class Block:
         return out
 
     def all(self, table: Table) -> np.ndarray:
-        return np.concatenate([self.part(k, table) for k in range(self.parts)]) if self.parts else np.zeros(0, dtype=np.uint32)
+        """All ids: the whole parts side by side, each from its checkpoint, and then the last one."""
+        whole, rest = divmod(self.ids, CHECKPOINT * LANES)
+        out = np.empty((whole, CHECKPOINT, LANES), dtype=np.uint32)
+        x, place = self.states[:whole].astype(np.uint64), self.marks["place"][:whole].astype(np.int64)
+        places, frequencies, before, words = table.places, table.frequencies, table.before, self.words
+        for step in range(CHECKPOINT if whole else 0):
+            slot = x & _MASK
+            ids = places[slot.astype(np.int64)]
+            out[:, step] = ids
+            x = frequencies[ids] * (x >> _S) + slot - before[ids]
+            wants = x < _LOW
+            many = wants.sum(axis=1)
+            row, lane = np.nonzero(wants)
+            first = np.cumsum(many) - many
+            x[row, lane] = x[row, lane] << _H | words[place[row] + np.arange(len(row)) - first[row]]
+            place += many
+        for k in range(whole):
+            if zlib.crc32(out[k].astype("<u4").tobytes()) != int(self.marks["crc"][k]):
+                raise ValueError(f"part {k} fails its checksum")
+        return np.concatenate([out.reshape(-1), *([self.part(whole, table)] if rest else [])])
 
 
 # --- tokens -------------------------------------------------------------------
@@ -180,7 +201,9 @@ class PieceEncoder:
     do not depend on what stands around it, so the ids of a text are those of
     its pieces, and new pieces can be encoded as one text and told apart by the
     bytes that each id stands for.  White space outside ASCII is not a place to
-    cut after.
+    cut after.  Pieces are remembered by a hash; as the bytes of all ids of a
+    text must be the text again, two pieces with one hash are noticed, and such
+    a text is encoded alone.
     """
 
     def __init__(self, path: str):
@@ -189,10 +212,13 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
-        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
+        spelled = [b""] * self.tokenizer.get_vocab_size()
+        byte = _byte_of()
         for token, k in self.tokenizer.get_vocab().items():
             # the vocabulary writes each byte as one character, but added tokens as they are
-            self.bytes[k] = len(token.encode()) if k in added else len(token)
+            spelled[k] = token.encode() if k in added else bytes(byte[c] for c in token)
+        self.bytes = np.array([len(t) for t in spelled], dtype=np.int64)
+        self.spelling, self.spelled_at = np.frombuffer(b"".join(spelled), dtype=np.uint8), np.cumsum(self.bytes) - self.bytes
         self.forget()
 
     def forget(self) -> None:
@@ -206,18 +232,21 @@ class PieceEncoder:
         alone = sorted(set(range(len(pieces))) - set(plain))
         groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
         read = lambda texts: [x.ids for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        apart = read([pieces[k] for k in alone])
         joined = read([b"".join(pieces[k] for k in group) for group in groups])
-        many = [np.fromiter(map(len, apart), np.int64, len(apart))]
+        many, told, lists = [], [], []
         for group, ids in zip(groups, joined, strict=True):
             reach = np.cumsum(self.bytes[ids])
             ends = np.cumsum([len(pieces[k]) for k in group])
-            cut = np.searchsorted(reach, ends) + 1
-            if not np.array_equal(reach[cut - 1], ends):
-                raise ValueError("an id reaches over two pieces")
-            many.append(np.diff(cut, prepend=0))
-        many = np.concatenate(many)
-        ids = np.fromiter(chain(chain.from_iterable(apart), chain.from_iterable(joined)), np.uint32, int(many.sum()))
+            cut = np.minimum(np.searchsorted(reach, ends), len(reach) - 1)
+            if np.array_equal(reach[cut], ends):
+                many.append(np.diff(cut + 1, prepend=0))
+                told += group
+                lists.append(ids)
+            else:  # an id reaches over two pieces
+                alone += group
+        apart = read([pieces[k] for k in alone])
+        many = np.concatenate([np.fromiter(map(len, apart), np.int64, len(apart)), *many])
+        ids = np.fromiter(chain(chain.from_iterable(apart), chain.from_iterable(lists)), np.uint32, int(many.sum()))
         n = len(self.keys)
         self.store = _room(self.store, self.used + len(ids))
         self.first, self.many = _room(self.first, n + len(many)), _room(self.many, n + len(many))
@@ -225,7 +254,7 @@ class PieceEncoder:
         self.first[n : n + len(many)] = self.used + np.cumsum(many) - many
         self.many[n : n + len(many)] = many
         self.used += len(ids)
-        self.keys = np.concatenate([self.keys, keys[np.array(alone + plain, dtype=np.int64)]])
+        self.keys = np.concatenate([self.keys, keys[np.array(alone + told, dtype=np.int64)]])
         self.place = np.concatenate([self.place, np.arange(n, n + len(many))])
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.place = self.keys[order], self.place[order]
@@ -262,8 +291,28 @@ class PieceEncoder:
         reach = np.cumsum(many)
         ids = self.store[np.repeat(self.first[index] - (reach - many), many) + np.arange(int(reach[-1]))]
         row = np.searchsorted(offsets, start, "right") - 1
+        if not self._spells(ids, data):
+            raw = data.tobytes()
+            alone = [self.tokenizer.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+            return np.array(list(chain.from_iterable(alone)), dtype=np.uint32), np.array([len(x) for x in alone], dtype=np.int64)
         return ids, np.bincount(row, many, minlength=rows).astype(np.int64)
 
+    def _spells(self, ids: np.ndarray, data: np.ndarray) -> bool:
+        """Whether the bytes of ids are data."""
+        size = self.bytes[ids]
+        reach = np.cumsum(size)
+        if reach[-1] != len(data):
+            return False
+        return np.array_equal(self.spelling[np.repeat((self.spelled_at[ids] - (reach - size)).astype(np.int32), size) + np.arange(len(data), dtype=np.int32)], data)
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible Latin-1 characters for themselves, and
+    those from U+0100 on for the other bytes in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+
 
 def _room(x: np.ndarray, size: int) -> np.ndarray:
     """x with space for at least size values."""
@@ -294,9 +343,12 @@ def _encoder(path: str) -> PieceEncoder:
 # --- Spark --------------------------------------------------------------------
 
 
+@tidy
 def _tokenise(batches, path, end_id):
-    """(shard, at, before, doc_id, ids) of the rows of a partition that is sorted by doc_id."""
+    """(shard, at, before, doc_id, ids) of the rows of a partition that is sorted by doc_id, and one with at = -1, the ids of
+    the shard as before, and what it counted: distinct ids (u32) and how often each came (u64)."""
     encoder, shard, at, before = _encoder(path), TaskContext.get().partitionId(), 0, 0
+    total = np.zeros(0, dtype=np.int64)
     for batch in batches:
         for low, data, offsets in chunks(batch.column(1)):
             ids, many = encoder.encode(data, offsets)
@@ -311,23 +363,29 @@ def _tokenise(batches, path, end_id):
                 ["shard", "at", "before", "doc_id", "ids"],
             )
             at, before = at + rows, before + int(cut[-1])
+            some = np.bincount(ids).astype(np.int64)
+            if len(some) > len(total):
+                total, some = some, total
+            total[: len(some)] += some
+    if at:
+        held = np.flatnonzero(total)
+        packed = held.astype("<u4").tobytes() + total[held].astype("<u8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([-1], pa.int64()), pa.array([before], pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed], pa.binary())], ["shard", "at", "before", "doc_id", "ids"])
 
 
+@tidy
 def _count(batches):
-    total = np.zeros(0, dtype=np.int64)
+    """(id, n) from the counts of shards."""
     for batch in batches:
-        for k in range(0, len(batch), 1024):
-            some = np.bincount(np.frombuffer(b"".join(batch.column(0)[k : k + 1024].to_pylist()), "<u4"))
-            if len(some) > len(total):
-                total, some = some.astype(np.int64), total
-            total[: len(some)] += some
-    held = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held])], ["id", "n"])
+        for packed in batch.column(0).to_pylist():
+            many = len(packed) // 12
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(packed, "<u4", many), pa.int64()), pa.array(np.frombuffer(packed, "<u8", many, 4 * many), pa.int64())], ["id", "n"])
 
 
 BLOCKS = "shard int, first long, before long, doc_ids array<long>, payload binary"
 
 
+@tidy
 def _encode(batches, table):
     table = table.value
     held: list[tuple] = []
@@ -354,6 +412,7 @@ def _encode(batches, table):
         yield block()
 
 
+@tidy
 def _decode(batches, table, bases):
     table, bases = table.value, bases.value
     for batch in batches:
@@ -370,23 +429,26 @@ def write_tokens(documents: DataFrame, path: str, *, tokenizer: str, end_id: int
 
     Documents are dealt by ranges of doc_id and sorted before they are
     tokenised, so ids are never shuffled.  Null text counts as empty and gives
-    end_id alone; null ids come first; rows that repeat an id are each written;
-    other columns are ignored; an empty table gives no blocks.
+    end_id alone; null ids come first; rows that repeat an id are each written,
+    in the order of their texts; other columns are ignored; an empty table gives
+    no blocks.  A text is encoded and coded whole by one task.
     """
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    many = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.repartitionByRange(many, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    many = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, -(-size // SHARD_BYTES)))
+    order = F.col("doc_id").asc_nulls_first()
+    dealt = texts.repartitionByRange(many, order).sortWithinPartitions(order, F.col("text").asc_nulls_first())
     ids_path = scratch_path(spark, "ids")
     schema = "shard int, at long, before long, doc_id long, ids binary"
     dealt.mapInArrow(lambda it: _tokenise(it, tokenizer, end_id), schema).write.option("compression", "zstd").parquet(ids_path)
     ids = spark.read.schema(schema).parquet(ids_path)
-    counts = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    size = (max(counts.column(0).to_pylist()) + 1) if len(counts) else 1
-    total = np.zeros(size, dtype=np.int64)
+    told = ids.where("at = -1")
+    counts = told.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros((max(counts.column(0).to_pylist()) + 1) if len(counts) else 1, dtype=np.int64)
     total[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
     frequencies = normalised(total)
-    per_shard = {r["shard"]: r["n"] for r in ids.groupBy("shard").agg(F.sum(F.length("ids") / 4).cast("long").alias("n")).collect()}
+    per_shard = {r["shard"]: r["before"] for r in told.select("shard", "before").collect()}
     bases, before = [], 0
     for shard in sorted(per_shard):
         bases.append((shard, before))
@@ -394,7 +456,8 @@ def write_tokens(documents: DataFrame, path: str, *, tokenizer: str, end_id: int
     spark.createDataFrame([(frequencies.tolist(),)], "frequencies array<long>").coalesce(1).write.parquet(f"{path}/table")
     spark.createDataFrame(bases, "shard int, base long").coalesce(1).write.parquet(f"{path}/shards")
     table = shared(spark, Table(frequencies))
-    ids.mapInArrow(lambda it: _encode(it, table), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ids.where("at >= 0").mapInArrow(lambda it: _encode(it, table), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    released(table)
     drop_scratch(spark, ids_path)
 
 

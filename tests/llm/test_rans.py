@@ -100,3 +100,34 @@ def test_no_documents(spark, tmp_path):
     path = str(tmp_path / "none")
     rans.write_tokens(documents(spark, []), path, tokenizer=rans.public_tokenizer())
     assert rans.read_tokens(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("fault", ["hash", "bytes"])
+def test_pieces_of_one_hash_and_ids_over_two_pieces(fault, monkeypatch):
+    """What the remembered pieces cannot tell is encoded alone."""
+    rng = random.Random(3)
+    texts = ODD + [prose(rng, 30) for _ in range(20)]
+    coder = rans.PieceEncoder(rans.public_tokenizer())
+    if fault == "hash":
+        own = rans.hash_spans
+        monkeypatch.setattr(rans, "hash_spans", lambda *a: own(*a) % np.uint64(7))
+    else:
+        coder.bytes = coder.bytes * 0 + 3
+    found = []
+    for _, data, offsets in common.chunks(pa.array(texts)):
+        ids, many = coder.encode(data, offsets)
+        cut = np.cumsum(many) - many
+        found += [ids[a : a + m].tolist() for a, m in zip(cut, many, strict=True)]
+    assert found == plain(texts)
+
+
+def test_rows_of_one_id_have_one_order(spark, tmp_path):
+    rows = [(4, "b c"), (4, None), (4, "a"), (None, "z"), (4, "a"), (2, "word " * 300_000)]
+    runs = []
+    for k, given in enumerate((rows, rows[::-1])):
+        rans.write_tokens(documents(spark, given), str(tmp_path / str(k)), tokenizer=rans.public_tokenizer(), shards=3)
+        runs.append(sorted(map(tuple, rans.read_tokens(spark, str(tmp_path / str(k))).collect()), key=lambda r: r[1]))
+    assert runs[0] == runs[1]
+    ids = [[*x, 0] for x in plain(["z", "word " * 300_000, None, "a", "a", "b c"])]
+    assert [r[3] for r in runs[0]] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+    assert [r[1] for r in runs[0]] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
