@@ -10,7 +10,7 @@ from helpers import corpus, documents, prose, words
 from pyspark.sql import functions as F
 
 from tessera.llm import context_mixing, language_id, quality, toxicity
-from tessera.llm.common import chunks, remainder, text_bytes
+from tessera.llm.common import remainder, text_bytes
 
 ODD = [(9000, None), (9001, ""), (9002, "123 !!"), (9003, "é"), (9004, "x" * 50000), (None, "ka lo"), (9000, None)]
 
@@ -191,74 +191,110 @@ def test_unigram_of_context_mixing(spark, monkeypatch):
     assert context_mixing.scored(df, F.lit(True)).count() == df.count()
 
 
-def test_every_context_has_its_own_counts(spark, monkeypatch):
-    rng = random.Random(6)
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    train = ["".join(rng.choices(letters, k=3000)) for _ in range(20)]
-    batch = pa.RecordBatch.from_arrays([pa.array(train * 2)], ["text"])
-    parts = [b.select(["key", "n"]) for b in context_mixing._gather(iter([batch])) if b.column(0)[0].as_py() == 1]
-    mixer = context_mixing.mixer_of(spark.createDataFrame(pa.Table.from_batches(parts).to_pandas(), "key long, n long"))
-    grams = {t[k : k + 5] for t in train for k in range(len(t) - 4)}
-    text = "".join(rng.choices(letters, k=2000)) + train[0][:500]
-    context = context_mixing.symbols(*text_bytes(pa.array([text])))[1][2]
-    assert mixer.seen[context][5:].tolist() == [text[k - 5 : k] in grams for k in range(5, len(text) + 1)]
-    # contexts that are not broadcast count alike
-    df = documents(spark, [r for r in corpus(3) if r[0] is not None])
-    score = lambda: sorted(map(tuple, context_mixing.scored(df, F.col("doc_id") % 5 == 1).select("doc_id", "n_tokens", "base_score", "score").collect()))
-    want = score()
-    monkeypatch.setattr(context_mixing, "MAX_CONTEXTS", 50)
-    monkeypatch.setattr(context_mixing, "GROUP", 4000)
-    found = score()
-    assert [r[:2] for r in found] == [r[:2] for r in want]
-    assert [x for r in found for x in r[2:]] == pytest.approx([x for r in want for x in r[2:]], rel=1e-5)
+def model(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    return context_mixing.trained(df, df)
+
+
+def sequence(mixer, texts):
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
+    words = context_mixing.split(data, offsets)
+    return words, mixer.vocabulary.sequence(words, len(texts), np.ones(len(texts), dtype=bool))
 
 
 def one_by_one(mixer, text):
-    """The mix bit by bit in plain Python, for a text of one lane."""
-    from tessera.llm.context_mixing import CELLS, GATES, RATE, REFINE, STEPS, SYMBOLS, symbols
-
-    data = np.frombuffer(text.encode(), dtype=np.uint8)
-    s, bucket, _ = symbols(data, np.array([0, len(data)]))
-    weights, cells = GATES.astype(float).copy(), [1 / (1 + math.exp(-((c + 0.5) / CELLS * 16 - 8))) for c in range(CELLS)]
-    total = 0.0
-    for k, symbol in enumerate(s):
-        gate = int(mixer.seen[bucket[2][k]]) + 2 * int(mixer.seen[bucket[3][k]])
+    """The mix bit by bit in plain Python, for a text of one lane: its contexts, too, are found word by word."""
+    C, v = context_mixing, mixer.vocabulary
+    known = dict(zip(v.names.tolist(), v.symbol.tolist(), strict=True))
+    hashed = lambda x: int(C.mix(np.array([x], dtype=np.uint64))[0] % np.uint64(C.CONTEXTS - 1))
+    said, tails = [], []
+    for w in words(text):
+        raw = np.frombuffer(w.encode(), dtype=np.uint8)
+        lowered, start, end, _, name = C.split(raw, np.array([0, len(raw)]))
+        said.append(known.get(int(name[0]), v.words + int(C.class_of(lowered, start, end)[0])))
+        tails.append(((raw[-1], raw[-2] if len(raw) > 1 else 0)))
+    weights, cells = mixer.start.astype(float).copy(), [1 / (1 + math.exp(-((c + 0.5) / C.CELLS * 16 - 8))) for c in range(C.CELLS)]
+    follow, total = Counter(), 0.0
+    for k, symbol in enumerate([*said, v.symbols - 1]):
+        often = [x for x in said[:k] if x < min(C.OWN, v.words)]
+        context = [C.CONTEXTS - 1] * 3
+        if often:
+            context[0] = often[-1]
+        if k:
+            last = int(tails[k - 1][0]) << 8 | int(tails[k - 1][1])
+            context[1] = hashed(last << 8 | (int(tails[k - 2][0]) if k > 1 else 0))
+        if len(often) > 1:
+            context[2] = hashed(often[-2] * C.OWN + often[-1])
         for d in range(mixer.tree.length[symbol]):
             node, y = mixer.tree.node[symbol, d], int(mixer.tree.bit[symbol, d])
-            x = [mixer.odds[bucket[c][k], node] / STEPS for c in range(4)]
+            gate = min(d // 3, 3) * 2 + int(k > 0 and said[k - 1] < min(C.OWN, v.words))
+            slot = min(node, C.FOLLOWED - 1)
+            x = [mixer.overall[node] / C.STEPS, *(mixer.odds[c, context[c], node] / C.STEPS for c in range(3)), follow[slot]]
             dot = max(-7.99, min(7.99, sum(a * b for a, b in zip(x, weights[gate], strict=True))))
-            p, cell = 1 / (1 + math.exp(-dot)), int((dot + 8) * CELLS / 16)
-            final = (0.6 * p + 0.4 * cells[cell]) * 0.9998 + 0.0001
+            p, cell = 1 / (1 + math.exp(-dot)), int((dot + 8) * C.CELLS / 16)
+            final = (0.7 * p + 0.3 * cells[cell]) * 0.9998 + 0.0001
             total += math.log(final if y else 1 - final)
-            for c in range(4):
-                weights[gate, c] += RATE * (y - p) * x[c]
-            cells[cell] += REFINE * (y - cells[cell])
-    assert SYMBOLS == 257
+            for c in range(5):
+                weights[gate, c] += C.RATE * (y - p) * x[c]
+            cells[cell] += C.REFINE * (y - cells[cell])
+            follow[slot] += C.FOLLOW * (y - p)
     return total
 
 
-def test_mix_bit_by_bit(spark):
+def test_mix_bit_by_bit(spark, monkeypatch):
+    monkeypatch.setattr(context_mixing, "TREE_WORDS", 60)
+    monkeypatch.setattr(context_mixing, "OWN", 9)
     rng = random.Random(5)
-    train = pa.array([prose(rng, 200) for _ in range(20)])
-    parts = [b for b in context_mixing._gather(iter([pa.RecordBatch.from_arrays([train], ["text"])])) if b.column(0)[0].as_py() == 1]
-    cells = spark.createDataFrame([tuple(r.values()) for b in parts for r in b.select(["key", "n"]).to_pylist()], "key long, n long")
-    mixer = context_mixing.mixer_of(cells)
+    mixer, counts, _, _ = model(spark, [prose(rng, 200) for _ in range(20)])
     texts = [prose(rng, 40), "", "Xyz é 123", prose(rng, 30)]
-    found = mixer.score(*text_bytes(pa.array(texts)))
-    lowered = [t.replace("X", "x") for t in texts]
-    assert found == pytest.approx([one_by_one(mixer, t) for t in lowered], rel=1e-4)
-    alone = [mixer.score(*text_bytes(pa.array([t])))[0] for t in texts]
-    assert found == pytest.approx(alone, rel=1e-5)
-    # all symbols together have probability one at the first step
-    every = sum(math.exp(context_mixing.Mixer._mix(*_first(mixer, k))[0]) for k in range(257))
-    assert every == pytest.approx(1, abs=0.02)
-    assert -found[0] / math.log(2) / len(texts[0]) < 3
-    assert list(chunks(train))
-
-
-def _first(mixer, symbol):
-    n = mixer.tree.length[symbol]
-    known = mixer.odds[np.zeros(4, dtype=int)][:, mixer.tree.node[symbol, :n]].T.copy()
-    known[:, 1:] = 0
-    gate = np.zeros(n, dtype=np.int8)
-    return known, mixer.tree.bit[symbol, :n].copy(), gate, np.arange(n), np.ones(n, dtype=int), 1
+    _, (symbol, row, context, place, just) = sequence(mixer, texts)
+    found = mixer.score(symbol, row, context, just, len(texts))
+    assert found == pytest.approx([one_by_one(mixer, t) for t in texts], rel=1e-4)
+    assert len(place) == sum(len(words(t)) for t in texts)
+    # every step is a probability: all first words, all words of a class, all letters together
+    every = np.arange(mixer.vocabulary.symbols)
+    contexts = np.full((3, len(every)), context_mixing.CONTEXTS - 1)
+    first = mixer.score(every, every, contexts, np.zeros(len(every), dtype=np.int8), len(every))
+    assert np.exp(first).sum() == pytest.approx(1, abs=1e-3)
+    assert context_mixing.CLASSES + 61 == len(every)
+    assert 0 < counts.novel < 1
+    one = mixer.byte_tree.length[np.arange(256)]
+    known = np.zeros((256, 5), dtype=np.int64) + np.array([[97], *([[0]] * 4)]).T
+    _, bit, of = mixer._byte_inputs(np.arange(256), np.arange(256), known.T)
+    odds = (mixer._byte_inputs(np.arange(256), np.arange(256), known.T)[0] / context_mixing.STEPS) @ mixer.byte_start
+    p = 1 / (1 + np.exp(-odds))
+    assert np.exp(np.bincount(of, np.log(np.where(bit > 0, p, 1 - p)))).sum() == pytest.approx(1, abs=1e-3)
+    assert len(bit) == one.sum()
+
+
+def test_words_of_a_class_share_it(spark, monkeypatch):
+    """The classes hold what is no leaf; on words drawn without any order, where the unigram is all there is to know, the mix costs little more."""
+    monkeypatch.setattr(context_mixing, "TREE_WORDS", 30)
+    rng = random.Random(8)
+    rows = [(k, prose(rng, 150)) for k in range(300)]
+    mixer, counts, kept, _ = model(spark, [t for _, t in rows])
+    assert counts.counts.sum() == sum(r["n"] for r in kept.collect())
+    assert counts.classes[counts.classes > 1].sum() == pytest.approx(np.sort(counts.counts)[::-1][30:].sum())
+    assert mixer.vocabulary.words == 30
+    found = context_mixing.scored(documents(spark, rows), F.col("doc_id") % 3 == 1).where("held_out").collect()
+    assert sum(r["score"] for r in found) > 1.1 * sum(r["base_score"] for r in found)
+    assert all(0 < r["bits_per_byte"] < 8 for r in found)
+
+
+def test_a_long_text_is_the_sum_of_its_pieces(spark, monkeypatch):
+    monkeypatch.setattr(context_mixing, "AT_ONCE", 5000)
+    rng = random.Random(9)
+    texts = [prose(rng, 6000), "y" * 40_000, "short one", None, "z" * 3000 + " " + prose(rng, 3000)]
+    seen = [[] for _ in texts]
+    for low, rows, data, offsets, row, closes in context_mixing.parts_of(pa.array(texts)):
+        assert len(data) <= 10_000 or "y" in bytes(data).decode()
+        for k, r in enumerate(row.tolist()):
+            seen[low + r].append((bytes(data[offsets[k] : offsets[k + 1]]).decode(), bool(closes[k])))
+        assert rows == len(closes)
+    assert ["".join(t for t, _ in x) for x in seen] == [t or "" for t in texts]
+    assert all([c for _, c in x] == [False] * (len(x) - 1) + [True] for x in seen)
+    assert [w for x in seen for t, _ in x for w in words(t)] == [w for t in texts for w in words(t)]
+    df = documents(spark, list(enumerate(texts)))
+    found = {r["doc_id"]: r for r in context_mixing.scored(df, F.lit(False)).collect()}
+    assert [found[k]["n_tokens"] for k in range(5)] == [len(words(t)) + 1 for t in texts]
+    assert found[0]["score"] > found[0]["n_tokens"] * -6
