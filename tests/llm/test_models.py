@@ -217,24 +217,22 @@ def one_by_one(mixer, text):
     follow, total = Counter(), 0.0
     for k, symbol in enumerate([*said, v.symbols - 1]):
         often = [x for x in said[:k] if x < min(C.OWN, v.words)]
-        context = [C.CONTEXTS - 1] * 3
+        context = [C.CONTEXTS - 1] * 2
         if often:
             context[0] = often[-1]
         if k:
             last = int(tails[k - 1][0]) << 8 | int(tails[k - 1][1])
             context[1] = hashed(last << 8 | (int(tails[k - 2][0]) if k > 1 else 0))
-        if len(often) > 1:
-            context[2] = hashed(often[-2] * C.OWN + often[-1])
         for d in range(mixer.tree.length[symbol]):
             node, y = mixer.tree.node[symbol, d], int(mixer.tree.bit[symbol, d])
             gate = min(d // 3, 3) * 2 + int(k > 0 and said[k - 1] < min(C.OWN, v.words))
             slot = min(node, C.FOLLOWED - 1)
-            x = [mixer.overall[node] / C.STEPS, *(mixer.odds[c, context[c], node] / C.STEPS for c in range(3)), follow[slot]]
+            x = [mixer.overall[node] / C.STEPS, *(mixer.odds[c, context[c], node] / C.STEPS for c in range(2)), follow[slot]]
             dot = max(-7.99, min(7.99, sum(a * b for a, b in zip(x, weights[gate], strict=True))))
             p, cell = 1 / (1 + math.exp(-dot)), int((dot + 8) * C.CELLS / 16)
             final = (0.7 * p + 0.3 * cells[cell]) * 0.9998 + 0.0001
             total += math.log(final if y else 1 - final)
-            for c in range(5):
+            for c in range(4):
                 weights[gate, c] += C.RATE * (y - p) * x[c]
             cells[cell] += C.REFINE * (y - cells[cell])
             follow[slot] += C.FOLLOW * (y - p)
@@ -253,7 +251,7 @@ def test_mix_bit_by_bit(spark, monkeypatch):
     assert len(place) == sum(len(words(t)) for t in texts)
     # every step is a probability: all first words, all words of a class, all letters together
     every = np.arange(mixer.vocabulary.symbols)
-    contexts = np.full((3, len(every)), context_mixing.CONTEXTS - 1)
+    contexts = np.full((2, len(every)), context_mixing.CONTEXTS - 1)
     first = mixer.score(every, every, contexts, np.zeros(len(every), dtype=np.int8), len(every))
     assert np.exp(first).sum() == pytest.approx(1, abs=1e-3)
     assert context_mixing.CLASSES + 61 == len(every)
