@@ -242,6 +242,7 @@ def one_by_one(mixer, text):
 def test_mix_bit_by_bit(spark, monkeypatch):
     monkeypatch.setattr(context_mixing, "TREE_WORDS", 60)
     monkeypatch.setattr(context_mixing, "OWN", 9)
+    monkeypatch.setattr(context_mixing, "FOLLOWED", 40)
     rng = random.Random(5)
     mixer, counts, _, _ = model(spark, [prose(rng, 200) for _ in range(20)])
     texts = [prose(rng, 40), "", "Xyz é 123", prose(rng, 30)]
