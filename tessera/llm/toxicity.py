@@ -7,13 +7,17 @@ raised by a factor that grows with chi-squared between term and label, so a cosi
 says more about the label than about function words.  Document frequencies are
 sums over all documents.
 
-The index holds every sampled example with all its terms: the weights of the
-COMMON terms as a matrix, those of each other term as a list of examples.  A
-query is multiplied with both, so the k nearest are exact.  Terms that no example
-holds add to the length of a query alone; the frequencies of the most frequent of
-them are broadcast, the others are joined.  Neighbours vote with the
-square of their cosine, weighted back from the sampling of their class; a
-logistic curve fitted on the examples' leave-one-out votes calibrates the vote.
+The index holds every sampled example with all its terms, in blocks of BLOCK
+examples that are alike in their strongest common term.  The weights of the COMMON
+terms are a matrix, those of each other term a posting list by block, and for
+each term and block the largest weight is kept.  A query's products with these
+maxima bound what a block can give.  The blocks of the SEEDS largest bounds are
+scored first; then all blocks whose bound is not below the k-th cosine found, so
+the k nearest are exact.  Terms that no example holds add to the length of a query
+alone; the frequencies of the most frequent of them are broadcast, the others are
+joined.  Neighbours vote with the square of their cosine, weighted back from the
+sampling of their class; a logistic curve fitted on the examples' leave-one-out
+votes calibrates the vote.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 PREFIXES = (5, 6, 7)
 #: Terms of the most examples, whose weights are held as a matrix; the others' are lists of examples.
 COMMON = 256
+#: Examples of a block; blocks that are scored first.
+BLOCK, SEEDS = 32, 12
 #: Terms that no example holds, whose frequencies are broadcast; rarer ones are joined.
 MAX_TERMS = 1 << 21
 #: Distinct terms that a task gathers before it gives rows.
@@ -40,28 +46,53 @@ GATHERED = 1 << 21
 CHI2 = 10.0
 
 
-def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every term, rows ascending."""
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct terms, row, place among the terms, tf) of the terms of each row, by row and place.
+
+    Words are counted first; beginnings are taken from distinct words alone.
+    """
     lowered = _LOWER[data]
     start, end, row = spans(lowered, offsets, _LETTER[lowered])
-    every, rows = [hash_spans(lowered, start, end)], [row]
+    word, first, place = np.unique(hash_spans(lowered, start, end), return_index=True, return_inverse=True)
+    start, end = start[first], end[first]
+    every, owner = [word], [np.arange(len(word))]
     for size in PREFIXES:
-        long = end - start > size
+        long = np.flatnonzero(end - start > size)
         every.append(mix(hash_spans(lowered, start[long], start[long] + size) + np.uint64(size)))
-        rows.append(row[long])
-    every, rows = np.concatenate(every), np.concatenate(rows)
-    order = np.argsort(rows, kind="stable")
-    return every[order], rows[order]
+        owner.append(long)
+    names, at = np.unique(np.concatenate(every), return_inverse=True)
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    at, cut = at[order], np.searchsorted(owner[order], np.arange(len(word) + 1))
+    # row, word and how often, then row, term and how often, each sorted as one number
+    key, tf = _tallied(row * (len(word) + 1) + place, np.ones(len(row), dtype=np.int64))
+    row, place = np.divmod(key, len(word) + 1)
+    entry, _ = _ranges(cut[place], cut[place + 1])
+    many = cut[place + 1] - cut[place]
+    key, tf = _tallied(np.repeat(row, many) * (len(names) + 1) + at[entry], np.repeat(tf, many))
+    return names, *np.divmod(key, len(names) + 1), tf
+
+
+def _tallied(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, sums of n); key and n are sorted as one number where they fit."""
+    if not len(key):
+        return key, n
+    bits = int(n.max()).bit_length()
+    if int(key.max()).bit_length() + bits < 63:
+        both = np.sort(key << bits | n)
+        key, n = both >> bits, both & ((1 << bits) - 1)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[start], np.add.reduceat(n, start)
 
 
 def _counted(batch, column: int):
     """(first row, distinct terms, where each row's entries begin, place among the terms, tf) of chunk after chunk."""
     for low, data, offsets in chunks(batch.column(column)):
-        term, row = terms(data, offsets)
-        names, place = np.unique(term, return_inverse=True)
-        key, tf = np.unique(row * (len(names) + 1) + place, return_counts=True)
-        cut = np.searchsorted(key, np.arange(len(offsets)) * (len(names) + 1))
-        yield low, names, cut, key % (len(names) + 1), tf
+        names, row, place, tf = terms(data, offsets)
+        yield low, names, np.searchsorted(row, np.arange(len(offsets))), place, tf
 
 
 @tidy
@@ -136,52 +167,88 @@ class ExampleIndex:
 
     def __init__(self, ids, vectors: Rows | np.ndarray, labels: np.ndarray, weights: np.ndarray, idf: np.ndarray, empty: float, k: int):
         vectors = vectors if isinstance(vectors, Rows) else Rows.of(vectors)
-        self.ids, self.labels, self.weights, self.idf, self.empty, self.k = np.asarray(ids), labels, weights, idf, empty, k
-        many = np.bincount(vectors.at, minlength=len(idf))
-        common = np.argsort(-many, kind="stable")[:COMMON]
+        self.idf, self.empty, self.k = idf, empty, k
+        common = np.argsort(-np.bincount(vectors.at, minlength=len(idf)), kind="stable")[:COMMON]
         self.column = np.full(len(idf), -1, dtype=np.int32)
         self.column[common] = np.arange(len(common))
+        dense = self._common_of(vectors)
+        strong = np.argsort(-dense, axis=1)[:, :2] if dense.shape[1] > 1 else np.zeros((len(dense), 2), dtype=np.int64)
+        order = np.lexsort((strong[:, 1], strong[:, 0], labels))
+        self.ids, self.labels, self.weights, self.dense, vectors = np.asarray(ids)[order], labels[order], weights[order], dense[order], vectors.take(order)
+        self.blocks = -(-len(vectors) // BLOCK)
+        self.dense_most = np.maximum.reduceat(self.dense, np.arange(0, len(vectors), BLOCK)) if len(vectors) else self.dense
         row = np.repeat(np.arange(len(vectors), dtype=np.int32), np.diff(vectors.cut))
-        column = self.column[vectors.at]
-        self.dense = np.zeros((len(vectors), len(common)), dtype=np.float32)
-        self.dense[row[column >= 0], column[column >= 0]] = vectors.value[column >= 0]
-        rare = np.flatnonzero(column < 0)
+        rare = np.flatnonzero(self.column[vectors.at] < 0)
         rare = rare[np.argsort(vectors.at[rare], kind="stable")]
         self.example, self.weight = row[rare], vectors.value[rare]
-        self.begin = np.searchsorted(vectors.at[rare], np.arange(len(idf) + 1))
+        # entries of (term, block): where their postings begin and the largest weight
+        pair = vectors.at[rare].astype(np.int64) * max(1, self.blocks) + self.example // BLOCK
+        begin = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, dtype=np.int64)
+        self.begin, self.block = np.append(begin, len(pair)), (pair[begin] % max(1, self.blocks)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else self.weight
+        self.entry = np.searchsorted(pair[begin], np.arange(len(idf) + 1) * max(1, self.blocks))
         self.curve = (0.0, 1.0)
         if len(labels):
             self.curve = self._calibrate(vectors)
 
+    def _common_of(self, vectors: Rows) -> np.ndarray:
+        row, column = np.repeat(np.arange(len(vectors)), np.diff(vectors.cut)), self.column[vectors.at]
+        out = np.zeros((len(vectors), min(COMMON, len(self.idf))), dtype=np.float32)
+        out[row[column >= 0], column[column >= 0]] = vectors.value[column >= 0]
+        return out
+
     def nearest(self, vectors: Rows | np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest of each row; cosine 0 stands for no neighbour."""
         vectors = vectors if isinstance(vectors, Rows) else Rows.of(vectors)
         where, cosine = np.zeros((len(vectors), k), dtype=np.int64), np.zeros((len(vectors), k), dtype=np.float32)
-        examples = len(self.dense)
+        examples = len(self.ids)
         if not examples:
             return where, cosine
         for low in range(0, len(vectors), 128):
-            cut = vectors.cut[low : low + 129]
-            at, value = vectors.at[cut[0] : cut[-1]], vectors.value[cut[0] : cut[-1]]
-            row, column = np.repeat(np.arange(len(cut) - 1), np.diff(cut)), self.column[at]
-            q = np.zeros((len(cut) - 1, self.dense.shape[1]), dtype=np.float32)
-            q[row[column >= 0], column[column >= 0]] = value[column >= 0]
-            every = q @ self.dense.T
-            for r in range(len(cut) - 1):
-                part = slice(cut[r] - cut[0], cut[r + 1] - cut[0])
-                some = column[part] < 0
-                term, by = at[part][some], value[part][some]
-                posting, _ = _ranges(self.begin[term], self.begin[term + 1])
-                if len(posting):
-                    by = np.repeat(by, self.begin[term + 1] - self.begin[term])
-                    every[r] += np.bincount(self.example[posting], self.weight[posting] * by, examples)
-            top = np.argpartition(-every, min(k, examples) - 1, axis=1)[:, :k]
-            found = np.take_along_axis(every, top, axis=1)
+            some = vectors.take(np.arange(low, min(low + 128, len(vectors))))
+            found = self._scored(some, k)
+            top = np.argpartition(-found, min(k, examples) - 1, axis=1)[:, :k]
+            found = np.take_along_axis(found, top, axis=1)
             order = np.lexsort((top, -found), axis=1)
             where[low : low + 128, : top.shape[1]] = np.take_along_axis(top, order, axis=1)
-            cosine[low : low + 128, : top.shape[1]] = np.take_along_axis(found, order, axis=1)
+            cosine[low : low + 128, : top.shape[1]] = np.maximum(np.take_along_axis(found, order, axis=1), 0)
         return where, cosine
 
+    def _scored(self, some: Rows, k: int) -> np.ndarray:
+        """Cosines of rows by examples; -1 in blocks that cannot hold one of the k nearest."""
+        rows, blocks = len(some), self.blocks
+        q = self._common_of(some)
+        rare = np.flatnonzero(self.column[some.at] < 0)
+        row, term, value = np.repeat(np.arange(rows), np.diff(some.cut))[rare], some.at[rare], some.value[rare]
+        many = self.entry[term + 1] - self.entry[term]
+        entry, _ = _ranges(self.entry[term], self.entry[term + 1])
+        row, value = np.repeat(row, many), np.repeat(value, many)
+        cell = row * blocks + self.block[entry]
+        bound = q @ self.dense_most.T + np.bincount(cell, value * self.most[entry], rows * blocks).reshape(rows, blocks).astype(np.float32)
+        out = np.full((rows, blocks * BLOCK), -1, dtype=np.float32)
+        seeds = min(SEEDS, blocks)
+        todo = np.zeros((rows, blocks), dtype=bool)
+        np.put_along_axis(todo, np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds], True, axis=1)
+        done = todo
+        self._fill(out, todo, q, row, cell, entry, value)
+        least = np.partition(out[:, : len(self.ids)], max(0, len(self.ids) - k), axis=1)[:, max(0, len(self.ids) - k)]
+        todo = (bound * np.float32(1.0001) + np.float32(1e-6) >= np.maximum(least, 0)[:, None]) & ~done
+        self._fill(out, todo, q, row, cell, entry, value)
+        return out[:, : len(self.ids)]
+
+    def _fill(self, out, todo, q, row, cell, entry, value) -> None:
+        """Cosines of the rows with all examples of the blocks to do."""
+        for block in np.flatnonzero(todo.any(axis=0)):
+            rows = np.flatnonzero(todo[:, block])
+            part = self.dense[block * BLOCK : (block + 1) * BLOCK]
+            out[rows, block * BLOCK : block * BLOCK + len(part)] = q[rows] @ part.T
+        take = todo.ravel()[cell]
+        row, entry, value = row[take], entry[take], value[take]
+        posting, _ = _ranges(self.begin[entry], self.begin[entry + 1])
+        many = self.begin[entry + 1] - self.begin[entry]
+        place = np.repeat(row, many) * out.shape[1] + self.example[posting]
+        out += np.bincount(place, self.weight[posting] * np.repeat(value, many), out.size).reshape(out.shape).astype(np.float32)
+
     def votes(self, where: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """Share of label 1 in the distance-weighted votes, in log odds; the prior has the weight of a faint neighbour."""
         if not len(self.labels):
