@@ -9,9 +9,10 @@ sums over all documents.
 
 The index holds every sampled example with all its terms, in blocks of BLOCK
 examples that are alike in their strongest common term.  The weights of the COMMON
-terms are a matrix, those of each other term a posting list by block, and for
-each term and block the largest weight is kept.  A query's products with these
-maxima bound what a block can give.  The blocks of the SEEDS largest bounds are
+terms are a matrix with the largest weight of each term in each block, those of
+each other term are a posting list.  A query first takes its posting lists; what
+they give, at most in a block, and its products with the block's maxima bound what
+an example of the block can reach.  The blocks of the SEEDS largest bounds are
 scored first; then all blocks whose bound is not below the k-th cosine found, so
 the k nearest are exact.  Terms that no example holds add to the length of a query
 alone; the frequencies of the most frequent of them are broadcast, the others are
@@ -35,9 +36,11 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Lengths in bytes of the beginnings of words that are terms themselves.
 PREFIXES = (5, 6, 7)
 #: Terms of the most examples, whose weights are held as a matrix; the others' are lists of examples.
-COMMON = 256
+COMMON = 1024
 #: Examples of a block; blocks that are scored first.
-BLOCK, SEEDS = 32, 12
+BLOCK, SEEDS = 64, 8
+#: Postings that are in memory at once.
+POSTINGS = 1 << 20
 #: Terms that no example holds, whose frequencies are broadcast; rarer ones are joined.
 MAX_TERMS = 1 << 21
 #: Distinct terms that a task gathers before it gives rows.
@@ -172,8 +175,8 @@ class ExampleIndex:
         self.column = np.full(len(idf), -1, dtype=np.int32)
         self.column[common] = np.arange(len(common))
         dense = self._common_of(vectors)
-        strong = np.argsort(-dense, axis=1)[:, :2] if dense.shape[1] > 1 else np.zeros((len(dense), 2), dtype=np.int64)
-        order = np.lexsort((strong[:, 1], strong[:, 0], labels))
+        strong = dense.argmax(axis=1) if dense.shape[1] else np.zeros(len(dense), dtype=np.int64)
+        order = np.lexsort((strong, labels))
         self.ids, self.labels, self.weights, self.dense, vectors = np.asarray(ids)[order], labels[order], weights[order], dense[order], vectors.take(order)
         self.blocks = -(-len(vectors) // BLOCK)
         self.dense_most = np.maximum.reduceat(self.dense, np.arange(0, len(vectors), BLOCK)) if len(vectors) else self.dense
@@ -181,12 +184,7 @@ class ExampleIndex:
         rare = np.flatnonzero(self.column[vectors.at] < 0)
         rare = rare[np.argsort(vectors.at[rare], kind="stable")]
         self.example, self.weight = row[rare], vectors.value[rare]
-        # entries of (term, block): where their postings begin and the largest weight
-        pair = vectors.at[rare].astype(np.int64) * max(1, self.blocks) + self.example // BLOCK
-        begin = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, dtype=np.int64)
-        self.begin, self.block = np.append(begin, len(pair)), (pair[begin] % max(1, self.blocks)).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else self.weight
-        self.entry = np.searchsorted(pair[begin], np.arange(len(idf) + 1) * max(1, self.blocks))
+        self.begin = np.searchsorted(vectors.at[rare], np.arange(len(idf) + 1))
         self.curve = (0.0, 1.0)
         if len(labels):
             self.curve = self._calibrate(vectors)
@@ -204,50 +202,47 @@ class ExampleIndex:
         examples = len(self.ids)
         if not examples:
             return where, cosine
-        for low in range(0, len(vectors), 128):
-            some = vectors.take(np.arange(low, min(low + 128, len(vectors))))
-            found = self._scored(some, k)
+        # rows go together as far as their postings fit in memory
+        many = np.where(self.column[vectors.at] < 0, self.begin[vectors.at + 1] - self.begin[vectors.at], 0)
+        reach, low = np.concatenate([[0], np.cumsum(many)])[vectors.cut], 0
+        while low < len(vectors):
+            high = min(low + 128, max(low + 1, int(np.searchsorted(reach, reach[low] + POSTINGS, "right")) - 1), len(vectors))
+            found = self._scored(vectors.take(np.arange(low, high)), k)
             top = np.argpartition(-found, min(k, examples) - 1, axis=1)[:, :k]
             found = np.take_along_axis(found, top, axis=1)
             order = np.lexsort((top, -found), axis=1)
-            where[low : low + 128, : top.shape[1]] = np.take_along_axis(top, order, axis=1)
-            cosine[low : low + 128, : top.shape[1]] = np.maximum(np.take_along_axis(found, order, axis=1), 0)
+            where[low:high, : top.shape[1]] = np.take_along_axis(top, order, axis=1)
+            cosine[low:high, : top.shape[1]] = np.maximum(np.take_along_axis(found, order, axis=1), 0)
+            low = high
         return where, cosine
 
     def _scored(self, some: Rows, k: int) -> np.ndarray:
         """Cosines of rows by examples; -1 in blocks that cannot hold one of the k nearest."""
-        rows, blocks = len(some), self.blocks
+        rows, examples = len(some), len(self.ids)
         q = self._common_of(some)
         rare = np.flatnonzero(self.column[some.at] < 0)
-        row, term, value = np.repeat(np.arange(rows), np.diff(some.cut))[rare], some.at[rare], some.value[rare]
-        many = self.entry[term + 1] - self.entry[term]
-        entry, _ = _ranges(self.entry[term], self.entry[term + 1])
-        row, value = np.repeat(row, many), np.repeat(value, many)
-        cell = row * blocks + self.block[entry]
-        bound = q @ self.dense_most.T + np.bincount(cell, value * self.most[entry], rows * blocks).reshape(rows, blocks).astype(np.float32)
-        out = np.full((rows, blocks * BLOCK), -1, dtype=np.float32)
-        seeds = min(SEEDS, blocks)
-        todo = np.zeros((rows, blocks), dtype=bool)
-        np.put_along_axis(todo, np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds], True, axis=1)
-        done = todo
-        self._fill(out, todo, q, row, cell, entry, value)
-        least = np.partition(out[:, : len(self.ids)], max(0, len(self.ids) - k), axis=1)[:, max(0, len(self.ids) - k)]
-        todo = (bound * np.float32(1.0001) + np.float32(1e-6) >= np.maximum(least, 0)[:, None]) & ~done
-        self._fill(out, todo, q, row, cell, entry, value)
-        return out[:, : len(self.ids)]
-
-    def _fill(self, out, todo, q, row, cell, entry, value) -> None:
+        term, many = some.at[rare], self.begin[some.at[rare] + 1] - self.begin[some.at[rare]]
+        posting, _ = _ranges(self.begin[term], self.begin[term + 1])
+        place = np.repeat(np.repeat(np.arange(rows), np.diff(some.cut))[rare] * examples, many) + self.example[posting]
+        listed = np.bincount(place, self.weight[posting] * np.repeat(some.value[rare], many), rows * examples).reshape(rows, examples).astype(np.float32)
+        bound = q @ self.dense_most.T + np.maximum.reduceat(listed, np.arange(0, examples, BLOCK), axis=1)
+        out = np.full((rows, examples), -1, dtype=np.float32)
+        seeds = min(SEEDS, self.blocks)
+        first = np.zeros((rows, self.blocks), dtype=bool)
+        chosen = np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds]
+        np.put_along_axis(first, chosen, True, axis=1)
+        self._fill(out, first, q, listed)
+        seen = np.minimum((chosen[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(rows, -1), examples)  # past the last example: nothing
+        seen = np.where(seen < examples, np.take_along_axis(out, np.minimum(seen, examples - 1), axis=1), -1)
+        least = np.maximum(np.partition(seen, -k, axis=1)[:, -k], 0)[:, None] if seen.shape[1] > k else np.zeros((rows, 1))
+        self._fill(out, (bound * np.float32(1.0001) + np.float32(1e-6) >= least) & ~first, q, listed)
+        return out
+
+    def _fill(self, out, todo, q, listed) -> None:
         """Cosines of the rows with all examples of the blocks to do."""
         for block in np.flatnonzero(todo.any(axis=0)):
-            rows = np.flatnonzero(todo[:, block])
-            part = self.dense[block * BLOCK : (block + 1) * BLOCK]
-            out[rows, block * BLOCK : block * BLOCK + len(part)] = q[rows] @ part.T
-        take = todo.ravel()[cell]
-        row, entry, value = row[take], entry[take], value[take]
-        posting, _ = _ranges(self.begin[entry], self.begin[entry + 1])
-        many = self.begin[entry + 1] - self.begin[entry]
-        place = np.repeat(row, many) * out.shape[1] + self.example[posting]
-        out += np.bincount(place, self.weight[posting] * np.repeat(value, many), out.size).reshape(out.shape).astype(np.float32)
+            rows, part = np.flatnonzero(todo[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
+            out[rows, part] = q[rows] @ self.dense[part].T + listed[rows, part]
 
     def votes(self, where: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """Share of label 1 in the distance-weighted votes, in log odds; the prior has the weight of a faint neighbour."""
