@@ -40,7 +40,7 @@ COMMON = 1024
 #: Examples of a block; blocks that are scored first.
 BLOCK, SEEDS = 64, 8
 #: Postings that are in memory at once.
-POSTINGS = 1 << 20
+POSTINGS = 1 << 18
 #: Terms that no example holds, whose frequencies are broadcast; rarer ones are joined.
 MAX_TERMS = 1 << 21
 #: Distinct terms that a task gathers before it gives rows.
@@ -178,13 +178,15 @@ class ExampleIndex:
         strong = dense.argmax(axis=1) if dense.shape[1] else np.zeros(len(dense), dtype=np.int64)
         order = np.lexsort((strong, labels))
         self.ids, self.labels, self.weights, self.dense, vectors = np.asarray(ids)[order], labels[order], weights[order], dense[order], vectors.take(order)
+        del dense
         self.blocks = -(-len(vectors) // BLOCK)
         self.dense_most = np.maximum.reduceat(self.dense, np.arange(0, len(vectors), BLOCK)) if len(vectors) else self.dense
-        row = np.repeat(np.arange(len(vectors), dtype=np.int32), np.diff(vectors.cut))
-        rare = np.flatnonzero(self.column[vectors.at] < 0)
-        rare = rare[np.argsort(vectors.at[rare], kind="stable")]
-        self.example, self.weight = row[rare], vectors.value[rare]
-        self.begin = np.searchsorted(vectors.at[rare], np.arange(len(idf) + 1))
+        rare = self.column[vectors.at] < 0
+        term, row = vectors.at[rare], np.repeat(np.arange(len(vectors), dtype=np.int32), np.diff(vectors.cut))[rare]
+        order = np.argsort(term, kind="stable")
+        self.example, self.weight = row[order], vectors.value[rare][order]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
+        del rare, term, row, order
         self.curve = (0.0, 1.0)
         if len(labels):
             self.curve = self._calibrate(vectors)
@@ -206,7 +208,7 @@ class ExampleIndex:
         many = np.where(self.column[vectors.at] < 0, self.begin[vectors.at + 1] - self.begin[vectors.at], 0)
         reach, low = np.concatenate([[0], np.cumsum(many)])[vectors.cut], 0
         while low < len(vectors):
-            high = min(low + 128, max(low + 1, int(np.searchsorted(reach, reach[low] + POSTINGS, "right")) - 1), len(vectors))
+            high = min(low + 64, max(low + 1, int(np.searchsorted(reach, reach[low] + POSTINGS, "right")) - 1), len(vectors))
             found = self._scored(vectors.take(np.arange(low, high)), k)
             top = np.argpartition(-found, min(k, examples) - 1, axis=1)[:, :k]
             found = np.take_along_axis(found, top, axis=1)
@@ -373,20 +375,22 @@ def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label:
     square = np.concatenate([np.zeros(len(idf)), np.square(np.log((1 + total) / (1 + other.column("n").to_numpy())) + 1)])
     once = float(np.square(np.log((1 + total) / 2) + 1))
     table = shared(spark, (names[order], at_of[order], square[order].astype(np.float32), once, joined))
-
-    place = np.argsort(names[: len(idf)])
+    own_names = names[: len(idf)].copy()
+    del names, order, at_of, square, other, inside, a, b
+    place = np.argsort(own_names)
     rows = texts.mapInArrow(lambda it: _sampled(it, ids), "doc_id long, term array<long>, tf array<int>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     own = np.array([sample[i] for i in rows.column(0).to_pylist()], dtype=np.int64)
     weight = np.array([1 / share[y] for y in own.tolist()], dtype=float)
     terms_of, tf = (rows.column(c).combine_chunks() for c in (1, 2))
     held = terms_of.flatten().to_numpy().view(np.uint64)
-    at = place[np.searchsorted(names[: len(idf)], held, sorter=place)].astype(np.int64) if len(held) else np.zeros(0, dtype=np.int64)
+    at = place.astype(np.int32)[np.searchsorted(own_names[place], held)] if len(held) else np.zeros(0, dtype=np.int32)
     cut = np.concatenate([[0], np.cumsum(np.diff(terms_of.offsets.to_numpy()))]).astype(np.int64) if len(rows) else np.zeros(1, dtype=np.int64)
-    vectors = unit(cut, at, tf.flatten().to_numpy(), idf)
+    vectors, found = unit(cut, at, tf.flatten().to_numpy(), idf), np.array(rows.column(0).to_pylist(), dtype=np.int64)
+    del held, terms_of, tf, rows, at, own_names, place
     some = np.diff(cut) > 0
     base = float((weight * own).sum() / max(1e-9, weight.sum()))
     empty = float(((weight * own)[~some].sum() + base) / (weight[~some].sum() + 1.0))
-    index = shared(spark, ExampleIndex(np.array(rows.column(0).to_pylist(), dtype=np.int64), vectors, own, weight, idf, empty, k))
+    index = shared(spark, ExampleIndex(found, vectors, own, weight, idf, empty, k))
 
     counted = texts.mapInArrow(lambda it: _weigh(it, table), "row long, doc_id long, at array<int>, tf array<int>, more double, rest array<long>, rest_tf array<int>")
     if joined:
