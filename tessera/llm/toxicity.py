@@ -23,6 +23,8 @@ votes calibrates the vote.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -168,9 +170,9 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class ExampleIndex:
     """Labelled examples by term; k nearest by cosine; calibrated votes."""
 
-    def __init__(self, ids, vectors: Rows | np.ndarray, labels: np.ndarray, weights: np.ndarray, idf: np.ndarray, empty: float, k: int):
+    def __init__(self, ids, vectors: Rows | np.ndarray, labels: np.ndarray, weights: np.ndarray, idf: np.ndarray, empty: float, k: int, curve: tuple[float, float] | None = None):
         vectors = vectors if isinstance(vectors, Rows) else Rows.of(vectors)
-        self.idf, self.empty, self.k = idf, empty, k
+        self.idf, self.empty, self.k, self.curve = idf, empty, k, curve
         common = np.argsort(-np.bincount(vectors.at, minlength=len(idf)), kind="stable")[:COMMON]
         self.column = np.full(len(idf), -1, dtype=np.int32)
         self.column[common] = np.arange(len(common))
@@ -187,9 +189,17 @@ class ExampleIndex:
         self.example, self.weight = row[order], vectors.value[rare][order]
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
         del rare, term, row, order
-        self.curve = (0.0, 1.0)
-        if len(labels):
-            self.curve = self._calibrate(vectors)
+        self._rows = vectors
+        if curve is None:
+            self.curve = (0.0, 1.0)
+            if len(labels):
+                self.curve = self._calibrate(vectors)
+
+    def __reduce__(self):
+        """What is broadcast is the examples' rows, packed; matrix and lists are made from them where they are needed."""
+        rows = self._rows
+        steps = zlib.compress(np.diff(rows.at, prepend=0).astype("<i4").tobytes(), 1)
+        return _index_of, (self.ids, rows.cut, steps, rows.value, self.labels, self.weights, self.idf, self.empty, self.k, self.curve)
 
     def _common_of(self, vectors: Rows) -> np.ndarray:
         row, column = np.repeat(np.arange(len(vectors)), np.diff(vectors.cut)), self.column[vectors.at]
@@ -279,6 +289,10 @@ class ExampleIndex:
         return np.where(cosine[:, 0] > 0, score, self.empty), where, cosine
 
 
+def _index_of(ids, cut, steps, value, labels, weights, idf, empty, k, curve) -> ExampleIndex:
+    return ExampleIndex(ids, Rows(cut, np.cumsum(np.frombuffer(steps, dtype="<i4"), dtype=np.int32), value), labels, weights, idf, empty, k, curve)
+
+
 def unit(cut: np.ndarray, at: np.ndarray, tf: np.ndarray, idf: np.ndarray, more: np.ndarray | float = 0.0) -> Rows:
     """TF-IDF rows of length 1, or without an entry: (1 + ln tf) * idf; more is the squared length of terms that no example holds."""
     value = (1 + np.log(tf)) * idf[at]

@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 import re
 from collections import Counter
@@ -131,6 +132,10 @@ def test_block_maxima_give_the_nearest():
     _, cosine = index.nearest(q, 9)
     want = -np.sort(-(q @ v.T), axis=1)[:, :9]
     assert cosine == pytest.approx(want, abs=1e-5)
+    again = pickle.loads(pickle.dumps(index))
+    assert again.curve == index.curve
+    assert (again.nearest(q, 9)[1] == cosine).all()
+    assert (again.ids == index.ids).all()
 
 
 def test_every_term_counts_in_toxicity(spark, monkeypatch):
