@@ -290,7 +290,7 @@ class ExampleIndex:
 
 
 def _index_of(ids, cut, steps, value, labels, weights, idf, empty, k, curve) -> ExampleIndex:
-    return ExampleIndex(ids, Rows(cut, np.cumsum(np.frombuffer(steps, dtype="<i4"), dtype=np.int32), value), labels, weights, idf, empty, k, curve)
+    return ExampleIndex(ids, Rows(cut, np.cumsum(np.frombuffer(zlib.decompress(steps), dtype="<i4"), dtype=np.int32), value), labels, weights, idf, empty, k, curve)
 
 
 def unit(cut: np.ndarray, at: np.ndarray, tf: np.ndarray, idf: np.ndarray, more: np.ndarray | float = 0.0) -> Rows:
