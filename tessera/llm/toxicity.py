@@ -131,14 +131,15 @@ def _frequency_rows(names, counts):
 
 
 @tidy
-def _sampled(batches, known):
-    """(doc_id, term, tf): the terms of the sampled documents and their counts."""
-    known = known.value
+def _sampled(batches, known, table):
+    """(doc_id, hash, at, tf): the terms of the sampled documents by their numbers, and their counts."""
+    known, (names, at_of, *_) = known.value, table.value
     for batch in batches:
         batch = batch.filter(pa.array([i in known for i in batch.column(0).to_pylist()], pa.bool_()))
-        for low, names, cut, place, tf in _counted(batch, 1):
-            lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), x) for x in (pa.array(names[place].view(np.int64)), pa.array(tf, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[low : low + len(cut) - 1], *lists], ["doc_id", "term", "tf"])
+        for low, term, cut, place, tf in _counted(batch, 1):
+            at = at_of[np.searchsorted(names, term)][place] if len(term) else np.zeros(0, dtype=np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int32())) for x in (at, tf)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k)[low : low + len(cut) - 1] for k in (0, 2)), *lists], ["doc_id", "hash", "at", "tf"])
 
 
 class Rows:
@@ -189,17 +190,8 @@ class ExampleIndex:
         self.example, self.weight = row[order], vectors.value[rare][order]
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
         del rare, term, row, order
-        self._rows = vectors
         if curve is None:
-            self.curve = (0.0, 1.0)
-            if len(labels):
-                self.curve = self._calibrate(vectors)
-
-    def __reduce__(self):
-        """What is broadcast is the examples' rows, packed; matrix and lists are made from them where they are needed."""
-        rows = self._rows
-        steps = zlib.compress(np.diff(rows.at, prepend=0).astype("<i4").tobytes(), 1)
-        return _index_of, (self.ids, rows.cut, steps, rows.value, self.labels, self.weights, self.idf, self.empty, self.k, self.curve)
+            self.curve = curve_of(self.own_votes(vectors), self.labels, self.weights)
 
     def _common_of(self, vectors: Rows) -> np.ndarray:
         row, column = np.repeat(np.arange(len(vectors)), np.diff(vectors.cut)), self.column[vectors.at]
@@ -235,8 +227,11 @@ class ExampleIndex:
         rare = np.flatnonzero(self.column[some.at] < 0)
         term, many = some.at[rare], self.begin[some.at[rare] + 1] - self.begin[some.at[rare]]
         posting, _ = _ranges(self.begin[term], self.begin[term + 1])
-        place = np.repeat(np.repeat(np.arange(rows), np.diff(some.cut))[rare] * examples, many) + self.example[posting]
-        listed = np.bincount(place, self.weight[posting] * np.repeat(some.value[rare], many), rows * examples).reshape(rows, examples).astype(np.float32)
+        given = self.weight[posting] * np.repeat(some.value[rare], many)
+        cut = np.concatenate([[0], np.cumsum(many)])[np.searchsorted(rare, some.cut)]
+        listed = np.empty((rows, examples), dtype=np.float32)
+        for r, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist(), strict=False)):
+            listed[r] = np.bincount(self.example[posting[a:b]], given[a:b], examples)
         bound = q @ self.dense_most.T + np.maximum.reduceat(listed, np.arange(0, examples, BLOCK), axis=1)
         out = np.full((rows, examples), -1, dtype=np.float32)
         seeds = min(SEEDS, self.blocks)
@@ -267,19 +262,18 @@ class ExampleIndex:
         zero = (weight * (1 - self.labels[where])).sum(axis=1) + prior * (1 - share)
         return np.log(one / zero)
 
-    def _calibrate(self, vectors: Rows) -> tuple[float, float]:
+    def own_votes(self, vectors: Rows) -> np.ndarray:
+        """The votes on each example, in the order of the index, without itself."""
+        if not len(self.labels):
+            return np.zeros(0)
         where, cosine = self.nearest(vectors, self.k + 1)
         own = where == np.arange(len(vectors))[:, None]
+        return self.votes(*self._without(where, cosine, own))
+
+    def _without(self, where, cosine, own) -> tuple[np.ndarray, np.ndarray]:
         drop = np.where(own.any(axis=1), own.argmax(axis=1), self.k)
         keep = np.arange(self.k + 1) != drop[:, None]
-        x = self.votes(where[keep].reshape(-1, self.k), cosine[keep].reshape(-1, self.k))
-        y, w = self.labels.astype(float), self.weights / self.weights.sum() * len(self.weights)
-        design, beta = np.stack([np.ones(len(x)), x], axis=1), np.array([0.0, 1.0])
-        for _ in range(25):  # Newton steps, held near the uncalibrated vote by a ridge
-            p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-            step = design.T @ (w * (y - p)) - (beta - [0.0, 1.0])
-            beta = beta + np.linalg.solve((design.T * (w * p * (1 - p))) @ design + np.eye(2), np.clip(step, -1e6, 1e6))
-        return (float(beta[0]), float(beta[1])) if np.isfinite(beta).all() and beta[1] > 0 else (0.0, 1.0)
+        return where[keep].reshape(-1, self.k), cosine[keep].reshape(-1, self.k)
 
     def score(self, vectors: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score, neighbours, cosines) of unit or zero vectors."""
@@ -289,8 +283,51 @@ class ExampleIndex:
         return np.where(cosine[:, 0] > 0, score, self.empty), where, cosine
 
 
-def _index_of(ids, cut, steps, value, labels, weights, idf, empty, k, curve) -> ExampleIndex:
-    return ExampleIndex(ids, Rows(cut, np.cumsum(np.frombuffer(zlib.decompress(steps), dtype="<i4"), dtype=np.int32), value), labels, weights, idf, empty, k, curve)
+def curve_of(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """The logistic curve of votes x on labels y."""
+    if not len(x):
+        return 0.0, 1.0
+    y, w = y.astype(float), weights / weights.sum() * len(weights)
+    design, beta = np.stack([np.ones(len(x)), x], axis=1), np.array([0.0, 1.0])
+    for _ in range(25):  # Newton steps, held near the uncalibrated vote by a ridge
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        step = design.T @ (w * (y - p)) - (beta - [0.0, 1.0])
+        beta = beta + np.linalg.solve((design.T * (w * p * (1 - p))) @ design + np.eye(2), np.clip(step, -1e6, 1e6))
+    return (float(beta[0]), float(beta[1])) if np.isfinite(beta).all() and beta[1] > 0 else (0.0, 1.0)
+
+
+class Examples:
+    """The rows that an index is made from, packed; they travel, and a worker makes the index when it first asks for it."""
+
+    def __init__(self, ids, vectors: Rows, labels, weights, idf, empty: float, k: int):
+        self.steps = zlib.compress(np.diff(vectors.at, prepend=0).astype("<i4").tobytes(), 1)
+        self.cut, self.value, self.rest = vectors.cut, vectors.value, (labels, weights, idf, empty, k)
+        self.ids, self._index = np.asarray(ids), None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_index": None}
+
+    @property
+    def rows(self) -> Rows:
+        return Rows(self.cut, np.cumsum(np.frombuffer(zlib.decompress(self.steps), dtype="<i4"), dtype=np.int32), self.value)
+
+    @property
+    def index(self) -> ExampleIndex:
+        if self._index is None:
+            self._index = ExampleIndex(np.arange(len(self.ids)), self.rows, *self.rest, (0.0, 1.0))
+        return self._index
+
+
+@tidy
+def _own_votes(batches, examples):
+    """(example, x): the votes on examples, without themselves."""
+    examples = examples.value
+    index, rows = examples.index, examples.rows
+    for batch in batches:
+        some = batch.column(0).to_numpy()
+        where, cosine = index.nearest(rows.take(some), index.k + 1)
+        x = index.votes(*index._without(where, cosine, index.ids[where] == some[:, None]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], ["example", "x"])
 
 
 def unit(cut: np.ndarray, at: np.ndarray, tf: np.ndarray, idf: np.ndarray, more: np.ndarray | float = 0.0) -> Rows:
@@ -326,8 +363,10 @@ def _weigh(batches, table):
 
 
 @tidy
-def _score(batches, index, threshold):
-    index = index.value
+def _score(batches, examples, curve, threshold):
+    examples = examples.value
+    index = examples.index
+    index.curve = curve
     for batch in batches:
         cut = batch.column(2).offsets.to_numpy()
         at, tf = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
@@ -339,7 +378,7 @@ def _score(batches, index, threshold):
         rows = np.array([first[key] for key in place], dtype=np.int64)
         entry, to = _ranges(cut[rows], cut[rows + 1])
         score, where, cosine = index.score(unit(to, at[entry], tf[entry], index.idf, more[rows]))
-        near = [index.ids[w[c > 0]].tolist() for w, c in zip(where[:, :5], cosine[:, :5], strict=True)]
+        near = [examples.ids[index.ids[w[c > 0]]].tolist() for w, c in zip(where[:, :5], cosine[:, :5], strict=True)]
         weight = [c[c > 0].astype(float).tolist() for c in cosine[:, :5]]
         back = [place[key] for key in keys]
         score = score[back] if len(back) else score
@@ -389,22 +428,24 @@ def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label:
     square = np.concatenate([np.zeros(len(idf)), np.square(np.log((1 + total) / (1 + other.column("n").to_numpy())) + 1)])
     once = float(np.square(np.log((1 + total) / 2) + 1))
     table = shared(spark, (names[order], at_of[order], square[order].astype(np.float32), once, joined))
-    own_names = names[: len(idf)].copy()
     del names, order, at_of, square, other, inside, a, b
-    place = np.argsort(own_names)
-    rows = texts.mapInArrow(lambda it: _sampled(it, ids), "doc_id long, term array<long>, tf array<int>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    hashed = texts.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    rows = hashed.mapInArrow(lambda it: _sampled(it, ids, table), "doc_id long, hash long, at array<int>, tf array<int>")
+    # of an id that stands for several texts, the one of the least hash
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("hash", "at", "tf")).alias("r")).select("doc_id", "r.at", "r.tf").orderBy("doc_id").toArrow()
     own = np.array([sample[i] for i in rows.column(0).to_pylist()], dtype=np.int64)
     weight = np.array([1 / share[y] for y in own.tolist()], dtype=float)
-    terms_of, tf = (rows.column(c).combine_chunks() for c in (1, 2))
-    held = terms_of.flatten().to_numpy().view(np.uint64)
-    at = place.astype(np.int32)[np.searchsorted(own_names[place], held)] if len(held) else np.zeros(0, dtype=np.int32)
-    cut = np.concatenate([[0], np.cumsum(np.diff(terms_of.offsets.to_numpy()))]).astype(np.int64) if len(rows) else np.zeros(1, dtype=np.int64)
-    vectors, found = unit(cut, at, tf.flatten().to_numpy(), idf), np.array(rows.column(0).to_pylist(), dtype=np.int64)
-    del held, terms_of, tf, rows, at, own_names, place
+    at, tf = (rows.column(c).combine_chunks() for c in (1, 2))
+    cut = np.concatenate([[0], np.cumsum(np.diff(at.offsets.to_numpy()))]).astype(np.int64) if len(rows) else np.zeros(1, dtype=np.int64)
+    vectors, found = unit(cut, at.flatten().to_numpy(), tf.flatten().to_numpy(), idf), np.array(rows.column(0).to_pylist(), dtype=np.int64)
+    del rows, at, tf
     some = np.diff(cut) > 0
     base = float((weight * own).sum() / max(1e-9, weight.sum()))
     empty = float(((weight * own)[~some].sum() + base) / (weight[~some].sum() + 1.0))
-    index = shared(spark, ExampleIndex(found, vectors, own, weight, idf, empty, k))
+    index = shared(spark, Examples(found, vectors, own, weight, idf, empty, k))
+    del vectors
+    votes = spark.range(len(found)).mapInArrow(lambda it: _own_votes(it, index), "example long, x double").toArrow().to_pandas().sort_values("example")
+    curve = curve_of(votes["x"].to_numpy(), own, weight)
 
     counted = texts.mapInArrow(lambda it: _weigh(it, table), "row long, doc_id long, at array<int>, tf array<int>, more double, rest array<long>, rest_tf array<int>")
     if joined:
@@ -415,7 +456,7 @@ def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label:
         rest = rest.groupBy("row").agg(F.sum(length).alias("length"))
         counted = counted.join(rest, "row", "left").withColumn("more", F.col("more") + F.coalesce("length", F.lit(0.0)))
     result = counted.withColumn("held_out", held_out).select("doc_id", "held_out", "at", "tf", "more")
-    return result.mapInArrow(lambda it: _score(it, index, threshold), "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, cosines array<double>")
+    return result.mapInArrow(lambda it: _score(it, index, curve, threshold), "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, cosines array<double>")
 
 
 def stress(a: np.ndarray, b: np.ndarray, one: float, zero: float) -> np.ndarray:

@@ -132,10 +132,22 @@ def test_block_maxima_give_the_nearest():
     _, cosine = index.nearest(q, 9)
     want = -np.sort(-(q @ v.T), axis=1)[:, :9]
     assert cosine == pytest.approx(want, abs=1e-5)
-    again = pickle.loads(pickle.dumps(index))
-    assert again.curve == index.curve
-    assert (again.nearest(q, 9)[1] == cosine).all()
-    assert (again.ids == index.ids).all()
+    rows = toxicity.Rows.of(v)
+    labels = rng.integers(0, 2, len(v))
+    index = toxicity.ExampleIndex(np.arange(len(v)), rows, labels, np.ones(len(v)), np.ones(40), 0.1, 9)
+    packed = pickle.loads(pickle.dumps(toxicity.Examples(np.arange(len(v)) + 500, rows, labels, np.ones(len(v)), np.ones(40), 0.1, 9)))
+    assert (packed.index.nearest(q, 9)[1] == index.nearest(q, 9)[1]).all()
+    assert (packed.rows.at == rows.at).all()
+    # votes without the example itself
+    cosine = v @ v.T
+    np.fill_diagonal(cosine, -1)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(v)))], ["id"])
+    x = next(toxicity._own_votes(iter([batch]), type("B", (), {"value": packed}))).column(1).to_numpy()
+    for k in (0, 7, 99):
+        top = np.argsort(-cosine[k], kind="stable")[:9]
+        w = np.square(np.maximum(cosine[k][top], 0))
+        one, zero = (w * labels[top]).sum() + 0.02 * 0.1, (w * (1 - labels[top])).sum() + 0.02 * 0.9
+        assert x[k] == pytest.approx(np.log(one / zero), abs=1e-3)
 
 
 def test_every_term_counts_in_toxicity(spark, monkeypatch):
