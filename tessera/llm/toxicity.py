@@ -42,7 +42,7 @@ COMMON = 1024
 #: Examples of a block; blocks that are scored first.
 BLOCK, SEEDS = 64, 8
 #: Postings that are in memory at once.
-POSTINGS = 1 << 18
+POSTINGS = 1 << 19
 #: Terms that no example holds, whose frequencies are broadcast; rarer ones are joined.
 MAX_TERMS = 1 << 21
 #: Distinct terms that a task gathers before it gives rows.
@@ -437,7 +437,11 @@ def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label:
     weight = np.array([1 / share[y] for y in own.tolist()], dtype=float)
     at, tf = (rows.column(c).combine_chunks() for c in (1, 2))
     cut = np.concatenate([[0], np.cumsum(np.diff(at.offsets.to_numpy()))]).astype(np.int64) if len(rows) else np.zeros(1, dtype=np.int64)
-    vectors, found = unit(cut, at.flatten().to_numpy(), tf.flatten().to_numpy(), idf), np.array(rows.column(0).to_pylist(), dtype=np.int64)
+    at, tf, value = at.flatten().to_numpy(), tf.flatten().to_numpy(), []
+    for k in range(0, len(rows), 512):  # as their arrays of doubles would be large
+        part = cut[k : k + 513]
+        value.append(unit(part - part[0], at[part[0] : part[-1]], tf[part[0] : part[-1]], idf).value)
+    vectors, found = Rows(cut, at, np.concatenate([np.zeros(0, dtype=np.float32), *value])), np.array(rows.column(0).to_pylist(), dtype=np.int64)
     del rows, at, tf
     some = np.diff(cut) > 0
     base = float((weight * own).sum() / max(1e-9, weight.sum()))
