@@ -8,7 +8,7 @@ readings compare structs and are computed without a key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import interval_of, is_extreme
@@ -30,9 +30,13 @@ def global_metrics(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("n"), *per, F.count_if(is_extreme(F.col("temperature"))).alias("extreme"))
 
 
-def _reading(records: DataFrame, order) -> DataFrame:
-    best = F.max(F.struct(order.alias("t"), (-F.col("timestamp")).alias("ts"), (-F.col("station_id")).alias("id"), F.col("temperature").alias("temperature")))
-    return records.agg(best.alias("b")).where("b is not null").select(F.col("b.temperature").alias("temperature"), (-F.col("b.ts")).alias("timestamp"), (-F.col("b.id")).alias("station_id"))
+def _extreme(order: Column) -> Column:
+    """Of the reading with the largest order: t, -timestamp, -station and temperature; the smallest time, then station, of equals."""
+    return F.max(F.struct(order.alias("t"), (-F.col("timestamp")).alias("ts"), (-F.col("station_id")).alias("id"), F.col("temperature").alias("temperature")))
+
+
+def _reading(records: DataFrame, order: Column) -> DataFrame:
+    return records.agg(_extreme(order).alias("b")).where("b is not null").select(F.col("b.temperature").alias("temperature"), (-F.col("b.ts")).alias("timestamp"), (-F.col("b.id")).alias("station_id"))
 
 
 def hottest(records: DataFrame) -> DataFrame:
@@ -71,9 +75,29 @@ def top_stations(records: DataFrame, k: int = DEFAULT_K, stations: int | None =
     return top.select("station_id", "n", (F.col("sum_temperature") / F.col("n")).alias("avg_temperature"), "sum_rainfall")
 
 
+def _levels(records: DataFrame, stations: int | None) -> DataFrame:
+    """Aggregates over all (level 3), by interval (1) and by station (2) from one scan.
+
+    The columns pass a generator, which keeps them together: each use of the
+    result then has the same exchange below it, and Spark runs it once.
+    """
+    bound = F.lit(True) if stations is None else F.col("station_id").between(0, stations - 1)
+    keyed = records.select(interval_of(F.col("timestamp")).alias("interval"), F.when(bound, F.col("station_id")).alias("station_id"), bound.alias("inside"), *MEASURES)
+    per = [f(m).alias(f"{name}_{m}") for name, f in (("sum", F.sum), ("avg", F.avg), ("min", F.min), ("max", F.max)) for m in MEASURES]
+    sets = keyed.groupingSets([[], ["interval"], ["station_id", "inside"]], "interval", "station_id", "inside")
+    made = sets.agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *per, F.count_if(is_extreme(F.col("temperature"))).alias("extreme"))
+    level = F.when(F.col("level") == 7, 3).when(F.col("level") == 3, 1).otherwise(2)
+    return made.select(F.inline(F.array(F.struct(level.alias("level"), *(F.col(c) for c in made.columns if c != "level")))))
+
+
 def report(records: DataFrame, k: int = DEFAULT_K, stations: int | None = None) -> DataFrame:
-    """The whole report as rows (line, key, value, rain, station_id, at, n): at is a time or an interval.  Empty input has zeros and busiest interval -1."""
-    g = global_metrics(records)
+    """The whole report as rows (line, key, value, rain, station_id, at, n): at is a time or an interval.  Empty input has zeros and busiest interval -1.
+
+    Two scans: one for all that is summed, one for the two extreme readings.
+    """
+    levels = _levels(records, stations)
+    g = levels.where("level = 3").select(*(c for c in levels.columns if c not in ("level", "interval", "station_id", "inside")))
+    g = g.agg(*((F.coalesce(F.max(c), F.lit(0)) if c in ("n", "extreme") else F.max(c)).alias(c) for c in g.columns))  # a row for empty input too
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     singles = [("TOTAL_MEASUREMENTS", None, "n")]
     for m in ("temperature", "humidity", "pressure"):
@@ -91,11 +115,13 @@ def report(records: DataFrame, k: int = DEFAULT_K, stations: int | None = None)
 
     none, zero_id = F.lit(None).cast("double"), lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     line = len(singles)
-    out = out.unionByName(single(line, "HOTTEST_MEASUREMENT", hottest(records), zero("temperature"), zero_id("station_id"), zero_id("timestamp"), nothing))
-    out = out.unionByName(single(line + 1, "COLDEST_MEASUREMENT", coldest(records), zero("temperature"), zero_id("station_id"), zero_id("timestamp"), nothing))
-    out = out.unionByName(single(line + 2, "BUSIEST_INTERVAL", busiest_interval(records), none, nothing, F.coalesce(F.col("interval"), F.lit(-1).cast("long")), zero_id("n")))
-    top = top_stations(records, k, stations)
-    ranked = top.select(F.lit(line + 3).alias("line"), F.lit("TOP_STATIONS").alias("key"), F.col("avg_temperature").alias("value"), F.col("sum_rainfall").alias("rain"), "station_id", nothing.alias("at"), "n")
+    hot, cold = _extreme(F.col("temperature")), _extreme(-F.col("temperature"))
+    both = records.agg(hot.alias("hot"), cold.alias("cold")).select(F.explode(F.array(F.struct(F.lit(line).alias("line"), F.lit("HOTTEST_MEASUREMENT").alias("key"), F.col("hot").alias("b")), F.struct(F.lit(line + 1).alias("line"), F.lit("COLDEST_MEASUREMENT").alias("key"), F.col("cold").alias("b")))).alias("r")).select("r.*")
+    out = out.unionByName(both.select("line", "key", zero("b.temperature").alias("value"), none.alias("rain"), F.coalesce(-F.col("b.id"), F.lit(0).cast("long")).alias("station_id"), F.coalesce(-F.col("b.ts"), F.lit(0).cast("long")).alias("at"), nothing.alias("n")))
+    busiest = levels.where("level = 1").select("interval", "n").orderBy(F.desc("n"), "interval").limit(1)
+    out = out.unionByName(single(line + 2, "BUSIEST_INTERVAL", busiest, none, nothing, F.coalesce(F.col("interval"), F.lit(-1).cast("long")), zero_id("n")))
+    top = levels.where("level = 2 and inside").orderBy(F.desc("n"), "station_id").limit(check_k(k))
+    ranked = top.select(F.lit(line + 3).alias("line"), F.lit("TOP_STATIONS").alias("key"), (F.col("sum_temperature") / F.col("n")).alias("value"), F.col("sum_rainfall").alias("rain"), "station_id", nothing.alias("at"), "n")
     return out.unionByName(ranked)
 
 

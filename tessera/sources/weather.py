@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import known_number
@@ -28,14 +28,22 @@ class DatasetMeta:
     s: int | None = None
 
 
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """The columns, worked out once for each row however often they are used: filters and projections do not pass a generator."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def parsed(lines: DataFrame) -> DataFrame:
-    """lines(value) as (kind, the columns of schema.WEATHER): kind is record, header, blank or malformed."""
-    tokens = lines.select(F.split(F.trim(F.translate("value", "\t\r\f\v", "    ")), " +").alias("f"), (F.trim(F.translate("value", "\t\r\f\v", "    ")) == "").alias("blank"))
-    numbers = tokens.select("f", "blank", *(known_number(F.get("f", F.lit(k)), c.dataType.simpleString()).alias(c.name) for k, c in enumerate(WEATHER)))
+    """lines(value) as (kind, the columns of schema.WEATHER, f): kind is record, header, blank or malformed; f the tokens."""
+    blank = F.col("value").rlike("[\t\r\f\v]")
+    plain = _once(lines, F.trim(F.when(blank, F.translate("value", "\t\r\f\v", "    ")).otherwise(F.col("value"))).alias("v"))
+    single = F.when(F.col("v").contains("  "), F.regexp_replace("v", " +", " ")).otherwise(F.col("v"))
+    tokens = _once(plain, F.split(single, " ").alias("f"))
+    numbers = _once(tokens, "f", *(known_number(F.get("f", F.lit(k)), c.dataType.simpleString()).alias(c.name) for k, c in enumerate(WEATHER)))
     whole = F.size("f") == len(WEATHER)
     for c in WEATHER.names:
         whole = whole & F.col(c).isNotNull()
-    kind = F.when(F.col("blank"), "blank").when(whole, "record").when(F.size("f") == 3, "header").otherwise("malformed")
+    kind = F.when(whole, "record").when(F.array_join("f", "") == "", "blank").when(F.size("f") == 3, "header").otherwise("malformed")
     return numbers.select(kind.alias("kind"), *WEATHER.names, "f")
 
 
