@@ -2,21 +2,22 @@
 
 Each text is cut where its own content says so, each chunk becomes a 64-bit
 identifier, and a document becomes the ordered list of them (its recipe).
-Documents are compared by recipe, so a long text is read where it lies and only
-eight bytes per chunk are moved.  Identifiers are then verified: the chunks of
-documents that share a recipe are grouped by identifier and their contents
-compared, one copy of each from each map task.  Identifiers that stand for more
-than one content get a variant number for each content, and recipes that hold
-them are compared with those numbers, so a hash collision never joins two texts.
+Documents are compared by recipe, so a text is read once, where it lies, and only
+recipes are moved.  Identifiers are then verified by the SHA-256 digests of their
+chunks: in documents that share a recipe, an identifier that stands for more than
+one digest is ambiguous, and documents that hold such a one are compared by their
+digests as well, so a collision of identifiers never joins two texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower, stored
 
+#: Parts of a group of copies that are joined with its result apart.
+SALTS = 8
 #: A chunk ends after white space followed by one of these, once it has the least length.
 BOUNDARY = r"[\s][jkqvxyzJKQVXYZ0-9#éñß]"
 
@@ -36,38 +37,37 @@ def exact_duplicates(documents: DataFrame, *, least: int = 256, most: int = 4096
     other columns are ignored, and an empty table gives no rows.
     identifier maps a chunk to a BIGINT; any function of the chunk gives right results.
     """
-    lowered = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    base = documents.select("doc_id", lowered.alias("t"))
+    base = documents.select("doc_id", ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"))
+    cut = base.select("doc_id", "t", chunks_of(F.col("t"), least, most).alias("c"))
     recipes = stored(
-        base.select(
+        cut.select(
             "doc_id",
-            F.transform(chunks_of(F.col("t"), least, most), lambda c: identifier(c).cast("long")).alias("recipe"),
+            F.transform("c", lambda c: identifier(c).cast("long")).alias("recipe"),
+            F.transform("c", lambda c: F.unhex(F.sha2(c, 256))).alias("digests"),
             F.length("t").cast("long").alias("n_chars"),
-            F.sha2(F.col("t"), 256).alias("text_sha256"),
+            F.sha2("t", 256).alias("text_sha256"),
         ),
         "recipes",
     )
     key = ["recipe", "n_chars"]
     repeated = recipes.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1 and n_chars > 0").drop("n")
-    suspects = recipes.join(repeated, key, "left_semi").select(name.alias("name")).distinct()
-    pieces = (
-        documents.select(name.alias("name"), lowered.alias("t"))
-        .join(suspects, "name", "left_semi")
-        .select("name", "t", F.posexplode(chunks_of(F.col("t"), least, most)).alias("at", "chunk"))
-        .withColumn("h", identifier(F.col("chunk")).cast("long"))
-    )
-    ambiguous = stored(
-        pieces.groupBy("h").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high").select("h"), "ambiguous"
-    )
+    # one line for each list of digests: copies have the same
+    suspects = recipes.join(repeated, key, "left_semi").select("recipe", "digests").distinct()
+    pieces = suspects.select(F.explode(F.arrays_zip("recipe", "digests")).alias("p")).select(F.col("p.recipe").alias("h"), F.col("p.digests").alias("d"))
+    ambiguous = stored(pieces.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low <> high").select("h"), "ambiguous")
+    compared = recipes.select("doc_id", *key, "text_sha256", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     if not ambiguous.isEmpty():
-        # a row is named by its id and its text, as ids may repeat or be null
-        held = pieces.select("name", F.sha2("t", 256).alias("text_sha256"), "at", "chunk", "h").join(ambiguous, "h", "left_semi")
-        numbers = held.select("h", "chunk").distinct().withColumn("number", F.dense_rank().over(Window.partitionBy("h").orderBy("chunk")))
-        variants = held.join(numbers, ["h", "chunk"]).groupBy("name", "text_sha256").agg(F.sort_array(F.collect_set(F.struct("at", "number"))).alias("variant"))
-        recipes, key = recipes.withColumn("name", name).join(variants, ["name", "text_sha256"], "left"), [*key, "variant"]
-        recipes = recipes.withColumn("variant", F.coalesce("variant", F.expr("cast(array() as array<struct<at:int,number:int>>)")))
-    groups = recipes.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return recipes.join(groups, key).select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
+        held = recipes.select("recipe", F.explode("recipe").alias("h")).join(ambiguous, "h", "left_semi").select("recipe").distinct().withColumn("doubtful", F.lit(True))
+        told = recipes.join(held, "recipe", "left").withColumn("variant", F.when(F.col("doubtful"), F.col("digests")).otherwise(F.expr("cast(array() as array<binary>)")))
+        key = [*key, "variant"]
+        compared = told.select("doc_id", *key, "text_sha256", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    groups = compared.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    # each group of copies is there SALTS times, so a large one is dealt to several tasks; others need no partner
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return compared.join(groups.withColumn("salt", F.col("salt").cast("long")), [*key, "salt"], "left").select(
+        "doc_id",
+        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.coalesce(F.col("doc_id") == F.coalesce("keep_id", "doc_id"), F.lit(False)).alias("kept"),
+        "text_sha256",
     )

@@ -165,7 +165,7 @@ def train(labelled: DataFrame, *, documents: int = 1600, blocks: int = 3, landma
     left out.  More than MAX_LANGUAGES languages are refused.
     """
     spark = labelled.sparkSession
-    labelled = labelled.where("lang is not null and text is not null")
+    labelled = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")

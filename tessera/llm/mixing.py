@@ -118,7 +118,15 @@ def mixed(documents: DataFrame, *, domain: Column, weights: dict, seed: int = 0,
 
 
 def selected(documents: DataFrame, *, domain: Column, weights: dict, seed: int = 0, **options) -> DataFrame:
-    """documents without the rows that a mixture of at most one epoch leaves out; columns are unchanged."""
+    """documents without the rows that a mixture of at most one epoch leaves out.
+
+    Columns are unchanged, also where their names are those used here; nulls,
+    ties and repeated rows are as in mixed(); an empty table gives no rows.
+    """
     columns = documents.columns
-    leaves = plan(documents.select("doc_id", "text", "lang", "source"), domain=domain, weights=weights, seed=seed, max_epochs=1, **options)
-    return _times(documents, leaves, domain, seed).where("_times > 0").select(*columns)
+    plain = [f"c{k}" for k in range(len(columns))]
+    needed = ("doc_id", "text", "lang", "source")
+    own = documents.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(columns, plain, strict=True)), *needed, domain.alias("domain"))
+    leaves = plan(own.select(*needed, "domain"), domain=F.col("domain"), weights=weights, seed=seed, max_epochs=1, **options)
+    kept = _times(own, leaves, F.col("domain"), seed).where("_times > 0")
+    return kept.select(*(F.col(p).alias(c) for c, p in zip(columns, plain, strict=True)))

@@ -37,7 +37,7 @@ def languages(n=300):
 
 def test_language(spark):
     rows = languages()
-    df = spark.createDataFrame(rows + [(i, t, "en") for i, t in ODD], "doc_id long, text string, lang string").withColumn("score", F.lit(1)).withColumn("_lang", F.lit("x"))
+    df = spark.createDataFrame(rows + [(i, t, "en") for i, t in ODD], "doc_id long, text string, lang string").withColumns({"score": F.lit(1), "_lang": F.lit("x"), "_part": F.lit("x"), "block": F.lit(1)})
     held = remainder(F.col("doc_id"), 4) == 2
     model = language_id.train(df.where(~held).where("doc_id < 9000"))
     assert model.languages == ["de", "en", "fr"]

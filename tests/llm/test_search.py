@@ -109,3 +109,16 @@ def test_selected_keeps_columns(spark):
     assert mixing.selected(df, domain=F.lit("d"), weights={}, share=1.0).count() == df.count()
     empty = df.where("false")
     assert mixing.selected(empty, domain=F.lit("d"), weights={}).count() == mixing.mixed(empty, domain=F.lit("d"), weights={}).count() == 0
+
+
+def test_columns_of_the_caller_stay(spark):
+    """Names that the operators use themselves, and texts that are very long."""
+    mine = ("_tokens", "_lang", "_source", "_domain", "_text", "_full", "_cut", "_times", "c0", "domain", "_h")
+    df = table(spark, 300).withColumns({c: F.lit("mine") for c in mine})
+    long = df.limit(1).withColumn("text", F.repeat(F.lit("word "), F.lit(2_000_000)))
+    df = df.unionByName(long)
+    kept = mixing.selected(df, domain=domain_of(F.col("source")), weights={}, share=1.0)
+    assert kept.columns == df.columns
+    assert kept.count() == df.count()
+    assert {tuple(r) for r in kept.select(*mine).distinct().collect()} == {("mine",) * len(mine)}
+    assert mixing.mixed(df, domain=F.lit("d"), weights={}, share=1.0, max_epochs=1).agg(F.max("n_tokens")).first()[0] == 2_000_000
