@@ -52,7 +52,7 @@ def exact_duplicates(documents: DataFrame, *, least: int = 256, most: int = 4096
     key = ["recipe", "n_chars"]
     repeated = recipes.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1 and n_chars > 0").drop("n")
     # one line for each list of digests: copies have the same
-    suspects = recipes.join(repeated, key, "left_semi").select("recipe", "digests").distinct()
+    suspects = recipes.select(*key, "digests").distinct().join(repeated, key, "left_semi")
     pieces = suspects.select(F.explode(F.arrays_zip("recipe", "digests")).alias("p")).select(F.col("p.recipe").alias("h"), F.col("p.digests").alias("d"))
     ambiguous = stored(pieces.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low <> high").select("h"), "ambiguous")
     compared = recipes.select("doc_id", *key, "text_sha256", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))

@@ -273,7 +273,7 @@ class ExampleIndex:
     def _without(self, where, cosine, own) -> tuple[np.ndarray, np.ndarray]:
         drop = np.where(own.any(axis=1), own.argmax(axis=1), self.k)
         keep = np.arange(self.k + 1) != drop[:, None]
-        return where[keep].reshape(-1, self.k), cosine[keep].reshape(-1, self.k)
+        return where[keep].reshape(len(where), self.k), cosine[keep].reshape(len(where), self.k)
 
     def score(self, vectors: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score, neighbours, cosines) of unit or zero vectors."""
@@ -438,8 +438,8 @@ def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label:
     at, tf = (rows.column(c).combine_chunks() for c in (1, 2))
     cut = np.concatenate([[0], np.cumsum(np.diff(at.offsets.to_numpy()))]).astype(np.int64) if len(rows) else np.zeros(1, dtype=np.int64)
     at, tf, value = at.flatten().to_numpy(), tf.flatten().to_numpy(), []
-    for k in range(0, len(rows), 512):  # as their arrays of doubles would be large
-        part = cut[k : k + 513]
+    for low in range(0, len(rows), 512):  # as their arrays of doubles would be large
+        part = cut[low : low + 513]
         value.append(unit(part - part[0], at[part[0] : part[-1]], tf[part[0] : part[-1]], idf).value)
     vectors, found = Rows(cut, at, np.concatenate([np.zeros(0, dtype=np.float32), *value])), np.array(rows.column(0).to_pylist(), dtype=np.int64)
     del rows, at, tf
