@@ -8,7 +8,7 @@ says more about the label than about function words.  Document frequencies are
 sums over all documents.
 
 The index holds every sampled example with all its terms, in blocks of BLOCK
-examples that are alike in their strongest common term.  The weights of the COMMON
+examples with one label as far as can be.  The weights of the COMMON
 terms are a matrix with the largest weight of each term in each block, those of
 each other term are a posting list.  A query first takes its posting lists; what
 they give, at most in a block, and its products with the block's maxima bound what
@@ -38,7 +38,7 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Lengths in bytes of the beginnings of words that are terms themselves.
 PREFIXES = (5, 6, 7)
 #: Terms of the most examples, whose weights are held as a matrix; the others' are lists of examples.
-COMMON = 1024
+COMMON = 512
 #: Examples of a block; blocks that are scored first.
 BLOCK, SEEDS = 64, 8
 #: Postings that are in memory at once.
@@ -177,19 +177,24 @@ class ExampleIndex:
         common = np.argsort(-np.bincount(vectors.at, minlength=len(idf)), kind="stable")[:COMMON]
         self.column = np.full(len(idf), -1, dtype=np.int32)
         self.column[common] = np.arange(len(common))
-        dense = self._common_of(vectors)
-        strong = dense.argmax(axis=1) if dense.shape[1] else np.zeros(len(dense), dtype=np.int64)
-        order = np.lexsort((strong, labels))
-        self.ids, self.labels, self.weights, self.dense, vectors = np.asarray(ids)[order], labels[order], weights[order], dense[order], vectors.take(order)
-        del dense
+        self.ids, self.labels, self.weights = np.asarray(ids), labels, weights
+        self.dense = np.zeros((len(vectors), len(common)), dtype=np.float32)
+        held: list[tuple] = []
+        for low in range(0, len(vectors), 1024):  # as arrays of all entries would be large
+            part = slice(vectors.cut[low], vectors.cut[min(low + 1024, len(vectors))])
+            row = np.repeat(np.arange(low, min(low + 1024, len(vectors)), dtype=np.int32), np.diff(vectors.cut[low : low + 1025]))
+            at, value = vectors.at[part], vectors.value[part]
+            column = self.column[at]
+            self.dense[row[column >= 0], column[column >= 0]] = value[column >= 0]
+            held.append((at[column < 0].astype(np.int32), row[column < 0], value[column < 0]))
         self.blocks = -(-len(vectors) // BLOCK)
         self.dense_most = np.maximum.reduceat(self.dense, np.arange(0, len(vectors), BLOCK)) if len(vectors) else self.dense
-        rare = self.column[vectors.at] < 0
-        term, row = vectors.at[rare], np.repeat(np.arange(len(vectors), dtype=np.int32), np.diff(vectors.cut))[rare]
-        order = np.argsort(term, kind="stable")
-        self.example, self.weight = row[order], vectors.value[rare][order]
+        term = np.concatenate([np.zeros(0, dtype=np.int32), *(h[0] for h in held)])
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
-        del rare, term, row, order
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        del term
+        self.example = np.concatenate([np.zeros(0, dtype=np.int32), *(h[1] for h in held)])[order]
+        self.weight = np.concatenate([np.zeros(0, dtype=np.float32), *(h[2] for h in held)])[order]
         if curve is None:
             self.curve = curve_of(self.own_votes(vectors), self.labels, self.weights)
 
@@ -432,7 +437,7 @@ def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label:
     hashed = texts.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     rows = hashed.mapInArrow(lambda it: _sampled(it, ids, table), "doc_id long, hash long, at array<int>, tf array<int>")
     # of an id that stands for several texts, the one of the least hash
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("hash", "at", "tf")).alias("r")).select("doc_id", "r.at", "r.tf").orderBy("doc_id").toArrow()
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("hash", "at", "tf")).alias("r")).select("doc_id", "r.at", "r.tf").join(known, "doc_id").orderBy("label", "doc_id").toArrow()
     own = np.array([sample[i] for i in rows.column(0).to_pylist()], dtype=np.int64)
     weight = np.array([1 / share[y] for y in own.tolist()], dtype=float)
     at, tf = (rows.column(c).combine_chunks() for c in (1, 2))
