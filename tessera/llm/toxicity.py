@@ -41,7 +41,8 @@ PREFIXES = (5, 6, 7)
 COMMON = 512
 #: Examples of a block; blocks that are scored first.
 BLOCK, SEEDS = 64, 8
-#: Postings that are in memory at once.
+#: Bytes of text, and postings, that are in memory at once.
+AT_ONCE = 2 << 20
 POSTINGS = 1 << 19
 #: Terms that no example holds, whose frequencies are broadcast; rarer ones are joined.
 MAX_TERMS = 1 << 21
@@ -95,7 +96,7 @@ def _tallied(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _counted(batch, column: int):
     """(first row, distinct terms, where each row's entries begin, place among the terms, tf) of chunk after chunk."""
-    for low, data, offsets in chunks(batch.column(column)):
+    for low, data, offsets in chunks(batch.column(column), AT_ONCE):
         names, row, place, tf = terms(data, offsets)
         yield low, names, np.searchsorted(row, np.arange(len(offsets))), place, tf
 
@@ -345,7 +346,7 @@ def unit(cut: np.ndarray, at: np.ndarray, tf: np.ndarray, idf: np.ndarray, more:
 
 @tidy
 def _weigh(batches, table):
-    """(row, doc_id, at, tf, more, rest, rest_tf): the counts of terms that examples hold, the squared length of the
+    """(row, doc_id, held_out, at, tf, more, rest, rest_tf): the counts of terms that examples hold, the squared length of the
     others as far as their frequency is known here, and the terms (with counts) whose frequency is to be joined."""
     names, at_of, square, once, joined = table.value
     number = TaskContext.get().partitionId() << 40
@@ -363,10 +364,17 @@ def _weigh(batches, table):
             lists = []
             for mask, values, kind in ((inside, at, pa.int32()), (inside, tf, pa.int32()), (rest, term.view(np.int64)[place], pa.int64()), (rest, tf, pa.int32())):
                 lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row[mask], np.arange(rows + 1)), pa.int32()), pa.array(values[mask], kind)))
-            yield pa.RecordBatch.from_arrays([pa.array(number + np.arange(rows)), batch.column(0)[low : low + rows], lists[0], lists[1], pa.array(squares, pa.float64()), lists[2], lists[3]], ["row", "doc_id", "at", "tf", "more", "rest", "rest_tf"])
+            yield pa.RecordBatch.from_arrays([pa.array(number + np.arange(rows)), batch.column(0)[low : low + rows], batch.column(2)[low : low + rows], lists[0], lists[1], pa.array(squares, pa.float64()), lists[2], lists[3]], ["row", "doc_id", "held_out", "at", "tf", "more", "rest", "rest_tf"])
             number += rows
 
 
+@tidy
+def _weigh_and_score(batches, table, examples, curve, threshold):
+    """Both in one worker, where no frequency is to be joined."""
+    weighed = (b.select(["doc_id", "held_out", "at", "tf", "more"]) for b in _weigh(batches, table))
+    yield from _score(weighed, examples, curve, threshold)
+
+
 @tidy
 def _score(batches, examples, curve, threshold):
     examples = examples.value
@@ -456,16 +464,16 @@ def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label:
     votes = spark.range(len(found)).mapInArrow(lambda it: _own_votes(it, index), "example long, x double").toArrow().to_pandas().sort_values("example")
     curve = curve_of(votes["x"].to_numpy(), own, weight)
 
-    counted = texts.mapInArrow(lambda it: _weigh(it, table), "row long, doc_id long, at array<int>, tf array<int>, more double, rest array<long>, rest_tf array<int>")
-    if joined:
-        counted = stored(counted, "terms")
-        rest = counted.select("row", F.explode(F.arrays_zip("rest", "rest_tf")).alias("x")).select("row", F.col("x.rest").alias("term"), F.col("x.rest_tf").alias("f"))
-        rest = rest.join(seen.where("a + b = 0").select("term", "n"), "term")
-        length = F.pow((1 + F.log("f")) * (F.log(F.lit(1.0 + total) / (1 + F.col("n"))) + 1), 2)
-        rest = rest.groupBy("row").agg(F.sum(length).alias("length"))
-        counted = counted.join(rest, "row", "left").withColumn("more", F.col("more") + F.coalesce("length", F.lit(0.0)))
-    result = counted.withColumn("held_out", held_out).select("doc_id", "held_out", "at", "tf", "more")
-    return result.mapInArrow(lambda it: _score(it, index, curve, threshold), "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, cosines array<double>")
+    asked, schema = texts.withColumn("held_out", held_out), "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, cosines array<double>"
+    if not joined:
+        return asked.mapInArrow(lambda it: _weigh_and_score(it, table, index, curve, threshold), schema)
+    counted = stored(asked.mapInArrow(lambda it: _weigh(it, table), "row long, doc_id long, held_out boolean, at array<int>, tf array<int>, more double, rest array<long>, rest_tf array<int>"), "terms")
+    rest = counted.select("row", F.explode(F.arrays_zip("rest", "rest_tf")).alias("x")).select("row", F.col("x.rest").alias("term"), F.col("x.rest_tf").alias("f"))
+    rest = rest.join(seen.where("a + b = 0").select("term", "n"), "term")
+    length = F.pow((1 + F.log("f")) * (F.log(F.lit(1.0 + total) / (1 + F.col("n"))) + 1), 2)
+    rest = rest.groupBy("row").agg(F.sum(length).alias("length"))
+    counted = counted.join(rest, "row", "left").withColumn("more", F.col("more") + F.coalesce("length", F.lit(0.0)))
+    return counted.select("doc_id", "held_out", "at", "tf", "more").mapInArrow(lambda it: _score(it, index, curve, threshold), schema)
 
 
 def stress(a: np.ndarray, b: np.ndarray, one: float, zero: float) -> np.ndarray:
