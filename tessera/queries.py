@@ -151,7 +151,7 @@ def live_counters_by_worker(spark: SparkSession, sf_dir: str, workers: int = 4)
 
 
 def cells_of(embeddings: DataFrame, rows: int | None = 64) -> DataFrame:
-    """Coordinates of hundredfold, rounded embeddings; rows makes a square matrix of the first of them."""
+    """Coordinates of hundredfold, rounded embeddings; rows keeps the first of them, as many as the inner index has values, for a right operand."""
     out = embeddings.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "x")).select("i", F.col("j").cast("long").alias("j"), F.round(F.col("x").cast("double") * 100).alias("v"))
     return out if rows is None else out.where(F.col("i") < rows)
 
@@ -175,12 +175,13 @@ def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matrix_product_dense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_text(matrix.to_rows(matrix.product(_m(spark, sf_dir), _m(spark, sf_dir)), 64, 64))
+    left = _m(spark, sf_dir, None)
+    return _as_text(matrix.to_rows(matrix.product(left, _m(spark, sf_dir)), matrix.dims(left).first()["rows"], 64))
 
 
 def matrix_product_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same product with both sides shuffled on the inner index."""
-    return matrix.product(_m(spark, sf_dir), _m(spark, sf_dir), broadcast_cells=0)
+    return matrix.product(_m(spark, sf_dir, None), _m(spark, sf_dir), broadcast_cells=0)
 
 
 def matrix_to_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +190,8 @@ def matrix_to_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matrix_to_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_text(matrix.to_rows(_m(spark, sf_dir).where("v > 0"), 64, 64))
+    cells = _m(spark, sf_dir, None)
+    return _as_text(matrix.to_rows(cells.where("v > 0"), matrix.dims(cells).first()["rows"], 64))
 
 
 # --- documents ----------------------------------------------------------------
@@ -314,7 +316,7 @@ QUERIES = {
     "matrix_dims": lambda s, d: matrix.dims(_m(s, d, None)),
     "matrix_reducer_count": lambda s, d: matrix.reducer_count(_m(s, d, None)),
     "matrix_single_row": lambda s, d: matrix.product(_m(s, d).where("i = 0"), _m(s, d)),
-    "matrix_single_column": lambda s, d: matrix.product(_m(s, d), _m(s, d).where("j = 0")),
+    "matrix_single_column": lambda s, d: matrix.product(_m(s, d, None), _m(s, d).where("j = 0")),
     "matrix_row_times_vector": lambda s, d: matrix.product(_m(s, d).where("i = 0"), _m(s, d).where("j = 0")),
     "matrix_sum_duplicates": lambda s, d: matrix.checked(_m(s, d, None).select((F.col("i") % 16).alias("i"), "j", "v"), "sum"),
     "docs_final_state": lambda s, d: documents.final_state(_ops(s, d)),
@@ -339,7 +341,7 @@ def _columns(*names: str) -> str:
     return f"{W}SELECT {', '.join(names)} FROM (SELECT {_GLOBAL} FROM w)"
 
 
-_DENSE = """, spine AS (SELECT r.range AS i, s.range AS j FROM range(64) r, range(64) s)
+_DENSE = """, spine AS (SELECT r.i, s.range AS j FROM (SELECT unnest(range((SELECT max(i) + 1 FROM c))) AS i) r, range(64) s)
 SELECT spine.i, string_agg(CAST(CAST(coalesce(p.v, 0) AS BIGINT) AS VARCHAR), ' ' ORDER BY spine.j) AS line FROM spine LEFT JOIN p USING (i, j) GROUP BY spine.i"""
 
 ORACLE_SQL = {
@@ -367,14 +369,14 @@ ORACLE_SQL = {
     "weather_stream_busiest": f'{W}SELECT * FROM (SELECT {_INTERVAL}) ORDER BY n DESC, "interval" LIMIT 1',
     "live_counters_by_worker": "SELECT event_id // 500 % 4 AS worker, CAST(count(*) AS BIGINT) AS records, CAST(count(DISTINCT event_id // 500) AS BIGINT) AS batches FROM events GROUP BY 1",
     "matrix_product": M + _PRODUCT.format("c", "m"),
-    "matrix_product_shuffled": M + _PRODUCT.format("m", "m"),
-    "matrix_product_dense_rows": M + ", p AS (" + _PRODUCT.format("m", "m") + ")" + _DENSE,
+    "matrix_product_shuffled": M + _PRODUCT.format("c", "m"),
+    "matrix_product_dense_rows": M + ", p AS (" + _PRODUCT.format("c", "m") + ")" + _DENSE,
     "matrix_to_sparse": M + "SELECT i, j, v FROM c WHERE v <> 0",
-    "matrix_to_dense": M + ", p AS (SELECT * FROM m WHERE v > 0)" + _DENSE,
+    "matrix_to_dense": M + ", p AS (SELECT * FROM c WHERE v > 0)" + _DENSE,
     "matrix_dims": M + "SELECT max(i) + 1 AS rows, max(j) + 1 AS columns FROM c",
     "matrix_reducer_count": M + "SELECT CAST(least(64, greatest(1, count(DISTINCT i))) AS BIGINT) AS reducers FROM c",
     "matrix_single_row": M + _PRODUCT.format("(SELECT * FROM m WHERE i = 0)", "m"),
-    "matrix_single_column": M + _PRODUCT.format("m", "(SELECT * FROM m WHERE j = 0)"),
+    "matrix_single_column": M + _PRODUCT.format("c", "(SELECT * FROM m WHERE j = 0)"),
     "matrix_row_times_vector": M + _PRODUCT.format("(SELECT * FROM m WHERE i = 0)", "(SELECT * FROM m WHERE j = 0)"),
     "matrix_sum_duplicates": M + "SELECT i % 16 AS i, j, sum(v) AS v FROM c GROUP BY 1, 2",
     "docs_final_state": _FINAL,
