@@ -375,11 +375,17 @@ def _tokenise(batches, path, end_id):
 
 @tidy
 def _count(batches):
-    """(id, n) from the counts of shards."""
+    """(id, n) from the counts of shards, summed in a task."""
+    total = np.zeros(0, dtype=np.int64)
     for batch in batches:
         for packed in batch.column(0).to_pylist():
             many = len(packed) // 12
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(packed, "<u4", many), pa.int64()), pa.array(np.frombuffer(packed, "<u8", many, 4 * many), pa.int64())], ["id", "n"])
+            ids, n = np.frombuffer(packed, "<u4", many).astype(np.int64), np.frombuffer(packed, "<u8", many, 4 * many).astype(np.int64)
+            if many and ids[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(int(ids[-1]) + 1 - len(total), dtype=np.int64)])
+            total[ids] += n
+    held = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held])], ["id", "n"])
 
 
 BLOCKS = "shard int, first long, before long, doc_ids array<long>, payload binary"
