@@ -41,9 +41,10 @@ PREFIXES = (5, 6, 7)
 COMMON = 512
 #: Examples of a block; blocks that are scored first.
 BLOCK, SEEDS = 64, 8
-#: Bytes of text, and postings, that are in memory at once.
+#: Bytes of text, postings, and queries of a search that are in memory at once.
 AT_ONCE = 2 << 20
 POSTINGS = 1 << 19
+ROWS = 128
 #: Terms that no example holds, whose frequencies are broadcast; rarer ones are joined.
 MAX_TERMS = 1 << 21
 #: Distinct terms that a task gathers before it gives rows.
@@ -187,15 +188,19 @@ class ExampleIndex:
             at, value = vectors.at[part], vectors.value[part]
             column = self.column[at]
             self.dense[row[column >= 0], column[column >= 0]] = value[column >= 0]
-            held.append((at[column < 0].astype(np.int32), row[column < 0], value[column < 0]))
+            # a posting is one number: the example above the bits of its weight
+            held.append((at[column < 0].astype(np.int32), row[column < 0].astype(np.int64) << 32 | value[column < 0].view(np.uint32)))
         self.blocks = -(-len(vectors) // BLOCK)
         self.dense_most = np.maximum.reduceat(self.dense, np.arange(0, len(vectors), BLOCK)) if len(vectors) else self.dense
         term = np.concatenate([np.zeros(0, dtype=np.int32), *(h[0] for h in held)])
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
         order = np.argsort(term, kind="stable").astype(np.int32)
         del term
-        self.example = np.concatenate([np.zeros(0, dtype=np.int32), *(h[1] for h in held)])[order]
-        self.weight = np.concatenate([np.zeros(0, dtype=np.float32), *(h[2] for h in held)])[order]
+        postings = [np.zeros(0, dtype=np.int64), *(h[1] for h in held)]
+        del held
+        joined = np.concatenate(postings)
+        del postings
+        self.posting = joined[order]
         if curve is None:
             self.curve = curve_of(self.own_votes(vectors), self.labels, self.weights)
 
@@ -212,32 +217,41 @@ class ExampleIndex:
         examples = len(self.ids)
         if not examples:
             return where, cosine
-        # rows go together as far as their postings fit in memory
-        many = np.where(self.column[vectors.at] < 0, self.begin[vectors.at + 1] - self.begin[vectors.at], 0)
-        reach, low = np.concatenate([[0], np.cumsum(many)])[vectors.cut], 0
-        while low < len(vectors):
-            high = min(low + 64, max(low + 1, int(np.searchsorted(reach, reach[low] + POSTINGS, "right")) - 1), len(vectors))
+        for low in range(0, len(vectors), ROWS):
+            high = min(low + ROWS, len(vectors))
             found = self._scored(vectors.take(np.arange(low, high)), k)
             top = np.argpartition(-found, min(k, examples) - 1, axis=1)[:, :k]
             found = np.take_along_axis(found, top, axis=1)
             order = np.lexsort((top, -found), axis=1)
             where[low:high, : top.shape[1]] = np.take_along_axis(top, order, axis=1)
             cosine[low:high, : top.shape[1]] = np.maximum(np.take_along_axis(found, order, axis=1), 0)
-            low = high
         return where, cosine
 
+    def _listed(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """What the posting lists of some terms give each example; as many lists at once as POSTINGS allows."""
+        out = np.zeros(len(self.ids))
+        begin, end = self.begin[at], self.begin[at + 1]
+        reach, low = np.concatenate([[0], np.cumsum(end - begin)]), 0
+        while low < len(at):
+            high = max(low + 1, int(np.searchsorted(reach, reach[low] + POSTINGS, "right")) - 1)
+            found = np.concatenate([self.posting[x] for x in map(slice, begin[low:high].tolist(), end[low:high].tolist())])
+            given = np.repeat(value[low:high], end[low:high] - begin[low:high])
+            given *= found.view(np.float32)[::2]
+            found >>= 32
+            out += np.bincount(found, given.astype(np.float64), len(out))
+            low = high
+        return out
+
     def _scored(self, some: Rows, k: int) -> np.ndarray:
         """Cosines of rows by examples; -1 in blocks that cannot hold one of the k nearest."""
         rows, examples = len(some), len(self.ids)
         q = self._common_of(some)
         rare = np.flatnonzero(self.column[some.at] < 0)
-        term, many = some.at[rare], self.begin[some.at[rare] + 1] - self.begin[some.at[rare]]
-        posting, _ = _ranges(self.begin[term], self.begin[term + 1])
-        given = self.weight[posting] * np.repeat(some.value[rare], many)
-        cut = np.concatenate([[0], np.cumsum(many)])[np.searchsorted(rare, some.cut)]
+        cut = np.searchsorted(rare, some.cut).tolist()
         listed = np.empty((rows, examples), dtype=np.float32)
-        for r, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist(), strict=False)):
-            listed[r] = np.bincount(self.example[posting[a:b]], given[a:b], examples)
+        for r in range(rows):
+            own = rare[cut[r] : cut[r + 1]]
+            listed[r] = self._listed(some.at[own], some.value[own])
         bound = q @ self.dense_most.T + np.maximum.reduceat(listed, np.arange(0, examples, BLOCK), axis=1)
         out = np.full((rows, examples), -1, dtype=np.float32)
         seeds = min(SEEDS, self.blocks)
