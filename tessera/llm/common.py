@@ -230,6 +230,14 @@ def released(*values) -> None:
         value.destroy()
 
 
+def give_back() -> None:
+    """Returns memory that arrays no longer take to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidy(function):
     """For a function from Arrow batches to Arrow batches: when a task ends, the memory that its arrays took goes back to the
     system, as a worker waits for its next task beside others."""
@@ -239,10 +247,7 @@ def tidy(function):
         try:
             yield from function(*args, **options)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return run
 

@@ -27,11 +27,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _LOWER, chunks, hash_spans, mix, shared, spans, stored, tidy
+from tessera.llm.common import _LOWER, chunks, give_back, hash_spans, mix, shared, spans, stored, tidy
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -320,7 +321,11 @@ class Examples:
     """The rows that an index is made from, packed; they travel, and a worker makes the index when it first asks for it."""
 
     def __init__(self, ids, vectors: Rows, labels, weights, idf, empty: float, k: int):
-        self.steps = zlib.compress(np.diff(vectors.at, prepend=0).astype("<i4").tobytes(), 1)
+        packer, steps = zlib.compressobj(1), []
+        for low in range(0, len(vectors.at), AT_ONCE):
+            part = vectors.at[low : low + AT_ONCE]
+            steps.append(packer.compress(np.diff(part, prepend=vectors.at[low - 1] if low else 0).astype("<i4").tobytes()))
+        self.steps = b"".join([*steps, packer.flush()])
         self.cut, self.value, self.rest = vectors.cut, vectors.value, (labels, weights, idf, empty, k)
         self.ids, self._index = np.asarray(ids), None
 
@@ -456,25 +461,30 @@ def scored(documents: DataFrame, labels: DataFrame, held_out: Column, *, label:
     once = float(np.square(np.log((1 + total) / 2) + 1))
     table = shared(spark, (names[order], at_of[order], square[order].astype(np.float32), once, joined))
     del names, order, at_of, square, other, inside, a, b
+    give_back()
     hashed = texts.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     rows = hashed.mapInArrow(lambda it: _sampled(it, ids, table), "doc_id long, hash long, at array<int>, tf array<int>")
     # of an id that stands for several texts, the one of the least hash
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("hash", "at", "tf")).alias("r")).select("doc_id", "r.at", "r.tf").join(known, "doc_id").orderBy("label", "doc_id").toArrow()
     own = np.array([sample[i] for i in rows.column(0).to_pylist()], dtype=np.int64)
     weight = np.array([1 / share[y] for y in own.tolist()], dtype=float)
-    at, tf = (rows.column(c).combine_chunks() for c in (1, 2))
-    cut = np.concatenate([[0], np.cumsum(np.diff(at.offsets.to_numpy()))]).astype(np.int64) if len(rows) else np.zeros(1, dtype=np.int64)
-    at, tf, value = at.flatten().to_numpy(), tf.flatten().to_numpy(), []
-    for low in range(0, len(rows), 512):  # as their arrays of doubles would be large
+    found = np.array(rows.column(0).to_pylist(), dtype=np.int64)
+    cut = np.concatenate([[0], np.cumsum(pc.list_value_length(rows.column(1)).to_numpy())]).astype(np.int64)
+    vectors = Rows(cut, np.empty(cut[-1], dtype=np.int32), np.empty(cut[-1], dtype=np.float32))
+    for low in range(0, len(rows), 512):  # as copies of all lists, and their arrays of doubles, would be large
+        at, tf = (rows.column(c).slice(low, 512).combine_chunks().flatten().to_numpy() for c in (1, 2))
         part = cut[low : low + 513]
-        value.append(unit(part - part[0], at[part[0] : part[-1]], tf[part[0] : part[-1]], idf).value)
-    vectors, found = Rows(cut, at, np.concatenate([np.zeros(0, dtype=np.float32), *value])), np.array(rows.column(0).to_pylist(), dtype=np.int64)
-    del rows, at, tf
+        vectors.at[part[0] : part[-1]] = at
+        vectors.value[part[0] : part[-1]] = unit(part - part[0], at, tf, idf).value
+    at = tf = None
+    del rows
+    give_back()
     some = np.diff(cut) > 0
     base = float((weight * own).sum() / max(1e-9, weight.sum()))
     empty = float(((weight * own)[~some].sum() + base) / (weight[~some].sum() + 1.0))
     index = shared(spark, Examples(found, vectors, own, weight, idf, empty, k))
     del vectors
+    give_back()
     votes = spark.range(len(found)).mapInArrow(lambda it: _own_votes(it, index), "example long, x double").toArrow().to_pandas().sort_values("example")
     curve = curve_of(votes["x"].to_numpy(), own, weight)
 
