@@ -57,8 +57,11 @@ def from_rows(rows: DataFrame) -> DataFrame:
     return rows.select("i", F.posexplode("row").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v")).where("v <> 0")
 
 
-def to_rows(cells: DataFrame, rows: int, columns: int) -> DataFrame:
-    """(i, row: array of all columns) for every row of a matrix, zeros filled in."""
+def to_rows(cells: DataFrame, rows: int | None = None, columns: int | None = None) -> DataFrame:
+    """(i, row: array of all columns) for every row of a matrix, zeros filled in; sizes that aren't given come from the largest indices."""
+    if rows is None or columns is None:
+        most = dims(cells).first()
+        rows, columns = most["rows"] if rows is None else rows, most["columns"] if columns is None else columns
     held = cells.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("m"))
     spine = cells.sparkSession.range(rows).select(F.col("id").alias("i"))
     filled = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long")), lambda j: F.coalesce(F.try_element_at(F.col("m"), j), F.lit(0.0)))

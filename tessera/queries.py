@@ -246,6 +246,15 @@ def docs_feed_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.monotone(feed)
 
 
+def docs_create_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn creates a document: two conversations share a padded name, every fourth turn's name is blank."""
+    name = F.when(F.col("turn") % 4 == 3, "  ").otherwise(F.concat(F.lit("  "), F.expr("conv_id div 2"), F.lit(" ")))
+    ops = _table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.lit("create").alias("op"), name.alias("name"), F.lit(0).cast("long").alias("position"), F.coalesce("text", F.lit("")).alias("text"), (F.col("conv_id") % 3).alias("edited_by"),
+    )
+    return documents.outcomes(ops).select("seq", "name", "status")
+
+
 # --- benchmark logs -----------------------------------------------------------
 
 
@@ -326,6 +335,7 @@ QUERIES = {
     "docs_list": docs_list,
     "docs_lookup": docs_lookup,
     "docs_feed_monotone": docs_feed_monotone,
+    "docs_create_outcomes": docs_create_outcomes,
     "docs_stream_final": docs_stream_final,
     "docs_session_stats": lambda s, d: documents.session_stats(documents.outcomes(_ops(s, d))),
     "bench_median": lambda s, d: benchlog.medians(_log(s, d), _CONFIG, "elapsed_s"),
@@ -388,6 +398,8 @@ ORACLE_SQL = {
     "docs_feed_monotone": """WITH feed AS (SELECT turn AS seq, CAST(conv_id AS VARCHAR) AS name, turn - CASE WHEN (conv_id + turn) % 3 = 0 THEN 2 ELSE 0 END AS version FROM conversations),
 s AS (SELECT *, max(version) OVER (PARTITION BY name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM feed)
 SELECT seq, name, version FROM s WHERE seen IS NULL OR version > seen""",
+    "docs_create_outcomes": """WITH o AS (SELECT conv_id * 1000 + turn AS seq, CASE WHEN turn % 4 = 3 THEN '' ELSE CAST(conv_id // 2 AS VARCHAR) END AS name FROM conversations)
+SELECT seq, name, CASE WHEN name = '' THEN 'INVALID_ARGUMENT' WHEN row_number() OVER (PARTITION BY name ORDER BY seq) = 1 THEN 'CREATED' ELSE 'ALREADY_EXISTS' END AS status FROM o""",
     "docs_stream_final": _FINAL,
     "docs_session_stats": D + "SELECT edited_by, CAST(count(*) AS BIGINT) AS commands, CAST(count(*) FILTER (WHERE status <> 'OUT_OF_RANGE') AS BIGINT) AS accepted, CAST(count(*) FILTER (WHERE status = 'OUT_OF_RANGE') AS BIGINT) AS refused, CAST(count(DISTINCT conv_id) AS BIGINT) AS documents FROM fold GROUP BY edited_by",
     "bench_median": L + _MEDIANS.format("elapsed_s"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,28 @@ def read_dense(spark: SparkSession, path: str, whole: bool = True) -> tuple[Data
     return cells.where("v <> 0"), (m, n)
 
 
+def read(spark: SparkSession, *paths: str) -> DataFrame:
+    """Coordinates of files of either format, which the first line of each tells; rows of dense files follow one another."""
+    out, first = None, 0
+    for path in paths:
+        if is_sparse(spark, path):
+            cells = read_sparse(spark, path)
+        else:
+            cells, (m, _) = read_dense(spark, path)
+            cells, first = cells.withColumn("i", F.col("i") + first), first + m
+        out = cells if out is None else out.unionByName(cells)
+    if out is None:
+        raise ValueError("no file is named")
+    return out
+
+
+def write_file(path: str, rows: list[list[int]], sparse: bool = False) -> None:
+    """A local file of a generated matrix."""
+    with Path(path).open("w") as out:
+        for i, row in enumerate(rows):
+            out.write("".join(f"{i}\t{j}\t{v}\n" for j, v in enumerate(row) if v) if sparse else " ".join(map(str, row)) + "\n")
+
+
 def generated(m: int, n: int, p: int, seed: int, density: float = 1.0) -> tuple[list[list[int]], list[list[int]]]:
     """Two matrices, m by n and n by p, of integers from -5 to 5; density is held between 0.001 and 1."""
     rng, density = random.Random(seed), min(1.0, max(0.001, density))

@@ -3,7 +3,8 @@
 start() keeps one table of partial aggregates per micro-batch in a folder, each
 batch in a partition of its own that a repeated batch overwrites, so a restarted
 stream counts nothing twice.  A snapshot adds the partials up; compact() folds
-finished batches into one.  Records may come in any order of time: there is no
+finished batches into one table, which counts from the moment that its mark is
+written and takes the place of all batches up to its number.  Records may come in any order of time: there is no
 watermark, and every record counts.
 """
 
@@ -50,8 +51,9 @@ class LiveReport:
             hot, cold = weather.hottest(batch), weather.coldest(batch)
             both = hot.withColumn("hot", F.lit(True)).unionByName(cold.withColumn("hot", F.lit(False)))
             both.coalesce(1).write.mode("overwrite").parquet(self._path("ends", f"batch_id={number}"))
-            took = self.spark.range(1).select(F.lit(time.perf_counter() - began).alias("seconds"))
-            took.coalesce(1).write.mode("overwrite").parquet(self._path("took", f"batch_id={number}"))
+            n, seconds = F.count("*"), F.lit(time.perf_counter() - began)
+            took = batch.agg(n.alias("records"), F.when(n > 0, 1).otherwise(0).cast("long").alias("batches"), seconds.alias("seconds"))
+            took.coalesce(1).write.mode("overwrite").parquet(self._path("took", f"batch_id={number}"))  # last: the batch is whole
         finally:
             batch.unpersist()
 
@@ -70,19 +72,66 @@ class LiveReport:
 
     def summary(self) -> dict:
         """Records and batches kept so far, and the seconds spent on keeping them; the query's own progress is cut to its last updates."""
-        rows = batches = seconds = 0
+        found = (None, None, None)
         try:
-            by_batch = self._read("global").groupBy("batch_id").agg(F.sum("n").alias("n"))
-            rows, batches = by_batch.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
-            seconds = self._read("took").agg(F.sum("seconds")).first()[0]
+            found = self._read("took").agg(F.sum("records"), F.sum("batches"), F.sum("seconds")).first()
         except Exception as e:  # no batch has been kept yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        rows, seconds = rows or 0, float(seconds or 0)
+        rows, batches, seconds = found[0] or 0, found[1] or 0, float(found[2] or 0)
         return {"records": rows, "batches": batches, "elapsed_s": seconds, "records_per_second": rows / seconds if seconds else 0.0, "active": bool(self.query and self.query.isActive)}
 
+    def _folds(self) -> list[int]:
+        """Numbers of the last batches of the folded tables that are whole, ascending."""
+        there, where = self._files(self._path("folded"))
+        if not there.exists(where):
+            return []
+        marked = [f.getPath() for f in there.listStatus(where) if there.exists(self._files(f"{f.getPath()}/done")[1])]
+        return sorted(int(p.getName().split("=")[1]) for p in marked)
+
+    def _files(self, path: str):
+        """(file system, path) of Hadoop."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
     def _read(self, kind: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(kind))
+        """Partials of all batches: the last folded table and the batches after it."""
+        single, folds = self.spark.read.parquet(self._path(kind)), self._folds()
+        if not folds:
+            return single
+        folded = self.spark.read.parquet(self._path("folded", f"upto={folds[-1]}", kind))
+        return single.where(F.col("batch_id") > folds[-1]).unionByName(folded, allowMissingColumns=True)
+
+    def compact(self) -> int | None:
+        """Folds all whole batches into one table and returns the last one's number, None where there is nothing new.
+
+        A crash before the mark is written leaves the batches as they were.  What
+        the table before this one replaced is removed, so a snapshot that was
+        planned before a fold can still be read.
+        """
+        folds = self._folds()
+        last = self.spark.read.parquet(self._path("took")).agg(F.max("batch_id")).first()[0]
+        if last is None or (folds and last <= folds[-1]):
+            return None
+        parts = {kind: self._read(kind).where(F.col("batch_id").isNull() | (F.col("batch_id") <= last)) for kind in (*KINDS, "ends", "took")}
+        made = dict(zip(KINDS, weather.merge(*(parts[kind] for kind in KINDS)), strict=True))
+        made["global"] = made["global"].drop(*(f"avg_{m}" for m in MEASURES))
+        hot, cold = self._ends(parts["ends"])
+        made["ends"] = hot.withColumn("hot", F.lit(True)).unionByName(cold.withColumn("hot", F.lit(False))).coalesce(1)
+        made["took"] = parts["took"].agg(*(F.sum(c).alias(c) for c in ("records", "batches", "seconds")))
+        for kind, part in made.items():
+            part.write.mode("overwrite").parquet(self._path("folded", f"upto={last}", kind))
+        there, mark = self._files(self._path("folded", f"upto={last}", "done"))
+        there.create(mark, True).close()
+        for old in folds[:-1]:
+            there.delete(self._files(self._path("folded", f"upto={old}"))[1], True)
+        if folds:
+            for kind in (*KINDS, "ends", "took"):
+                for f in there.listStatus(self._files(self._path(kind))[1]):
+                    name = f.getPath().getName()
+                    if name.startswith("batch_id=") and int(name.split("=")[1]) <= folds[-1]:
+                        there.delete(f.getPath(), True)
+        return last
 
     def snapshot(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(global, by interval, by station) of the batches so far."""
@@ -90,7 +139,10 @@ class LiveReport:
 
     def extremes(self) -> tuple[DataFrame, DataFrame]:
         """(hottest, coldest) reading so far."""
-        ends = self._read("ends").withColumns({m: F.lit(0.0) for m in MEASURES if m != "temperature"})
+        return self._ends(self._read("ends"))
+
+    @staticmethod
+    def _ends(ends: DataFrame) -> tuple[DataFrame, DataFrame]:
         return weather.hottest(ends.where("hot")), weather.coldest(ends.where("not hot"))
 
     def top_stations(self, k: int | None = None) -> DataFrame:
@@ -133,8 +185,8 @@ class LiveReport:
         if self.query is not None and self.query.isActive:
             self.query.stop()
         self.query = None
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        there, where = self._files(self.folder)
+        there.delete(where, True)
 
 
 def state_of(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -145,3 +197,15 @@ def state_of(spark: SparkSession, checkpoint: str) -> DataFrame:
 def replay(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     """A stream over the Parquet files of a folder, so many in a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def dealt(records: DataFrame, folder: str, batch_size: int) -> None:
+    """Writes records in the order of time for a replay, at most batch_size in a file."""
+    records.orderBy("timestamp").write.option("maxRecordsPerFile", batch_size).parquet(folder)
+
+
+def pace(batch_size: int, per_second: float) -> str:
+    """The trigger interval for ingest(every=...) at which files of batch_size records come at most so fast."""
+    if batch_size < 1 or per_second <= 0:
+        raise ValueError("batch size and rate must be positive")
+    return f"{max(1, round(1000 * batch_size / per_second))} milliseconds"

@@ -64,3 +64,18 @@ def test_checks(spark):
     assert matrix.product(none, a).count() == 0
     assert matrix.reducer_count(none).first()[0] == 1
     assert render.dense(none, 2, 2) == "0 0\n0 0\n"
+
+
+def test_files_of_either_format(spark, tmp_path):
+    a, b = matrices.generated(3, 4, 2, 7, 0.6)
+    paths = [str(tmp_path / n) for n in ("a1", "a2", "b")]
+    matrices.write_file(paths[0], a[:2])
+    matrices.write_file(paths[1], a[2:])
+    matrices.write_file(paths[2], b, sparse=True)
+    whole = {(i, j): float(v) for i, row in enumerate(a) for j, v in enumerate(row) if v}
+    assert {(r.i, r.j): r.v for r in matrices.read(spark, *paths[:2]).collect()} == whole
+    made = matrix.product(matrices.read(spark, *paths[:2]), matrices.read(spark, paths[2]))
+    want = {(i, j): float(sum(a[i][k] * b[k][j] for k in range(4))) for i in range(3) for j in range(2)}
+    assert {(r.i, r.j): r.v for r in made.collect()} == {k: v for k, v in want.items() if v}
+    inferred = {r.i: list(r.row) for r in matrix.to_rows(made).collect()}
+    assert all(inferred[i][j] == v for (i, j), v in want.items() if v)

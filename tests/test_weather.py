@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -6,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.operators import weather
 from tessera.plans import render
+from tessera.plans.watch import watch
 from tessera.schema import WEATHER
 from tessera.sources import weather as source
-from tessera.streaming.weather import LiveReport, replay
+from tessera.sources.files import digests
+from tessera.streaming.weather import LiveReport, dealt, pace, replay
 
 SAMPLE = [
     (0, 0, 25.5, 50.0, 1000.0, 1.5, 10.0),
@@ -140,3 +143,42 @@ def test_summary_counts_batches_beyond_recent_progress(spark, tmp_path):
 def test_synthetic_grid(spark):
     low, high = source.synthetic(spark, 5000, 20).agg(F.min("temperature"), F.max("temperature")).first()
     assert -30 <= low < high <= 50
+
+
+def test_compaction_keeps_the_report(spark, tmp_path):
+    rows = list(source.generated(900, 30, 5))
+    live = LiveReport(spark, str(tmp_path / "live"), 5)
+    for part in range(3):  # a fold of batches, of a fold and batches, and once more, which removes what the first replaced
+        dealt(frame(spark, rows[part * 300 : part * 300 + 300], 1), str(tmp_path / "in" / f"p={part}"), 100)
+        live.ingest(replay(spark, str(tmp_path / "in" / "*"), WEATHER, 1)).awaitTermination()
+        so_far = frame(spark, rows[: part * 300 + 300])
+        before = live.summary()
+        assert (before["records"], before["batches"]) == (part * 300 + 300, part * 3 + 3)
+        for _ in range(2):
+            one, intervals, stations = live.snapshot()
+            assert one.first().asDict() == weather.global_metrics(so_far).first().asDict()
+            assert sorted(intervals.collect()) == sorted(weather.interval_histogram(so_far).collect())
+            assert [x.collect() for x in live.extremes()] == [weather.hottest(so_far).collect(), weather.coldest(so_far).collect()]
+            live.compact()
+        assert live.compact() is None
+        assert live.summary() == before
+    assert len(list((tmp_path / "live" / "folded").glob("upto=*"))) == 2
+    assert len(list((tmp_path / "live" / "global").glob("batch_id=*"))) == 3
+    shown, counters = [], tmp_path / "counters.csv"
+    watch(live, None, str(counters), shown.append)
+    watch(live, 0.01, str(counters), shown.append, times=2)
+    assert len(shown) == 3 and "TOTAL_MEASUREMENTS 900" in shown[0] and len(counters.read_text().splitlines()) == 4
+    assert (tmp_path / "live" / "folded" / "upto=99" / "global").mkdir(parents=True) is None  # a fold without its mark
+    assert live.snapshot()[0].first()["n"] == 900
+
+
+def test_pace():
+    assert pace(500, 1000) == "500 milliseconds"
+    with pytest.raises(ValueError, match="positive"):
+        pace(0, 1)
+
+
+def test_digests(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"abc")
+    found = digests(spark, str(tmp_path / "a.txt")).first()
+    assert (found["bytes"], found["sha256"]) == (3, hashlib.sha256(b"abc").hexdigest())
