@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, context_mixing, language_id, mixing, quality, rans, toxicity
+from tessera.llm import chat, context_mixing, language_id, mixing, quality, rans, resampling, spelling, token_counts, toxicity
 from tessera.llm.common import remainder, scratch_path, table
 from tessera.llm.decontamination import contained_items
 from tessera.llm.exact_dedup import exact_duplicates
@@ -78,6 +79,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(_read(spark, sf_dir, "documents"), path=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_near_join": op2_near_join,
@@ -89,6 +102,9 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op6_decontamination": op6_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_token_counts": op12_token_counts,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,6 +131,16 @@ def _escaped_length(column: str) -> str:
     return out
 
 
+def _crc32(bytes_: str) -> str:
+    """The crc32 of a BLOB, by the column t of a row of _CRC_TABLE."""
+    digit = lambda k: f"(instr('0123456789ABCDEF', substr(hex({bytes_}), {k}, 1)) - 1)"
+    each = f"list_transform(range(octet_length({bytes_})), lambda k: CAST(16 * {digit('2 * k + 1')} + {digit('2 * k + 2')} AS BIGINT))"
+    return f"xor(list_reduce({each}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+_CRC_TABLE = """crc AS (SELECT list(c ORDER BY k) AS t FROM (
+  SELECT k, list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(k AS BIGINT)) AS c FROM range(256) r(k)))"""
+
 ORACLE_SQL = {
     "op2_near_join": f"""
 WITH RECURSIVE {_shingled("documents", "doc_id")},
@@ -146,4 +172,38 @@ FROM common JOIN size USING (item_id) WHERE 100 * common.n >= 80 * size.n""",
 WITH t AS (SELECT doc_id, {_LOWERED} AS x FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256 FROM t""",
+    "op11_importance_resampling": f"""
+WITH {_CRC_TABLE},
+words AS (
+  SELECT 0 AS target, doc_id AS id, row_number() OVER () AS r, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+  UNION ALL SELECT 1, item_id, row_number() OVER (), regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+each AS (SELECT target, r, unnest(w) AS word FROM words),
+bucket AS (SELECT word, {_crc32("encode(word)")} % 10000 AS b FROM (SELECT DISTINCT word FROM each), crc),
+counts AS (SELECT b, count(*) FILTER (WHERE target = 0) AS s, count(*) FILTER (WHERE target = 1) AS t FROM each JOIN bucket USING (word) GROUP BY b),
+total AS (SELECT CAST(count(*) FILTER (WHERE target = 0) AS DOUBLE) + 10000 AS s, CAST(count(*) FILTER (WHERE target = 1) AS DOUBLE) + 10000 AS t FROM each),
+gain AS (SELECT b, CAST(floor(1000 * ln((counts.t + 1) * total.s / ((counts.s + 1) * total.t))) AS BIGINT) AS g FROM counts, total),
+sums AS (SELECT r, sum(g) AS weight FROM each JOIN bucket USING (word) JOIN gain USING (b) WHERE target = 0 GROUP BY r),
+hash AS (SELECT id AS doc_id, r, len(w) AS n_features, list_reduce(list_transform(range(1, 9), lambda k: CAST(instr('0123456789abcdef', substr(sha256('2024:' || id), k, 1)) - 1 AS BIGINT)), lambda a, c: 16 * a + c) AS h FROM words WHERE target = 0),
+scored AS (
+  SELECT doc_id, r, n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM hash LEFT JOIN sums USING (r)),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20),
+drawn AS (SELECT r, rank FROM placed WHERE rank <= (SELECT count(*) * 10 // 100 FROM placed))
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, rank FROM scored LEFT JOIN drawn USING (r)""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE {_CRC_TABLE},
+run AS (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[a-z\u00C0-\u00FF]+')) AS w FROM documents),
+one AS (SELECT doc_id, w, count(*) AS n FROM run WHERE length(w) >= 7 GROUP BY 1, 2),
+hashed AS (SELECT w, n, {_crc32("encode(doc_id || ':' || w)")} AS h FROM one, crc),
+kept AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM kept WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words)),
+pairs AS (
+  SELECT DISTINCT less.word AS a, words.word AS b FROM less JOIN words ON less.d = words.word
+  UNION SELECT words.word, less.word FROM less JOIN words ON less.d = words.word
+  UNION SELECT x.word, y.word FROM less x JOIN less y ON x.d = y.d AND x.k = y.k AND x.word <> y.word),
+near AS (SELECT a AS word, b, n AS m, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k, CAST(count(*) OVER (PARTITION BY a) AS BIGINT) AS n_near FROM pairs JOIN words ON words.word = b),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN b END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words LEFT JOIN near ON near.word = words.word AND k = 1),
+walk AS (SELECT word, word AS root FROM forms UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.root FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)""",
 }
