@@ -11,7 +11,8 @@ must agree too, since the one edit lies in the other quarter, and the words that
 are left are compared code point by code point.
 
 A shard holds a bounded number of segments: there are as many as the words need,
-and a key that many words share is cut into slices, which its scans all visit.
+and a key that many words share is cut into slices of its segments and of its
+scans, each pair of which is a piece of work of its own.
 Tasks send one row for each word they met, not one for each pair.
 """
 
@@ -33,7 +34,7 @@ from tessera.llm.common import chunks, mix, stored, tidy
 KEY = 3
 #: Segments of a shard, and of a key before it is cut into slices.
 SHARD = 1 << 17
-SLICE = 1 << 14
+SLICE = 1 << 12
 #: Distinct words that a task counts before it sends them.
 COUNTED = 1 << 19
 #: Pairs that are compared at once.
@@ -287,8 +288,10 @@ def near_words(words: DataFrame, *, shortest: int = 7) -> DataFrame:
     # keys with more than SLICE words: at most two for each SLICE words
     hot = halves.groupBy("kind", "key").agg(F.count("*").alias("many")).where(F.col("many") > SLICE).select("kind", "key", F.ceil(F.col("many") / SLICE).cast("int").alias("slices"))
     halves = halves.join(F.broadcast(hot), ["kind", "key"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    own = halves.withColumn("slice", F.pmod(F.xxhash64("word"), F.col("slices")).cast("int")).withColumn("role", F.lit(0))
-    scans = halves.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("role", F.lit(1))
+    # each pair of a slice of segments and a slice of scans
+    part, every = F.pmod(F.xxhash64("word"), F.col("slices")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    own = halves.withColumn("role", F.lit(0)).withColumn("other", every).withColumn("slice", part * F.col("slices") + F.col("other"))
+    scans = halves.withColumn("role", F.lit(1)).withColumn("other", every).withColumn("slice", F.col("other") * F.col("slices") + part)
     both = own.unionByName(scans).select("role", "kind", "key", "slice", "word", "n")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * words.count() // SHARD))
     dealt = both.repartition(shards, "kind", "key", "slice").sortWithinPartitions("role")
