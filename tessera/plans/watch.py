@@ -19,10 +19,11 @@ COUNTERS = ("records", "batches", "elapsed_s", "records_per_second", "active")
 
 def text(live: LiveReport) -> str:
     """Totals, averages, busiest interval and top stations of the batches so far."""
-    one = live.snapshot()[0].first()
+    view = live.view()
+    one = view.whole.first()
     lines = [f"TOTAL_MEASUREMENTS {one['n']}", *(f"AVERAGE_{m.upper()} {one[f'avg_{m}'] or 0.0:.6f}" for m in MEASURES)]
-    lines += [f"BUSIEST_INTERVAL {r['interval']} {r['n']}" for r in live.busiest_interval().collect()]
-    top = [f"{r['station_id']} {r['n']} {r['avg_temperature']:.6f} {r['sum_rainfall']:.6f}" for r in live.top_stations().collect()]
+    lines += [f"BUSIEST_INTERVAL {r['interval']} {r['n']}" for r in view.busiest_interval().collect()]
+    top = [f"{r['station_id']} {r['n']} {r['avg_temperature']:.6f} {r['sum_rainfall']:.6f}" for r in view.top_stations(live.k).collect()]
     return "\n".join([*lines, "TOP_STATIONS", *top]) + "\n"
 
 

@@ -1,61 +1,174 @@
 """The sensor report over a stream, queryable while it runs.
 
-start() keeps one table of partial aggregates per micro-batch in a folder, each
-batch in a partition of its own that a repeated batch overwrites, so a restarted
-stream counts nothing twice.  A snapshot adds the partials up; compact() folds
-finished batches into one table, which counts from the moment that its mark is
-written and takes the place of all batches up to its number.  Records may come in any order of time: there is no
-watermark, and every record counts.
+start() writes one table of partial aggregates per micro-batch, from one pass
+of grouping sets, and then a manifest: a small file that appears as a whole or
+not at all and names the tables that count, with the counters of the batches in
+them.  A reader takes the newest manifest once and reads all kinds of results
+from its tables, so they always tell of the same batches, however many are
+being written.  A batch that is repeated after a crash is skipped if a manifest
+has it and written anew if not.  compact() folds the tables of a manifest into
+one.  Records may come in any order of time: there is no watermark, and every
+record counts.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Iterator
-from pathlib import PurePosixPath
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera import shared
 from tessera.functions import interval_of, is_extreme
 from tessera.operators import weather
 from tessera.schema import MEASURES
 
-KINDS = ("global", "interval", "station")
+#: Levels of a row of partial aggregates.
+INTERVAL, STATION, WHOLE, HOTTEST, COLDEST = 1, 2, 3, 4, 5
+_ENDS = [f"{name}_{m}" for name in ("min", "max") for m in MEASURES]
+PARTIAL = T.StructType(
+    [T.StructField("level", T.IntegerType())]
+    + [T.StructField(c, T.LongType()) for c in ("interval", "station_id", "timestamp", "n", "extreme")]
+    + [T.StructField(c, T.DoubleType()) for c in (*(f"sum_{m}" for m in MEASURES), *_ENDS)]
+)
+#: Tables after which a stream folds them by itself.
+FOLD_AT = 64
+#: Manifests that stay for readers that are still at them.
+MANIFESTS = 16
 
 
 def grouped(records: DataFrame) -> DataFrame:
-    """Counts and sums of a stream over all, by interval and by station in one stateful aggregate, for complete mode."""
+    """Counts and sums over all, by interval and by station in one aggregate; level is Spark's grouping id: 3, 1 and 2."""
     keyed = records.select(interval_of(F.col("timestamp")).alias("interval"), "station_id", *MEASURES)
     sets = keyed.groupingSets([[], ["interval"], ["station_id"]], "interval", "station_id")
     ends = [f(m).alias(f"{name}_{m}") for name, f in (("min", F.min), ("max", F.max)) for m in MEASURES]
     return sets.agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *(F.sum(m).alias(f"sum_{m}") for m in MEASURES), *ends, F.count_if(is_extreme(F.col("temperature"))).alias("extreme"))
 
 
+def _shaped(rows: DataFrame) -> DataFrame:
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in PARTIAL))
+
+
+def _ends(rows: DataFrame) -> DataFrame:
+    """Rows of the levels HOTTEST and COLDEST from readings (temperature, timestamp, station_id)."""
+    both = weather.hottest(rows).withColumn("level", F.lit(HOTTEST)).unionByName(weather.coldest(rows).withColumn("level", F.lit(COLDEST)))
+    return _shaped(both.withColumnRenamed("temperature", "max_temperature"))
+
+
+def partial_rows(records: DataFrame) -> DataFrame:
+    """The partial aggregates (PARTIAL) of records."""
+    return _shaped(grouped(records)).unionByName(_ends(records))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """The partial aggregates of all that rows tell of: one row for each interval and station, one for all, and the two readings."""
+    some = rows.where(F.col("level") <= WHOLE).groupBy("level", "interval", "station_id")
+    sums = some.agg(*(f(c).alias(c) for f, cs in ((F.sum, ["n", "extreme", *(f"sum_{m}" for m in MEASURES)]), (F.min, _ENDS[:5]), (F.max, _ENDS[5:])) for c in cs))
+    readings = lambda level: rows.where(F.col("level") == level).select(F.col("max_temperature").alias("temperature"), "timestamp", "station_id")
+    hot = weather.hottest(readings(HOTTEST)).withColumn("level", F.lit(HOTTEST))
+    cold = weather.coldest(readings(COLDEST)).withColumn("level", F.lit(COLDEST))
+    return _shaped(sums).unionByName(_shaped(hot.unionByName(cold).withColumnRenamed("temperature", "max_temperature")))
+
+
+@dataclass(frozen=True)
+class View:
+    """What the batches of one manifest give; all results tell of the same records."""
+
+    manifest: dict
+    rows: DataFrame
+
+    def _level(self, level: int) -> DataFrame:
+        return self.rows.where(F.col("level") == level)
+
+    @property
+    def whole(self) -> DataFrame:
+        one = self._level(WHOLE).agg(
+            F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"), *(F.sum(f"sum_{m}").alias(f"sum_{m}") for m in MEASURES),
+            *(F.min(c).alias(c) for c in _ENDS[:5]), *(F.max(c).alias(c) for c in _ENDS[5:]), F.coalesce(F.sum("extreme"), F.lit(0).cast("long")).alias("extreme"),
+        )
+        return one.withColumns({f"avg_{m}": F.try_divide(F.col(f"sum_{m}"), F.col("n")) for m in MEASURES})
+
+    @property
+    def intervals(self) -> DataFrame:
+        return self._level(INTERVAL).groupBy("interval").agg(F.sum("n").alias("n"))
+
+    @property
+    def stations(self) -> DataFrame:
+        return self._level(STATION).groupBy("station_id").agg(F.sum("n").alias("n"), F.sum("sum_temperature").alias("sum_temperature"), F.sum("sum_rainfall").alias("sum_rainfall"))
+
+    def _reading(self, level: int) -> DataFrame:
+        return self._level(level).select(F.col("max_temperature").alias("temperature"), "timestamp", "station_id")
+
+    @property
+    def hottest(self) -> DataFrame:
+        return weather.hottest(self._reading(HOTTEST))
+
+    @property
+    def coldest(self) -> DataFrame:
+        return weather.coldest(self._reading(COLDEST))
+
+    def top_stations(self, k: int) -> DataFrame:
+        top = self.stations.orderBy(F.desc("n"), "station_id").limit(weather.check_k(k))
+        return top.select("station_id", "n", (F.col("sum_temperature") / F.col("n")).alias("avg_temperature"), "sum_rainfall")
+
+    def busiest_interval(self) -> DataFrame:
+        return self.intervals.orderBy(F.desc("n"), "interval").limit(1)
+
+
+_NOTHING = {"version": 0, "last": -1, "tables": [], "replaced": [], "records": 0, "batches": 0, "seconds": 0.0}
+
+
 class LiveReport:
-    """A running report: ingest, snapshot, subscribe, reset."""
+    """A running report: ingest, view, subscribe, reset.  One stream writes to a folder; any number of readers."""
 
     def __init__(self, spark: SparkSession, folder: str, k: int = weather.DEFAULT_K):
         self.spark, self.folder, self.k = spark, folder.rstrip("/"), weather.check_k(k)
         self.query: StreamingQuery | None = None
+        self._writing = threading.Lock()
 
     def _path(self, *parts: str) -> str:
-        return str(PurePosixPath(self.folder, *parts)) if "://" not in self.folder else "/".join([self.folder, *parts])
+        return "/".join([self.folder, *parts])
+
+    def manifest(self) -> dict:
+        """The newest one."""
+        while True:
+            there = [n for n in shared.names(self.spark, self._path("manifest")) if n.endswith(".json")]
+            if not there:
+                return dict(_NOTHING)
+            try:
+                return shared.read_json(self.spark, self._path("manifest", there[-1]))
+            except Exception as e:  # so many newer ones that this one has gone meanwhile
+                if "FileNotFound" not in str(e):
+                    raise
+
+    def _publish(self, manifest: dict) -> None:
+        number = manifest["version"] + 1
+        if not shared.create_json(self.spark, self._path("manifest", f"{number:012d}.json"), manifest | {"version": number}):
+            raise RuntimeError("another stream writes to this folder")
+        for name in [n for n in shared.names(self.spark, self._path("manifest")) if n.endswith(".json")][:-MANIFESTS]:
+            shared.remove(self.spark, self._path("manifest", name))
 
     def _keep(self, batch: DataFrame, number: int) -> None:
-        batch, began = batch.persist(), time.perf_counter()
-        try:
-            for kind, part in zip(KINDS, weather.partials(batch), strict=True):
-                part.write.mode("overwrite").parquet(self._path(kind, f"batch_id={number}"))
-            hot, cold = weather.hottest(batch), weather.coldest(batch)
-            both = hot.withColumn("hot", F.lit(True)).unionByName(cold.withColumn("hot", F.lit(False)))
-            both.coalesce(1).write.mode("overwrite").parquet(self._path("ends", f"batch_id={number}"))
-            n, seconds = F.count("*"), F.lit(time.perf_counter() - began)
-            took = batch.agg(n.alias("records"), F.when(n > 0, 1).otherwise(0).cast("long").alias("batches"), seconds.alias("seconds"))
-            took.coalesce(1).write.mode("overwrite").parquet(self._path("took", f"batch_id={number}"))  # last: the batch is whole
-        finally:
-            batch.unpersist()
+        with self._writing:
+            now, began = self.manifest(), time.perf_counter()
+            if number <= now["last"]:  # it was published before the crash
+                return
+            table = f"parts/batch_id={number}"
+            batch = batch.persist()
+            try:
+                partial_rows(batch).coalesce(1).write.mode("overwrite").parquet(self._path(table))
+            finally:
+                batch.unpersist()
+            records = self._read([table]).where(F.col("level") == WHOLE).agg(F.sum("n")).first()[0] or 0
+            seconds = time.perf_counter() - began
+            self._publish(now | {"last": number, "tables": [*now["tables"], table], "records": now["records"] + records, "batches": now["batches"] + (records > 0), "seconds": now["seconds"] + seconds})
+            if len(now["tables"]) + 1 >= FOLD_AT:
+                self._fold()
 
     def ingest(self, records: DataFrame, every: str | None = None) -> StreamingQuery:
         """Starts on a stream of records; without every, takes what there is now and ends."""
@@ -63,109 +176,77 @@ class LiveReport:
         self.query = writer.trigger(processingTime=every).start() if every else writer.trigger(availableNow=True).start()
         return self.query
 
-    def drain(self) -> dict:
-        """Waits for the stream to take all there is, and sums up the kept batches."""
+    def drain(self, timeout_s: float = 300.0) -> dict:
+        """Waits for the stream to take all there is, and sums up the kept batches; TimeoutError where it takes longer."""
         assert self.query is not None, "nothing was ingested"
-        if self.query.isActive:
-            self.query.processAllAvailable()
+        waiting = threading.Thread(target=lambda: self.query.isActive and self.query.processAllAvailable(), daemon=True)
+        waiting.start()
+        waiting.join(timeout_s)
+        if waiting.is_alive():
+            raise TimeoutError(f"the stream has not taken all there is within {timeout_s} s")
         return self.summary()
 
     def summary(self) -> dict:
         """Records and batches kept so far, and the seconds spent on keeping them; the query's own progress is cut to its last updates."""
-        found = (None, None, None)
-        try:
-            found = self._read("took").agg(F.sum("records"), F.sum("batches"), F.sum("seconds")).first()
-        except Exception as e:  # no batch has been kept yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        rows, batches, seconds = found[0] or 0, found[1] or 0, float(found[2] or 0)
-        return {"records": rows, "batches": batches, "elapsed_s": seconds, "records_per_second": rows / seconds if seconds else 0.0, "active": bool(self.query and self.query.isActive)}
-
-    def _folds(self) -> list[int]:
-        """Numbers of the last batches of the folded tables that are whole, ascending."""
-        there, where = self._files(self._path("folded"))
-        if not there.exists(where):
-            return []
-        marked = [f.getPath() for f in there.listStatus(where) if there.exists(self._files(f"{f.getPath()}/done")[1])]
-        return sorted(int(p.getName().split("=")[1]) for p in marked)
-
-    def _files(self, path: str):
-        """(file system, path) of Hadoop."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
-    def _read(self, kind: str) -> DataFrame:
-        """Partials of all batches: the last folded table and the batches after it."""
-        single, folds = self.spark.read.parquet(self._path(kind)), self._folds()
-        if not folds:
-            return single
-        folded = self.spark.read.parquet(self._path("folded", f"upto={folds[-1]}", kind))
-        return single.where(F.col("batch_id") > folds[-1]).unionByName(folded, allowMissingColumns=True)
+        now = self.manifest()
+        seconds = float(now["seconds"])
+        return {"records": now["records"], "batches": now["batches"], "elapsed_s": seconds, "records_per_second": now["records"] / seconds if seconds else 0.0, "active": bool(self.query and self.query.isActive)}
+
+    def _read(self, tables: list[str]) -> DataFrame:
+        if not tables:
+            return self.spark.createDataFrame([], PARTIAL)
+        return self.spark.read.schema(PARTIAL).parquet(*(self._path(t) for t in tables))
 
     def compact(self) -> int | None:
-        """Folds all whole batches into one table and returns the last one's number, None where there is nothing new.
+        """Folds the tables of the newest manifest into one and returns the last batch in it, None where there is nothing to fold.
 
-        A crash before the mark is written leaves the batches as they were.  What
-        the table before this one replaced is removed, so a snapshot that was
-        planned before a fold can still be read.
+        What the fold before this one replaced is removed, so a view that was
+        taken before a fold can still be read.
         """
-        folds = self._folds()
-        last = self.spark.read.parquet(self._path("took")).agg(F.max("batch_id")).first()[0]
-        if last is None or (folds and last <= folds[-1]):
+        with self._writing:
+            return self._fold()
+
+    def _fold(self) -> int | None:
+        now = self.manifest()
+        if len(now["tables"]) < 2:
             return None
-        parts = {kind: self._read(kind).where(F.col("batch_id").isNull() | (F.col("batch_id") <= last)) for kind in (*KINDS, "ends", "took")}
-        made = dict(zip(KINDS, weather.merge(*(parts[kind] for kind in KINDS)), strict=True))
-        made["global"] = made["global"].drop(*(f"avg_{m}" for m in MEASURES))
-        hot, cold = self._ends(parts["ends"])
-        made["ends"] = hot.withColumn("hot", F.lit(True)).unionByName(cold.withColumn("hot", F.lit(False))).coalesce(1)
-        made["took"] = parts["took"].agg(*(F.sum(c).alias(c) for c in ("records", "batches", "seconds")))
-        for kind, part in made.items():
-            part.write.mode("overwrite").parquet(self._path("folded", f"upto={last}", kind))
-        there, mark = self._files(self._path("folded", f"upto={last}", "done"))
-        there.create(mark, True).close()
-        for old in folds[:-1]:
-            there.delete(self._files(self._path("folded", f"upto={old}"))[1], True)
-        if folds:
-            for kind in (*KINDS, "ends", "took"):
-                for f in there.listStatus(self._files(self._path(kind))[1]):
-                    name = f.getPath().getName()
-                    if name.startswith("batch_id=") and int(name.split("=")[1]) <= folds[-1]:
-                        there.delete(f.getPath(), True)
-        return last
+        table = f"folded/upto={now['last']}"
+        merged(self._read(now["tables"])).coalesce(1).write.mode("overwrite").parquet(self._path(table))
+        self._publish(now | {"tables": [table], "replaced": now["tables"]})
+        for old in now["replaced"]:
+            shared.remove(self.spark, self._path(old))
+        return now["last"]
+
+    def view(self) -> View:
+        """The batches so far; every result of it tells of the same ones."""
+        now = self.manifest()
+        return View(now, self._read(now["tables"]))
 
     def snapshot(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(global, by interval, by station) of the batches so far."""
-        return weather.merge(*(self._read(kind) for kind in KINDS))
+        """(global, by interval, by station) of one view."""
+        now = self.view()
+        return now.whole, now.intervals, now.stations
 
     def extremes(self) -> tuple[DataFrame, DataFrame]:
         """(hottest, coldest) reading so far."""
-        return self._ends(self._read("ends"))
-
-    @staticmethod
-    def _ends(ends: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return weather.hottest(ends.where("hot")), weather.coldest(ends.where("not hot"))
+        now = self.view()
+        return now.hottest, now.coldest
 
     def top_stations(self, k: int | None = None) -> DataFrame:
-        top = self.snapshot()[2].orderBy(F.desc("n"), "station_id").limit(self.k if k is None else weather.check_k(k))
-        return top.select("station_id", "n", (F.col("sum_temperature") / F.col("n")).alias("avg_temperature"), "sum_rainfall")
+        return self.view().top_stations(self.k if k is None else k)
 
     def busiest_interval(self) -> DataFrame:
-        return self.snapshot()[1].orderBy(F.desc("n"), "interval").limit(1)
+        return self.view().busiest_interval()
 
     def subscribe(self, interval_s: float = 1.0) -> Iterator[dict]:
         """Global aggregates again and again while the stream runs, whenever they have changed, and once at its end."""
         last = None
         while True:
             active = bool(self.query and self.query.isActive)
-            try:
-                now = self.snapshot()[0].first().asDict()
-            except Exception as e:  # no batch has been kept yet
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                    raise
-                now = None
-            if now is not None and now != last:
-                last = now
-                yield now
+            now = self.view()
+            if now.manifest["records"] and (last is None or now.manifest["records"] != last[0]):
+                last = now.manifest["records"], now.whole.first().asDict()
+                yield last[1]
             if not active:
                 return
             time.sleep(interval_s)
@@ -175,7 +256,7 @@ class LiveReport:
         out = []
         for _ in range(times):
             began = time.perf_counter()
-            self.snapshot()[0].collect()
+            self.view().whole.collect()
             out.append(time.perf_counter() - began)
             time.sleep(pause_s)
         return out
@@ -185,8 +266,7 @@ class LiveReport:
         if self.query is not None and self.query.isActive:
             self.query.stop()
         self.query = None
-        there, where = self._files(self.folder)
-        there.delete(where, True)
+        shared.remove(self.spark, self.folder)
 
 
 def state_of(spark: SparkSession, checkpoint: str) -> DataFrame:

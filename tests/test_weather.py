@@ -163,12 +163,12 @@ def test_compaction_keeps_the_report(spark, tmp_path):
         assert live.compact() is None
         assert live.summary() == before
     assert len(list((tmp_path / "live" / "folded").glob("upto=*"))) == 2
-    assert len(list((tmp_path / "live" / "global").glob("batch_id=*"))) == 3
+    assert len(list((tmp_path / "live" / "parts").glob("batch_id=*"))) == 3
     shown, counters = [], tmp_path / "counters.csv"
     watch(live, None, str(counters), shown.append)
     watch(live, 0.01, str(counters), shown.append, times=2)
     assert len(shown) == 3 and "TOTAL_MEASUREMENTS 900" in shown[0] and len(counters.read_text().splitlines()) == 4
-    assert (tmp_path / "live" / "folded" / "upto=99" / "global").mkdir(parents=True) is None  # a fold without its mark
+    assert (tmp_path / "live" / "folded" / "upto=99").mkdir(parents=True) is None  # a fold that no manifest names
     assert live.snapshot()[0].first()["n"] == 900
 
 
