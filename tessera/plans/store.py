@@ -1,8 +1,9 @@
 """Documents as a service over an append-only log of operations, and a small command language for it.
 
 The log is a folder of Parquet files, one for each call; the state of a document
-is the fold of its operations.  A durable log never drops an update: a reader
-that falls behind reads on where it was.
+is the fold of its operations since the last checkpoint of all states, which is
+made after every EVERY operations and kept beside the log.  A durable log never
+drops an update: a reader that falls behind reads on where it was.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import shared
 from tessera.operators import documents
 from tessera.schema import EDIT
 
+#: Operations after which the states of all documents are written down.
+EVERY = 256
 
 class Refused(Exception):
     """An operation that changes nothing; its argument is the status."""
@@ -34,16 +38,40 @@ class DocumentStore:
         ops = self.spark.read.schema(EDIT).parquet(self.folder)
         return ops if name is None else documents.named(ops).where(F.col("name") == name)
 
+    def _checkpoint(self) -> tuple[int, DataFrame | None]:
+        """(last operation, states) of the newest checkpoint."""
+        there = [n for n in shared.names(self.spark, f"{self.folder}/_states") if n.endswith(".json")]
+        if not there:
+            return 0, None
+        upto = shared.read_json(self.spark, f"{self.folder}/_states/{there[-1]}")["upto"]
+        return upto, self.spark.read.schema("name string, content string, version long").parquet(f"{self.folder}/_states/upto={upto}")
+
+    def checkpoint(self) -> int:
+        """Writes the states of all documents down and returns the last operation in them."""
+        upto = self._next - 1
+        self.states().write.mode("overwrite").parquet(f"{self.folder}/_states/upto={upto}")
+        shared.create_json(self.spark, f"{self.folder}/_states/{upto:015d}.json", {"upto": upto})
+        return upto
+
+    def states(self, name: str | None = None) -> DataFrame:
+        """(name, content, version) of the documents, or of one: what the checkpoint has and the operations since."""
+        upto, since = self._checkpoint()
+        if since is not None and name is not None:
+            since = since.where(F.col("name") == name)
+        return documents.final_state(self.log(name).where(F.col("seq") > upto), since)
+
     def _apply(self, op: str, name: str, position: int | None, text: str, by: int) -> tuple[str, int]:
         """(content, version) after the operation, or Refused; refused operations are logged too."""
-        row = (self._next, op, name, position, text, by)
+        own = documents.plain_name(name) if op == "create" else name
+        found = [tuple(r) for r in self.states(own).select("content", "version").collect()] if own else []
+        state, status = documents.step(found[0] if found else None, op, name, position, text)
+        self.spark.createDataFrame([(self._next, op, name, position, text, by)], EDIT).coalesce(1).write.mode("append").parquet(self.folder)
         self._next += 1
-        self.spark.createDataFrame([row], EDIT).coalesce(1).write.mode("append").parquet(self.folder)
-        name = name.strip() if op == "create" else name
-        (found,) = documents.outcomes(self.log(name)).where(F.col("seq") == row[0]).collect()
-        if found["status"] not in documents.ACCEPTED:
-            raise Refused(found["status"])
-        return found["content"], found["version"]
+        if self._next % EVERY == 0:
+            self.checkpoint()
+        if status not in documents.ACCEPTED:
+            raise Refused(status)
+        return state
 
     def create(self, name: str, content: str = "", by: int = 0) -> int:
         return self._apply("create", name, None, content, by)[1]
@@ -52,13 +80,13 @@ class DocumentStore:
         return self._apply("insert", name, position, text, by)
 
     def get(self, name: str) -> tuple[str, int]:
-        found = documents.final_state(self.log(name)).collect()
+        found = self.states(name).collect()
         if not found:
             raise Refused("NOT_FOUND")
         return found[0]["content"], found[0]["version"]
 
     def listing(self) -> DataFrame:
-        return documents.listing(documents.final_state(self.log())).orderBy("name")
+        return documents.listing(self.states()).orderBy("name")
 
     def updates(self, name: str, after: int) -> list[tuple[int, str]]:
         """(version, content) of the versions above `after`, in order."""
@@ -78,7 +106,7 @@ class DocumentStore:
 
 
 #: Other words for a command; fixed values.
-ALIASES = {"new": "create", "use": "open", "insert": "edit", "cat": "show", "get": "show", "ls": "list", "sub": "subscribe", "unsub": "unsubscribe", "exit": "quit"}
+ALIASES = {"new": "create", "use": "open", "insert": "edit", "cat": "show", "get": "show", "ls": "list", "sub": "subscribe", "unsub": "unsubscribe", "exit": "quit", "q": "quit", "?": "help", "info": "status", "cls": "clear", "1": "create", "2": "open", "3": "edit", "4": "subscribe", "5": "quit"}
 
 
 class Interpreter:
@@ -102,7 +130,10 @@ class Interpreter:
 
     def line(self, line: str) -> list[str] | None:
         """Output of a line; None for quit."""
-        words = shlex.split(line, comments=True)
+        try:
+            words = shlex.split(line, comments=True)
+        except ValueError as e:  # an open quotation
+            return [str(e)]
         if not words:
             return []
         command, args = words[0].lower(), words[1:]
@@ -128,10 +159,11 @@ class Interpreter:
 
     def _create(self, name: str, content: str = "") -> list[str]:
         version = self.store.create(name, content, self.by)
-        self.active = name.strip()
+        self.active = documents.plain_name(name)
         return [f"{self.active} v{version}"]
 
-    def _open(self, name: str) -> list[str]:
+    def _open(self, name: str | None = None) -> list[str]:
+        name = self._name(name)
         _, version = self.store.get(name)
         self.active = name
         return [f"{name} v{version}"]
@@ -168,11 +200,18 @@ class Interpreter:
                 out.append(f"{name} v{version}: {content}")
         return out
 
+    def _help(self) -> list[str]:
+        return list(COMMANDS.values())
+
+    def _clear(self) -> list[str]:
+        """A blank line; there is no screen."""
+        return [""]
+
     def _status(self) -> list[str]:
         return [" ".join(f"{k} {v}" for k, v in self.counts.items())]
 
 
 COMMANDS = {
     "create": "create NAME [TEXT]", "open": "open NAME", "edit": "edit [NAME] POSITION TEXT", "show": "show [NAME]", "list": "list",
-    "subscribe": "subscribe [NAME]", "unsubscribe": "unsubscribe [NAME]", "poll": "poll", "status": "status",
+    "subscribe": "subscribe [NAME]", "unsubscribe": "unsubscribe [NAME]", "poll": "poll", "status": "status", "help": "help", "clear": "clear",
 }

@@ -7,18 +7,16 @@ grid of one half and matrix cells are integers, so sums are exact in any order.
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import shared
 from tessera.operators import benchlog, documents, matrix, weather
 from tessera.schema import MEASURES, WEATHER
 from tessera.sources import weather as weather_source
 from tessera.streaming import documents as document_stream
 from tessera.streaming import weather as weather_stream
+from tessera.streaming.tables import ChangeTable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,22 +107,15 @@ def _stream_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir.rstrip('/')}/{name}.parquet*")
 
 
-def _streamed(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
-    """All rows that a stream has given once it has taken what there is."""
-    name, checkpoint = f"stream_{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="tessera-stream-")
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    place = f"{root.rstrip('/')}/{name}" if root else checkpoint
-    query = result.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", place).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-        return spark.table(name)
-    finally:
-        query.stop()
-        shutil.rmtree(checkpoint, ignore_errors=True)
+def _streamed(spark: SparkSession, result: DataFrame, keys: list[str]) -> DataFrame:
+    """The result of a stateful stream once it has taken what there is, as executors have written it."""
+    table = ChangeTable(spark, shared.scratch(spark, "stream"), result.schema, keys)
+    table.fold(result).awaitTermination()
+    return table.read()
 
 
 def _stream_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, weather_stream.grouped(as_weather(_stream_source(spark, sf_dir, "events"))), "complete")
+    return _streamed(spark, weather_stream.grouped(as_weather(_stream_source(spark, sf_dir, "events"))), ["level", "interval", "station_id"])
 
 
 def weather_stream_final(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,8 +215,7 @@ def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs_stream_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = document_stream.feed(as_ops(_stream_source(spark, sf_dir, "conversations")))
-    return documents.latest(_streamed(spark, stream, "append"))
+    return _streamed(spark, document_stream.states(as_ops(_stream_source(spark, sf_dir, "conversations"))), ["name"])
 
 
 def docs_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,8 +237,9 @@ def docs_feed_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs_create_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn creates a document: two conversations share a padded name, every fourth turn's name is blank."""
-    name = F.when(F.col("turn") % 4 == 3, "  ").otherwise(F.concat(F.lit("  "), F.expr("conv_id div 2"), F.lit(" ")))
+    """Every turn creates a document: two conversations share a name padded with blanks, tabs or other spaces, every fourth turn's name is blank."""
+    pad = F.element_at(F.array(*map(F.lit, ("  ", "\t", " \u00a0\n", "\u2003"))), (F.col("conv_id") % 4 + 1).cast("int"))
+    name = F.when(F.col("turn") % 4 == 3, pad).otherwise(F.concat(pad, F.expr("conv_id div 2"), F.lit("\t ")))
     ops = _table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.lit("create").alias("op"), name.alias("name"), F.lit(0).cast("long").alias("position"), F.coalesce("text", F.lit("")).alias("text"), (F.col("conv_id") % 3).alias("edited_by"),
     )
