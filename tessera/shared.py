@@ -68,15 +68,19 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getName() for f in there.listStatus(where)) if there.exists(where) else []
 
 
-def read_json(spark: SparkSession, path: str) -> dict:
+def read_text(spark: SparkSession, path: str) -> str:
     there, where = place(spark, path)
     stream = there.open(where)
     try:
-        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
 
 
+def read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(read_text(spark, path))
+
+
 def create_json(spark: SparkSession, path: str, value: dict) -> bool:
     """Writes a file that is there as a whole or not at all; False, with nothing changed, where the path is taken."""
     jvm = spark._jvm

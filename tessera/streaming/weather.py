@@ -134,6 +134,10 @@ class LiveReport:
     def _path(self, *parts: str) -> str:
         return "/".join([self.folder, *parts])
 
+    @property
+    def checkpoint(self) -> str:
+        return self._path("checkpoint")
+
     def manifest(self) -> dict:
         """The newest one."""
         while True:
@@ -172,7 +176,7 @@ class LiveReport:
 
     def ingest(self, records: DataFrame, every: str | None = None) -> StreamingQuery:
         """Starts on a stream of records; without every, takes what there is now and ends."""
-        writer = records.writeStream.foreachBatch(self._keep).option("checkpointLocation", self._path("checkpoint"))
+        writer = records.writeStream.foreachBatch(self._keep).option("checkpointLocation", self.checkpoint)
         self.query = writer.trigger(processingTime=every).start() if every else writer.trigger(availableNow=True).start()
         return self.query
 
