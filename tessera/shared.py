@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import json
+import re
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of our own, by application; for tests and single machines.
@@ -100,3 +102,9 @@ def create_json(spark: SparkSession, path: str, value: dict) -> bool:
             return False
         raise
     return True
+
+
+def arrow_place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """(file system, path) of Arrow, for tasks that read bytes; a path without a scheme is local."""
+    uri = re.sub("^file:/+", "file:///", path) if path.startswith("file:") else path if "://" in path else f"file://{path}"
+    return pyarrow.fs.FileSystem.from_uri(uri)

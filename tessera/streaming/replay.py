@@ -18,7 +18,6 @@ import time
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +52,6 @@ def prepare(records: DataFrame, folder: str, rows_per_file: int = TASK_ROWS) ->
     return first
 
 
-def _open(path: str):
-    """(file system, path) of Arrow; a path without a scheme is local."""
-    return pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 class Slice(InputPartition):
     """Rows low to high of a file."""
 
@@ -71,7 +65,7 @@ class ReplayReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         options = {k.lower(): v for k, v in options.items()}
         self.folder = options["path"].rstrip("/")
-        where, root = _open(self.folder)
+        where, root = shared.arrow_place(self.folder)
         with where.open_input_stream(f"{root}/{INDEX}") as f:
             index = json.loads(f.read())
         self.files, self.rows = index["files"], index["rows"]
@@ -107,7 +101,7 @@ class ReplayReader(DataSourceStreamReader):
 
     def _times_of(self, name: str) -> list[int]:
         if self._times[0] != name:
-            where, root = _open(self.folder)
+            where, root = shared.arrow_place(self.folder)
             with where.open_input_file(f"{root}/{name}") as f:
                 self._times = name, pq.read_table(f, columns=["timestamp"]).column(0).to_pylist()
         return self._times[1]
@@ -131,7 +125,7 @@ class ReplayReader(DataSourceStreamReader):
         return out
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        where, root = _open(self.folder)
+        where, root = shared.arrow_place(self.folder)
         with where.open_input_file(f"{root}/{partition.name}") as f:
             file, at = pq.ParquetFile(f), 0
             for k in range(file.num_row_groups):
