@@ -1,17 +1,22 @@
 """Matrix products as a join on the inner index and a sum by cell.
 
 Matrices are coordinates (i, j, v).  Zero cells are dropped before the join.  A
-right side of at most BROADCAST_CELLS cells is broadcast after it was counted;
-a larger one is joined by shuffling both sides on the inner index, and the
-partial sums below the shuffle keep what goes to a cell small.
+right side of at most BROADCAST_CELLS cells is broadcast after it was counted.
+Larger ones are multiplied by tiles (tiled_product): each pair of tiles that
+meet is a piece of work of its own, so a dense row, column or inner index is
+spread over tasks, and a tile of the product is summed from pieces of bounded size.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_CELLS = 4_000_000
+#: Rows and columns of a tile.
+TILE = 256
 
 
 def dims(cells: DataFrame) -> DataFrame:
@@ -43,13 +48,53 @@ def check_product(a: DataFrame, b: DataFrame, a_dims: tuple[int, int] | None = N
         raise ValueError(f"dimension mismatch: {a_dims} by {b_dims}")
 
 
-def product(a: DataFrame, b: DataFrame, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+def product(a: DataFrame, b: DataFrame, broadcast_cells: int = BROADCAST_CELLS, tile: int = TILE) -> DataFrame:
     """The nonzero cells (i, j, v) of the product."""
-    left = a.where("v <> 0").select("i", F.col("j").alias("k"), F.col("v").alias("x"))
     right = b.where("v <> 0").select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-    if right.limit(broadcast_cells + 1).count() <= broadcast_cells:
-        right = F.broadcast(right)
-    return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v")).where("v <> 0")
+    if right.limit(broadcast_cells + 1).count() > broadcast_cells:
+        return tiled_product(a, b, tile)
+    left = a.where("v <> 0").select("i", F.col("j").alias("k"), F.col("v").alias("x"))
+    return left.join(F.broadcast(right), "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v")).where("v <> 0")
+
+
+def tiles(cells: DataFrame, tile: int, row: str, column: str) -> DataFrame:
+    """(row, column, at: array, v: array): the nonzero cells by tile, at being place in row times tile plus place in column; at most tile * tile of them."""
+    place = F.pmod("i", F.lit(tile)) * tile + F.pmod("j", F.lit(tile))
+    return (
+        cells.where("v <> 0")
+        .select(F.expr(f"(i - pmod(i, {tile})) div {tile}").alias(row), F.expr(f"(j - pmod(j, {tile})) div {tile}").alias(column), F.struct(place.cast("int").alias("at"), "v").alias("cell"))
+        .groupBy(row, column)
+        .agg(F.collect_list("cell").alias("cells"))
+        .select(row, column, F.col("cells.at").alias("at"), F.col("cells.v").alias("v"))
+    )
+
+
+def tiled_product(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
+    """The nonzero cells (i, j, v) of the product, by tiles.
+
+    A tile of a is sent to each column of tiles that b has in its inner block, and
+    a tile of b to each row of tiles that a has there, so both meet under (row
+    block, inner block, column block).  A task multiplies one pair at a time; the
+    cells of its product are summed by place.
+    """
+    left, right = tiles(a, tile, "p", "q"), tiles(b, tile, "q", "r")
+    # which tiles there are: numbers alone; the rows and columns of tiles of one inner block
+    there = left.select("p", "q").join(right.select("q", "r"), "q")
+    pairs = left.join(there, ["p", "q"]).withColumnsRenamed({"at": "a_at", "v": "a_v"}).join(right.withColumnsRenamed({"at": "b_at", "v": "b_v"}), ["q", "r"])
+    dealt = pairs.select("p", "q", "r", "a_at", "a_v", "b_at", "b_v").repartition("p", "q", "r")
+
+    def multiply(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                p, _, r = (batch.column(c)[k].as_py() for c in range(3))
+                x, y = np.zeros(tile * tile), np.zeros(tile * tile)
+                for out, at, v in ((x, 3, 4), (y, 5, 6)):
+                    np.add.at(out, np.asarray(batch.column(at)[k].values), np.asarray(batch.column(v)[k].values))
+                made = (x.reshape(tile, tile) @ y.reshape(tile, tile)).reshape(-1)
+                some = np.flatnonzero(made)
+                yield pa.RecordBatch.from_arrays([pa.array(p * tile + some // tile), pa.array(r * tile + some % tile), pa.array(made[some])], ["i", "j", "v"])
+
+    return dealt.mapInArrow(multiply, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).where("v <> 0")
 
 
 def from_rows(rows: DataFrame) -> DataFrame:

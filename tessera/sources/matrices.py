@@ -6,11 +6,15 @@ import random
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import shared
 from tessera.schema import COORDINATES
 
+#: Splits whose places are broadcast, some hundred bytes each; those of more are joined by a shuffle.
+BROADCAST_SPLITS = 100_000
+
 
 def is_sparse(spark: SparkSession, path: str) -> bool:
     """Whether the first line that isn't blank holds a tab."""
@@ -23,32 +27,66 @@ def read_sparse(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.csv(list(paths), sep="\t", schema=COORDINATES, mode="FAILFAST").where("v <> 0")
 
 
-def numbered_rows(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
-    """(i, row: array) of the lines that aren't blank.
+def _row(value) -> Column:
+    return F.transform(F.split(F.trim(F.translate(value, "\t\r", "  ")), r"\s+"), lambda x: x.cast("double"))
+
+
+def split_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, splits) of the lines that aren't blank: rows (file, block, at, row), written once; splits (file, block, first,
+    many, narrow, wide, before): the smallest at, the rows, their least and most columns, and the rows of all splits before.
+
+    The lines of a split are read in order and numbered as they come, so a line's place in its split is at - first.
+    Files follow one another by name.
+    """
+    block = F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), block.alias("block")).where(F.trim(F.translate("value", "\t\r", "  ")) != "")
+    rows = shared.stored(lines.select("file", "block", F.monotonically_increasing_id().alias("at"), _row("value").alias("row")), "rows")
+    width = F.size("row")
+    splits = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("many"), F.min(width).alias("narrow"), F.max(width).alias("wide"))
+    before = F.sum("many").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))  # of a row for each split
+    return rows, shared.stored(splits.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).coalesce(1), "splits")
+
 
-    whole reads a file as one row, which keeps the order within what a task
-    holds; without it rows are numbered over all partitions of a large file.
+def numbered_rows(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """(i, row: array) of the lines that aren't blank, in the order of files and lines.
+
+    Rows are numbered by counts of splits.  whole reads each file as one row instead, for small ones.
     """
     if whole:
-        lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("l")).select(F.posexplode("l").alias("i", "value"))
-    else:
-        rdd = spark.read.text(path).where(F.trim("value") != "").rdd.map(lambda r: r[0]).zipWithIndex()
-        lines = spark.createDataFrame(rdd.map(lambda x: (x[1], x[0])), "i long, value string")
-    return lines.select(F.col("i").cast("long").alias("i"), F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double")).alias("row"))
+        lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(F.translate(x, "\t\r", "  ")) != "").alias("l")).select(F.posexplode("l").alias("i", "value"))
+        return lines.select(F.col("i").cast("long").alias("i"), _row("value").alias("row"))
+    return _numbered(*split_rows(spark, path))
+
+
+def _numbered(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    places = splits.select("file", "block", (F.col("before") - F.col("first")).alias("shift"))
+    if splits.count() <= BROADCAST_SPLITS:
+        places = F.broadcast(places)
+    return rows.join(places, ["file", "block"]).select((F.col("at") + F.col("shift")).alias("i"), "row")
 
 
 def check_even(rows: DataFrame) -> DataFrame:
     """rows, or an error if they differ in length."""
     low, high = rows.agg(F.min(F.size("row")), F.max(F.size("row"))).first()
+    _check_widths(low, high)
+    return rows
+
+
+def _check_widths(low: int | None, high: int | None) -> None:
     if low != high:
         raise ValueError(f"ragged rows: {low} to {high} columns")
-    return rows
 
 
-def read_dense(spark: SparkSession, path: str, whole: bool = True) -> tuple[DataFrame, tuple[int, int]]:
-    """(coordinates, (rows, columns))."""
-    rows = check_even(numbered_rows(spark, path, whole))
-    m, n = rows.agg(F.count("*"), F.coalesce(F.max(F.size("row")), F.lit(0))).first()
+def read_dense(spark: SparkSession, path: str, whole: bool = False) -> tuple[DataFrame, tuple[int, int]]:
+    """(coordinates, (rows, columns)); ragged rows are an error.  Lines are parsed once, and the checks read a row for each split."""
+    if whole:
+        rows = check_even(numbered_rows(spark, path, whole))
+        m, n = rows.agg(F.count("*"), F.coalesce(F.max(F.size("row")), F.lit(0))).first()
+    else:
+        held, splits = split_rows(spark, path)
+        low, n, m = splits.agg(F.min("narrow"), F.coalesce(F.max("wide"), F.lit(0)), F.coalesce(F.sum("many"), F.lit(0))).first()
+        _check_widths(n if low is None else low, n)
+        rows = _numbered(held, splits)
     cells = rows.select("i", F.posexplode("row").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), "v")
     return cells.where("v <> 0"), (m, n)
 

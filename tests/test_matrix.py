@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tessera.operators import matrix
@@ -79,3 +81,41 @@ def test_files_of_either_format(spark, tmp_path):
     assert {(r.i, r.j): r.v for r in made.collect()} == {k: v for k, v in want.items() if v}
     inferred = {r.i: list(r.row) for r in matrix.to_rows(made).collect()}
     assert all(inferred[i][j] == v for (i, j), v in want.items() if v)
+
+
+@pytest.mark.parametrize("split", [40, 1 << 20])
+def test_rows_are_numbered_over_splits_and_files(spark, tmp_path, split):
+    rng = random.Random(split)
+    rows = [[rng.randint(-5, 5) for _ in range(6)] for _ in range(300)]
+    for f in range(3):
+        lines = [("\t " if k % 2 else "") + " ".join(map(str, r)) + "\n" + "\n \t\n" * (k % 3 == 0) for k, r in enumerate(rows[100 * f : 100 * f + 100])]
+        (tmp_path / f"{f}.txt").write_text("".join(lines))
+    (tmp_path / "3.txt").write_text("\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        held, splits = matrices.split_rows(spark, str(tmp_path))
+        assert (splits.count() > 50) == (split == 40)
+        got = {r["i"]: list(r["row"]) for r in matrices._numbered(held, splits).collect()}
+        cells, size = matrices.read_dense(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {k: [float(v) for v in r] for k, r in enumerate(rows)}
+    assert size == (300, 6) and cells.count() == sum(v != 0 for r in rows for v in r)
+
+
+def test_empty_dense_file(spark, tmp_path):
+    (tmp_path / "e").write_text("\n")
+    cells, size = matrices.read_dense(spark, str(tmp_path / "e"))
+    assert (cells.count(), size) == (0, (0, 0))
+
+
+@pytest.mark.parametrize("tile", [1, 3, 8, 256])
+def test_tiles(spark, tile):
+    rng = random.Random(tile)
+    a = [[rng.randint(-3, 3) if k != 5 or i == 0 else 1 for k in range(13)] for i in range(11)]  # one dense inner index
+    b = [[rng.randint(-3, 3) if k % 4 else 0 for _ in range(7)] for k in range(13)]
+    want = {(i, j): float(v) for i, row in enumerate(multiply(a, b)) for j, v in enumerate(row) if v}
+    assert {(r.i, r.j): r.v for r in matrix.tiled_product(coo(spark, a), coo(spark, b), tile).collect()} == want
+    twice = coo(spark, a).union(coo(spark, a))  # repeated cells add up, as in the other form
+    assert {(r.i, r.j): r.v for r in matrix.tiled_product(twice, coo(spark, b), tile).collect()} == {k: 2 * v for k, v in want.items()}
+    assert matrix.tiled_product(coo(spark, a).where("false"), coo(spark, b), tile).count() == 0
