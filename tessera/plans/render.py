@@ -56,7 +56,7 @@ def write_sparse(cells: DataFrame, path: str) -> None:
     matrix.row_major(cells.where("v <> 0")).write.csv(path, sep="\t")
 
 
-def dashboard(summary: dict, text: str) -> str:
-    """Counters of a live stream above its report."""
+def dashboard(summary: dict, text: str, workers: str = "") -> str:
+    """Counters of a live stream and its workers above its report."""
     head = [f"{key:<22}{summary[key]}" for key in ("records", "batches", "records_per_second", "active") if key in summary]
-    return "\n".join([*head, "", text])
+    return "\n".join([*head, "", *([workers, ""] if workers else []), text])

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from tessera.operators.weather import DEFAULT_K
-from tessera.plans import render
+from tessera.plans import metrics, render
 from tessera.schema import MEASURES
 from tessera.session import session
 from tessera.streaming.weather import LiveReport
@@ -42,7 +42,8 @@ def watch(live: LiveReport, seconds: float | None = None, counters: str | None =
     shown = 0
     while True:
         summary = live.summary()
-        show(render.dashboard(summary, text(live) if summary["batches"] else "nothing was ingested\n"))
+        workers = metrics.worker_table(metrics.workers(live.spark))
+        show(render.dashboard(summary, text(live) if summary["batches"] else "nothing was ingested\n", workers))
         if counters:
             append_counters(counters, summary)
         shown += 1

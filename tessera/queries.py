@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from tessera import shared
 from tessera.operators import benchlog, documents, matrix, weather
+from tessera.plans import render
 from tessera.schema import MEASURES, WEATHER
+from tessera.sources import matrices, numbers
 from tessera.sources import weather as weather_source
 from tessera.streaming import documents as document_stream
+from tessera.streaming import replay
 from tessera.streaming import weather as weather_stream
 from tessera.streaming.tables import ChangeTable
 
@@ -131,6 +134,54 @@ def weather_stream_busiest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream_groups(spark, sf_dir).where("level = 1").select("interval", "n").orderBy(F.desc("n"), "interval").limit(1)
 
 
+def weather_whole_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record as numbers among junk bytes, records running over lines and lines over records; read by ranges of a few kilobytes."""
+    w = as_weather(_table(spark, sf_dir, "events"))
+    between = lambda k: F.element_at(F.array(*map(F.lit, (" ", "; ", "\n", "\t|", " x\n#"))), (F.pmod(F.xxhash64("timestamp", "station_id", F.lit(k)), F.lit(5)) + 1).cast("int"))
+    parts = [x for k, c in enumerate(WEATHER.names) for x in (F.col(c).cast("decimal(20,1)").cast("string") if k > 1 else F.col(c).cast("string"), between(k))]
+    path = shared.scratch(spark, "buffer")
+    w.select(F.concat(*parts).alias("value")).write.option("lineSep", " ").text(path)
+    return weather.global_metrics(numbers.scan(spark, path, WEATHER, skip=0, range_bytes=4096))
+
+
+def weather_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live report of a replay in batches of a quarter of the records, in the order of time."""
+    folder = shared.scratch(spark, "replay")
+    rows = replay.prepare(_w(spark, sf_dir), folder, 20_000)
+    live = weather_stream.LiveReport(spark, shared.scratch(spark, "live"))
+    query = live.ingest(replay.replayed(spark, folder, live.checkpoint, batch_size=max(1, -(-rows // 4))), every="0 seconds")
+    try:
+        live.drain(3600)
+    finally:
+        query.stop()
+    return live.view().whole
+
+
+def weather_live_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one view of a live report says of all records: as a whole, and summed over its stations and over its intervals."""
+    live = weather_stream.LiveReport(spark, shared.scratch(spark, "live"))
+    live.ingest(as_weather(_stream_source(spark, sf_dir, "events"))).awaitTermination()
+    view = live.view()
+    level = lambda name, df: df.agg(F.sum("n").alias("n"), F.count("*").alias("groups")).select(F.lit(name).alias("level"), "n", "groups")
+    return level("whole", view.whole).unionByName(level("station", view.stations)).unionByName(level("interval", view.intervals))
+
+
+def weather_state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by station in the state store after two batches of half the events each, and what either batch changed."""
+    folder, events = shared.scratch(spark, "halves"), _table(spark, sf_dir, "events")
+    stream = None
+    for half in (0, 1):
+        part = as_weather(events.where(F.col("event_id") % 3 == 0 if half else F.col("event_id") % 3 != 0)).select("station_id")
+        part.coalesce(1).write.mode("append").parquet(folder)
+        if stream is None:
+            stream = spark.readStream.schema(part.schema).parquet(folder).groupBy("station_id").count()
+            kept = ChangeTable(spark, shared.scratch(spark, "state"), stream.schema, ["station_id"])
+        kept.fold(stream).awaitTermination()
+    state = weather_stream.state_of(spark, kept.checkpoint).select(F.lit("state").alias("kind"), "key.station_id", F.col("value.count").alias("n"), F.lit(1).cast("long").alias("batch"))
+    changes = weather_stream.state_changes(spark, kept.checkpoint, 0, 1).select(F.lit("change").alias("kind"), "key.station_id", F.col("value.count").alias("n"), F.col("batch_id").cast("long").alias("batch"))
+    return state.unionByName(changes)
+
+
 def live_counters_by_worker(spark: SparkSession, sf_dir: str, workers: int = 4) -> DataFrame:
     """Batches of 500 events dealt round robin: records and batches of each worker."""
     batch = F.expr("event_id div 500")
@@ -185,6 +236,54 @@ def matrix_to_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(matrix.to_rows(cells.where("v > 0"), matrix.dims(cells).first()["rows"], 64))
 
 
+def _dense_files(spark: SparkSession, sf_dir: str) -> str:
+    """The whole matrix as dense text in several files, rows in order, with blank lines between."""
+    path = shared.scratch(spark, "dense")
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 100).cast("long").cast("string")), " ").alias("line"))
+    ordered = rows.repartitionByRange(5, "vec_id").sortWithinPartitions("vec_id")
+    ordered.select(F.when(F.col("vec_id") % 10 == 0, F.concat(F.lit("\n \t\n"), "line")).otherwise(F.col("line")).alias("value")).write.text(path)
+    return path
+
+
+def matrix_dense_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates of dense files whose rows are numbered over all files."""
+    return matrices.read_dense(spark, _dense_files(spark, sf_dir))[0]
+
+
+def matrix_files_of_both_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product whose left side is read from dense files and whose right side from sparse ones, each told by its first line."""
+    sparse = shared.scratch(spark, "sparse")
+    render.write_sparse(_m(spark, sf_dir), sparse)
+    return matrix.product(matrices.read(spark, _dense_files(spark, sf_dir)), matrices.read(spark, sparse))
+
+
+def matrix_dense_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense files read twice as one matrix: the rows of the second follow those of the first."""
+    path = _dense_files(spark, sf_dir)
+    return matrices.read(spark, path, path)
+
+
+def matrix_sparse_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells as the sparse sink writes them, read back line by line."""
+    path = shared.scratch(spark, "sink")
+    render.write_sparse(_m(spark, sf_dir, None), path)
+    cells = F.split("value", "\t")
+    return spark.read.text(path).select(cells[0].cast("long").alias("i"), cells[1].cast("long").alias("j"), cells[2].cast("double").alias("v"))
+
+
+def matrix_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix by its transpose-shaped square part, by tiles, with one dense row put in; nothing is broadcast."""
+    left = _m(spark, sf_dir, None)
+    dense = spark.range(64).select(F.lit(-1).cast("long").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
+    return matrix.tiled_product(left.unionByName(dense).withColumn("i", F.col("i") + 1), _m(spark, sf_dir), 16)
+
+
+def matrix_dimension_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the matrix and its square part, and whether they can be multiplied in either order."""
+    a, b = matrix.dims(_m(spark, sf_dir, None)).toDF("m", "n"), matrix.dims(_m(spark, sf_dir)).toDF("p", "q")
+    return a.crossJoin(F.broadcast(b)).select("m", "n", "p", "q", (F.col("n") == F.col("p")).alias("fits"), (F.col("q") == F.col("m")).alias("fits_turned"))  # one row each
+
+
 # --- documents ----------------------------------------------------------------
 
 
@@ -218,6 +317,22 @@ def docs_stream_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, document_stream.states(as_ops(_stream_source(spark, sf_dir, "conversations"))), ["name"])
 
 
+def docs_checkpointed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final states from a checkpoint after the operations of the first two turns and those that follow."""
+    ops = _ops(spark, sf_dir)
+    since = shared.stored(documents.final_state(ops.where("seq < 2")), "states")
+    return documents.final_state(ops.where("seq >= 2"), since)
+
+
+def docs_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a subscriber who comes after the first two turns is told: the state then, and each later version in order."""
+    ops = _ops(spark, sf_dir)
+    history = shared.stored(documents.history(ops), "history")
+    then = documents.latest(history.where("seq < 2")).select("name", "version", "content", F.lit(True).alias("snapshot"))
+    later = history.where("seq >= 2").select("name", "version", "content", F.lit(False).alias("snapshot"))
+    return then.unionByName(later)
+
+
 def docs_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.listing(documents.final_state(_ops(spark, sf_dir)))
 
@@ -307,7 +422,19 @@ QUERIES = {
     "weather_stream_final": weather_stream_final,
     "weather_stream_stations": weather_stream_stations,
     "weather_stream_busiest": weather_stream_busiest,
+    "weather_whole_buffer": weather_whole_buffer,
+    "weather_replay": weather_replay,
+    "weather_live_levels": weather_live_levels,
+    "weather_state_changes": weather_state_changes,
     "live_counters_by_worker": live_counters_by_worker,
+    "matrix_dense_file": matrix_dense_file,
+    "matrix_files_of_both_formats": matrix_files_of_both_formats,
+    "matrix_dense_union": matrix_dense_union,
+    "matrix_sparse_sink": matrix_sparse_sink,
+    "matrix_tiles": matrix_tiles,
+    "matrix_dimension_check": matrix_dimension_check,
+    "docs_checkpointed": docs_checkpointed,
+    "docs_subscription": docs_subscription,
     "matrix_product": matrix_product,
     "matrix_product_shuffled": matrix_product_shuffled,
     "matrix_product_dense_rows": matrix_product_dense_rows,
@@ -368,6 +495,23 @@ ORACLE_SQL = {
     "weather_stream_final": _columns("*"),
     "weather_stream_stations": f"{W}{_STATIONS} GROUP BY station_id",
     "weather_stream_busiest": f'{W}SELECT * FROM (SELECT {_INTERVAL}) ORDER BY n DESC, "interval" LIMIT 1',
+    "weather_whole_buffer": _columns("*"),
+    "weather_replay": _columns("*"),
+    "weather_live_levels": f"""{W}, s AS (SELECT station_id, count(*) AS n FROM w GROUP BY 1), i AS (SELECT {_INTERVAL})
+SELECT 'whole' AS level, CAST(count(*) AS BIGINT) AS n, CAST(1 AS BIGINT) AS groups FROM w
+UNION ALL SELECT 'station', CAST(sum(n) AS BIGINT), CAST(count(*) AS BIGINT) FROM s UNION ALL SELECT 'interval', CAST(sum(n) AS BIGINT), CAST(count(*) AS BIGINT) FROM i""",
+    "weather_state_changes": """WITH c AS (SELECT user_id AS station_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE event_id % 3 <> 0) AS BIGINT) AS first, count(*) FILTER (WHERE event_id % 3 = 0) AS second FROM events GROUP BY 1)
+SELECT 'state' AS kind, station_id, n, CAST(1 AS BIGINT) AS batch FROM c UNION ALL SELECT 'change', station_id, first, 0 FROM c WHERE first > 0 UNION ALL SELECT 'change', station_id, n, 1 FROM c WHERE second > 0""",
+    "matrix_dense_file": M + "SELECT i, j, v FROM c WHERE v <> 0",
+    "matrix_files_of_both_formats": M + _PRODUCT.format("c", "m"),
+    "matrix_dense_union": M + "SELECT i, j, v FROM c WHERE v <> 0 UNION ALL SELECT i + (SELECT max(i) + 1 FROM c), j, v FROM c WHERE v <> 0",
+    "matrix_sparse_sink": M + "SELECT i, j, v FROM c WHERE v <> 0",
+    "matrix_tiles": M + ", l AS (SELECT i + 1 AS i, j, v FROM c UNION ALL SELECT 0, range, 1 FROM range(64)) " + _PRODUCT.format("l", "m"),
+    "matrix_dimension_check": M + "SELECT *, n = p AS fits, q = m AS fits_turned FROM (SELECT max(i) + 1 AS m, max(j) + 1 AS n FROM c), (SELECT max(i) + 1 AS p, max(j) + 1 AS q FROM m)",
+    "docs_checkpointed": _FINAL,
+    "docs_subscription": D + """, v AS (SELECT CAST(conv_id AS VARCHAR) AS name, version, content, seq, status FROM fold WHERE status <> 'OUT_OF_RANGE'),
+t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY version DESC) AS back FROM v WHERE seq < 2)
+SELECT name, version, content, true AS snapshot FROM t WHERE back = 1 UNION ALL SELECT name, version, content, false FROM v WHERE seq >= 2""",
     "live_counters_by_worker": "SELECT event_id // 500 % 4 AS worker, CAST(count(*) AS BIGINT) AS records, CAST(count(DISTINCT event_id // 500) AS BIGINT) AS batches FROM events GROUP BY 1",
     "matrix_product": M + _PRODUCT.format("c", "m"),
     "matrix_product_shuffled": M + _PRODUCT.format("c", "m"),

@@ -18,7 +18,7 @@ BROADCAST_SPLITS = 100_000
 
 def is_sparse(spark: SparkSession, path: str) -> bool:
     """Whether the first line that isn't blank holds a tab."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    first = spark.read.text(path).where(_not_blank("value")).limit(1).collect()
     return bool(first) and "\t" in first[0]["value"]
 
 
@@ -27,6 +27,10 @@ def read_sparse(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.csv(list(paths), sep="\t", schema=COORDINATES, mode="FAILFAST").where("v <> 0")
 
 
+def _not_blank(value) -> Column:
+    return F.trim(F.translate(value, "\t\r", "  ")) != ""
+
+
 def _row(value) -> Column:
     return F.transform(F.split(F.trim(F.translate(value, "\t\r", "  ")), r"\s+"), lambda x: x.cast("double"))
 
@@ -39,7 +43,7 @@ def split_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Files follow one another by name.
     """
     block = F.col("_metadata.file_block_start")
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), block.alias("block")).where(F.trim(F.translate("value", "\t\r", "  ")) != "")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), block.alias("block")).where(_not_blank("value"))
     rows = shared.stored(lines.select("file", "block", F.monotonically_increasing_id().alias("at"), _row("value").alias("row")), "rows")
     width = F.size("row")
     splits = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("many"), F.min(width).alias("narrow"), F.max(width).alias("wide"))
@@ -53,7 +57,7 @@ def numbered_rows(spark: SparkSession, path: str, whole: bool = False) -> DataFr
     Rows are numbered by counts of splits.  whole reads each file as one row instead, for small ones.
     """
     if whole:
-        lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(F.translate(x, "\t\r", "  ")) != "").alias("l")).select(F.posexplode("l").alias("i", "value"))
+        lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\r?\n"), _not_blank).alias("l")).select(F.posexplode("l").alias("i", "value"))
         return lines.select(F.col("i").cast("long").alias("i"), _row("value").alias("row"))
     return _numbered(*split_rows(spark, path))
 

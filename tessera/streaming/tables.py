@@ -46,6 +46,10 @@ class ChangeTable:
         self.spark, self.folder, self.keys = spark, folder.rstrip("/"), keys
         self.schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
 
+    @property
+    def checkpoint(self) -> str:
+        return f"{self.folder}/checkpoint"
+
     def _manifests(self) -> list[str]:
         return [n for n in shared.names(self.spark, f"{self.folder}/manifest") if n.endswith(".json")]
 
@@ -73,7 +77,7 @@ class ChangeTable:
     def fold(self, result: DataFrame, every: str | None = None) -> StreamingQuery:
         """Starts the stateful stream result; without every, takes what there is now and ends."""
         with on_rocksdb(self.spark):
-            writer = result.writeStream.outputMode("update").foreachBatch(self._keep).option("checkpointLocation", f"{self.folder}/checkpoint")
+            writer = result.writeStream.outputMode("update").foreachBatch(self._keep).option("checkpointLocation", self.checkpoint)
             return writer.trigger(processingTime=every).start() if every else writer.trigger(availableNow=True).start()
 
     def _rows(self, tables: list[str]) -> DataFrame:

@@ -27,6 +27,7 @@ from tessera import shared
 from tessera.functions import interval_of, is_extreme
 from tessera.operators import weather
 from tessera.schema import MEASURES
+from tessera.streaming.tables import on_rocksdb
 
 #: Levels of a row of partial aggregates.
 INTERVAL, STATION, WHOLE, HOTTEST, COLDEST = 1, 2, 3, 4, 5
@@ -273,9 +274,20 @@ class LiveReport:
         shared.remove(self.spark, self.folder)
 
 
-def state_of(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """Keys and values in the state store of a stateful stream, as of its last committed batch."""
-    return spark.read.format("statestore").load(checkpoint)
+def state_of(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """Keys and values in the state store of a stateful stream, as of its last committed batch or of an earlier one."""
+    reader = spark.read.format("statestore")
+    return (reader if batch is None else reader.option("batchId", batch)).load(checkpoint)
+
+
+def state_changes(spark: SparkSession, checkpoint: str, first: int, last: int | None = None) -> DataFrame:
+    """(batch_id, change_type, key, value, partition_id): what the batches from first to last changed in the state.
+
+    The stream must have run on RocksDB with logs of changes (tables.on_rocksdb).
+    """
+    with on_rocksdb(spark):
+        reader = spark.read.format("statestore").option("readChangeFeed", True).option("changeStartBatchId", first)
+        return (reader if last is None else reader.option("changeEndBatchId", last)).load(checkpoint)
 
 
 def replay(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
