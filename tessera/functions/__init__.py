@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 def interval_of(timestamp: Column, seconds: int = 60) -> Column:
     """Interval number of a time in seconds; division truncates towards zero, so -61 is in interval -1."""
-    whole = F.abs(timestamp)
-    return F.sign(timestamp).cast("long") * ((whole - whole % seconds) / seconds).cast("long")
+    return F.call_function("div", timestamp, F.lit(seconds))
 
 
 def is_extreme(temperature: Column, high: float = 40.0, low: float = 0.0) -> Column:
@@ -31,3 +30,18 @@ def known_number(text: Column, kind: str) -> Column:
     """text as a number of the kind, or null; NaN is no number."""
     value = text.try_cast(kind)
     return F.when(F.isnan(value), None).otherwise(value) if kind == "double" else value
+
+
+def parts_of(text: Column, kinds: list[str], separator: str = ":") -> Column:
+    """A struct (p0, p1, ...) of a text such as `3:4:0.5`, each part as its kind; null unless there are as many parts and all are of their kinds."""
+    parts = F.split(text, f"\\Q{separator}\\E", -1)
+    made = [F.get(parts, F.lit(k)).try_cast(kind) for k, kind in enumerate(kinds)]
+    good = F.size(parts) == len(kinds)
+    for m in made:
+        good = good & m.isNotNull()
+    return F.when(good, F.struct(*(m.alias(f"p{k}") for k, m in enumerate(made))))
+
+
+def setting(text: Column, name: str) -> Column:
+    """The value of `name=value`, null where text does not begin so."""
+    return F.when(F.startswith(text, F.lit(f"{name}=")), F.substr(text, F.lit(len(name) + 2)))

@@ -48,8 +48,13 @@ def check_product(a: DataFrame, b: DataFrame, a_dims: tuple[int, int] | None = N
         raise ValueError(f"dimension mismatch: {a_dims} by {b_dims}")
 
 
-def product(a: DataFrame, b: DataFrame, broadcast_cells: int = BROADCAST_CELLS, tile: int = TILE) -> DataFrame:
-    """The nonzero cells (i, j, v) of the product."""
+def product(a: DataFrame, b: DataFrame, broadcast_cells: int = BROADCAST_CELLS, tile: int = TILE, sizes: tuple[tuple[int, int], tuple[int, int]] | None = None) -> DataFrame:
+    """The nonzero cells (i, j, v) of the product; sizes (rows, columns) of both that do not fit are an error.
+
+    Without sizes nothing is checked: cells alone do not tell of empty last columns or rows.
+    """
+    if sizes is not None:
+        check_product(a, b, *sizes)
     right = b.where("v <> 0").select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
     if right.limit(broadcast_cells + 1).count() > broadcast_cells:
         return tiled_product(a, b, tile)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import shared
+from tessera.functions import parts_of, setting
 from tessera.operators import benchlog, documents, matrix, weather
 from tessera.plans import render
 from tessera.schema import MEASURES, WEATHER
@@ -278,6 +279,14 @@ def matrix_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.tiled_product(left.unionByName(dense).withColumn("i", F.col("i") + 1), _m(spark, sf_dir), 16)
 
 
+def matrix_encoded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells from texts `i:j:v`; every fifth is a setting `K=i` and every seventh lacks a part, which are left out."""
+    text = F.when(F.col("i") % 5 == 4, F.concat(F.lit("K="), "i")).when((F.col("i") + F.col("j")) % 7 == 6, F.concat_ws(":", "i", "v")).otherwise(F.concat_ws(":", "i", "j", F.col("v").cast("string")))
+    cell = parts_of(F.col("text"), ["long", "long", "double"])
+    found = _m(spark, sf_dir, None).select(text.alias("text")).select(cell.alias("c"), setting(F.col("text"), "K").cast("long").alias("k"))
+    return found.where("c is not null or k is not null").select(F.coalesce("c.p0", "k").alias("i"), F.col("c.p1").alias("j"), F.col("c.p2").alias("v"))
+
+
 def matrix_dimension_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of the matrix and its square part, and whether they can be multiplied in either order."""
     a, b = matrix.dims(_m(spark, sf_dir, None)).toDF("m", "n"), matrix.dims(_m(spark, sf_dir)).toDF("p", "q")
@@ -433,6 +442,7 @@ QUERIES = {
     "matrix_sparse_sink": matrix_sparse_sink,
     "matrix_tiles": matrix_tiles,
     "matrix_dimension_check": matrix_dimension_check,
+    "matrix_encoded_cells": matrix_encoded_cells,
     "docs_checkpointed": docs_checkpointed,
     "docs_subscription": docs_subscription,
     "matrix_product": matrix_product,
@@ -508,6 +518,7 @@ SELECT 'state' AS kind, station_id, n, CAST(1 AS BIGINT) AS batch FROM c UNION A
     "matrix_sparse_sink": M + "SELECT i, j, v FROM c WHERE v <> 0",
     "matrix_tiles": M + ", l AS (SELECT i + 1 AS i, j, v FROM c UNION ALL SELECT 0, range, 1 FROM range(64)) " + _PRODUCT.format("l", "m"),
     "matrix_dimension_check": M + "SELECT *, n = p AS fits, q = m AS fits_turned FROM (SELECT max(i) + 1 AS m, max(j) + 1 AS n FROM c), (SELECT max(i) + 1 AS p, max(j) + 1 AS q FROM m)",
+    "matrix_encoded_cells": M + "SELECT i, CASE WHEN i % 5 <> 4 THEN j END AS j, CASE WHEN i % 5 <> 4 THEN v END AS v FROM c WHERE i % 5 = 4 OR (i + j) % 7 <> 6",
     "docs_checkpointed": _FINAL,
     "docs_subscription": D + """, v AS (SELECT CAST(conv_id AS VARCHAR) AS name, version, content, seq, status FROM fold WHERE status <> 'OUT_OF_RANGE'),
 t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY version DESC) AS back FROM v WHERE seq < 2)

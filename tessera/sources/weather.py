@@ -9,6 +9,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,10 @@ from tessera.operators.weather import DEFAULT_K
 from tessera.schema import WEATHER
 
 
+#: Lines in which a header is looked for first.
+HEAD = 1000
+
+
 @dataclass(frozen=True)
 class DatasetMeta:
     """The header: declared records, length of the top list, stations; None where there is no header."""
@@ -65,16 +70,40 @@ def meta(lines: DataFrame) -> DatasetMeta:
     return DatasetMeta(*tuple(found[0]))
 
 
-def read_weather(spark: SparkSession, *paths: str) -> tuple[DatasetMeta, DataFrame]:
+class Header:
+    """The header of text files, looked for when it is first asked for: in the first lines, and in all of them where those have none."""
+
+    def __init__(self, lines: DataFrame):
+        self._lines = lines
+
+    @cached_property
+    def found(self) -> DatasetMeta:
+        head = meta(self._lines.limit(HEAD))
+        return head if head != DatasetMeta() else meta(self._lines)
+
+    @property
+    def n(self) -> int | None:
+        return self.found.n
+
+    @property
+    def k(self) -> int:
+        return self.found.k
+
+    @property
+    def s(self) -> int | None:
+        return self.found.s
+
+
+def read_weather(spark: SparkSession, *paths: str) -> tuple[Header, DataFrame]:
     """(header, records) of text files.  Lines are parsed where they are read; save the records as Parquet to use them often."""
     lines = spark.read.text(list(paths))
-    return meta(lines), records(lines)
+    return Header(lines), records(lines)
 
 
 def quality(spark: SparkSession, path: str) -> DataFrame:
     """One row (n_declared, n_read, malformed)."""
     lines = spark.read.text(path)
-    declared = F.lit(meta(lines).n).cast("long").alias("n_declared")
+    declared = F.lit(Header(lines).n).cast("long").alias("n_declared")
     return parsed(lines).agg(declared, F.count_if(F.col("kind") == "record").alias("n_read"), F.count_if(F.col("kind") == "malformed").alias("malformed"))
 
 

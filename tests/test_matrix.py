@@ -119,3 +119,20 @@ def test_tiles(spark, tile):
     twice = coo(spark, a).union(coo(spark, a))  # repeated cells add up, as in the other form
     assert {(r.i, r.j): r.v for r in matrix.tiled_product(twice, coo(spark, b), tile).collect()} == {k: 2 * v for k, v in want.items()}
     assert matrix.tiled_product(coo(spark, a).where("false"), coo(spark, b), tile).count() == 0
+
+
+def test_product_checks_sizes(spark):
+    a, b = coo(spark, [[1, 2], [3, 4]]), coo(spark, [[1, 0], [0, 1]])
+    assert matrix.product(a, b, sizes=((2, 2), (2, 2))).count() == 4
+    with pytest.raises(ValueError, match="mismatch"):
+        matrix.product(a, b, sizes=((2, 2), (3, 2)))
+
+
+def test_texts_of_parts_and_settings(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import parts_of, setting
+
+    df = spark.createDataFrame([("3:4:0.5",), ("3:4",), ("3:x:1",), ("3:4:5:6",), ("K=12",), ("KK=1",), ("K=",), ("",), (None,)], "t string")
+    got = [(tuple(r["c"]) if r["c"] else None, r["k"]) for r in df.select(parts_of(F.col("t"), ["long", "long", "double"]).alias("c"), setting(F.col("t"), "K").alias("k")).collect()]
+    assert got == [((3, 4, 0.5), None), *[(None, None)] * 3, (None, "12"), (None, None), (None, ""), (None, None), (None, None)]
