@@ -171,7 +171,7 @@ FROM common JOIN size USING (item_id) WHERE 100 * common.n >= 80 * size.n""",
     "op8_exact_dedup": f"""
 WITH t AS (SELECT doc_id, {_LOWERED} AS x FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
-  doc_id = max(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256 FROM t""",
+  row_number() OVER (PARTITION BY x ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(x) AS text_sha256 FROM t""",
     "op11_importance_resampling": f"""
 WITH {_CRC_TABLE},
 words AS (

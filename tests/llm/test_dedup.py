@@ -12,14 +12,14 @@ from tessera.llm.exact_dedup import chunks_of, exact_duplicates
 
 
 def exact(rows):
+    """Exactly one row of each group is kept: one with the largest id, nulls last."""
     groups = defaultdict(list)
-    for i, t in rows:
-        groups[lower(t)].append(i)
+    for k, (_, t) in enumerate(rows):
+        groups[lower(t)].append(k)
     out = []
-    for i, t in rows:
-        g = groups[lower(t)]
-        keep = max((x for x in g if x is not None), default=None)
-        out.append((i, keep, len(g), i is not None and i == keep, hashlib.sha256(lower(t).encode()).hexdigest()))
+    for t, group in groups.items():
+        keep = max(group, key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))
+        out += [(rows[k][0], rows[keep][0], len(group), k == keep, hashlib.sha256(t.encode()).hexdigest()) for k in group]
     return sorted(out, key=repr)
 
 
@@ -33,6 +33,15 @@ def test_exact_groups(spark, identifier):
     assert sorted(map(tuple, found.collect()), key=repr) == exact(rows)
 
 
+def test_one_row_of_each_group_is_kept(spark):
+    rows = [(None, "only me"), (None, "zz"), (None, "ZZ"), (9, "b"), (9, "B"), (9, "b"), (3, "b"), (None, "b"), (None, ""), (None, None), (-5, ""), (-5, None), (1, "one")]
+    for identifier in (F.xxhash64, lambda c: F.lit(1)):
+        found = exact_duplicates(documents(spark, rows), identifier=identifier).collect()
+        assert sorted(map(tuple, found), key=repr) == exact(rows)
+        assert sum(r["kept"] for r in found) == len({lower(t) for _, t in rows})
+        assert {r["text_sha256"] for r in found} == {r["text_sha256"] for r in found if r["kept"]}
+
+
 def test_exact_empty(spark):
     assert exact_duplicates(documents(spark, [])).count() == 0
 
