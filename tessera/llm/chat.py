@@ -111,15 +111,20 @@ class _Pack:
 def _pack(batches, tokenizer, most):
     """Packs from rows (path, turns) in the order of path."""
     coder = _tokenizer(tokenizer)
-    encode = lambda texts: [x.ids for x in coder.encode_batch(list(texts), add_special_tokens=False)]
+    known: dict[str, list[int]] = {}
+    encode = lambda texts: [known[x] for x in texts]
     number, pack = TaskContext.get().partitionId() << 32, _Pack()
 
     def full():
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([pack.ids], pa.list_(pa.int32())), pa.array([pack.nodes], _NODES)], ["pack", "ids", "nodes"])
 
     for batch in batches:
-        for path, turns in zip(batch.column(0), batch.column(1), strict=True):
-            path, turns = path.as_py(), turns.as_py()
+        rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        # what the batch may need is encoded at once, each text for itself
+        wanted = {x for _, turns in rows for turn in turns for x in pieces(turn["role"] or "", turn["text"] or "")}
+        texts = list(wanted)
+        known = {x: e.ids for x, e in zip(texts, coder.encode_batch_fast(texts, add_special_tokens=False), strict=True)}
+        for path, turns in rows:
             if len(pack.ids) >= most:
                 yield full()
                 number, pack = number + 1, _Pack()
@@ -161,10 +166,15 @@ def formatted(conversations: DataFrame, *, tokenizer: str, pack: int = PACK) ->
 
 
 def conversations_of(ids: list[int], nodes: list[dict], decode) -> list[tuple[bytes, list[tuple[str, str, bool]], int]]:
-    """(key, turns (role, text, loss), formatted length) of each conversation that ends in a pack, read from its ids."""
+    """(key, turns (role, text, loss), formatted length) of each conversation that ends in a pack, read from its ids.
+
+    decode gives the texts of lists of ids.
+    """
     read, out = [], []
-    for n in nodes:
-        before, body, after = (decode(ids[a:b]) for a, b in ((n["low"], n["body_low"]), (n["body_low"], n["body_high"]), (n["body_high"], n["high"])))
+    spans = [(n[a], n[b]) for n in nodes for a, b in (("low", "body_low"), ("body_low", "body_high"), ("body_high", "high"))]
+    told = decode([ids[a:b] for a, b in spans])
+    for k, n in enumerate(nodes):
+        before, body, after = told[3 * k : 3 * k + 3]
         role = unescape(before[len("<|turn|>") : -len("<|text|>")])
         read.append((role, unescape(body), n["loss"], len(before) + len(body) + len(after)))
     for k, n in enumerate(nodes):
@@ -181,7 +191,7 @@ def conversations_of(ids: list[int], nodes: list[dict], decode) -> list[tuple[by
 @tidy
 def _digest(batches, tokenizer):
     coder = _tokenizer(tokenizer)
-    decode = lambda ids: coder.decode(ids, skip_special_tokens=False)
+    decode = lambda lists: coder.decode_batch(lists, skip_special_tokens=False)
     for batch in batches:
         for ids, nodes in zip(batch.column(1), batch.column(2), strict=True):
             rows = []
