@@ -81,13 +81,23 @@ def _levels(records: DataFrame, stations: int | None) -> DataFrame:
     The columns pass a generator, which keeps them together: each use of the
     result then has the same exchange below it, and Spark runs it once.
     """
-    bound = F.lit(True) if stations is None else F.col("station_id").between(0, stations - 1)
-    keyed = records.select(interval_of(F.col("timestamp")).alias("interval"), F.when(bound, F.col("station_id")).alias("station_id"), bound.alias("inside"), *MEASURES)
-    per = [f(m).alias(f"{name}_{m}") for name, f in (("sum", F.sum), ("avg", F.avg), ("min", F.min), ("max", F.max)) for m in MEASURES]
+    bound = "true" if stations is None else f"station_id BETWEEN 0 AND {int(stations) - 1}"
+    keyed = records.select(interval_of(F.col("timestamp")).alias("interval"), F.expr(f"CASE WHEN {bound} THEN station_id END AS station_id"), F.expr(f"{bound} AS inside"), *MEASURES)
     sets = keyed.groupingSets([[], ["interval"], ["station_id", "inside"]], "interval", "station_id", "inside")
-    made = sets.agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *per, F.count_if(is_extreme(F.col("temperature"))).alias("extreme"))
-    level = F.when(F.col("level") == 7, 3).when(F.col("level") == 3, 1).otherwise(2)
-    return made.select(F.inline(F.array(F.struct(level.alias("level"), *(F.col(c) for c in made.columns if c != "level")))))
+    per = [f"{f}({m}) AS {f}_{m}" for f in ("sum", "avg", "min", "max") for m in MEASURES]
+    made = sets.agg(F.grouping_id().alias("id"), F.expr("count(*) AS n"), *map(F.expr, per), F.count(F.when(is_extreme(F.col("temperature")), 1)).alias("extreme"))
+    rest = ", ".join(c for c in made.columns if c != "id")
+    return made.selectExpr(f"inline(array(struct(CASE id WHEN 7 THEN 3 WHEN 3 THEN 1 ELSE 2 END AS level, {rest})))")
+
+
+#: Lines of the report that are one number: name, the aggregate, and whether it is a count; fixed values.
+SINGLES = [
+    ("TOTAL_MEASUREMENTS", "n", True),
+    *((f"{name}_{m.upper()}", f"{f}_{m}", False) for m in MEASURES[:3] for name, f in (("AVERAGE", "avg"), ("MIN", "min"), ("MAX", "max"))),
+    ("TOTAL_RAINFALL", "sum_rainfall", False), ("MAX_RAINFALL", "max_rainfall", False), ("AVERAGE_WIND_SPEED", "avg_wind_speed", False), ("MAX_WIND_SPEED", "max_wind_speed", False),
+    ("EXTREME_TEMPERATURE_EVENTS", "extreme", True),
+]
+_LINE = "struct({} AS line, '{}' AS key, cast({} AS double) AS value, cast(NULL AS double) AS rain, cast({} AS long) AS station_id, cast({} AS long) AS at, cast({} AS long) AS n)"
 
 
 def report(records: DataFrame, k: int = DEFAULT_K, stations: int | None = None) -> DataFrame:
@@ -95,34 +105,17 @@ def report(records: DataFrame, k: int = DEFAULT_K, stations: int | None = None)
 
     Two scans: one for all that is summed, one for the two extreme readings.
     """
-    levels = _levels(records, stations)
-    g = levels.where("level = 3").select(*(c for c in levels.columns if c not in ("level", "interval", "station_id", "inside")))
-    g = g.agg(*((F.coalesce(F.max(c), F.lit(0)) if c in ("n", "extreme") else F.max(c)).alias(c) for c in g.columns))  # a row for empty input too
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    singles = [("TOTAL_MEASUREMENTS", None, "n")]
-    for m in ("temperature", "humidity", "pressure"):
-        singles += [(f"{name}_{m.upper()}", f"{c}_{m}", None) for name, c in (("AVERAGE", "avg"), ("MIN", "min"), ("MAX", "max"))]
-    singles += [("TOTAL_RAINFALL", "sum_rainfall", None), ("MAX_RAINFALL", "max_rainfall", None), ("AVERAGE_WIND_SPEED", "avg_wind_speed", None), ("MAX_WIND_SPEED", "max_wind_speed", None), ("EXTREME_TEMPERATURE_EVENTS", None, "extreme")]
-    nothing = F.lit(None).cast("long")
-    row = lambda line, key, value, station, at, n: F.struct(F.lit(line).alias("line"), F.lit(key).alias("key"), value.cast("double").alias("value"), F.lit(None).cast("double").alias("rain"), station.alias("station_id"), at.alias("at"), n.cast("long").alias("n"))
-    made = [row(k, key, zero(v) if v else F.lit(None), nothing, nothing, F.col(n) if n else nothing) for k, (key, v, n) in enumerate(singles)]
-    out = g.select(F.explode(F.array(*made)).alias("r")).select("r.*")
-
-    def single(line, key, found, value, station, at, n):
-        """A line that is there even if found has no row."""
-        filled = found.agg(*(F.max(c).alias(c) for c in found.columns))
-        return filled.select(F.lit(line).alias("line"), F.lit(key).alias("key"), value.alias("value"), F.lit(None).cast("double").alias("rain"), station.alias("station_id"), at.alias("at"), n.alias("n"))
-
-    none, zero_id = F.lit(None).cast("double"), lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    line = len(singles)
-    hot, cold = _extreme(F.col("temperature")), _extreme(-F.col("temperature"))
-    both = records.agg(hot.alias("hot"), cold.alias("cold")).select(F.explode(F.array(F.struct(F.lit(line).alias("line"), F.lit("HOTTEST_MEASUREMENT").alias("key"), F.col("hot").alias("b")), F.struct(F.lit(line + 1).alias("line"), F.lit("COLDEST_MEASUREMENT").alias("key"), F.col("cold").alias("b")))).alias("r")).select("r.*")
-    out = out.unionByName(both.select("line", "key", zero("b.temperature").alias("value"), none.alias("rain"), F.coalesce(-F.col("b.id"), F.lit(0).cast("long")).alias("station_id"), F.coalesce(-F.col("b.ts"), F.lit(0).cast("long")).alias("at"), nothing.alias("n")))
-    busiest = levels.where("level = 1").select("interval", "n").orderBy(F.desc("n"), "interval").limit(1)
-    out = out.unionByName(single(line + 2, "BUSIEST_INTERVAL", busiest, none, nothing, F.coalesce(F.col("interval"), F.lit(-1).cast("long")), zero_id("n")))
+    levels, last = _levels(records, stations), len(SINGLES)
+    wanted = ", ".join(c for _, c, _ in SINGLES)
+    found = levels.agg(F.expr(f"max(struct({wanted})) FILTER (WHERE level = 3) AS g"), F.expr("max(struct(n, -interval AS i)) FILTER (WHERE level = 1) AS b"))  # a row for empty input too
+    lines = [_LINE.format(line, key, *("NULL", "NULL", "NULL", f"coalesce(g.{c}, 0)") if count else (f"coalesce(g.{c}, 0)", "NULL", "NULL", "NULL")) for line, (key, c, count) in enumerate(SINGLES)]
+    lines.append(_LINE.format(last + 2, "BUSIEST_INTERVAL", "NULL", "NULL", "coalesce(-b.i, -1)", "coalesce(b.n, 0)"))
+    out = found.selectExpr(f"inline(array({', '.join(lines)}))")
+    both = records.agg(_extreme(F.col("temperature")).alias("hot"), _extreme(-F.col("temperature")).alias("cold"))
+    ends = [_LINE.format(last + k_, key, f"coalesce({c}.temperature, 0)", f"coalesce(-{c}.id, 0)", f"coalesce(-{c}.ts, 0)", "NULL") for k_, (key, c) in enumerate((("HOTTEST_MEASUREMENT", "hot"), ("COLDEST_MEASUREMENT", "cold")))]
+    out = out.unionByName(both.selectExpr(f"inline(array({', '.join(ends)}))"))
     top = levels.where("level = 2 and inside").orderBy(F.desc("n"), "station_id").limit(check_k(k))
-    ranked = top.select(F.lit(line + 3).alias("line"), F.lit("TOP_STATIONS").alias("key"), (F.col("sum_temperature") / F.col("n")).alias("value"), F.col("sum_rainfall").alias("rain"), "station_id", nothing.alias("at"), "n")
-    return out.unionByName(ranked)
+    return out.unionByName(top.selectExpr(f"{last + 3} AS line", "'TOP_STATIONS' AS key", "sum_temperature / n AS value", "sum_rainfall AS rain", "station_id", "cast(NULL AS long) AS at", "n"))
 
 
 # --- partial aggregates -------------------------------------------------------
