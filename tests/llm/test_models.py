@@ -187,8 +187,9 @@ def test_unigram_of_context_mixing(spark, monkeypatch):
     rows = [r for r in corpus(3) if r[0] is not None]
     df = documents(spark, rows)
     held = remainder(F.col("doc_id"), 5) == 1
-    expect = None
-    for most in (1 << 20, 7):  # all words broadcast; nearly all joined
+    expect = scores = None
+    monkeypatch.setattr(context_mixing, "TREE_WORDS", 6)
+    for most in (1 << 20, 40, 7):  # all words broadcast; some joined; nearly all joined
         monkeypatch.setattr(context_mixing, "MAX_WORDS", most)
         found = sorted(map(tuple, context_mixing.scored(df, held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()))
         if expect is None:
@@ -204,6 +205,8 @@ def test_unigram_of_context_mixing(spark, monkeypatch):
         assert [r[:5] for r in found] == [r[:5] for r in expect]
         assert [r[5] for r in found] == pytest.approx([r[5] for r in expect])
         assert all(r[6] < 0 for r in found)
+        scores = scores or [r[6] for r in found]
+        assert [r[6] for r in found] == pytest.approx(scores)
     assert context_mixing.scored(df.where("false"), held).count() == 0
     assert context_mixing.scored(df, F.lit(True)).count() == df.count()
 
