@@ -155,3 +155,14 @@ def test_stream_of_states_over_many_batches_and_a_restart(spark, tmp_path, monke
     assert kept.manifest()["last"] == 7
     assert {r["batch"] for r in kept.changes(6).collect()} == {7}
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_column_functions_agree_with_the_rope(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import fits, inserted
+
+    df = spark.createDataFrame([("a😀b", "x", k) for k in range(-1, 5)], "c string, t string, p long")
+    got = df.select("p", fits(F.col("p"), F.col("c")).alias("ok"), inserted(F.col("c"), F.col("t"), F.col("p")).alias("made")).orderBy("p").collect()
+    assert [r["ok"] for r in got] == [False, True, True, True, True, False]
+    assert [r["made"] for r in got[1:5]] == ["xa😀b", "ax😀b", "a😀xb", "a😀bx"]
