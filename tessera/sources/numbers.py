@@ -13,11 +13,15 @@ state that it is left in and the numbers that begin in it.  The functions of a
 file's ranges are composed in order, which tells each range how it is entered
 and the place of its first number.  Then each range gives the records that begin
 in it, and reads on past its end for the last one.
+
+Ranges may be far smaller than what a task should read, so tasks are dealt by
+bytes: each takes neighbouring ranges, and reads those of one file as one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,8 @@ from tessera.schema import WEATHER
 #: Bytes of a range, and of a block that is looked at at once.
 RANGE = 64 << 20
 BLOCK = 1 << 20
+#: Bytes that are read at first past the end of a range.
+BEYOND = 1 << 12
 OUTSIDE, WHOLE, FRACTION = 0, 1, 2
 _OTHER, _DIGIT, _MINUS, _POINT = 0, 1, 2, 3
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -66,8 +72,12 @@ def function(blocks: Iterator[bytes]) -> list[tuple[int, int]]:
     now = [(s, 0) for s in range(3)]
     for block in blocks:
         kind = _KIND[np.frombuffer(block, dtype=np.uint8)]
-        made = {s: begins(kind, s) for s in {s for s, _ in now}}
-        now = [(made[s][1], n + len(made[s][0])) for s, n in now]
+        sets = (kind == _OTHER) | (kind == _MINUS)
+        same = int(sets.argmax()) if sets.any() else len(kind)  # from the first byte that sets the state on, nothing depends on what was before
+        for part, entered in ((kind[:same], {s for s, _ in now}), (kind[same:], {OUTSIDE})):
+            if len(part):
+                made = {s: begins(part, s) for s in entered}
+                now = [(after, n + len(first)) for (first, after), n in ((made.get(s) or made[OUTSIDE], n) for s, n in now)]
     return now
 
 
@@ -104,7 +114,7 @@ def numbers(text: pa.Array, kind: T.DataType) -> pa.Array:
             return text.cast(pa.int64())
         except pa.ArrowInvalid:
             return pa.array([v if -(2**63) <= (v := int(x)) < 2**63 else None for x in text.to_pylist()], pa.int64())
-    return pc.if_else(pc.match_substring_regex(text, "[0-9]"), text, "0").cast(pa.float64())
+    return pc.if_else(pc.is_in(text, pa.array(["", "-", ".", "-."], pa.large_string())), "0", text).cast(pa.float64())
 
 
 # --- files --------------------------------------------------------------------
@@ -113,10 +123,47 @@ def numbers(text: pa.Array, kind: T.DataType) -> pa.Array:
 def _blocks(path: str, low: int, high: int | None = None) -> Iterator[bytes]:
     where, name = shared.arrow_place(path)
     with where.open_input_file(name) as f:
-        f.seek(low)
-        while (high is None or low < high) and (block := f.read(BLOCK if high is None else min(BLOCK, high - low))):
-            low += len(block)
+        yield from _read(f, low, high)
+
+
+def _read(f, low: int, high: int | None) -> Iterator[bytes]:
+    f.seek(low)
+    while (high is None or low < high) and (block := f.read(BLOCK if high is None else min(BLOCK, high - low))):
+        low += len(block)
+        yield block
+
+
+def _onwards(path: str, low: int, high: int) -> Iterator[bytes]:
+    """The bytes from low to high, and then those behind them by steps that double, for as long as they are asked for."""
+    where, name = shared.arrow_place(path)
+    with where.open_input_file(name) as f:
+        yield from _read(f, low, high)
+        step = BEYOND
+        while block := f.read(step):
             yield block
+            step = min(2 * step, BLOCK)
+
+
+def _dealt(ranges: DataFrame) -> DataFrame:
+    """Ranges dealt to tasks by their bytes, neighbours together and in order."""
+    bytes_, many = (int(v or 0) for v in ranges.agg(F.sum(F.col("high") - F.col("low")), F.count("*")).first())
+    least = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(many, max(least, -(-bytes_ // RANGE)), 100_000)
+    return ranges.repartitionByRange(max(1, tasks), "file", "low").sortWithinPartitions("file", "low")
+
+
+def _runs(ranges: list[dict]) -> Iterator[dict]:
+    """Entries of ranges, neighbours in a file made one."""
+    run: dict = {}
+    for r in ranges:
+        if run and (run["file"], run["high"]) == (r["file"], r["low"]):
+            run |= {"high": r["high"], "many": run["many"] + r["many"]}
+            continue
+        if run:
+            yield run
+        run = dict(r)
+    if run:
+        yield run
 
 
 _FUNCTION = ", ".join(f"left{s} int, begins{s} long" for s in range(3))
@@ -124,10 +171,14 @@ _FUNCTION = ", ".join(f"left{s} int, begins{s} long" for s in range(3))
 
 def _functions(batches):
     for batch in batches:
-        for file, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            made = function(_blocks(file, low, high))
-            row = {"file": file, "low": low, "high": high} | {f"left{s}": v for s, (v, _) in enumerate(made)} | {f"begins{s}": n for s, (_, n) in enumerate(made)}
-            yield pa.RecordBatch.from_pylist([row], _FUNCTIONS)
+        out = []
+        for path, ranges in groupby(batch.to_pylist(), lambda r: r["file"]):
+            where, name = shared.arrow_place(path)
+            with where.open_input_file(name) as f:
+                for r in ranges:
+                    made = function(_read(f, r["low"], r["high"]))
+                    out.append(r | {f"left{s}": v for s, (v, _) in enumerate(made)} | {f"begins{s}": n for s, (_, n) in enumerate(made)})
+        yield pa.RecordBatch.from_pylist(out, _FUNCTIONS)
 
 
 _FUNCTIONS = pa.schema([("file", pa.string()), ("low", pa.int64()), ("high", pa.int64()), *(f for s in range(3) for f in ((f"left{s}", pa.int32()), (f"begins{s}", pa.int64())))])
@@ -153,8 +204,7 @@ def entries(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFra
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
     low = F.explode(F.expr(f"sequence(0L, length - 1, {int(range_bytes)}L)")).alias("low")
     ranges = files.select("file", low, "length").select("file", "low", F.least(F.col("low") + range_bytes, "length").alias("high"))
-    many = files.agg(F.sum(F.ceil(F.col("length") / range_bytes))).first()[0] or 1
-    found = ranges.repartition(min(int(many), 100_000)).mapInArrow(_functions, f"file string, low long, high long, {_FUNCTION}")
+    found = _dealt(ranges).mapInArrow(_functions, f"file string, low long, high long, {_FUNCTION}")
     ordered = shared.stored(found, "functions").repartition("file").sortWithinPartitions("file", "low")
     return ordered.mapInArrow(_composed, "file string, low long, high long, entered int, first long, many long")
 
@@ -169,14 +219,14 @@ def scan(spark: SparkSession, path: str, schema: T.StructType = WEATHER, skip: i
 
     def rows(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _runs(batch.to_pylist()):
                 yield from _records(r, from_record(r["first"]), from_record(r["first"] + r["many"]))
 
     def _records(r, begin, end):
         place, held = r["first"], []
         if begin >= end:
             return
-        for text in texts(_blocks(r["file"], r["low"]), r["entered"]):  # past the range's end, as far as its last record goes
+        for text in texts(_onwards(r["file"], r["low"], r["high"]), r["entered"]):  # past the range's end, as far as its last record goes
             here = text.slice(max(0, begin - place), max(0, end - max(begin, place)))
             place += len(text)
             held.append(here)
@@ -190,7 +240,7 @@ def scan(spark: SparkSession, path: str, schema: T.StructType = WEATHER, skip: i
                 return
 
     known = shared.stored(entries(spark, path, range_bytes), "entries")
-    return known.repartition(min(max(1, known.count()), 100_000)).mapInArrow(rows, schema)
+    return _dealt(known).mapInArrow(rows, schema)
 
 
 def leading(path: str, many: int = 3) -> list[float]:

@@ -85,3 +85,19 @@ def test_a_number_over_many_ranges_and_no_numbers(spark, tmp_path):
     assert numbers.scan(spark, str(tmp_path)).count() == 0
     (tmp_path / "a").write_bytes(b"")
     assert numbers.scan(spark, str(tmp_path)).count() == 0
+
+
+def test_tasks_are_dealt_by_bytes_not_by_ranges(spark, tmp_path):
+    """Thousands of small ranges are read by few tasks, which read little past their ends."""
+    data = b"1 1 1 " + b"".join(b"%d,%d;1.5 x-2.25\n3 4 5 " % (k, k % 3) for k in range(2000))
+    (tmp_path / "a").write_bytes(data)
+    (tmp_path / "b").write_bytes(data[:30_001])
+    found = numbers.scan(spark, str(tmp_path), range_bytes=16)
+    assert found.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, found.collect())) == sorted(records(data) + records(data[:30_001]))
+    read = numbers._onwards(str(tmp_path / "a"), 100, 200)
+    assert [next(read), next(read)] == [data[100:200], data[200 : 200 + numbers.BEYOND]]
+    assert b"".join(read) == data[200 + numbers.BEYOND :]
+    entry = lambda file, low, many: {"file": file, "low": low, "high": low + 9, "entered": low % 3, "first": low, "many": many}
+    runs = list(numbers._runs([entry("a", 0, 1), entry("a", 9, 2), entry("a", 27, 3), entry("b", 36, 4)]))
+    assert runs == [{"file": "a", "low": 0, "high": 18, "entered": 0, "first": 0, "many": 3}, entry("a", 27, 3), entry("b", 36, 4)]
