@@ -9,8 +9,10 @@ most frequent words that stands before, and the endings of the two words before,
 hashed.  A fourth knows the text itself: it moves with every bit of it.  Their log odds are
 combined with weights chosen by a gate (how deep the bit lies, and whether a most
 frequent word stands just before).  The weights begin as a logistic
-regression over training texts has them and follow the text: after each bit they
-move along the gradient of its coding cost.  An adaptive map from predicted to
+regression over all bits of all training texts has them and follow the text:
+after each bit they move along the gradient of its coding cost.  The regression
+is made from counts: one pass tells how many bits of either kind came with each
+gate and log odds, the latter by levels.  An adaptive map from predicted to
 observed odds refines the mix.
 
 A word of a class is told apart by its own count among all training texts,
@@ -31,6 +33,7 @@ Beside it stands a unigram of words with half a count added.
 
 from __future__ import annotations
 
+import copy
 import heapq
 import math
 
@@ -67,8 +70,9 @@ GATES = 8
 #: Nodes from the root on that the fourth predictor tells apart.
 FOLLOWED = 1024
 CELLS = 24
-#: Training texts, and characters of each at most, of the regression for the first weights.
-FIT_TEXTS, FIT_CHARS = 200, 1 << 16
+#: Stored steps of log odds in a level, by which the regression for the first weights counts bits; levels, of which the middle one is 0.
+LEVEL, BYTE_LEVEL = 8, 20
+LEVELS, BYTE_LEVELS = (2 * round(127 / size) + 1 for size in (LEVEL, BYTE_LEVEL))
 
 
 class Tree:
@@ -283,13 +287,13 @@ def _contexts(batches, vocabulary):
 
 
 @tidy
-def _merged(batches, symbols):
-    """PACKED sums of the rows of one partition of contexts."""
+def _merged(batches, symbols, first=HASHED * CONTEXTS, others=256):
+    """PACKED sums of the rows of one partition of contexts; those from first on have others symbols."""
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for context, some, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             if context not in held:
-                held[context] = np.zeros(symbols if context < HASHED * CONTEXTS else 256, dtype=np.int64)
+                held[context] = np.zeros(symbols if context < first else others, dtype=np.int64)
             held[context][np.frombuffer(some, "<u2")] += np.frombuffer(n, "<u8").astype(np.int64)
     for context, counts in held.items():
         yield from _packed(counts[None], context)
@@ -331,24 +335,28 @@ class Mixer:
         self.start = np.tile(np.array([0.3, 0.4, 0.3, 1.0], dtype=np.float32), (GATES, 1))
         self.byte_start = np.array([0.05, 0.1, 0.2, 0.3, 0.35], dtype=np.float32)
 
-    def fit(self, column: pa.Array) -> None:
-        """First weights from texts, each gate by itself; gates without bits keep theirs."""
-        found, spelt = [], []
-        for _, _, data, offsets, row, closes in parts_of(column):
-            words = split(data, offsets)
-            symbol, _, context, place, just = self.vocabulary.sequence(words, len(row), closes)
-            found.append(self._inputs(context, just, *self._paths(symbol, self.tree.length[symbol])))
-            rare = np.flatnonzero(symbol[place] >= self.vocabulary.words)
-            for some in _runs(words[2][rare] - words[1][rare]):
-                spelt.append(self._byte_inputs(*letters(words[0], words[1][rare[some]], words[2][rare[some]]))[:2])
-        if found:
-            known, bit, gate = (np.concatenate([x[k] for x in found]) for k in (0, 1, 2))
-            for g in range(GATES):
-                some = gate == g
-                self.start[g, :-1] = regression(known[some] / STEPS, bit[some], self.start[g, :-1])
-        if spelt:
-            known, bit = (np.concatenate([x[k] for x in spelt]) for k in (0, 1))
-            self.byte_start = regression(known / STEPS, bit, self.byte_start)
+    def fit(self, texts: DataFrame) -> None:
+        """First weights from all texts(text), each gate by itself; gates without bits keep theirs.
+
+        To the driver comes a count for each gate and levels of the log odds, never a text."""
+        given = shared(texts.sparkSession, self)
+        counted = texts.mapInArrow(lambda it: _levels(it, given), PACKED).repartition("context")
+        first, width, others = GATES * LEVELS, 2 * LEVELS**2, 2 * BYTE_LEVELS**3
+        rows = counted.mapInArrow(lambda it: _merged(it, width, first, others), PACKED).toArrow()
+        released(given)
+        words, bytes_ = np.zeros((first, width)), np.zeros((BYTE_LEVELS**2, others))
+        for context, some, n in zip(*(rows.column(k).to_pylist() for k in range(3)), strict=True):
+            (words if context < first else bytes_)[context if context < first else context - first, np.frombuffer(some, "<u2")] = np.frombuffer(n, "<u8")
+        for g, counts in enumerate(words.reshape(GATES, -1, 2)):
+            self.start[g, :-1] = regression(*_weighed(counts, LEVELS, LEVEL, INPUTS - 1), self.start[g, :-1])
+        self.byte_start = regression(*_weighed(bytes_.reshape(-1, 2), BYTE_LEVELS, BYTE_LEVEL, len(BYTE_CONTEXTS)), self.byte_start)
+
+    def levelled(self) -> Mixer:
+        """The same with the levels of the log odds, counted from 0, in their place."""
+        out, every = copy.copy(self), np.roll(np.maximum(np.arange(-128, 128), -127), 128)  # by the byte of each log odds
+        level, byte_level = ((np.rint(every / size) + levels // 2).astype(np.int8) for size, levels in ((LEVEL, LEVELS), (BYTE_LEVEL, BYTE_LEVELS)))
+        out.overall, out.odds, out.byte_odds = (of.take(x.view(np.uint8)) for of, x in ((level, self.overall), (level, self.odds), (byte_level, self.byte_odds)))
+        return out
 
     def _paths(self, symbol: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in symbol, place in the tree's tables) of the bits of each symbol's path."""
@@ -441,10 +449,13 @@ class Mixer:
 
     def _byte_inputs(self, symbol, word, context) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         many = self.byte_tree.length[symbol]
-        where = np.repeat(np.arange(len(symbol)), many)
-        depth = np.arange(len(where)) - np.repeat(np.cumsum(many) - many, many)
-        node, bit = self.byte_tree.node[symbol[where], depth], self.byte_tree.bit[symbol[where], depth]
-        return np.stack([self.byte_odds[c[where], node] for c in context], axis=1), bit, word[where]
+        where = np.repeat(np.arange(len(symbol), dtype=np.int32), many)
+        path = np.repeat((symbol * self.byte_tree.node.shape[1] - (np.cumsum(many) - many)).astype(np.int32), many) + np.arange(len(where), dtype=np.int32)
+        node, bit = self.byte_tree.node.ravel().take(path), self.byte_tree.bit.ravel().take(path)
+        known, odds = np.empty((len(where), len(context)), dtype=np.int8), self.byte_odds.ravel()
+        for k, c in enumerate(context):
+            known[:, k] = odds.take((c * self.byte_odds.shape[1]).astype(np.int32).take(where) + node)
+        return known, bit, word.take(where)
 
     def spell(self, lowered: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each word's bytes and its end."""
@@ -459,16 +470,65 @@ class Mixer:
         return out
 
 
-def regression(x: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """Weights of log odds x that give y, by Newton steps, held near prior by a ridge; none below 0."""
+@tidy
+def _levels(batches, mixer):
+    """PACKED counts of a task: of the bits of paths by (gate, levels of the log odds, bit), then of those of spelled bytes by
+    (levels, bit)."""
+    mixer = mixer.value.levelled()
+    vocabulary, length = mixer.vocabulary, mixer.tree.length
+    words, bytes_ = np.zeros((GATES * LEVELS, 2 * LEVELS**2), dtype=np.int64), np.zeros((BYTE_LEVELS**2, 2 * BYTE_LEVELS**3), dtype=np.int64)
+    one = np.int64(1)
+    for batch in batches:
+        for _, _, data, offsets, row, closes in parts_of(batch.column(0)):
+            said = split(data, offsets)
+            symbol, _, context, place, just = vocabulary.sequence(said, len(row), closes)
+            many = length[symbol]
+            reach = np.cumsum(many)
+            cut = np.searchsorted(reach, np.arange(0, int(reach[-1]) + 1, LOOKED_UP)) if len(reach) else [0]
+            for low, high in zip(cut, [*cut[1:], len(symbol)], strict=True):
+                some = slice(low, high)
+                known, bit, gate, _ = mixer._inputs(context[:, some], just[some], *mixer._paths(symbol[some], many[some]))
+                np.add.at(words.ravel(), _cell(gate, known, bit, LEVELS), one)
+            rare = np.flatnonzero(symbol[place] >= vocabulary.words)
+            _, once, times = np.unique(said[4][rare], return_index=True, return_counts=True)
+            rare = rare[once]
+            for some in _runs(said[2][rare] - said[1][rare]):
+                letter, word, of = letters(said[0], said[1][rare[some]], said[2][rare[some]])
+                for k in range(0, len(letter), SPELLED):
+                    part = slice(k, k + SPELLED)
+                    known, bit, of_bit = mixer._byte_inputs(letter[part], word[part], of[:, part])
+                    np.add.at(bytes_.ravel(), _cell(0, known, bit, BYTE_LEVELS), times[some].take(of_bit))
+    yield from _packed(words, 0)
+    yield from _packed(bytes_, len(words))
+
+
+def _cell(first, level: np.ndarray, bit: np.ndarray, levels: int) -> np.ndarray:
+    """The place of each bit in a table of counts by (first, levels, bit)."""
+    out = np.zeros(len(bit), dtype=np.int32) + first
+    for k in range(level.shape[1]):
+        out *= levels
+        out += level[:, k]
+    out *= 2
+    out += bit
+    return out.astype(np.int64)
+
+
+def _weighed(counts: np.ndarray, levels: int, size: int, inputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log odds, bits that are 1, all bits) of the cells that have any, from counts of (0, 1) by cell."""
+    held = np.flatnonzero(counts.any(axis=1))
+    at = np.stack(np.unravel_index(held, (levels,) * inputs), axis=1)
+    return (at - levels // 2) * size / STEPS, counts[held, 1], counts[held].sum(axis=1)
+
+
+def regression(x: np.ndarray, ones: np.ndarray, many: np.ndarray, prior: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Weights of log odds x, each with many bits of which ones are 1, by Newton steps, held near prior by a ridge; none below 0."""
     beta = prior.astype(float)
     if not len(x):
         return prior
-    x = x.astype(float)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (y - p) - 10 * (beta - prior)
-        beta = beta + np.linalg.solve((x.T * (p * (1 - p))) @ x + 10 * np.eye(len(beta)), slope)
+        slope = x.T @ (ones - many * p) - 10 * (beta - prior)
+        beta = beta + np.linalg.solve((x.T * (many * p * (1 - p))) @ x + 10 * np.eye(len(beta)), slope)
     return np.clip(beta, 0, 2).astype(np.float32)
 
 
@@ -582,7 +642,7 @@ def trained(texts: DataFrame, fit: DataFrame) -> tuple[Mixer, Counts, DataFrame,
         (odds if context < first else byte_odds)[context if context < first else context - first] = np.frombuffer(value.as_py(), dtype=np.int8)
     overall = tree.odds(np.concatenate([n[:leaves], classes, [ends]])[None].astype(np.float32))[0]
     mixer = Mixer(vocabulary, tree, byte_tree, overall, odds.reshape(HASHED, CONTEXTS, -1), byte_odds)
-    mixer.fit(fit.toArrow().column(0).combine_chunks())
+    mixer.fit(fit)
     counts = Counts(names, n, leaves, classes, total, distinct, ends, novel)
     return mixer, counts, every.select("key", "n"), int(n[-1]) if distinct - (ends > 0) > len(n) else None
 
@@ -602,9 +662,7 @@ def scored(documents: DataFrame, held_out: Column) -> DataFrame:
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     learned = texts.where(~F.col("held_out"))
-    many = max(1, learned.count() // FIT_TEXTS)
-    fit = learned.where(F.pmod(F.xxhash64("doc_id"), F.lit(many)) == 0).select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).orderBy("doc_id", "text").limit(2 * FIT_TEXTS).select("text")
-    mixer, counts, words, least = trained(learned.select("text"), fit)
+    mixer, counts, words, least = trained(learned.select("text"), learned.select("text"))
     below, novel, total = counts.below, counts.novel, counts.total
     given, table = shared(spark, mixer), shared(spark, counts)
     parts = stored(texts.mapInArrow(lambda it: _score(it, given, table), PARTS), "scores")

@@ -317,3 +317,42 @@ def test_a_long_text_is_the_sum_of_its_pieces(spark, monkeypatch):
     found = {r["doc_id"]: r for r in context_mixing.scored(df, F.lit(False)).collect()}
     assert [found[k]["n_tokens"] for k in range(5)] == [len(words(t)) + 1 for t in texts]
     assert found[0]["score"] > found[0]["n_tokens"] * -6
+
+
+def test_first_weights_come_from_all_training_texts(spark, monkeypatch):
+    """Every bit of every training text is counted, the end of a long one too; the weights are those of the plain regression, up to levels."""
+    C = context_mixing
+    monkeypatch.setattr(C, "TREE_WORDS", 60)
+    rng = random.Random(11)
+    texts = [prose(rng, rng.randint(1, 12)) for _ in range(700)] + [prose(rng, 14_000), None, ""]
+    df, seen, trained, fit = documents(spark, list(enumerate(texts))), [], C.trained, C.Mixer.fit
+    measure = lambda df: df.agg(F.count("*"), F.sum(F.length("text"))).first()
+    monkeypatch.setattr(C, "trained", lambda texts, fit: seen.append((measure(texts), measure(fit))) or trained(texts, fit))
+    C.scored(df, F.lit(False))
+    assert seen[0][0] == seen[0][1] == (len(texts), sum(len(t or "") for t in texts))
+    mixers = []
+    monkeypatch.setattr(C.Mixer, "fit", lambda self, fit_: mixers.append(self))
+    mixer = model(spark, texts)[0]
+    assert mixers == [mixer]
+    given = type("Given", (), {"value": mixer})
+    rows = [r for b in C._levels(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]), given) for r in b.to_pylist()]
+    held = {r["context"]: dict(zip(np.frombuffer(r["symbols"], "<u2").tolist(), np.frombuffer(r["n"], "<u8").tolist(), strict=True)) for r in rows}
+    words_, (symbol, _, context, place, just) = sequence(mixer, texts)
+    known, bit, gate, _ = mixer._inputs(context, just, *mixer._paths(symbol, mixer.tree.length[symbol]))
+    expect, first = Counter(), C.GATES * C.LEVELS
+    for x, y, g in zip(known.tolist(), bit.tolist(), gate.tolist(), strict=True):
+        a, b, c = (round(v / C.LEVEL) + C.LEVELS // 2 for v in x)
+        expect[g * C.LEVELS + a, (b * C.LEVELS + c) * 2 + y] += 1
+    assert expect == {(c, k): n for c, x in held.items() if c < first for k, n in x.items()}
+    rare = np.flatnonzero(symbol[place] >= mixer.vocabulary.words)
+    letter, of, by = C.letters(words_[0], words_[1][rare], words_[2][rare])
+    expect = Counter()
+    for x, y in zip(*(v.tolist() for v in mixer._byte_inputs(letter, of, by)[:2]), strict=True):
+        a, b, c, d, e = (round(v / C.BYTE_LEVEL) + C.BYTE_LEVELS // 2 for v in x)
+        expect[first + a * C.BYTE_LEVELS + b, ((c * C.BYTE_LEVELS + d) * C.BYTE_LEVELS + e) * 2 + y] += 1
+    assert expect == {(c, k): n for c, x in held.items() if c >= first for k, n in x.items()}
+    prior, known = mixer.start[:, :-1].copy(), known / C.STEPS
+    plain = [C.regression(known[gate == g], bit[gate == g].astype(float), np.ones((gate == g).sum()), prior[g]) for g in range(C.GATES)]
+    fit(mixer, spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    cost = lambda w: sum(np.log1p(np.exp(-(2.0 * bit[gate == g] - 1) * (known[gate == g] @ w[g]))).sum() for g in range(C.GATES))
+    assert cost(plain) <= cost(mixer.start[:, :-1]) + 1e-6 < 1.002 * cost(plain) < cost(prior)
