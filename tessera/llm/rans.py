@@ -102,16 +102,18 @@ def encode(ids: np.ndarray, sizes: np.ndarray, table: Table) -> bytes:
     """A block of documents with the given sizes, whose ids stand one after another."""
     steps = -(-len(ids) // LANES)
     parts = -(-steps // CHECKPOINT)
-    f, c = table.frequencies[ids], table.before[ids]
+    at = ids.astype(np.int64)
+    f, c = table.frequencies[at], table.before[at]
     if (f == 0).any():
         raise ValueError("an id is not in the table")
+    most = f << np.uint64(63 - SCALE)
     x = np.full(LANES, _LOW, dtype=np.uint64)
     out, states, places, given = [], [], [], 0
     for step in range(steps - 1, -1, -1):
         low = step * LANES
         fs, cs = f[low : low + LANES], c[low : low + LANES]
         now = x[: len(fs)]
-        full = now >= fs << np.uint64(63 - SCALE)
+        full = now >= most[low : low + LANES]
         if full.any():
             word = now[full]
             out.append((word & _WORD).astype(np.uint32))
@@ -345,8 +347,8 @@ def _encoder(path: str) -> PieceEncoder:
 
 @tidy
 def _tokenise(batches, path, end_id):
-    """(shard, at, before, doc_id, ids) of the rows of a partition that is sorted by doc_id, and one with at = -1, the ids of
-    the shard as before, and what it counted: distinct ids (u32) and how often each came (u64)."""
+    """(shard, at, before, doc_id, ids, counts) of the rows of a partition that is sorted by doc_id, and one with at = -1, the ids
+    of the shard as before, and as counts distinct ids (u32) and how often each came (u64); to read those no ids are read."""
     encoder, shard, at, before = _encoder(path), TaskContext.get().partitionId(), 0, 0
     total = np.zeros(0, dtype=np.int64)
     for batch in batches:
@@ -359,8 +361,8 @@ def _tokenise(batches, path, end_id):
             cut = np.concatenate([[0], np.cumsum(many)])
             raw = ids.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(rows, shard, dtype=np.int32)), pa.array(np.arange(at, at + rows)), pa.array(before + cut[:-1]), batch.column(0)[low : low + rows], pa.array([raw[4 * a : 4 * b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary())],
-                ["shard", "at", "before", "doc_id", "ids"],
+                [pa.array(np.full(rows, shard, dtype=np.int32)), pa.array(np.arange(at, at + rows)), pa.array(before + cut[:-1]), batch.column(0)[low : low + rows], pa.array([raw[4 * a : 4 * b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.nulls(rows, pa.binary())],
+                ["shard", "at", "before", "doc_id", "ids", "counts"],
             )
             at, before = at + rows, before + int(cut[-1])
             some = np.bincount(ids).astype(np.int64)
@@ -370,7 +372,7 @@ def _tokenise(batches, path, end_id):
     if at:
         held = np.flatnonzero(total)
         packed = held.astype("<u4").tobytes() + total[held].astype("<u8").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([-1], pa.int64()), pa.array([before], pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed], pa.binary())], ["shard", "at", "before", "doc_id", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([-1], pa.int64()), pa.array([before], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], ["shard", "at", "before", "doc_id", "ids", "counts"])
 
 
 @tidy
@@ -446,11 +448,11 @@ def write_tokens(documents: DataFrame, path: str, *, tokenizer: str, end_id: int
     order = F.col("doc_id").asc_nulls_first()
     dealt = texts.repartitionByRange(many, order).sortWithinPartitions(order, F.col("text").asc_nulls_first())
     ids_path = scratch_path(spark, "ids")
-    schema = "shard int, at long, before long, doc_id long, ids binary"
+    schema = "shard int, at long, before long, doc_id long, ids binary, counts binary"
     dealt.mapInArrow(lambda it: _tokenise(it, tokenizer, end_id), schema).write.option("compression", "zstd").parquet(ids_path)
     ids = spark.read.schema(schema).parquet(ids_path)
     told = ids.where("at = -1")
-    counts = told.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = told.select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros((max(counts.column(0).to_pylist()) + 1) if len(counts) else 1, dtype=np.int64)
     total[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
     frequencies = normalised(total)
@@ -462,7 +464,7 @@ def write_tokens(documents: DataFrame, path: str, *, tokenizer: str, end_id: int
     spark.createDataFrame([(frequencies.tolist(),)], "frequencies array<long>").coalesce(1).write.parquet(f"{path}/table")
     spark.createDataFrame(bases, "shard int, base long").coalesce(1).write.parquet(f"{path}/shards")
     table = shared(spark, Table(frequencies))
-    ids.where("at >= 0").mapInArrow(lambda it: _encode(it, table), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ids.where("at >= 0").drop("counts").mapInArrow(lambda it: _encode(it, table), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     released(table)
     drop_scratch(spark, ids_path)
 

@@ -131,3 +131,16 @@ def test_rows_of_one_id_have_one_order(spark, tmp_path):
     ids = [[*x, 0] for x in plain(["z", "word " * 300_000, None, "a", "a", "b c"])]
     assert [r[3] for r in runs[0]] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
     assert [r[1] for r in runs[0]] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
+
+
+def test_counts_of_ids_are_read_without_the_ids(spark):
+    """A shard's counts stand in a column of their own, so that the column of ids isn't scanned for them."""
+    tokenizer = rans.public_tokenizer()
+    df = spark.createDataFrame([(1, "one two two"), (2, None), (3, "two")], "doc_id long, text string").coalesce(1)
+    rows = df.mapInArrow(lambda it: rans._tokenise(it, tokenizer, 0), "shard int, at long, before long, doc_id long, ids binary, counts binary").collect()
+    ids = [k for r in rows if r["at"] >= 0 for k in np.frombuffer(r["ids"], "<u4").tolist()]
+    assert all((r["ids"] is None) == (r["at"] < 0) and (r["counts"] is None) == (r["at"] >= 0) for r in rows)
+    told = next(r for r in rows if r["at"] < 0)
+    many = len(told["counts"]) // 12
+    counts = dict(zip(np.frombuffer(told["counts"], "<u4", many).tolist(), np.frombuffer(told["counts"], "<u8", many, 4 * many).tolist(), strict=True))
+    assert told["before"] == len(ids) and counts == {k: ids.count(k) for k in ids}
