@@ -61,6 +61,8 @@ LANE = 512
 AT_ONCE = 3 << 20
 #: Bytes of words spelled at once.
 SPELLED = 1 << 18
+#: Bytes of words that are held to be counted before they are spelled.
+HELD = 1 << 22
 #: Bits of paths whose inputs are looked up at once.
 LOOKED_UP = 1 << 18
 #: Of the stored log odds, steps in one.
@@ -477,7 +479,21 @@ def _levels(batches, mixer):
     mixer = mixer.value.levelled()
     vocabulary, length = mixer.vocabulary, mixer.tree.length
     words, bytes_ = np.zeros((GATES * LEVELS, 2 * LEVELS**2), dtype=np.int64), np.zeros((BYTE_LEVELS**2, 2 * BYTE_LEVELS**3), dtype=np.int64)
-    one = np.int64(1)
+    one, one_byte, held = np.int64(1), np.int8(1), []
+
+    def spelled():
+        data, size, name, times = (np.concatenate([x[k] for x in held]) for k in range(4))
+        held.clear()
+        _, once, which = np.unique(name, return_index=True, return_inverse=True)
+        end, times = np.cumsum(size)[once], np.bincount(which, times).astype(np.int64)
+        start = end - size[once]
+        for some in _runs(end - start):
+            letter, word, of = letters(data, start[some], end[some])
+            for k in range(0, len(letter), SPELLED):
+                part = slice(k, k + SPELLED)
+                known, bit, of_bit = mixer._byte_inputs(letter[part], word[part], of[:, part])
+                np.add.at(bytes_.ravel(), _cell(0, known, bit, BYTE_LEVELS), times[some].take(of_bit))
+
     for batch in batches:
         for _, _, data, offsets, row, closes in parts_of(batch.column(0)):
             said = split(data, offsets)
@@ -491,13 +507,17 @@ def _levels(batches, mixer):
                 np.add.at(words.ravel(), _cell(gate, known, bit, LEVELS), one)
             rare = np.flatnonzero(symbol[place] >= vocabulary.words)
             _, once, times = np.unique(said[4][rare], return_index=True, return_counts=True)
-            rare = rare[once]
-            for some in _runs(said[2][rare] - said[1][rare]):
-                letter, word, of = letters(said[0], said[1][rare[some]], said[2][rare[some]])
-                for k in range(0, len(letter), SPELLED):
-                    part = slice(k, k + SPELLED)
-                    known, bit, of_bit = mixer._byte_inputs(letter[part], word[part], of[:, part])
-                    np.add.at(bytes_.ravel(), _cell(0, known, bit, BYTE_LEVELS), times[some].take(of_bit))
+            order = np.argsort(once)
+            rare = rare[once[order]]
+            start, end = said[1][rare], said[2][rare]
+            edge = np.zeros(len(said[0]) + 1, dtype=np.int8)
+            edge[start] += one_byte
+            edge[end] -= one_byte
+            held.append((said[0][np.cumsum(edge[:-1], dtype=np.int8).view(bool)], end - start, said[4][rare], times[order]))
+            if sum(len(x[0]) for x in held) > HELD:
+                spelled()
+    if held:
+        spelled()
     yield from _packed(words, 0)
     yield from _packed(bytes_, len(words))
 
