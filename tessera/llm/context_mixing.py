@@ -24,7 +24,9 @@ The tables of contexts are of fixed size.  So score is a probability of every
 word of the text; white space is not coded.
 
 Texts are scored in lanes of LANE words side by side; each lane begins with the
-same weights and its contexts reach back into the lane before.  Memory does not
+same weights and its contexts reach back into the lane before.  The lanes of
+several chunks of texts, up to MIXED bits, take their steps together, as a step
+of few lanes costs nearly as much as one of many.  Memory does not
 depend on the length of a text: one of more than AT_ONCE bytes is taken in parts
 that begin like a text.
 
@@ -43,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _IS_WORD, _LOWER, chunks, hash_spans, mix, released, shared, spans, stored, tidy
+from tessera.llm.common import _IS_WORD, _LOW_BYTES, _LOWER, chunks, hash_spans, mix, released, shared, spans, stored, tidy
 
 #: Words that are leaves, classes of the other words.
 TREE_WORDS, CLASSES = (1 << 12) - 65, 64
@@ -62,12 +64,20 @@ AT_ONCE = 3 << 20
 #: Bytes of words spelled at once.
 SPELLED = 1 << 18
 #: Bytes of words that are held to be counted before they are spelled.
-HELD = 1 << 22
+HELD = 1 << 23
+#: Bits of paths that are mixed at once: more make the lanes more, and take 16 bytes each.
+MIXED = 13 << 20
 #: Bits of paths whose inputs are looked up at once.
 LOOKED_UP = 1 << 18
 #: Of the stored log odds, steps in one.
 STEPS = 12.0
 RATE, FOLLOW, REFINE = 0.06, 0.04, 0.02
+#: What the mix multiplies its inputs with.
+HALVED = math.sqrt(RATE) / 2
+#: In units of the refined map's part, what keeps all probabilities at 0.0001 at least.
+FLOOR = 1 / (0.3 * 0.9998)
+#: Bits of each lane that are laid out for the mix at once.
+AHEAD = 32
 GATES = 8
 #: Nodes from the root on that the fourth predictor tells apart.
 FOLLOWED = 1024
@@ -113,6 +123,7 @@ class Tree:
         for k, path in enumerate(paths):
             for at, (node, bit) in enumerate(path):
                 self.node[k, at], self.bit[k, at] = node, bit
+        self.gate = np.tile(np.minimum(np.arange(most) // 3, 3).astype(np.int8) * 2, (many, 1))
 
     def odds(self, counts: np.ndarray) -> np.ndarray:
         """Log odds of every node from rows of counts of symbols, in steps of 1/STEPS."""
@@ -161,12 +172,30 @@ def parts_of(column: pa.Array):
             at = end
 
 
+class Names:
+    """Sorted names, found by their first bits."""
+
+    def __init__(self, names: np.ndarray, bits: int):
+        self.names, self.shift = np.append(names, np.uint64((1 << 64) - 1)), np.uint64(64 - bits)
+        self.first = np.searchsorted(names, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each name is there, its place or any)."""
+        at = self.first[(name >> self.shift).astype(np.int64)]
+        live = np.flatnonzero(self.names[at] < name)
+        while len(live):
+            at[live] += 1
+            live = live[self.names[at[live]] < name[live]]
+        return (self.names[at] == name) & (at < len(self.names) - 1), at
+
+
 class Vocabulary:
     """The words that are leaves, sorted by name, with their symbols; then the classes, then the end."""
 
     def __init__(self, names: np.ndarray):
         order = np.argsort(names, kind="stable")
         self.names, self.symbol, self.words = names[order], order.astype(np.int64), len(names)
+        self.sorted = Names(self.names, 16)
 
     @property
     def symbols(self) -> int:
@@ -176,9 +205,9 @@ class Vocabulary:
         """(symbol, row, contexts by predictor, place of each word, whether a most frequent word stands just before) of the words of rows, an end after each row that closes."""
         lowered, start, end, row, name = words
         last = ending(lowered, start, end)
-        at = np.minimum(np.searchsorted(self.names, name), max(0, self.words - 1))
-        known = self.names[at] == name if self.words else np.zeros(len(name), dtype=bool)
-        symbol = np.where(known, self.symbol[at] if self.words else 0, self.words + class_of(lowered, start, end))
+        known, at = self.sorted.find(name)
+        symbol, rare = np.append(self.symbol, 0).take(at), np.flatnonzero(~known)
+        symbol[rare] = self.words + class_of(lowered, start[rare], end[rare])
         frequent = known & (symbol < OWN)
         count = np.bincount(row, minlength=rows)
         stops = np.cumsum(closes) - closes
@@ -235,6 +264,25 @@ def letters(lowered: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
 # --- gathering ----------------------------------------------------------------
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, dtype=np.int64)
+
+
+def _counted(name: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, class, count) of the distinct names.
+
+    Values are sorted, many times as fast as places: names, and names whose last bits give way to the class, in the same order."""
+    last = np.uint64(CLASSES - 1)
+    every, both = np.sort(name), np.sort(name & ~last | kind.astype(np.uint64))
+    first, at = _firsts(every), _firsts(both)
+    if not np.array_equal(first, at):  # two names that differ in their last bits alone
+        order = np.argsort(name)
+        every = name[order]
+        return every[first], kind[order[first]], np.diff(np.append(first, len(every)))
+    return every[first], (both[at] & last).astype(np.int64), np.diff(np.append(first, len(every)))
+
+
 @tidy
 def _words(batches):
     """(key, class, n): counts of words; the end of a text is key 0."""
@@ -244,8 +292,7 @@ def _words(batches):
             lowered, start, end, _, name = split(data, offsets)
             names.append(name)
             classes.append(class_of(lowered, start, end))
-        name, first, n = np.unique(np.concatenate(names), return_index=True, return_counts=True)
-        kind = np.concatenate(classes)[first]
+        name, kind, n = _counted(np.concatenate(names), np.concatenate(classes))
         name, kind, n = np.append(name, np.uint64(0)), np.append(kind, 0), np.append(n, rows)
         yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(kind, pa.int32()), pa.array(n, pa.int64())], ["key", "class", "n"])
 
@@ -271,19 +318,24 @@ def _contexts(batches, vocabulary):
     symbols = vocabulary.symbols
     cells, letters_ = np.zeros((HASHED * CONTEXTS, symbols), dtype=np.int32), np.zeros((sum(BYTE_CONTEXTS), 256), dtype=np.int32)
     one = np.int32(1)  # a Python number would take twenty times as long to add
+    rare = Rare()
+
+    def spelled():
+        for letter, often, of in rare.taken():
+            often = often.astype(np.int32)
+            for k in range(len(of)):
+                np.add.at(letters_.ravel(), of[k] * 256 + letter, often)
+
     for batch in batches:
         for _, _, data, offsets, row, closes in parts_of(batch.column(0)):
             words = split(data, offsets)
             symbol, _, context, place, _ = vocabulary.sequence(words, len(row), closes)
             for k in range(HASHED):
                 np.add.at(cells.ravel(), (k * CONTEXTS + context[k]) * symbols + symbol, one)
-            rare = np.flatnonzero(symbol[place] >= vocabulary.words)
-            _, once, times = np.unique(words[4][rare], return_index=True, return_counts=True)
-            rare, times = rare[once], times.astype(np.int32)
-            for some in _runs(words[2][rare] - words[1][rare]):
-                letter, word, of = letters(words[0], words[1][rare[some]], words[2][rare[some]])
-                for k in range(len(of)):
-                    np.add.at(letters_.ravel(), of[k] * 256 + letter, times[some][word])
+            rare.add(words, np.flatnonzero(symbol[place] >= vocabulary.words))
+            if rare.full():
+                spelled()
+    spelled()
     yield from _packed(cells, 0)
     yield from _packed(letters_, len(cells))
 
@@ -301,6 +353,75 @@ def _merged(batches, symbols, first=HASHED * CONTEXTS, others=256):
         yield from _packed(counts[None], context)
 
 
+class Rare:
+    """Distinct words that are no leaves and how often each came, held over chunks to be spelled once."""
+
+    def __init__(self):
+        self.held: list[tuple] = []
+
+    def add(self, words: tuple, rare: np.ndarray) -> None:
+        lowered, start, end, _, name = words
+        if len(rare):
+            self._hold(lowered, start[rare], end[rare], name[rare], np.ones(len(rare), dtype=np.int64))
+
+    def _hold(self, data, start, end, name, times) -> None:
+        order = np.argsort(name)
+        first = _firsts(name[order])
+        once, times = order[first], np.add.reduceat(times[order], first)
+        order = np.argsort(once)
+        once, times = once[order], times[order]
+        start, end = start[once], end[once]
+        edge, one = np.zeros(len(data) + 1, dtype=np.int8), np.int8(1)
+        edge[start] += one
+        edge[end] -= one
+        self.held.append((data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)], end - start, name[once], times))
+
+    def _merge(self) -> None:
+        if len(self.held) < 2:
+            return
+        data, size, name, times = (np.concatenate([x[k] for x in self.held]) for k in range(4))
+        self.held.clear()
+        end = np.cumsum(size)
+        self._hold(data, end - size, end, name, times)
+
+    def full(self) -> bool:
+        """Whether more than HELD bytes are there and half as many distinct ones."""
+        if sum(len(x[0]) for x in self.held) > HELD:
+            self._merge()
+        return sum(len(x[0]) for x in self.held) > HELD // 2
+
+    def taken(self):
+        """(symbol, how often, contexts) of the bytes of what is held, which is given up, in runs.
+
+        What begins alike is taken once: contexts of a byte are the bytes before it in its word, and the word's first two."""
+        if not self.held:
+            return
+        self._merge()
+        data, size, _, times = self.held.pop()
+        end = np.cumsum(size)
+        begin = np.ndarray((len(data),), dtype="<u8", buffer=np.append(data, np.zeros(8, dtype=np.uint8)), strides=(1,))[end - size]
+        begin = (begin & _LOW_BYTES[np.minimum(size, 8)] | np.where(size < 8, np.uint64(32) << np.minimum(8 * size, 56).astype(np.uint64), np.uint64(0))).byteswap()
+        order = np.argsort(begin)
+        begin, start, end, times = begin[order], (end - size)[order], end[order], times[order]
+        # of each word, how many of its first eight bytes the one before has too; a single one does not count
+        differ, alike = begin[1:] ^ begin[:-1], np.zeros(len(begin), dtype=np.int64)
+        for k in range(8):
+            alike[1:] += differ >> np.uint64(56 - 8 * k) == 0
+        alike[alike < 2] = 0
+        often = np.empty((len(begin), 9), dtype=np.int64)
+        for k in range(8):
+            first = np.flatnonzero(alike <= k)
+            often[first, k] = np.add.reduceat(times, first)
+        often[:, 8] = times
+        for some in _runs(end - start):
+            letter, word, of = letters(data, start[some], end[some])
+            within = np.arange(len(word)) - np.repeat(_firsts(word), np.bincount(word))
+            every = np.flatnonzero(within >= alike[some][word])
+            for k in range(0, len(every), SPELLED):
+                new = every[k : k + SPELLED]
+                yield letter[new], often[some][word[new], np.minimum(within[new], 8)], of[:, new]
+
+
 def _runs(size: np.ndarray):
     """Slices of words of about SPELLED bytes together; a longer word alone."""
     reach = np.cumsum(size + 1)
@@ -336,6 +457,7 @@ class Mixer:
         self.overall, self.odds, self.byte_odds = overall, odds, byte_odds
         self.start = np.tile(np.array([0.3, 0.4, 0.3, 1.0], dtype=np.float32), (GATES, 1))
         self.byte_start = np.array([0.05, 0.1, 0.2, 0.3, 0.35], dtype=np.float32)
+        self.signs = np.array([1 << 31, 0], dtype=np.uint32)  # of a bit
 
     def fit(self, texts: DataFrame) -> None:
         """First weights from all texts(text), each gate by itself; gates without bits keep theirs.
@@ -374,80 +496,110 @@ class Mixer:
         nodes = max(1, self.tree.symbols - 1)
         for k in range(HASHED):
             known[:, 1 + k] = self.odds[k].ravel().take((context[k] * nodes).astype(np.int32).take(where) + node)
-        gate = np.minimum(path % self.tree.node.shape[1] // 3, 3).astype(np.int8) * 2 + just.take(where)
+        gate = self.tree.gate.ravel().take(path) + just.take(where)
         return known, bit, gate, node
 
     def score(self, symbol: np.ndarray, row: np.ndarray, context: np.ndarray, just: np.ndarray, rows: int) -> np.ndarray:
         """Natural logarithm of the probability of each row's symbols."""
-        if not len(symbol):
-            return np.zeros(rows)
+        known = np.empty((int(self.tree.length[symbol].sum()), INPUTS), dtype=np.float32)
+        begin, bits, of = self.lanes(symbol, row, context, just, rows, known)
+        return np.bincount(of, self.mixed(known, begin, bits), rows)
+
+    def lanes(self, symbol, row, context, just, rows: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first bit, bits, row) of each lane; known becomes what _mix takes."""
         size = np.bincount(row, minlength=rows)
-        within = np.arange(len(symbol)) - np.repeat(np.cumsum(size) - size, size)
         lanes_of = -(-size // LANE)
-        lane = (np.cumsum(lanes_of) - lanes_of)[row] + within // LANE
-        lanes = int(lane[-1]) + 1
+        lanes = int(lanes_of.sum())
         many = self.tree.length[symbol]
-        bits = np.bincount(lane, many, lanes).astype(np.int64)
-        # bits stand in the order of steps: all lanes' first bits, all second bits, ...; longest lanes first
-        by_size = np.argsort(-bits, kind="stable")
-        rank = np.empty(lanes, dtype=np.int64)
-        rank[by_size] = np.arange(lanes)
-        active = np.searchsorted(-bits[by_size], -np.arange(int(bits.max())), "left")
-        start = np.cumsum(active) - active
-        total = int(many.sum())
-        known, bit, gate, node = np.empty((total, INPUTS), dtype=np.float32), *(np.empty(total, dtype=kind) for kind in (np.int8, np.int8, np.int32))
-        out, each = np.zeros(lanes), np.cumsum(many) - many
-        step_of = each - (np.cumsum(bits) - bits)[lane]  # of a symbol's first bit, in its lane
+        each = np.cumsum(many) - many  # a symbol's first bit
+        total = len(known)
+        # a lane begins with every LANE-th symbol of a row
+        begin = np.repeat(np.cumsum(size) - size, lanes_of) + LANE * (np.arange(lanes) - np.repeat(np.cumsum(lanes_of) - lanes_of, lanes_of))
+        begin = each[begin]
+        bits = np.diff(np.append(begin, total))
+        code = known.view(np.uint32)[:, -1]
         first = np.searchsorted(each, np.arange(0, total, LOOKED_UP)) if total else []
         for low, high in zip(first, [*first[1:], len(symbol)], strict=True):
-            some = slice(low, high)
-            where, path = self._paths(symbol[some], many[some])
-            odds, a, b, c = self._inputs(context[:, some], just[some], where, path)
-            step = np.arange(len(where)) + np.repeat(step_of[some] - each[some] + each[low], many[some])
-            to = start[step] + np.repeat(rank[lane[some]], many[some])
-            inputs = np.zeros((len(where), INPUTS), dtype=np.float32)
-            np.multiply(odds, np.float32(1 / STEPS), out=inputs[:, :-1])
-            known.view(np.complex128).ravel()[to] = inputs.view(np.complex128).ravel()  # four inputs, moved as one value
-            bit[to], gate[to], node[to] = a, b, np.minimum(c, FOLLOWED - 1)
-        out[by_size] = self._mix(known, bit, gate, node, start, active, lanes)
-        return np.bincount(np.repeat(np.arange(rows), lanes_of), out, rows)
-
-    def _mix(self, known, bit, gate, node, start, active, lanes) -> np.ndarray:
-        weights = np.tile(self.start, (lanes, 1))
-        four = weights.view(np.complex128).ravel()  # the four weights of a gate, moved as one value
+            some, at = slice(low, high), slice(int(each[low]), int(each[high]) if high < len(symbol) else total)
+            odds, bit, gate, node = self._inputs(context[:, some], just[some], *self._paths(symbol[some], many[some]))
+            np.multiply(odds, np.float32(HALVED / STEPS), out=known[at, :-1])
+            np.minimum(node, FOLLOWED - 1, out=node)
+            node <<= 3
+            node |= gate
+            code[at] = node.view(np.uint32) | self.signs.take(bit)
+        return begin, bits, np.repeat(np.arange(rows), lanes_of)
+
+    def mixed(self, known: np.ndarray, begin: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of each lane's bits."""
+        out = np.zeros(len(bits))
+        if len(bits):
+            # steps take all lanes' first bits, all second bits, ...; longest lanes first
+            by_size = np.argsort(-bits, kind="stable")
+            active = np.searchsorted(-bits[by_size], -np.arange(int(bits.max())), "left")
+            out[by_size] = self._mix(known, begin[by_size], active)
+            out -= bits * math.log(2 * FLOOR)
+        return out
+
+    def _mix(self, known, place, active) -> np.ndarray:
+        """Natural logarithm of each lane's probabilities, each multiplied with 2 * FLOOR; place is each lane's first in known.
+
+        In place of the fourth input known has a code: the sign is set if the bit is 0, then come node and gate.  A
+        probability p stands as 2p - 1 and a bit as 1 or -1, inputs are multiplied with HALVED and weights divided by twice that:
+        so half the mixed log odds come out and a weight moves by the miss, 1 or -1 less 2p - 1, times the input."""
+        lanes = len(place)
+        four = np.tile((self.start / np.float32(2 * HALVED)).view(np.complex128).ravel(), lanes)  # the four weights of a gate, moved as one value
+        known = known.view(np.complex128).ravel()
         centre = (np.arange(CELLS) + 0.5) / CELLS * 16 - 8
-        refined = np.tile((1 / (1 + np.exp(-centre))).astype(np.float32), lanes)
-        follow = np.zeros(lanes * FOLLOWED, dtype=np.float32)
+        refined = np.tile(np.tanh(centre / 2).astype(np.float32), lanes)
+        apart = FOLLOWED + 16  # lanes a power of two apart would push each other out of the processor's cache
+        follow = np.full(lanes * apart, np.float32(0))
         each = np.arange(lanes, dtype=np.int64)
-        gates, cells, slots = each * GATES, each * CELLS, each * FOLLOWED
-        result = np.empty(len(bit), dtype=np.float32)
-        least, most, half, eight, cell_of = (np.float32(x) for x in (-7.99, 7.99, 0.5, 8, CELLS / 16))
-        rate, learn, refine, own, mapped = (np.float32(x) for x in (RATE, FOLLOW, REFINE, 0.7, 0.3))
-        for low, n in zip(start.tolist(), active.tolist(), strict=True):
-            high = low + n
-            s, y = known[low:high], bit[low:high]
-            slot = slots[:n] + node[low:high]
-            moved = follow.take(slot)
-            s[:, -1] = moved
-            at = gates[:n] + gate[low:high]
-            w = four.take(at).view(np.float32).reshape(n, INPUTS)
-            dot = np.einsum("ij,ij->i", s, w)
-            np.minimum(np.maximum(dot, least, out=dot), most, out=dot)
-            p = np.tanh(dot * half)
-            p *= half
-            p += half
-            cell = cells[:n] + ((dot + eight) * cell_of).astype(np.int64)
-            q = refined.take(cell)
-            result[low:high] = p * own + q * mapped
-            off = y - p
-            w += (off * rate)[:, None] * s
-            four[at] = w.view(np.complex128).ravel()
-            refined[cell] = q + refine * (y - q)
-            follow[slot] = moved + learn * off
-        result = result * np.float32(0.9998) + np.float32(0.0001)
-        cost = np.log(np.where(bit > 0, result, 1 - result))
-        rank = np.arange(len(bit), dtype=np.int32) - np.repeat(start.astype(np.int32), active)
-        return np.bincount(rank, cost, lanes)
+        gates, cells, slots = each * GATES, each * CELLS, each * apart
+        one, least, most, middle, cell_of = (np.float32(x) for x in (1, -3.995, 3.995, CELLS / 2, CELLS / 8))
+        learn, refine, kept, own, floor = (np.float32(x) for x in (HALVED * FOLLOW / 2, REFINE, 1 - REFINE, 0.7 / 0.3, FLOOR))
+        low, three, seven, ones = np.int32((1 << 31) - 1), np.int32(3), np.int32(7), np.ones(INPUTS, dtype=np.float32)
+        out, ahead = np.zeros(lanes), np.arange(AHEAD)
+        for first in range(0, len(active), AHEAD):
+            running = active[first : first + AHEAD].tolist()
+            many = running[0]
+            rows = known.take(ahead[: len(running), None] + place[:many], mode="clip")
+            place[:many] += AHEAD
+            inputs, code = (rows.view(kind).reshape(len(running), many, INPUTS) for kind in (np.float32, np.int32))
+            code = code[:, :, -1]
+            ys, gate_of, slot_of = np.copysign(one, inputs[:, :, -1]), gates[:many] + (code & seven), slots[:many] + ((code & low) >> three)
+            moves, found = ys * refine, np.zeros((len(running), many), dtype=np.float32)
+            for k, n in enumerate(running):
+                gate, slot, s = gate_of[k, :n], slot_of[k, :n], inputs[k, :n].reshape(-1)
+                moved = follow.take(slot)
+                s[INPUTS - 1 :: INPUTS] = moved
+                w = four.take(gate).view(np.float32)
+                half = (s * w).reshape(n, INPUTS) @ ones
+                np.minimum(np.maximum(half, least, out=half), most, out=half)
+                p = np.tanh(half)
+                half *= cell_of
+                half += middle
+                cell = half.astype(np.int64)
+                cell += cells[:n]
+                q = refined.take(cell)
+                off = ys[k, :n] - p
+                p *= own
+                np.add(p, q, out=found[k, :n])
+                q *= kept
+                q += moves[k, :n]
+                refined[cell] = q
+                for i in range(INPUTS):
+                    s[i::INPUTS] *= off
+                w += s
+                four[gate] = w.view(np.complex128)
+                off *= learn
+                moved += off
+                follow[slot] = moved
+            found *= ys
+            found += floor
+            for k, n in enumerate(running):
+                found[k, n:] = 1
+            out[:many] += np.log(found).sum(axis=0, dtype=float)
+        return out
 
     def _byte_inputs(self, symbol, word, context) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         many = self.byte_tree.length[symbol]
@@ -479,20 +631,12 @@ def _levels(batches, mixer):
     mixer = mixer.value.levelled()
     vocabulary, length = mixer.vocabulary, mixer.tree.length
     words, bytes_ = np.zeros((GATES * LEVELS, 2 * LEVELS**2), dtype=np.int64), np.zeros((BYTE_LEVELS**2, 2 * BYTE_LEVELS**3), dtype=np.int64)
-    one, one_byte, held = np.int64(1), np.int8(1), []
+    one, rare = np.int64(1), Rare()
 
     def spelled():
-        data, size, name, times = (np.concatenate([x[k] for x in held]) for k in range(4))
-        held.clear()
-        _, once, which = np.unique(name, return_index=True, return_inverse=True)
-        end, times = np.cumsum(size)[once], np.bincount(which, times).astype(np.int64)
-        start = end - size[once]
-        for some in _runs(end - start):
-            letter, word, of = letters(data, start[some], end[some])
-            for k in range(0, len(letter), SPELLED):
-                part = slice(k, k + SPELLED)
-                known, bit, of_bit = mixer._byte_inputs(letter[part], word[part], of[:, part])
-                np.add.at(bytes_.ravel(), _cell(0, known, bit, BYTE_LEVELS), times[some].take(of_bit))
+        for letter, often, of in rare.taken():
+            known, bit, times = mixer._byte_inputs(letter, often, of)
+            np.add.at(bytes_.ravel(), _cell(0, known, bit, BYTE_LEVELS), times)
 
     for batch in batches:
         for _, _, data, offsets, row, closes in parts_of(batch.column(0)):
@@ -505,19 +649,10 @@ def _levels(batches, mixer):
                 some = slice(low, high)
                 known, bit, gate, _ = mixer._inputs(context[:, some], just[some], *mixer._paths(symbol[some], many[some]))
                 np.add.at(words.ravel(), _cell(gate, known, bit, LEVELS), one)
-            rare = np.flatnonzero(symbol[place] >= vocabulary.words)
-            _, once, times = np.unique(said[4][rare], return_index=True, return_counts=True)
-            order = np.argsort(once)
-            rare = rare[once[order]]
-            start, end = said[1][rare], said[2][rare]
-            edge = np.zeros(len(said[0]) + 1, dtype=np.int8)
-            edge[start] += one_byte
-            edge[end] -= one_byte
-            held.append((said[0][np.cumsum(edge[:-1], dtype=np.int8).view(bool)], end - start, said[4][rare], times[order]))
-            if sum(len(x[0]) for x in held) > HELD:
+            rare.add(said, np.flatnonzero(symbol[place] >= vocabulary.words))
+            if rare.full():
                 spelled()
-    if held:
-        spelled()
+    spelled()
     yield from _packed(words, 0)
     yield from _packed(bytes_, len(words))
 
@@ -558,20 +693,14 @@ class Counts:
     def __init__(self, names, counts, leaves, classes, total, distinct, ends, novel):
         self.leaves = counts[:leaves]  # by symbol
         order = np.argsort(names, kind="stable")
-        self.names, self.counts = np.append(names[order], np.uint64((1 << 64) - 1)), np.append(counts[order], 0)
-        self.first = np.searchsorted(self.names[:-1], np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+        self.sorted, self.counts = Names(names[order], 20), np.append(counts[order], 0)
         self.classes, self.below, self.novel = np.maximum(classes, 1.0), total + 0.5 * (distinct + 1), novel
         self.total = total
         self.end, self.end_known = math.log10((ends + 0.5) / self.below), int(ends > 0)
 
     def of(self, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether a word is among the most frequent, its count or 0)."""
-        at = self.first[(name >> np.uint64(44)).astype(np.int64)]
-        live = np.flatnonzero(self.names[at] < name)
-        while len(live):
-            at[live] += 1
-            live = live[self.names[at[live]] < name[live]]
-        found = (self.names[at] == name) & (at < len(self.names) - 1)
+        found, at = self.sorted.find(name)
         return found, np.where(found, self.counts[at], 0)
 
 
@@ -586,26 +715,46 @@ def _score(batches, mixer, counts):
     mixer, counts = mixer.value, counts.value
     number = TaskContext.get().partitionId() << 40
     vocabulary = mixer.vocabulary
+    known = np.empty((MIXED, INPUTS), dtype=np.float32)
     for batch in batches:
         held: list[tuple] = []
+        waiting, filled = [], 0  # chunks whose lanes are to be mixed together, their bits
 
         def flush(low, rows, held=held, batch=batch):
             sums = [np.concatenate([np.zeros(rows), *(np.bincount(x[0], x[1][:, k], rows) for x in held)]).reshape(-1, rows).sum(axis=0) for k in range(5)]
             owner = np.concatenate([np.zeros(0, dtype=np.int64), *(x[2] for x in held)])
             cut = np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)
             lists = [np.concatenate([np.zeros(0, dtype=kind), *(x[k] for x in held)]) for k, kind in ((3, np.int64), (4, np.float64), (5, np.float64))]
-            tokens, known, size, base, score = sums
+            tokens, seen, size, base, score = sums
             columns = [
-                pa.array(number + np.arange(rows)), batch.column(0)[low : low + rows], batch.column(1)[low : low + rows], *(pa.array(x.astype(np.int64)) for x in (tokens, known, size)), pa.array(base), pa.array(score / math.log(10)),
+                pa.array(number + np.arange(rows)), batch.column(0)[low : low + rows], batch.column(1)[low : low + rows], *(pa.array(x.astype(np.int64)) for x in (tokens, seen, size)), pa.array(base), pa.array(score / math.log(10)),
                 *(pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in lists),
             ]
             held.clear()
             return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base", "score", "rest", "spelled", "share"])
 
+        def finish(known, held=held, waiting=waiting, flush=flush):
+            nonlocal number
+            costs = mixer.mixed(known, *(np.concatenate([np.zeros(0, dtype=np.int64), *(x[-1][k] for x in waiting)]) for k in range(2)))
+            for low, rows, closed, one, (_, bits, of) in waiting:
+                one[1][:, -1] += np.bincount(of, costs[: len(bits)], len(one[0]))
+                costs = costs[len(bits) :]
+                held.append(one)
+                if closed:
+                    yield flush(low, rows)
+                    number += rows
+            waiting.clear()
+
         for low, rows, data, offsets, row, closes in parts_of(batch.column(2)):
             words = split(data, offsets)
             symbol, owner, context, place, just = vocabulary.sequence(words, len(row), closes)
-            score = mixer.score(symbol, owner, context, just, len(row))
+            bits = int(mixer.tree.length[symbol].sum())
+            if filled + bits > len(known):
+                yield from finish(known)
+                filled = 0
+                if max(bits, MIXED) != len(known):  # one chunk may have more
+                    known = np.empty((max(bits, MIXED), INPUTS), dtype=np.float32)
+            lanes = mixer.lanes(symbol, owner, context, just, len(row), known[filled : filled + bits])
             lowered, start, end, at, name = words
             kind = symbol[place] - vocabulary.words
             common, n = np.ones(len(name), dtype=bool), np.empty(len(name), dtype=np.int64)
@@ -615,16 +764,16 @@ def _score(batches, mixer, counts):
             logs = np.log10((n[common] + 0.5) / counts.below)
             ends = closes.astype(float)
             base = np.bincount(at[common], logs, len(row)) + ends * counts.end
-            known = np.bincount(at[common], minlength=len(row)) + ends * counts.end_known
+            seen = np.bincount(at[common], minlength=len(row)) + ends * counts.end_known
             told = np.flatnonzero(common & (kind >= 0))
-            score += np.bincount(at[told], np.log((1 - counts.novel) * n[told] / counts.classes[kind[told]]), len(row))
+            score = np.bincount(at[told], np.log((1 - counts.novel) * n[told] / counts.classes[kind[told]]), len(row))
             other = np.flatnonzero(~common)
             spelled = mixer.spell(lowered, start[other], end[other]) / math.log(10)
-            table = np.stack([np.bincount(at, minlength=len(row)) + ends, known, np.diff(offsets), base, score], axis=1)
-            held.append((row, table, row[at[other]], name[other].view(np.int64), spelled, (1 - counts.novel) / counts.classes[kind[other]]))
-            if closes[-1]:
-                yield flush(low, rows)
-                number += rows
+            table = np.stack([np.bincount(at, minlength=len(row)) + ends, seen, np.diff(offsets), base, score], axis=1)
+            one = row, table, row[at[other]], name[other].view(np.int64), spelled, (1 - counts.novel) / counts.classes[kind[other]]
+            waiting.append((low, rows, bool(closes[-1]), one, (lanes[0] + filled, *lanes[1:])))
+            filled += bits
+        yield from finish(known)
 
 
 def trained(texts: DataFrame, fit: DataFrame) -> tuple[Mixer, Counts, DataFrame, int | None]:

@@ -356,3 +356,64 @@ def test_first_weights_come_from_all_training_texts(spark, monkeypatch):
     fit(mixer, spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
     cost = lambda w: sum(np.log1p(np.exp(-(2.0 * bit[gate == g] - 1) * (known[gate == g] @ w[g]))).sum() for g in range(C.GATES))
     assert cost(plain) <= cost(mixer.start[:, :-1]) + 1e-6 < 1.002 * cost(plain) < cost(prior)
+
+
+def test_chunks_are_mixed_together(spark, monkeypatch):
+    """The lanes of several chunks take their steps in one run, with the scores of each chunk by itself; a text in pieces and a chunk of more bits too."""
+    C = context_mixing
+    monkeypatch.setattr(C, "TREE_WORDS", 60)
+    monkeypatch.setattr(C, "AT_ONCE", 3000)
+    rng = random.Random(13)
+    texts = [prose(rng, rng.randint(1, 300)) for _ in range(60)] + [prose(rng, 4000), None, "", "y" * 9000] + [prose(rng, 40)]
+    mixer, counts, _, _ = model(spark, texts)
+    monkeypatch.setattr(C, "TaskContext", type("Context", (), {"get": classmethod(lambda cls: cls()), "partitionId": lambda self: 3}))
+    given, table = (type("Given", (), {"value": v}) for v in (mixer, counts))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts, pa.string())], ["doc_id", "held_out", "text"])
+    runs, mix_ = [], C.Mixer._mix
+    monkeypatch.setattr(C.Mixer, "_mix", lambda self, *given: runs.append(1) or mix_(self, *given))
+    score = lambda: [r for b in C._score(iter([batch]), given, table) for r in b.to_pylist()]
+    together = score()
+    assert len(runs) == 1 < len(list(C.parts_of(batch.column(2))))
+    for most in (1, 20_000):
+        runs.clear()
+        monkeypatch.setattr(C, "MIXED", most)
+        found = score()
+        assert len(runs) > 1
+        assert [{**r, "score": None} for r in found] == [{**r, "score": None} for r in together]
+        assert [r["score"] for r in found] == pytest.approx([r["score"] for r in together], rel=1e-5)
+    assert [r["row"] for r in together] == [(3 << 40) + k for k in range(len(texts))]
+
+
+def test_what_begins_alike_is_spelled_once(spark, monkeypatch):
+    """Bytes of words that begin alike are looked up once, with the counts of all; words of one to many bytes, one in another."""
+    C = context_mixing
+    rng = random.Random(17)
+    said = ["a", "ab", "a\x00", "abc", "abcdefg", "abcdefgh", "abcdefghi", "abcdefghij", "b", "é", "éa", "x" * 30, "x" * 31]
+    said += ["inter" + "".join(rng.choices("abc", k=rng.randint(0, 6))) for _ in range(200)] + ["".join(rng.choices("ab\x00", k=rng.randint(1, 4))) for _ in range(60)]
+    rare, every, kept = C.Rare(), Counter(), Counter()
+    for part in (said[:100], said[50:], said):
+        data, offsets = text_bytes(pa.array([" ".join(part)]))
+        found = C.split(data, offsets)
+        rare.add(found, np.arange(len(found[1])))
+        symbol, _, of = C.letters(found[0], found[1], found[2])
+        every.update(zip(symbol.tolist(), *of.tolist(), strict=True))
+        assert not rare.full()
+    looked = 0
+    for symbol, often, of in rare.taken():
+        looked += len(symbol)
+        for n, *key in zip(often.tolist(), symbol.tolist(), *of.tolist(), strict=True):
+            kept[tuple(key)] += n
+    assert kept == every
+    assert looked < sum(len(w.encode()) + 1 for w in set(said)) / 2
+    assert list(rare.taken()) == []
+
+
+def test_distinct_words_by_sorted_values():
+    C = context_mixing
+    rng = np.random.default_rng(3)
+    for low in (0, 1 << 40):  # names that differ in their last bits alone; names far apart
+        name = rng.integers(low, low + 90 if not low else 1 << 63, 60, dtype=np.uint64)[rng.integers(0, 60, 500)]
+        kind = (C.mix(name) % np.uint64(C.CLASSES)).astype(np.int64)
+        expect = Counter(zip(name.tolist(), kind.tolist(), strict=True))
+        assert dict(zip(zip(*(x.tolist() for x in C._counted(name, kind)[:2]), strict=True), C._counted(name, kind)[2].tolist(), strict=True)) == expect
+    assert [len(x) for x in C._counted(name[:0], kind[:0])] == [0, 0, 0]
